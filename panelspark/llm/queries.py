@@ -1,0 +1,98 @@
+"""The queries of the training-data operators and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelspark.llm import chat, mixing, sharding, simhash, tokens
+from panelspark.llm.common import scratch, table
+
+SHARDS = 40
+END_ID = 2
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = scratch(spark, "tokens")
+    manifest = tokens.write_tokens(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return tokens.read_tokens(spark, out, manifest)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')) AS size,
+         CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 3 AS bound FROM s),
+p AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS mass,
+         coalesce(sum(bound) OVER o, 0) AS b0, coalesce(sum(weight) OVER o, 0) AS w0
+  FROM w WINDOW o AS (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (
+  SELECT *, bound::HUGEINT * (mass - w0) < (total - b0) * weight::HUGEINT AS capped FROM p),
+t AS (
+  SELECT source, source_size, CASE WHEN capped THEN bound::DOUBLE
+         ELSE (weight * (total - sum(CASE WHEN capped THEN bound ELSE 0 END) OVER ()))::DOUBLE / (mass - sum(CASE WHEN capped THEN weight ELSE 0 END) OVER ())::DOUBLE END AS target
+  FROM c),
+r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, d.u, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+"""
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(chat.probe(spark))
+    out = chat.format_chats(turns.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    read, masked = chat.read_turns(F.col("formatted")), chat.masked_text(F.col("formatted"), F.col("loss_spans"))
+    back = out.select("conv_id", "formatted", read.alias("turns"), masked.alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP9_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(replace(replace(replace(text, '\', '\e'), '<', '\l'), '[', '\b')) + length(replace(replace(replace(replace(role, '\', '\e'), '<', '\l'), '[', '\b'), chr(10), '\n')) + 8 + 1 + 7 AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_files": op4_token_files,
+    "op7_sharding": op7_sharding,
+    "op8_mixing": op8_mixing,
+    "op9_chat": op9_chat,
+    "op10_simhash": op10_simhash,
+}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}

@@ -1,0 +1,214 @@
+"""SimHash near-duplicate groups, found with pivot distance tables.
+
+A text's fingerprint has 64 bits; a bit is 1 if it is set in over half of the
+XXH64 values (seed 42) of its word shingles, repeats included. Fingerprints link
+at `max_bits` differing bits or fewer, and a document's component is the
+smallest doc_id that it reaches over links.
+
+How pairs are found: equal fingerprints are merged first, so copies cost one row.
+The 64 bits are cut into blocks; two fingerprints within `max_bits` agree on all
+but `max_bits` blocks, so every choice of that many blocks is a bucket key and no
+link is lost. A bucket is sorted by its distance to the first pivot, so that only
+neighbours in that coordinate meet; the table of distances to the other pivots
+discards pairs whose largest coordinate difference exceeds `max_bits` (triangle
+inequality), and survivors are verified bit by bit. A bucket returns a spanning
+set of its links, never more of them than it has rows.
+
+Defined results: a null or wordless text has fingerprint zero and links like any
+other; fewer words than a shingle count as one shingle; repeated rows come back
+repeated; null doc_ids never become a component's id unless nothing else is
+reachable (then it is null); an empty table gives an empty result. Columns other
+than doc_id and text are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from panelspark.llm.common import carried, partitions, text_key, written
+
+BITS = 64
+
+
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    """The fingerprint of one text as an unsigned integer."""
+    w = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
+    if not w:
+        return 0
+    if len(w) < words:
+        return xxhash.xxh64_intdigest(b" ".join(w), 42)
+    n, digest = len(w) - words + 1, xxhash.xxh64_intdigest
+    h = np.fromiter((digest(b" ".join(s), 42) for s in zip(*(w[i:] for i in range(words)))), "<u8", n)
+    ones = np.zeros(BITS, np.int64)
+    for a in range(0, n, 1 << 16):
+        ones += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id and the signed 64-bit `fp` of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.fromiter((fingerprint(x.as_py(), words) for x in b.column(1)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+
+
+def block_masks(max_bits: int, spare: int = 4) -> list[int]:
+    """Masks of which at least one agrees wholly between any two values within max_bits: all choices of `spare` blocks of max_bits + spare."""
+    blocks = max_bits + spare
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    each = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    return [sum(c) for c in combinations(each, spare)]
+
+
+def pivots(n: int) -> list[int]:
+    """n reference fingerprints, the same in every run."""
+    return [xxhash.xxh64_intdigest(f"pivot {i}".encode(), 0) for i in range(n)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _roots(parent: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[parent]
+        if np.array_equal(up, parent):
+            return parent
+        parent = up
+
+
+def bucket_links(fps: np.ndarray, table: np.ndarray, max_bits: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links of one bucket. fps: distinct, unsigned, ascending by table[:, 0], the distance to the first pivot."""
+    parent, near = np.arange(len(fps)), table[:, 0].astype(np.int16)
+    for a in range(0, len(fps), block):
+        z = min(a + block, len(fps))
+        last = np.searchsorted(near, near[z - 1] + max_bits, side="right")
+        for c in range(a, last, 4 * block):
+            d = min(c + 4 * block, last)
+            i, j = np.nonzero(np.abs(near[a:z, None] - near[None, c:d]) <= max_bits)
+            i, j = i + a, j + c
+            keep = i < j
+            i, j = i[keep], j[keep]
+            for p in range(1, table.shape[1]):
+                keep = np.abs(table[i, p].astype(np.int16) - table[j, p]) <= max_bits
+                i, j = i[keep], j[keep]
+            keep = np.bitwise_count(fps[i] ^ fps[j]) <= max_bits
+            i, j = parent[i[keep]], parent[j[keep]]
+            for x, y in np.unique(np.stack([i[i != j], j[i != j]], 1), axis=0).tolist():
+                while parent[x] != x:
+                    x = parent[x]
+                while parent[y] != y:
+                    y = parent[y]
+                parent[max(x, y)] = min(x, y)
+            parent = _roots(parent)
+    moved = np.nonzero(parent != np.arange(len(fps)))[0]
+    return fps[moved], fps[parent[moved]]
+
+
+def links(values: DataFrame, max_bits: int = 2, n_pivots: int = 16) -> DataFrame:
+    """Links `u`, `v` that span every component of the distinct values in column fp."""
+    masks, refs = block_masks(max_bits), np.array(pivots(n_pivots), np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.uint64)]
+
+        def out(n: int) -> Iterator[pa.RecordBatch]:
+            """Works through the first n rows held."""
+            which, key, fps = (x[:n] for x in held)
+            new = np.r_[True, (which[1:] != which[:-1]) | (key[1:] != key[:-1])] if n else np.empty(0, bool)
+            start = np.nonzero(new)[0]
+            end, found = np.r_[start[1:], n], []
+            for a, z in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist()):
+                t = np.bitwise_count(fps[a:z, None] ^ refs)
+                order = np.argsort(t[:, 0], kind="stable")
+                found.append(bucket_links(fps[a:z][order], t[order], max_bits))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]).view(np.int64)) for k in (0, 1)], ["u", "v"])
+
+        for b in batches:
+            got = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)]
+            held = [np.concatenate(x) for x in zip(held, got)]
+            which, key, _ = held
+            whole = np.nonzero((which != which[-1]) | (key != key[-1]))[0] if len(which) else []
+            if n := (int(whole[-1]) + 1 if len(whole) else 0):
+                yield from out(n)
+                held = [x[n:] for x in held]
+        yield from out(len(held[0]))
+
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
+    rows = values.select("fp", keys.alias("k")).select("k.mask", "k.key", "fp")
+    dealt = rows.repartition(partitions(values.sparkSession), "mask", "key").sortWithinPartitions("mask", "key")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """`node` and `root` (the smallest node reachable) of every node that has an edge u, v.
+
+    Alternates the large-star and small-star steps, each a grouped minimum and a
+    join, and writes the edges out after each round; the number of rounds grows with
+    the logarithm of the longest path.
+    """
+
+    def large(e: DataFrame) -> DataFrame:
+        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+    def small(e: DataFrame) -> DataFrame:
+        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        return hung.where("u != v").distinct()
+
+    def mark(e: DataFrame):
+        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
+    before = mark(now)
+    while before[0]:
+        now = written(small(large(now)), "stars")
+        after = mark(now)
+        if after == before:
+            break
+        before = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def fp_components(fps: DataFrame, max_bits: int = 2, n_pivots: int = 16, least: Column | None = None) -> DataFrame:
+    """`fp` and `component_id`, the smallest doc_id (or value of `least`) of the component, for every distinct fp of a written table doc_id, fp."""
+    least = F.col("doc_id") if least is None else least
+    classes = written(fps.groupBy("fp").agg(F.min(least).alias("rep")), "classes")
+    roots = components(links(classes, max_bits, n_pivots))
+    # roots themselves are no node of the stars, so they stand for themselves
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return rooted.join(smallest, "root").select("fp", "component_id")
+
+
+def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, n_pivots: int = 16) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every row of docs."""
+    fps = written(fingerprints(docs, words), "fingerprints")
+    return fps.join(fp_components(fps, max_bits, n_pivots), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2, n_pivots: int = 16) -> DataFrame:
+    """docs without all but one row of each component: the one of smallest doc_id (nulls last), then of smallest text hash."""
+    rows = docs.select(F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("id"), text_key().alias("key")).alias("doc_id"), "text")
+    fps = written(fingerprints(rows, words), "fingerprints")
+    best = fp_components(fps, max_bits, n_pivots).select("component_id").distinct()
+    keys = ["__id", "__null", "__key"]
+    kept = best.select(F.coalesce(F.col("component_id.id").cast("string"), F.lit("")).alias("__id"), F.col("component_id.last").alias("__null"), F.col("component_id.key").alias("__key"))
+    whole = carried(docs, "doc_id").select("__row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.isnull("doc_id").alias("__null"), text_key("__row.text").alias("__key"))
+    one = whole.join(kept, keys, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__key")))
+    return one.where("__n = 1").select("__row.*")

@@ -1,0 +1,116 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import xxhash
+from panelspark.llm import queries, simhash, tokens
+from panelspark.llm.common import scratch, table
+from tokenizers import Tokenizer
+
+DOCS = "doc_id long, text string, source string, fp int, component_id string"
+ODD = [(5, "Alpha beta"), (4, "alpha\tbeta"), (None, "ALPHA beta"), (7, None), (6, ""), (6, " \n"), (None, None), (9, "one"), (9, "one"), (10, "x y z " * 20000), (8, "Éa b c d"), (3, "éa b c d")]
+
+
+def slow_fingerprint(text: str | None, k: int = 3) -> int:
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    shingles = [b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([b" ".join(w)] if w else [])
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def slow_components(rows: list[tuple], bits: int = 2) -> list:
+    fps = [slow_fingerprint(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= bits:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        r = find(i)
+        least[r] = d if least.get(r) is None else least[r] if d is None else min(d, least[r])
+    return sorted(((d, f"{f:016x}", least[find(i)]) for i, ((d, _), f) in enumerate(zip(rows, fps))), key=str)
+
+
+def test_simhash_against_all_pairs(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
+    assert sorted((tuple(r) for r in queries.op10_simhash(spark, sf_dir).collect()), key=str) == slow_components(docs)
+
+
+def test_simhash_of_odd_rows(spark):
+    docs = spark.createDataFrame([(d, t, None, 1, "c") for d, t in ODD], DOCS)
+    assert sorted((tuple(r) for r in simhash.simhash_components(docs).collect()), key=str) == slow_components(ODD)
+    assert simhash.simhash_components(docs.limit(0)).count() == 0
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = {c for _, _, c in slow_components(ODD)}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(ids)
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_links_of_dense_and_chained_values(spark):
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    values = {base, base ^ 0b111, base ^ 0b111000}
+    chain = rng.getrandbits(64)
+    for _ in range(300):
+        chain ^= 1 << rng.randrange(64) ^ 0
+        values.add(chain)
+    for _ in range(400):
+        values.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))))
+    values |= {rng.getrandbits(64) for _ in range(300)}
+    values = sorted(values)
+    df = spark.createDataFrame([(simhash._signed(v), i) for i, v in enumerate(values)], "fp long, doc_id long")
+    got = {r.fp: r.component_id for r in simhash.fp_components(df).collect()}
+    parent = {v: v for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if (a ^ b).bit_count() <= 2:
+                parent[find(a)] = find(b)
+    least = {}
+    for i, v in enumerate(values):
+        least.setdefault(find(v), i)
+    assert got == {simhash._signed(v): least[find(v)] for v in values}
+
+
+def test_token_files_against_whole_texts(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    docs = sorted((r.doc_id, r.text or "") for r in table(spark, sf_dir, "documents").collect())
+    want, start = [], 0
+    for d, text in docs:
+        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in queries.op4_token_files(spark, sf_dir).collect()) == want
+
+
+def test_token_files_of_odd_rows(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = [None, "", "  ", "Don't éa b <|endoftext|>x<|startoftext|>", "İstanbul ΣΑΣ ſ ﬁ", "́x ‍ y", "wort " * 30000, "a\x0bb\x0cc\x1cd\x85e"]
+    rows = [(None if i == 3 else i // 2, x, "s", 1, "c") for i, x in enumerate(texts)]
+    docs, out = spark.createDataFrame(rows, DOCS), scratch(spark, "test")
+    got = tokens.read_tokens(spark, out, tokens.write_tokens(docs, out, path, 2)).collect()
+    want = sorted((r[0] is not None, r[0] or 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for r in rows for ids in [[*t.encode(r[1] or "", add_special_tokens=False).ids, 2]])
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == want
+    got.sort(key=lambda r: r.start)
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(len(got))]
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((r.doc_id is not None, r.doc_id or 0) for r in got)
+    out = scratch(spark, "none")
+    assert tokens.read_tokens(spark, out, tokens.write_tokens(docs.limit(0), out, path, 2)).count() == 0
