@@ -7,13 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat, mixing, sharding, simhash, tokens
+from panelspark.llm import chat, kdtree, langid, mixing, sharding, simhash, superkmer, tokens
 from panelspark.llm.common import scratch, table
 
 SHARDS = 40
 END_ID = 2
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", kdtree.scaled(F.col("embedding")).alias("v"))
+    return kdtree.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+OP2_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = superkmer.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,10 +116,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_kdtree_top_k": op2_kdtree_top_k,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_token_files": op4_token_files,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_kdtree_top_k": OP2_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}
