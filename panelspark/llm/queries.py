@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat, kdtree, langid, mixing, sharding, simhash, superkmer, tokens
+from panelspark.llm import chat, decontam, kdtree, langid, licenses, mixing, sharding, simhash, superkmer, tokens
 from panelspark.llm.common import scratch, table
 
 SHARDS = 40
@@ -49,6 +49,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, out, manifest)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_key")
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
@@ -120,6 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kdtree_top_k": op2_kdtree_top_k,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_files": op4_token_files,
+    "op5_decontamination": op5_decontamination,
+    "op6_licenses": op6_licenses,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
