@@ -13,8 +13,8 @@ The files go to `out`, which executors must share; any file system that
 pyarrow.fs opens will do, and on a local or mounted one they are memory-mapped.
 
 Words between ASCII white space are encoded once and kept in a bounded cache: the
-tokenizer drops white space and no rule of it spans white space, so a text's ids
-are its words' ids in order (checked against whole texts in the tests).
+tokenizer must be one that drops white space and has no rule that spans it, as this one is; then a text's ids are
+its words' ids in order (checked against whole texts in the tests).
 
 Defined results: a null or empty text has only the end id; null doc_ids come first;
 rows of one doc_id are ordered by their text hash; an empty table gives no files
@@ -23,9 +23,12 @@ and an empty result. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,9 @@ from panelspark.llm.common import partitions, text_key
 #: Distinct words of which a worker keeps the ids.
 CACHE_WORDS = 600_000
 MANIFEST = "part int, n_docs long, n_tokens long, base long, width int"
-_caches: dict[tuple[str, int], dict[bytes, bytes]] = {}
+#: Words of so many bytes at most, the frequent ones as a rule, stay when the cache is full.
+KEPT_BYTES = 7
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 def vocabulary_width(tokenizer_path: str, end_id: int) -> int:
@@ -50,28 +55,89 @@ def vocabulary_width(tokenizer_path: str, end_id: int) -> int:
 
 
 class Encoder:
-    """Texts to little-endian ids of one width, word by word."""
+    """Texts to little-endian ids of one width, word by word.
+
+    A word not met before is cut into a stem and the marks `.,;:!?` at its end. Stems
+    of letters alone are encoded many at a time, as one text: each gives one piece to
+    the tokenizer, whose last token carries the end-of-word suffix, which tells where
+    its ids end. Where the count of such tokens is not that of the stems, and for all
+    other words, each is encoded by itself.
+    """
+
+    MARKS = b".,;:!?"
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.kind = Tokenizer.from_file(path), f"<u{width}"
-        self.ids = _caches.setdefault((path, width), {})
+        self.tokenizer, self.kind, self.width = Tokenizer.from_file(path), f"<u{width}", width
+        self.ids: dict[bytes, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+
+    def _each(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(words, found)}
+
+    def _stems(self, stems: list[bytes]) -> dict[bytes, bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(stems).decode()], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.nonzero(self.ends[ids])[0] + 1
+        if len(ends) != len(stems) or ends[-1] != len(ids):
+            return self._each(stems)
+        raw, edges = ids.tobytes(), [0, *(ends * self.width).tolist()]
+        return {w: raw[a:z] for w, a, z in zip(stems, edges, edges[1:])}
+
+    def _learn(self, words: set[bytes]) -> None:
+        parts = {}
+        for w in words:
+            stem = w.rstrip(self.MARKS)
+            if stem.decode().isalpha():
+                parts[w] = stem.lower(), w[len(stem) :]  # A-Z alone: the tokenizer lowers the rest
+        rest = list({w for w in words if w not in parts} | {tail for _, tail in parts.values() if tail})
+        stems, known = list({stem for stem, _ in parts.values()}), {b"": b""}
+        for a in range(0, len(stems), 20_000):
+            known.update(self._stems(stems[a : a + 20_000]))
+        for a in range(0, len(rest), 4096):
+            known.update(self._each(rest[a : a + 4096]))
+        for w in words:
+            if w in parts:
+                stem, tail = parts[w]
+                self.ids[w] = known[stem] + known[tail]
+            else:
+                self.ids[w] = known[w]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.ids})
+        gc.disable()  # nothing below makes cycles, and each collection would walk the whole cache
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        words, new = [t.split() for t in texts], set()
+        for ws in words:
+            new.update(filterfalse(self.ids.__contains__, ws))
         if len(new) + len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-            new = list({w for ws in words for w in ws})
-        for a in range(0, len(new), 4096):
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new[a : a + 4096]], add_special_tokens=False)
-            self.ids.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(new[a : a + 4096], found))
+            self.ids = {w: i for w, i in self.ids.items() if len(w) <= KEPT_BYTES}
+            if len(self.ids) > CACHE_WORDS // 2:
+                self.ids = {}
+            new = set().union(*words) - self.ids.keys()
+        self._learn(new)
         get = self.ids.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
 
+def encoder(path: str, width: int) -> Encoder:
+    """The worker's encoder: it outlives the task."""
+    if (path, width) not in _encoders:
+        _encoders[path, width] = Encoder(path, width)
+        gc.freeze()
+    return _encoders[path, width]
+
+
 def _in_groups(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[tuple[list[int | None], list[bytes]]]:
     ids, texts, held = [], [], 0
     for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -91,7 +157,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int) ->
     spark, width = docs.sparkSession, vocabulary_width(tokenizer_path, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer_path, width), np.array([end_id], f"<u{width}").tobytes()
+        words, end = encoder(tokenizer_path, width), np.array([end_id], f"<u{width}").tobytes()
         store, top = fs.FileSystem.from_uri(out)
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
@@ -101,7 +167,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer_path: str, end_id: int) ->
         with store.open_output_stream(f"{temporary}.bin") as f:
             for batch in batches:
                 for ids, texts in _in_groups(batch):
-                    for i, tokens in zip(ids, encoder.encode(texts)):
+                    for i, tokens in zip(ids, words.encode(texts)):
                         f.write(tokens + end)
                         now += len(tokens) // width + 1
                         offsets.append(now)
