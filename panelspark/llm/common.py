@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,11 @@ def chain_and(parts: list[Column]) -> Column:
     return out
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being computed once however often use mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def carried(docs: DataFrame, *columns: str) -> DataFrame:
     """Each whole row as one struct `__row` beside the named columns, so that no other column's name can clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[F.col(c) for c in columns])

@@ -5,7 +5,7 @@ words of nothing else vanish. What can vary between copies of a question becomes
 typed placeholder: numbers `<num>`, numbers with a unit attached `<qty>`, a unit word
 after a number `<unit>`, and capitalised words that don't start a sentence `<name>`;
 all other words are lower-cased. Windows of k canonical words of the benchmark are
-hash-joined with those of the documents, and equal hashes are checked word by word.
+hash-joined with those of the documents.
 
 Windows of one document and item on one diagonal (document position less item
 position) form an alignment. Its slots must map the item's values to the document's
@@ -15,7 +15,9 @@ an item if at least `least` of the item's windows are found.
 
 Items of fewer than k words have one window of all their words; items of fewer than
 SHORTEST words can't be told from chance and are not searched. Benchmark windows are
-broadcast in blocks of at most BLOCK_WINDOWS, however large the benchmark is.
+broadcast in blocks of at most BLOCK_WINDOWS, however large the benchmark is. A first
+pass counts hashes and leaves the documents that can reach `least`; a second compares
+the words of those.
 
 Defined results: null and empty texts, documents or items, have no windows; rows of one
 doc_id are told apart by their text and give a row each if it differs; wholly equal
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import SPACE, carried, text_key, written
+from panelspark.llm.common import SPACE, carried, let, text_key, written
 
 K = 6
 LEAST = 0.5
@@ -76,10 +78,23 @@ def _hashes(c: Column, k: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.slice(c, i, F.lit(k))))
 
 
+def _read(rows: DataFrame, id_column: str, key: str, sizes: list[int] | None = None) -> DataFrame:
+    """id, key (of the text), w (words), c (canonical words) and, for each size, h<size> (hashes of windows).
+
+    They come out of an explode of one struct: the optimizer doesn't copy what is
+    computed there into each place that mentions it.
+    """
+
+    def found(w: Column) -> Column:
+        return let(canonical(w), lambda c: F.struct(w.alias("w"), c.alias("c"), *[_hashes(c, s).alias(f"h{s}") for s in sizes or []]))
+
+    one = F.explode(F.transform(F.array(words(F.col("text"))), found)).alias("t")
+    return rows.select(id_column, text_key().alias(key), one).select(id_column, key, "t.*")
+
+
 def item_windows(benchmark: DataFrame, k: int = K) -> DataFrame:
     """item_id, item (its row by id and text), n_windows, size, item_at, hash, item_words, item_values: one row per window."""
-    items = benchmark.select("item_id", text_key().alias("item"), words(F.col("text")).alias("w")).distinct()
-    items = items.select("item_id", "item", "w", canonical(F.col("w")).alias("c")).where(F.size("c") >= SHORTEST)
+    items = _read(benchmark, "item_id", "item").distinct().where(F.size("c") >= SHORTEST)
     items = items.withColumn("size", F.least(F.size("c"), F.lit(k)))
     at = items.select("item_id", "item", "w", "c", "size", F.explode(F.sequence(F.lit(1), F.size("c") - F.col("size") + 1)).alias("item_at"))
     window = F.slice("c", F.col("item_at"), F.col("size"))
@@ -89,25 +104,47 @@ def item_windows(benchmark: DataFrame, k: int = K) -> DataFrame:
     )
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, least: float = LEAST) -> DataFrame:
     """doc_id, text_key, item_id, n_found, n_windows, coverage, reparameterised (some slot differs): one row per contaminated document and item."""
-    windows = item_windows(benchmark, k)
+    windows = written(item_windows(benchmark, k), "item-windows")
     per_size = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most k rows
-    blocks = max(1, -(-sum(per_size.values()) // BLOCK_WINDOWS))
-    rows = docs.select("doc_id", text_key().alias("text_key"), words(F.col("text")).alias("w"))
-    rows = rows.withColumn("c", canonical(F.col("w")))
-    met = None
-    for size in sorted(per_size):
-        each = rows.select("doc_id", "text_key", "w", "c", F.posexplode(_hashes(F.col("c"), size)).alias("at", "hash"))
-        for b in range(blocks):
-            part = windows.where((F.col("size") == size) & (F.pmod(F.xxhash64("item", "item_id"), F.lit(blocks)) == b)).drop("size")
-            found = each.join(F.broadcast(part), "hash")
-            here = F.col("at") + 1
-            found = found.where(F.slice("c", here, F.lit(size)) == F.col("item_words"))
-            found = found.select("doc_id", "text_key", "item_id", "item", "n_windows", "item_at", (here - F.col("item_at")).alias("diagonal"), "item_words", "item_values", _values(F.slice("w", here, F.lit(size))).alias("values"))
-            met = found if met is None else met.union(found)
-    if met is None:
-        return docs.select("doc_id", text_key().alias("text_key")).crossJoin(benchmark.select("item_id").limit(0)).select("doc_id", "text_key", "item_id", *[F.lit(0).cast(t).alias(n) for n, t in (("n_found", "long"), ("n_windows", "int"), ("coverage", "double"), ("reparameterised", "boolean"))])
+    blocks = [(size, b, max(1, -(-n // BLOCK_WINDOWS))) for size, n in sorted(per_size.items()) for b in range(max(1, -(-n // BLOCK_WINDOWS)))]
+    part = lambda size, b, n: windows.where((F.col("size") == size) & (F.pmod(F.xxhash64("item", "item_id"), F.lit(n)) == b))
+    if not blocks:
+        kinds = {"n_found": "long", "n_windows": "int", "coverage": "double", "reparameterised": "boolean"}
+        ids = (F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), *[F.lit(None).cast(t).alias(n) for n, t in kinds.items()])
+        return docs.select("doc_id", text_key().alias("text_key"), *ids).limit(0)
+
+    # first the documents that have enough of an item's hashes: only numbers leave a row here
+    counts = []
+    for size, b, n in blocks:
+        item = ["item_id", "item", "n_windows"]
+        sought = part(size, b, n).groupBy("hash", *item).agg(F.count("*").alias("times"))
+        each = _read(docs, "doc_id", "text_key", [size]).select("doc_id", "text_key", F.explode(F.array_distinct(f"h{size}")).alias("hash"))
+        hits = each.join(F.broadcast(sought), "hash").groupBy("doc_id", "text_key", *item).agg(F.sum("times").alias("n"))
+        counts.append(hits.where(F.col("n") >= F.col("n_windows") * least).select("doc_id", "text_key"))
+    near = written(_union(counts).distinct(), "candidates")
+    near = near.select(F.col("doc_id").alias("__near"), F.col("text_key").alias("__near_key"))
+    near = F.broadcast(near) if near.count() <= BROADCAST_DOCS else near
+    whole = docs.select("doc_id", "text", text_key().alias("__key"))
+    whole = whole.join(near, whole["doc_id"].eqNullSafe(near["__near"]) & (whole["__key"] == near["__near_key"]), "left_semi").select("doc_id", "text")
+
+    # then their windows, word by word
+    found = []
+    for size, b, n in blocks:
+        at = F.sequence(F.lit(1), F.size("c") - (size - 1))
+        window = F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("c", i, F.lit(size)).alias("words"), _values(F.slice("w", i, F.lit(size))).alias("values")))  # noqa: B023
+        each = _read(whole, "doc_id", "text_key").where(F.size("c") >= size).select("doc_id", "text_key", F.explode(window).alias("d"))
+        meet = each.join(F.broadcast(part(size, b, n)), F.col("d.words") == F.col("item_words"))
+        found.append(meet.select("doc_id", "text_key", "item_id", "item", "n_windows", "item_at", (F.col("d.at") - F.col("item_at")).alias("diagonal"), "item_words", "item_values", "d.values"))
+    met = _union(found)
     slots = F.filter(F.arrays_zip(F.col("item_words").alias("kind"), F.col("item_values").alias("item"), F.col("values").alias("doc")), lambda s: s["kind"].isin("<num>", "<qty>", "<unit>", "<name>"))
     met = met.withColumn("slots", slots).withColumn("literal", F.col("item_values") == F.col("values"))
     sure = F.col("literal") | (F.size("slots") * 2 <= F.size("item_words"))

@@ -17,12 +17,13 @@ ignored. Only DataFrame functions are used.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.llm.common import let
+
 LEAST = 0.8
 
 #: The wording of common licence notices.
@@ -58,11 +59,6 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.concat(F.element_at(words, i), F.lit(" "), F.element_at(words, i + 1))))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), value being computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _template_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", re.sub("[0-9]+", "0", text.lower()))
 
