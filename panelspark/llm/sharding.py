@@ -20,7 +20,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import carried, text_bytes, text_key
+from panelspark.llm.common import carried, let, text_bytes, text_key
 
 #: Row numbers are dealt within so many hash buckets; their counts are all that is summed in one place.
 BUCKETS = 4096
@@ -38,17 +38,19 @@ def _round_keys(seed: int, rounds: int) -> list[int]:
 
 def permuted(x: Column, n: int, seed: int = 7, rounds: int = 6) -> Column:
     """One pass of the network over [0, a*b)."""
-    a, b = grid(n)
-    rest = F.pmod(x, F.lit(b).cast("long"))
-    start = F.struct(F.lit(a).cast("long").alias("m"), ((x - rest) / F.lit(b)).cast("long").alias("l"), rest.alias("r"))
+    a, b = (F.lit(side).cast("long") for side in grid(n))
+    sides = F.lit(sum(grid(n))).cast("long")
+
+    def start(v: Column) -> Column:
+        return F.struct(a.alias("m"), ((v - F.pmod(v, b)) / b).cast("long").alias("l"), F.pmod(v, b).alias("r"))
 
     def step(s: Column, k: Column) -> Column:
         # l lies in Z_m and r in the other ring; they change places and rings in each round
-        return F.struct((F.lit(a + b).cast("long") - s["m"]).alias("m"), s["r"].alias("l"), F.pmod(s["l"] + F.pmod(F.xxhash64(s["r"], k), s["m"]), s["m"]).alias("r"))
+        return F.struct((sides - s["m"]).alias("m"), s["r"].alias("l"), F.pmod(s["l"] + F.pmod(F.xxhash64(s["r"], k), s["m"]), s["m"]).alias("r"))
 
     keys = F.array(*[F.lit(k).cast("long") for k in _round_keys(seed, rounds + rounds % 2)])
     # after an even number of rounds l lies in Z_a and r in Z_b again
-    return F.aggregate(keys, start, step, lambda s: s["l"] * F.lit(b).cast("long") + s["r"])
+    return let(x, lambda v: F.aggregate(keys, start(v), step, lambda s: s["l"] * b + s["r"]))
 
 
 def permuted_int(x: int, n: int, seed: int = 7, rounds: int = 6) -> int:
@@ -76,13 +78,24 @@ def place(row: int, n: int, shards: int, seed: int = 7, rounds: int = 6) -> tupl
     return x % shards, x // shards
 
 
-def walks(spark, n: int, seed: int = 7, rounds: int = 6) -> int:
-    """How many further passes the longest walk from a row number can need: the longest chain of values at or beyond n, of which there are under sqrt(n) + 1."""
+def walks(n: int, seed: int = 7, rounds: int = 6) -> int:
+    """How many further passes the longest walk from a row number can need: the longest chain of values at or beyond n, of which there are at most sqrt(n) + 1."""
     a, b = grid(n)
-    beyond, steps = spark.range(n, a * b).select(F.col("id").alias("x")), 0
-    while not beyond.isEmpty():
-        beyond, steps = beyond.select(permuted(F.col("x"), n, seed, rounds).alias("x")).where(F.col("x") >= n), steps + 1
-    return steps
+    longest = 0
+    for x in range(n, a * b):
+        steps = 1
+        while (x := permuted_int(x, n, seed, rounds)) >= n and steps <= a * b - n:
+            steps += 1
+        longest = max(longest, steps)
+    return longest
+
+
+def walked(x: Column, n: int, seed: int = 7, rounds: int = 6) -> Column:
+    """The place in [0, n) of row number x."""
+    place = permuted(x, n, seed, rounds)
+    for _ in range(walks(n, seed, rounds)):
+        place = let(place, lambda p: F.when(p >= n, permuted(p, n, seed, rounds)).otherwise(p))
+    return place
 
 
 def numbered(rows: DataFrame, key: Column, tie: Column) -> tuple[DataFrame, int]:
@@ -104,12 +117,7 @@ def placed(rows: DataFrame, key: Column, tie: Column, shards: int, seed: int = 7
     """rows with `shard` (int) and `slot` (long), which replace columns of these names."""
     numbers, n = numbered(rows, key, tie)
     x = F.col("__row_number")
-    if n:
-        out = numbers.withColumn("__place", permuted(x, n, seed, rounds))
-        for _ in range(walks(rows.sparkSession, n, seed, rounds)):
-            out = out.withColumn("__place", F.when(F.col("__place") >= n, permuted(F.col("__place"), n, seed, rounds)).otherwise(F.col("__place")))
-    else:
-        out = numbers.withColumn("__place", x)
+    out = numbers.withColumn("__place", walked(x, n, seed, rounds) if n else x)
     at = F.col("__place")
     shard = F.pmod(at, F.lit(shards).cast("long"))
     return out.withColumns({"shard": shard.cast("int"), "slot": ((at - shard) / shards).cast("long")}).drop("__place", "__row_number")
