@@ -1,0 +1,6 @@
+"""The engine's queries over the sample tables; importing the modules registers them."""
+
+from panelspark.plans import study
+from panelspark.plans.tables import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "study"]
