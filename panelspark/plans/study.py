@@ -302,13 +302,13 @@ def forward_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels(spark, sf_dir, (3,))
 
 
-_CROSS = "cross_ AS (SELECT l_suppkey * 1000 + month(l_shipdate) AS instrument_id, CAST(date_trunc('year', l_shipdate) AS DATE) AS signal_date, round(sum(l_extendedprice), 2) AS value, round(max(l_extendedprice), 2) AS cap, CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE 'n' || CAST(l_suppkey % 30 AS VARCHAR) END AS industry FROM lineitem GROUP BY l_suppkey, month(l_shipdate), CAST(date_trunc('year', l_shipdate) AS DATE))"
+_CROSS = "cross_ AS (SELECT l_suppkey * 1000 + month(l_shipdate) AS instrument_id, CAST(date_trunc('year', l_shipdate) AS DATE) AS signal_date, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE / 100.0::DOUBLE AS value, max(l_extendedprice) AS cap, CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE 'n' || CAST(l_suppkey % 30 AS VARCHAR) END AS industry FROM lineitem GROUP BY l_suppkey, month(l_shipdate), CAST(date_trunc('year', l_shipdate) AS DATE))"
 
 
 def _cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.month(F.col("l_shipdate").cast("date"))
     year = F.trunc(F.col("l_shipdate").cast("date"), "year")
-    rows = load(spark, sf_dir, "lineitem").groupBy("l_suppkey", month.alias("m"), year.alias("signal_date")).agg(F.round(F.sum("l_extendedprice"), 2).alias("value"), F.round(F.max("l_extendedprice"), 2).alias("cap"))
+    rows = load(spark, sf_dir, "lineitem").groupBy("l_suppkey", month.alias("m"), year.alias("signal_date")).agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.lit(100.0)).alias("value"), F.max("l_extendedprice").alias("cap"))
     industry = F.when(F.col("l_suppkey") % 9 == 0, "").otherwise(F.concat(F.lit("n"), (F.col("l_suppkey") % 30).cast("string")))
     return rows.select((F.col("l_suppkey") * 1000 + F.col("m")).alias("instrument_id"), "signal_date", "value", "cap", industry.alias("industry"))
 
@@ -411,7 +411,7 @@ def executable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     cells = panel(spark, sf_dir).select(F.col("trade_date").alias("signal_date"), "instrument_id")
     out = forward_returns(cells, b.select("trade_date"), b, (2,), _state(spark, sf_dir))
-    return out.select("signal_date", "instrument_id", F.round("future_return", 9).alias("future_return"), "is_valid", "invalid_reason")
+    return out.select("signal_date", "instrument_id", "future_return", "is_valid", "invalid_reason")
 
 
 @query(

@@ -1,8 +1,8 @@
 """The engine's inputs read off the sample tables, in Spark and in SQL.
 
 Instruments are suppliers and sessions are months of shipment: a supplier's bar of a
-month has as close its mean price per unit. Values are rounded where they enter, so
-that both engines compute on the same numbers.
+month has as close its mean price per unit. Money is summed in whole cents, so that
+both engines compute on the same numbers.
 """
 
 from __future__ import annotations
@@ -36,18 +36,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """instrument_id, trade_date, open, high, low, close, amount, volume."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
+    cents, units = F.round(F.col("l_extendedprice") * 100).cast("long"), F.col("l_quantity").cast("long")
     month = F.trunc(F.col("l_shipdate").cast("date"), "month")
     return load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("instrument_id"), month.alias("trade_date")).agg(
-        F.round((F.min(unit) + F.max(unit)) / 2, 6).alias("open"), F.round(F.max(unit), 6).alias("high"), F.round(F.min(unit), 6).alias("low"),
-        F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("close"), F.round(F.sum("l_extendedprice"), 2).alias("amount"), F.round(F.sum("l_quantity"), 2).alias("volume"),
+        ((F.min(unit) + F.max(unit)) / 2).alias("open"), F.max(unit).alias("high"), F.min(unit).alias("low"),
+        (F.sum(cents) / (F.sum(units) * F.lit(100.0))).alias("close"), (F.sum(cents) / F.lit(100.0)).alias("amount"), F.sum(units).cast("double").alias("volume"),
     )
 
 
 BARS = """bars AS (
   SELECT l_suppkey AS instrument_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS trade_date,
-         round((min(l_extendedprice / l_quantity) + max(l_extendedprice / l_quantity)) / 2, 6) AS open, round(max(l_extendedprice / l_quantity), 6) AS high,
-         round(min(l_extendedprice / l_quantity), 6) AS low, round(sum(l_extendedprice) / sum(l_quantity), 6) AS close,
-         round(sum(l_extendedprice), 2) AS amount, round(sum(l_quantity), 2) AS volume
+         (min(l_extendedprice / l_quantity) + max(l_extendedprice / l_quantity)) / 2 AS open, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
+         sum(CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE / (sum(CAST(l_quantity AS BIGINT))::DOUBLE * 100.0::DOUBLE) AS close,
+         sum(CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE / 100.0::DOUBLE AS amount, sum(CAST(l_quantity AS BIGINT))::DOUBLE AS volume
   FROM lineitem GROUP BY 1, 2)"""
 
 
@@ -99,8 +100,7 @@ def labels(spark: SparkSession, sf_dir: str, horizons: tuple[int, ...] = (1,)) -
 
     b = bars(spark, sf_dir)
     cells = panel(spark, sf_dir).select(F.col("trade_date").alias("signal_date"), "instrument_id")
-    out = forward_returns(cells, b.select("trade_date"), b, horizons)
-    return out.withColumn("future_return", F.round("future_return", 7))
+    return forward_returns(cells, b.select("trade_date"), b, horizons)
 
 
 def labels_sql(horizon: int = 1, name: str = "labels") -> str:
@@ -108,7 +108,7 @@ def labels_sql(horizon: int = 1, name: str = "labels") -> str:
   SELECT trade_date AS signal_date, lead(trade_date) OVER (ORDER BY trade_date) AS return_start, lead(trade_date, {horizon}) OVER (ORDER BY trade_date) AS return_end
   FROM (SELECT DISTINCT trade_date FROM bars)), {name} AS (
   SELECT p.trade_date AS signal_date, p.instrument_id, {horizon} AS horizon, 'theoretical' AS label_kind, c.return_start, c.return_end,
-         CASE WHEN c.return_end IS NOT NULL THEN round(x.close / e.open - 1, 7) END AS future_return,
+         CASE WHEN c.return_end IS NOT NULL THEN x.close / e.open - 1 END AS future_return,
          c.return_start IS NOT NULL AND c.return_end IS NOT NULL AND e.open IS NOT NULL AND x.close IS NOT NULL AS is_valid,
          CASE WHEN c.return_start IS NULL OR c.return_end IS NULL THEN 'INSUFFICIENT_FUTURE_SESSIONS' WHEN e.open IS NULL OR x.close IS NULL THEN 'MISSING_PRICE' END AS invalid_reason
   FROM panel p JOIN cal_{name} c ON c.signal_date = p.trade_date
