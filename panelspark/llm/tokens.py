@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import partitions, text_key
 
-#: Distinct words of which a worker keeps the ids.
-CACHE_WORDS = 600_000
+#: Distinct words, and stems of words, of which a worker keeps the ids.
+CACHE_WORDS, CACHE_STEMS = 700_000, 600_000
 MANIFEST = "part int, n_docs long, n_tokens long, base long, width int"
 #: Words of so many bytes at most, the frequent ones as a rule, stay when the cache is full.
 KEPT_BYTES = 7
@@ -72,6 +72,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.kind, self.width = Tokenizer.from_file(path), f"<u{width}", width
         self.ids: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -91,23 +92,27 @@ class Encoder:
         return {w: raw[a:z] for w, a, z in zip(stems, edges, edges[1:])}
 
     def _learn(self, words: set[bytes]) -> None:
-        parts = {}
+        """Adds the ids of words to self.ids."""
+        marks, known, ids, rest, parts = self.MARKS, self.stems, self.ids, set(), []
         for w in words:
-            stem = w.rstrip(self.MARKS)
+            stem = w.rstrip(marks)
             if stem.decode().isalpha():
-                parts[w] = stem.lower(), w[len(stem) :]  # A-Z alone: the tokenizer lowers the rest
-        rest = list({w for w in words if w not in parts} | {tail for _, tail in parts.values() if tail})
-        stems, known = list({stem for stem, _ in parts.values()}), {b"": b""}
+                parts.append((w, stem.lower(), w[len(stem) :]))  # A-Z alone: the tokenizer lowers the rest
+            else:
+                rest.add(w)
+        new = {stem for _, stem, _ in parts} - known.keys()
+        if len(new) + len(known) > CACHE_STEMS:
+            known.clear()
+            new = {stem for _, stem, _ in parts}
+        stems, tails = list(new), {tail for _, _, tail in parts}
         for a in range(0, len(stems), 20_000):
             known.update(self._stems(stems[a : a + 20_000]))
-        for a in range(0, len(rest), 4096):
-            known.update(self._each(rest[a : a + 4096]))
-        for w in words:
-            if w in parts:
-                stem, tail = parts[w]
-                self.ids[w] = known[stem] + known[tail]
-            else:
-                self.ids[w] = known[w]
+        each = list(rest | (tails - {b""}))
+        for a in range(0, len(each), 4096):
+            ids.update(self._each(each[a : a + 4096]))
+        end = {tail: ids[tail] for tail in tails if tail} | {b"": b""}
+        for w, stem, tail in parts:
+            ids[w] = known[stem] + end[tail] if tail else known[stem]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         gc.disable()  # nothing below makes cycles, and each collection would walk the whole cache
