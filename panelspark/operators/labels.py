@@ -21,10 +21,10 @@ def _session_map(sessions: DataFrame, horizon: int) -> DataFrame:
 def forward_returns(signals: DataFrame, sessions: DataFrame, bars: DataFrame, horizons: tuple[int, ...], state: DataFrame | None = None) -> DataFrame:
     """close(t + h) / open(t + 1) - 1 on the session axis, for each (signal_date, instrument_id) of signals.
 
-    With state (instrument_id, trade_date, is_listed, is_suspended, entry_limit_up), the
-    label is executable as well: listed at entry and exit, not suspended at either, not at its upper
-    limit at entry (C8). A missing state counts as suspended and not listed at entry,
-    and as listed and not suspended at exit.
+    With state (instrument_id, trade_date, is_listed, is_suspended, entry_limit_up) the
+    label is executable as well: listed, not suspended and not at its upper limit at
+    entry (C8). A missing state counts as suspended and not listed at entry, and as
+    listed at exit.
     """
     kind = "theoretical" if state is None else "executable"
     price = bars.select("instrument_id", "trade_date", "open", "close")
@@ -34,20 +34,21 @@ def forward_returns(signals: DataFrame, sessions: DataFrame, bars: DataFrame, ho
         entry = price.select("instrument_id", F.col("trade_date").alias("return_start"), F.col("open").alias("entry_open"))
         leave = price.select("instrument_id", F.col("trade_date").alias("return_end"), F.col("close").alias("exit_close"))
         rows = rows.join(entry, ["instrument_id", "return_start"], "left").join(leave, ["instrument_id", "return_end"], "left")
-        good = lambda c: is_finite(c) & (F.col(c) > 0)
-        cases: list[tuple[Column, str]] = [(F.col("return_start").isNull() | F.col("return_end").isNull(), "INSUFFICIENT_FUTURE_SESSIONS")]
+        cases: list[tuple[Column, str]] = [(F.col("return_start").isNull() | F.col("return_end").isNull(), "INCOMPLETE_FORWARD_WINDOW")]
+        gone = F.lit(False)
         if state is not None:
             at = lambda prefix, day: state.select("instrument_id", F.col("trade_date").alias(day), *[F.col(c).alias(f"{prefix}_{c}") for c in ("is_listed", "is_suspended", "entry_limit_up")])
             rows = rows.join(at("in", "return_start"), ["instrument_id", "return_start"], "left").join(at("out", "return_end"), ["instrument_id", "return_end"], "left")
             has = lambda c, default: F.coalesce(F.col(c), F.lit(default))
-            cases += [
-                (~has("in_is_listed", False), "NOT_LISTED_AT_ENTRY"),
-                (has("in_is_suspended", True), "SUSPENDED_AT_ENTRY"),
-                (has("in_entry_limit_up", False), "LIMIT_UP_AT_ENTRY"),
-                (~has("out_is_listed", True), "NOT_LISTED_AT_EXIT"),
-                (has("out_is_suspended", False), "SUSPENDED_AT_EXIT"),
-            ]
-        cases += [(F.col("entry_open").isNull() | F.col("exit_close").isNull(), "MISSING_PRICE"), (~good("entry_open") | ~good("exit_close"), "INVALID_PRICE")]
+            cases += [(~has("in_is_listed", False), "NOT_LISTED_AT_ENTRY"), (has("in_is_suspended", True), "ENTRY_SUSPENDED"), (has("in_entry_limit_up", False), "ENTRY_LIMIT_UP")]
+            gone = ~has("out_is_listed", True)
+        missing = F.col("exit_close").isNull()
+        cases += [
+            (F.col("entry_open").isNull(), "MISSING_ENTRY_PRICE"),
+            (missing & gone, "DELISTED_WITHOUT_EXIT_PRICE"),
+            (missing, "MISSING_EXIT_PRICE"),
+            (~is_finite(F.try_divide("exit_close", "entry_open")), "NONFINITE_RETURN"),
+        ]
         rows = rows.withColumn("invalid_reason", first_reason(*cases))
         ok = F.col("invalid_reason").isNull()
         return rows.select(

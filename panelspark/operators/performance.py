@@ -1,0 +1,144 @@
+"""Performance and attribution analytics (V1-V9, V11-V13) of one or many portfolios at once, keyed by portfolio_id.
+
+Money is whole cents in longs. A metric that is undefined is null beside its reason.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from panelspark.functions.numeric import first_reason, is_finite
+from panelspark.operators.relational import top_and_other
+
+YEAR = 252
+ID = "portfolio_id"
+
+
+def _axis():
+    return Window.partitionBy(ID).orderBy("trade_date")
+
+
+def daily_returns(nav: DataFrame) -> DataFrame:
+    """nav (portfolio_id, trade_date, equity, benchmark) with daily and benchmark returns (the first 0), peak and drawdown (V1)."""
+    w = _axis()
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    change = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.lag(c).over(w).cast("double")) - 1, F.lit(0.0))
+    rows = nav.withColumns({"daily_return": change("equity"), "benchmark_return": change("benchmark"), "peak": F.max("equity").over(so_far), "session": F.row_number().over(w)})
+    return rows.withColumns({"active_return": F.col("daily_return") - F.col("benchmark_return"), "drawdown": F.try_divide(F.col("equity").cast("double"), F.col("peak").cast("double")) - 1})
+
+
+def headline(returns: DataFrame, year: int = YEAR) -> DataFrame:
+    """Headline metrics of each portfolio from `daily_returns` (V2, V3)."""
+    real = F.col("session") > 1  # the first session has no return
+    r, b, a = (F.when(real, F.col(c)) for c in ("daily_return", "benchmark_return", "active_return"))
+    loss = F.least(r, F.lit(0.0))
+    s = returns.groupBy(ID).agg(
+        F.count(r).alias("n_returns"), F.min_by("equity", "trade_date").cast("double").alias("e0"), F.max_by("equity", "trade_date").cast("double").alias("e1"),
+        F.min_by("benchmark", "trade_date").cast("double").alias("b0"), F.max_by("benchmark", "trade_date").cast("double").alias("b1"),
+        F.avg(r).alias("mean_return"), F.stddev_samp(r).alias("std"), F.sqrt(F.avg(F.when(real, loss * loss))).alias("downside"), F.min("drawdown").alias("max_drawdown"),
+        F.avg(a).alias("mean_active"), F.stddev_samp(a).alias("std_active"), F.covar_samp(r, b).alias("cov"), F.var_samp(b).alias("var_b"), F.avg(b).alias("mean_benchmark"),
+        F.try_divide(F.count_if(r > 0).cast("double"), F.count(r).cast("double")).alias("positive_rate"), (F.max(b) == F.min(b)).alias("flat_b"), (F.max(r) == F.min(r)).alias("flat_r"),
+        (F.max(a) == F.min(a)).alias("flat_a"),
+    )
+    root = F.lit(float(year) ** 0.5)
+    n = F.col("n_returns")
+    growth = lambda x, y: F.when((n > 0) & (F.col(x) > 0), F.pow(F.try_divide(y, x), F.lit(float(year)) / n) - 1)
+    s = s.withColumns({"total_return": F.try_divide("e1", "e0") - 1, "benchmark_total_return": F.try_divide("b1", "b0") - 1, "annualized_return": growth("e0", "e1"), "volatility": F.col("std") * root})
+    few = n < 2
+
+    def metric(name: str, value: Column, *reasons: tuple[Column, str]) -> list[Column]:
+        why = first_reason((few, "INSUFFICIENT_OBSERVATIONS"), *reasons)
+        return [F.when(why.isNull(), value).alias(name), why.alias(f"{name}_reason")]
+
+    flat = (F.col("flat_r"), "ZERO_VOLATILITY")
+    beta = F.try_divide("cov", "var_b")
+    return s.select(
+        ID, "n_returns", "total_return", "benchmark_total_return", "annualized_return", "volatility", "max_drawdown", "positive_rate",
+        *metric("sharpe", F.try_divide("mean_return", "std") * root, flat),
+        *metric("sortino", F.try_divide("mean_return", "downside") * root, (F.col("downside") == 0, "ZERO_DOWNSIDE_DEVIATION")),
+        *metric("calmar", F.try_divide(F.col("annualized_return"), -F.col("max_drawdown")), (F.col("annualized_return").isNull(), "ANNUALIZED_RETURN_NOT_AVAILABLE"), (F.col("max_drawdown") == 0, "ZERO_MAX_DRAWDOWN")),
+        *metric("tracking_error", F.col("std_active") * root),
+        *metric("information_ratio", F.try_divide("mean_active", "std_active") * root, (F.col("flat_a"), "ZERO_ACTIVE_VOLATILITY")),
+        *metric("beta", beta, (F.col("flat_b"), "ZERO_BENCHMARK_VARIANCE")),
+        *metric("alpha", (F.col("mean_return") - beta * F.col("mean_benchmark")) * year, (F.col("flat_b"), "ZERO_BENCHMARK_VARIANCE")),
+    )
+
+
+def value_at_risk(returns: DataFrame, level: float = 0.05) -> DataFrame:
+    """Historical VaR (linear quantile of the returns) and expected shortfall (mean at or below it), as losses (V4)."""
+    r = returns.where("session > 1")
+    cut = r.groupBy(ID).agg(F.percentile("daily_return", level).alias("cutoff"))
+    tail = r.join(cut, ID).where(F.col("daily_return") <= F.col("cutoff")).groupBy(ID, "cutoff").agg(F.avg("daily_return").alias("tail"))
+    return tail.select(ID, (-F.col("cutoff")).alias("var_95"), (-F.col("tail")).alias("es_95"))
+
+
+def rolling_block(returns: DataFrame, n: int = YEAR, year: int = YEAR) -> DataFrame:
+    """Return, volatility and Sharpe ratio of the last n returns, from the session on that has n (V5)."""
+    w = _axis().rowsBetween(-(n - 1), 0)
+    before = F.lag("equity", n).over(_axis())
+    mean, std = F.avg("daily_return").over(w), F.stddev_samp("daily_return").over(w)
+    rows = returns.withColumns({"rolling_return": F.try_divide(F.col("equity").cast("double"), before.cast("double")) - 1, "rolling_volatility": std * F.lit(float(year) ** 0.5), "rolling_sharpe": F.try_divide(mean, std) * F.lit(float(year) ** 0.5)})
+    return rows.where(F.col("session") > n).select(ID, "trade_date", "rolling_return", "rolling_volatility", "rolling_sharpe")
+
+
+def drawdown_episodes(returns: DataFrame) -> DataFrame:
+    """Each stretch below the peak: its peak date, trough, depth, recovery and length in sessions (V6)."""
+    w = _axis()
+    rows = returns.withColumns({"under": F.col("drawdown") < 0, "previous_date": F.lag("trade_date").over(w), "next_date": F.lead("trade_date").over(w)})
+    episode = F.sum(F.when(F.col("under"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("episode", episode).where("under")
+    return rows.groupBy(ID, "episode").agg(
+        F.min_by("previous_date", "trade_date").alias("peak_date"), F.min_by("trade_date", F.struct("drawdown", "trade_date")).alias("trough_date"), F.min("drawdown").alias("depth"),
+        F.max_by("next_date", "trade_date").alias("recovery_date"), F.count("*").alias("n_sessions"),
+    )
+
+
+def period_returns(nav: DataFrame, unit: str = "month") -> DataFrame:
+    """Return of each calendar period against the last value of the one before; the first against its own first value (V7)."""
+    ends = nav.groupBy(ID, F.trunc("trade_date", unit).alias("period")).agg(F.max_by("equity", "trade_date").alias("last"), F.min_by("equity", "trade_date").alias("first"))
+    base = F.coalesce(F.lag("last").over(Window.partitionBy(ID).orderBy("period")), F.col("first"))
+    return ends.select(ID, "period", (F.try_divide(F.col("last").cast("double"), base.cast("double")) - 1).alias("period_return"))
+
+
+def execution_summary(fills: DataFrame) -> DataFrame:
+    """Orders, quantities, fill rate and notional (halves up) by side and reason (V8)."""
+    notional = F.round(F.col("requested_quantity").cast("decimal(19,0)") * F.col("reference_price").cast("decimal(18,6)") * 100, 0).cast("long")
+    sums = fills.groupBy(ID, "side", "reason_code").agg(
+        F.count("*").alias("n_orders"), F.sum("requested_quantity").alias("requested"), F.sum("filled_quantity").alias("filled"), F.coalesce(F.sum(notional), F.lit(0)).alias("requested_notional")
+    )
+    return sums.withColumn("fill_rate", F.try_divide(F.col("filled").cast("double"), F.col("requested").cast("double")))
+
+
+def gross_growth(returns: DataFrame, fees: DataFrame) -> DataFrame:
+    """Compound growth with each session's fees added back on the value before it (V9). fees: portfolio_id, trade_date, fees."""
+    w = _axis()
+    rows = returns.join(fees, [ID, "trade_date"], "left")
+    before = F.lag("equity").over(w).cast("double")
+    gross = F.col("daily_return") + F.coalesce(F.try_divide(F.coalesce("fees", F.lit(0)).cast("double"), before), F.lit(0.0))
+    rows = rows.withColumn("gross_return", gross)
+    growth = F.exp(F.sum(F.when(F.col("gross_return") > -1, F.log1p("gross_return"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select(ID, "trade_date", "gross_return", growth.alias("gross_growth"))
+
+
+def security_attribution(values: DataFrame, flows: DataFrame, n: int = 20) -> DataFrame:
+    """Contribution of each security: change of value + sales - purchases + dividends; the n largest and OTHER (V11). values: portfolio_id, security, begin_value, end_value; flows: portfolio_id, security, sold, bought, dividends."""
+    zero = lambda df, have, want: df.select(ID, "security", *[(F.col(c) if c in have else F.lit(0)).cast("long").alias(c) for c in want])
+    all_ = ("begin_value", "end_value", "sold", "bought", "dividends")
+    rows = zero(values, all_[:2], all_).unionByName(zero(flows, all_[2:], all_))
+    gain = F.col("end_value") - F.col("begin_value") + F.col("sold") - F.col("bought") + F.col("dividends")
+    return top_and_other(rows.withColumn("contribution", gain), [ID], "security", "contribution", n)
+
+
+def exposures(holdings: DataFrame, nav: DataFrame, n: int = 20) -> DataFrame:
+    """Weights of the n largest holdings, OTHER and CASH on each day (V12). holdings: portfolio_id, trade_date, security, market_value; nav: portfolio_id, trade_date, cash, equity."""
+    keys = [ID, "trade_date"]
+    held = top_and_other(holdings, keys, "security", "market_value", n).select(*keys, "bucket", "market_value")
+    cash = nav.select(*keys, F.lit("CASH").alias("bucket"), F.col("cash").alias("market_value"))
+    return held.unionByName(cash).join(nav.select(*keys, "equity"), keys).withColumn("weight", F.try_divide(F.col("market_value").cast("double"), F.col("equity").cast("double")))
+
+
+def broken_identities(nav: DataFrame) -> DataFrame:
+    """Rows where equity isn't cash + receivables + long - short - fees (V10). All in whole cents."""
+    want = F.col("cash") + F.col("dividend_receivable") + F.col("long_market_value") - F.col("short_market_value") - F.col("accrued_fees")
+    return nav.where((want != F.col("equity")) | ~is_finite("equity"))

@@ -99,7 +99,7 @@ def long_short(quantiles: DataFrame, q: int = 5) -> DataFrame:
     """Mean return of the top bucket less that of the bottom one; the whole domain must be there and the ends not empty (C17)."""
     at = lambda k, c: F.max(F.when(F.col("quantile") == k, F.col(c)))
     rows = quantiles.groupBy(*KEYS).agg(F.count_distinct("quantile").alias("n_buckets"), at(q, "mean_return").alias("top"), at(1, "mean_return").alias("bottom"), at(q, "return_count").alias("n_top"), at(1, "return_count").alias("n_bottom"))
-    reason = first_reason((F.col("n_buckets") < q, "INCOMPLETE_QUANTILES"), ((F.coalesce("n_top", F.lit(0)) == 0) | (F.coalesce("n_bottom", F.lit(0)) == 0), "EMPTY_TERMINAL_QUANTILE"))
+    reason = first_reason((F.col("n_buckets") < q, "INCOMPLETE_QUANTILE_DOMAIN"), ((F.coalesce("n_top", F.lit(0)) == 0) | (F.coalesce("n_bottom", F.lit(0)) == 0), "MISSING_TERMINAL_QUANTILE_OBSERVATIONS"))
     return rows.select(*KEYS, F.when(reason.isNull(), F.col("top") - F.col("bottom")).alias("spread"), reason.alias("invalid_reason"))
 
 
@@ -113,7 +113,7 @@ def monotonicity(quantiles: DataFrame, least: int = 3) -> DataFrame:
         F.coalesce(F.sum("__down"), F.lit(0)).alias("inversions"), (F.max_by("mean_return", "quantile") - F.min_by("mean_return", "quantile")).alias("terminal_spread"),
     )
     ok = F.col("n_buckets") >= least
-    return stats.select(*KEYS, "n_buckets", *[F.when(ok, F.col(c)).alias(c) for c in ("rank_correlation", "slope", "inversions", "terminal_spread")], F.when(~ok, "INSUFFICIENT_QUANTILES").alias("invalid_reason"))
+    return stats.select(*KEYS, "n_buckets", *[F.when(ok, F.col(c)).alias(c) for c in ("rank_correlation", "slope", "inversions", "terminal_spread")], F.when(~ok, "INSUFFICIENT_VALID_QUANTILES").alias("invalid_reason"))
 
 
 def quantile_turnover(factors: DataFrame, q: int = 5) -> DataFrame:
@@ -138,7 +138,9 @@ def quantile_turnover(factors: DataFrame, q: int = 5) -> DataFrame:
         return F.when((F.col(n) > 0) & (F.col(before) > 0), F.lit(1.0) - F.coalesce(F.col(both_), F.lit(0)) / F.greatest(n, before))
 
     out = out.withColumns({"top_turnover": leg("both_top", "n_top", "top_before"), "bottom_turnover": leg("both_bottom", "n_bottom", "bottom_before")})
-    return out.select(*KEYS, "previous_date", "top_turnover", "bottom_turnover", (F.col("top_turnover") + F.col("bottom_turnover")).alias("turnover"), "rank_autocorrelation")
+    total = F.col("top_turnover") + F.col("bottom_turnover")
+    reason = first_reason((F.col("previous_date").isNull(), "NO_PREVIOUS_SIGNAL_DATE"), (total.isNull(), "MISSING_TERMINAL_QUANTILE"))
+    return out.select(*KEYS, "previous_date", "top_turnover", "bottom_turnover", (F.col("top_turnover") + F.col("bottom_turnover")).alias("turnover"), "rank_autocorrelation", reason.alias("invalid_reason"))
 
 
 def cost_scenarios(spreads: DataFrame, turnover: DataFrame, bps: Sequence[float] = (0, 5, 10, 20, 50)) -> DataFrame:
@@ -146,9 +148,10 @@ def cost_scenarios(spreads: DataFrame, turnover: DataFrame, bps: Sequence[float]
     rows = spreads.where("spread is not null").join(turnover.where("turnover is not null").select(*KEYS, "turnover"), list(KEYS))
     sums = rows.groupBy("factor_id").agg(F.count("*").alias("n_dates"), F.avg("spread").alias("gross"), F.avg("turnover").alias("mean_turnover"), F.sum("spread").alias("s"), F.sum("turnover").alias("t"))
     even = F.when((F.col("s") > 0) & (F.col("t") > 0), F.try_divide(F.col("s") * 10_000, F.col("t")))
+    why = first_reason((F.col("s") <= 0, "NONPOSITIVE_GROSS_SPREAD"), (F.col("t") <= 0, "ZERO_TOTAL_TURNOVER"))
     costs = F.explode(F.array(*[F.lit(float(b)) for b in bps])).alias("cost_bps")
-    out = sums.withColumn("break_even_bps", even).select("*", costs)
-    return out.select("factor_id", "n_dates", "cost_bps", "gross", "mean_turnover", (F.col("gross") - F.col("mean_turnover") * F.col("cost_bps") / 10_000).alias("net"), "break_even_bps")
+    out = sums.withColumns({"break_even_bps": even, "break_even_invalid_reason": why}).select("*", costs)
+    return out.select("factor_id", "n_dates", "cost_bps", "gross", "mean_turnover", (F.col("gross") - F.col("mean_turnover") * F.col("cost_bps") / 10_000).alias("net"), "break_even_bps", "break_even_invalid_reason")
 
 
 def factor_correlations(factors: DataFrame, least: int = 3) -> DataFrame:

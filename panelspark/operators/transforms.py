@@ -19,7 +19,7 @@ def _with_input(df: DataFrame, value: str, more: Sequence[tuple[Column, str]] =
     """df with __reason (null: takes part) and __v, the value of rows that take part."""
     upstream = F.col("invalid_reason") if "invalid_reason" in df.columns else F.lit(None).cast("string")
     flagged = ~F.coalesce(F.col("is_valid"), F.lit(False)) if "is_valid" in df.columns else F.lit(False)
-    own = F.when(flagged, F.coalesce(upstream, F.lit("UPSTREAM_INVALID")))
+    own = F.when(flagged, F.coalesce(upstream, F.lit("INPUT_INVALID")))
     checks = first_reason((F.col(value).isNull(), "MISSING_VALUE"), (~is_finite(value), "NONFINITE_VALUE"), *more)
     out = df.withColumn("__reason", F.coalesce(own, checks))
     return out.withColumn("__v", F.when(F.col("__reason").isNull(), F.col(value).cast("double")))
@@ -54,14 +54,14 @@ def zscore(df: DataFrame, value: str, groups: Sequence[str], result: str = "zsco
 def neutralize_industry(df: DataFrame, value: str, groups: Sequence[str], industry: str, result: str = "neutralized") -> DataFrame:
     """v less its industry's mean in the group; a row alone in its industry is invalid, an empty industry is missing."""
     missing = F.col(industry).isNull() | (F.trim(F.col(industry).cast("string")) == "")
-    rows = _with_input(df, value, [(missing, "INDUSTRY_MISSING")])
+    rows = _with_input(df, value, [(missing, "MISSING_INDUSTRY")])
     w = Window.partitionBy(*groups, industry)
     rows = rows.withColumns({"__mean": F.avg("__v").over(w), "__n": F.count("__v").over(w)})
-    return _done(rows, df.columns, result, F.col("__v") - F.col("__mean"), first_reason((F.col("__n") < 2, "SINGLETON_INDUSTRY")))
+    return _done(rows, df.columns, result, F.col("__v") - F.col("__mean"), first_reason((F.col("__n") < 2, "SINGLE_MEMBER_INDUSTRY")))
 
 
 def _cap_reasons(cap: str) -> list[tuple[Column, str]]:
-    return [(F.col(cap).isNull(), "MARKET_CAP_MISSING"), (~is_finite(cap), "MARKET_CAP_NONFINITE"), (F.col(cap) <= 0, "MARKET_CAP_NONPOSITIVE")]
+    return [(F.col(cap).isNull(), "MISSING_MARKET_CAP"), (~is_finite(cap), "NONFINITE_MARKET_CAP"), (F.col(cap) <= 0, "NONPOSITIVE_MARKET_CAP")]
 
 
 def _residual(rows: DataFrame, groups: Sequence[str], columns: Sequence[str], result: str, least: int, reason: Sequence[tuple[Column, str]] = ()) -> DataFrame:
@@ -70,7 +70,7 @@ def _residual(rows: DataFrame, groups: Sequence[str], columns: Sequence[str], re
     rows = rows.withColumns({"__n": F.count("__v").over(w), "__vm": F.avg("__v").over(w), "__xm": F.avg("__x").over(w)})
     dv, dx = F.col("__v") - F.col("__vm"), F.col("__x") - F.col("__xm")
     rows = rows.withColumns({"__sxy": F.sum(dv * dx).over(w), "__sxx": F.sum(dx * dx).over(w), "__flat": F.max("__x").over(w) == F.min("__x").over(w)})
-    checks = first_reason(*reason, (F.col("__n") < least, "INSUFFICIENT_CROSS_SECTION"), (F.col("__flat") | (F.col("__sxx") == 0), "ZERO_VARIANCE"))
+    checks = first_reason(*reason, (F.col("__n") < least, "INSUFFICIENT_CROSS_SECTION"), (F.col("__flat") | (F.col("__sxx") == 0), "ZERO_MARKET_CAP_VARIANCE"))
     return _done(rows, columns, result, dv - F.try_divide("__sxy", "__sxx") * dx, checks)
 
 
@@ -84,14 +84,14 @@ def neutralize_market_cap(df: DataFrame, value: str, groups: Sequence[str], cap:
 def neutralize_industry_market_cap(df: DataFrame, value: str, groups: Sequence[str], industry: str, cap: str, result: str = "neutralized", least: int = 3) -> DataFrame:
     """Residual of v on ln(cap), both less their industry's mean."""
     missing = F.col(industry).isNull() | (F.trim(F.col(industry).cast("string")) == "")
-    rows = _with_input(df, value, [*_cap_reasons(cap), (missing, "INDUSTRY_MISSING")])
+    rows = _with_input(df, value, [*_cap_reasons(cap), (missing, "MISSING_INDUSTRY")])
     w = Window.partitionBy(*groups, industry)
     rows = rows.withColumn("__x", F.when(F.col("__v").isNotNull(), F.ln(F.col(cap).cast("double"))))
     rows = rows.withColumns({"__many": F.count("__v").over(w), "__vi": F.avg("__v").over(w), "__xi": F.avg("__x").over(w)})
     alone = F.col("__many") < 2
     # a row alone in its industry is invalid and stays out of the regression
     rows = rows.withColumns({"__v": F.when(~alone, F.col("__v") - F.col("__vi")), "__x": F.when(~alone, F.col("__x") - F.col("__xi"))})
-    return _residual(rows, groups, df.columns, result, least, [(alone, "SINGLETON_INDUSTRY")])
+    return _residual(rows, groups, df.columns, result, least, [(alone, "SINGLE_MEMBER_INDUSTRY")])
 
 
 def minimum_mask(df: DataFrame, groups: Sequence[str], least: int = 30) -> DataFrame:

@@ -231,7 +231,7 @@ def quantile_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SPREAD = f"""{_QUANTILES}, spreads AS (
   SELECT signal_date, factor_id, CASE WHEN max(return_count) FILTER (WHERE quantile = 5) > 0 AND max(return_count) FILTER (WHERE quantile = 1) > 0 THEN max(mean_return) FILTER (WHERE quantile = 5) - max(mean_return) FILTER (WHERE quantile = 1) END AS spread,
-         CASE WHEN NOT (max(return_count) FILTER (WHERE quantile = 5) > 0 AND max(return_count) FILTER (WHERE quantile = 1) > 0) THEN 'EMPTY_TERMINAL_QUANTILE' END AS invalid_reason FROM quantiles GROUP BY 1, 2)"""
+         CASE WHEN NOT (max(return_count) FILTER (WHERE quantile = 5) > 0 AND max(return_count) FILTER (WHERE quantile = 1) > 0) THEN 'MISSING_TERMINAL_QUANTILE_OBSERVATIONS' END AS invalid_reason FROM quantiles GROUP BY 1, 2)"""
 
 
 @query(f"{_SPREAD} SELECT signal_date, factor_id, round(spread, 8) AS spread, invalid_reason FROM spreads")
@@ -243,7 +243,7 @@ def long_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{_QUANTILES}, v AS (SELECT *, rank() OVER (PARTITION BY signal_date ORDER BY mean_return) AS r, lag(mean_return) OVER (PARTITION BY signal_date ORDER BY quantile) AS before FROM quantiles WHERE mean_return IS NOT NULL)
 SELECT signal_date, factor_id, count(*) AS n_buckets, round(CASE WHEN max(r) > min(r) THEN corr(quantile, r) END, 8) AS rank_correlation, round(regr_slope(mean_return, quantile), 8) AS slope,
        CAST(count(*) FILTER (WHERE mean_return < before) AS BIGINT) AS inversions, round(arg_max(mean_return, quantile) - arg_min(mean_return, quantile), 8) AS terminal_spread, NULL::VARCHAR AS invalid_reason FROM v GROUP BY 1, 2 HAVING count(*) >= 3
-UNION ALL SELECT signal_date, factor_id, count(*), NULL, NULL, NULL, NULL, 'INSUFFICIENT_QUANTILES' FROM v GROUP BY 1, 2 HAVING count(*) < 3"""
+UNION ALL SELECT signal_date, factor_id, count(*), NULL, NULL, NULL, NULL, 'INSUFFICIENT_VALID_QUANTILES' FROM v GROUP BY 1, 2 HAVING count(*) < 3"""
 )
 def monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(study.monotonicity(_quantiles(spark, sf_dir)))
@@ -262,20 +262,20 @@ turnover AS (
   FROM dates d JOIN moves m USING (signal_date) LEFT JOIN ac USING (signal_date) GROUP BY 1, 2, 3)"""
 
 
-@query(f"{_TURNOVER} SELECT signal_date, factor_id, previous_date, round(top_turnover, 8) AS top_turnover, round(bottom_turnover, 8) AS bottom_turnover, round(top_turnover + bottom_turnover, 8) AS turnover, round(rank_autocorrelation, 8) AS rank_autocorrelation FROM turnover")
+@query(f"{_TURNOVER} SELECT signal_date, factor_id, previous_date, round(top_turnover, 8) AS top_turnover, round(bottom_turnover, 8) AS bottom_turnover, round(top_turnover + bottom_turnover, 8) AS turnover, round(rank_autocorrelation, 8) AS rank_autocorrelation, CASE WHEN previous_date IS NULL THEN 'NO_PREVIOUS_SIGNAL_DATE' WHEN top_turnover + bottom_turnover IS NULL THEN 'MISSING_TERMINAL_QUANTILE' END AS invalid_reason FROM turnover")
 def quantile_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(study.quantile_turnover(factor(spark, sf_dir)))
 
 
 @query(
     f"""{_TURNOVER}, cs AS (SELECT s.factor_id, count(*) AS n_dates, avg(spread) AS gross, avg(top_turnover + bottom_turnover) AS mean_turnover, sum(spread) AS a, sum(top_turnover + bottom_turnover) AS b FROM spreads s JOIN turnover t USING (signal_date, factor_id) WHERE spread IS NOT NULL AND top_turnover + bottom_turnover IS NOT NULL GROUP BY 1)
-SELECT factor_id, n_dates, cost_bps, round(gross, 8) AS gross, round(mean_turnover, 8) AS mean_turnover, round(gross - mean_turnover * cost_bps / 10000, 8) AS net, CASE WHEN a > 0 AND b > 0 THEN round(10000 * a / b, 6) END AS break_even_bps
+SELECT factor_id, n_dates, cost_bps, round(gross, 8) AS gross, round(mean_turnover, 8) AS mean_turnover, round(gross - mean_turnover * cost_bps / 10000, 8) AS net, CASE WHEN a > 0 AND b > 0 THEN round(10000 * a / b, 6) END AS break_even_bps, CASE WHEN a <= 0 THEN 'NONPOSITIVE_GROSS_SPREAD' WHEN b <= 0 THEN 'ZERO_TOTAL_TURNOVER' END AS break_even_invalid_reason
 FROM cs, (SELECT unnest([0.0, 5.0, 10.0, 20.0, 50.0])::DOUBLE AS cost_bps)"""
 )
 def cost_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = factor(spark, sf_dir)
     out = study.cost_scenarios(study.long_short(_quantiles(spark, sf_dir)), study.quantile_turnover(f))
-    return out.select("factor_id", "n_dates", "cost_bps", *[F.round(c, 8).alias(c) for c in ("gross", "mean_turnover", "net")], F.round("break_even_bps", 6).alias("break_even_bps"))
+    return out.select("factor_id", "n_dates", "cost_bps", *[F.round(c, 8).alias(c) for c in ("gross", "mean_turnover", "net")], F.round("break_even_bps", 6).alias("break_even_bps"), "break_even_invalid_reason")
 
 
 @query(
@@ -329,19 +329,19 @@ SELECT instrument_id, signal_date, value, cap, industry, CASE WHEN NOT flat THEN
 )
 _transform(
     "neutralize_industry", lambda d: transforms.neutralize_industry(d, "value", ["signal_date"], "industry"),
-    f"""WITH {_CROSS}, s AS (SELECT *, avg(value) OVER w AS m, count(*) OVER w AS n FROM cross_ WINDOW w AS (PARTITION BY signal_date, industry)), r AS (SELECT *, CASE WHEN industry = '' THEN 'INDUSTRY_MISSING' WHEN n < 2 THEN 'SINGLETON_INDUSTRY' END AS invalid_reason FROM s)
+    f"""WITH {_CROSS}, s AS (SELECT *, avg(value) OVER w AS m, count(*) OVER w AS n FROM cross_ WINDOW w AS (PARTITION BY signal_date, industry)), r AS (SELECT *, CASE WHEN industry = '' THEN 'MISSING_INDUSTRY' WHEN n < 2 THEN 'SINGLE_MEMBER_INDUSTRY' END AS invalid_reason FROM s)
 SELECT instrument_id, signal_date, value, cap, industry, CASE WHEN invalid_reason IS NULL THEN round(value - m, 6) END AS neutralized, invalid_reason IS NULL AS is_valid, invalid_reason FROM r""",
 )
 _transform(
     "neutralize_market_cap", lambda d: transforms.neutralize_market_cap(d, "value", ["signal_date"], "cap").withColumn("neutralized", F.round("neutralized", 3)),
-    f"""WITH {_CROSS}, s AS (SELECT *, value - avg(value) OVER w AS dv, ln(cap) - avg(ln(cap)) OVER w AS dx, count(*) OVER w AS n FROM cross_ WINDOW w AS (PARTITION BY signal_date)), r AS (SELECT *, sum(dv * dx) OVER w AS sxy, sum(dx * dx) OVER w AS sxx FROM s WINDOW w AS (PARTITION BY signal_date)), e AS (SELECT *, CASE WHEN n < 3 THEN 'INSUFFICIENT_CROSS_SECTION' WHEN sxx = 0 THEN 'ZERO_VARIANCE' END AS invalid_reason FROM r)
+    f"""WITH {_CROSS}, s AS (SELECT *, value - avg(value) OVER w AS dv, ln(cap) - avg(ln(cap)) OVER w AS dx, count(*) OVER w AS n FROM cross_ WINDOW w AS (PARTITION BY signal_date)), r AS (SELECT *, sum(dv * dx) OVER w AS sxy, sum(dx * dx) OVER w AS sxx FROM s WINDOW w AS (PARTITION BY signal_date)), e AS (SELECT *, CASE WHEN n < 3 THEN 'INSUFFICIENT_CROSS_SECTION' WHEN sxx = 0 THEN 'ZERO_MARKET_CAP_VARIANCE' END AS invalid_reason FROM r)
 SELECT instrument_id, signal_date, value, cap, industry, CASE WHEN invalid_reason IS NULL THEN round(dv - sxy / sxx * dx, 3) END AS neutralized, invalid_reason IS NULL AS is_valid, invalid_reason FROM e""",
 )
 _transform(
     "neutralize_industry_market_cap", lambda d: transforms.neutralize_industry_market_cap(d, "value", ["signal_date"], "industry", "cap").withColumn("neutralized", F.round("neutralized", 3)),
-    f"""WITH {_CROSS}, i AS (SELECT *, CASE WHEN industry = '' THEN 'INDUSTRY_MISSING' WHEN count(*) OVER w < 2 THEN 'SINGLETON_INDUSTRY' END AS reason, value - avg(value) OVER w AS v1, ln(cap) - avg(ln(cap)) OVER w AS x1 FROM cross_ WINDOW w AS (PARTITION BY signal_date, industry)),
+    f"""WITH {_CROSS}, i AS (SELECT *, CASE WHEN industry = '' THEN 'MISSING_INDUSTRY' WHEN count(*) OVER w < 2 THEN 'SINGLE_MEMBER_INDUSTRY' END AS reason, value - avg(value) OVER w AS v1, ln(cap) - avg(ln(cap)) OVER w AS x1 FROM cross_ WINDOW w AS (PARTITION BY signal_date, industry)),
 s AS (SELECT *, v1 - avg(v1) FILTER (WHERE reason IS NULL) OVER w AS dv, x1 - avg(x1) FILTER (WHERE reason IS NULL) OVER w AS dx, count(*) FILTER (WHERE reason IS NULL) OVER w AS n FROM i WINDOW w AS (PARTITION BY signal_date)), r AS (SELECT *, sum(dv * dx) FILTER (WHERE reason IS NULL) OVER w AS sxy, sum(dx * dx) FILTER (WHERE reason IS NULL) OVER w AS sxx FROM s WINDOW w AS (PARTITION BY signal_date)),
-e AS (SELECT *, CASE WHEN reason IS NOT NULL THEN reason WHEN n < 3 THEN 'INSUFFICIENT_CROSS_SECTION' WHEN sxx = 0 THEN 'ZERO_VARIANCE' END AS invalid_reason FROM r)
+e AS (SELECT *, CASE WHEN reason IS NOT NULL THEN reason WHEN n < 3 THEN 'INSUFFICIENT_CROSS_SECTION' WHEN sxx = 0 THEN 'ZERO_MARKET_CAP_VARIANCE' END AS invalid_reason FROM r)
 SELECT instrument_id, signal_date, value, cap, industry, CASE WHEN invalid_reason IS NULL THEN round(dv - sxy / sxx * dx, 3) END AS neutralized, invalid_reason IS NULL AS is_valid, invalid_reason FROM e""",
 )
 
@@ -402,8 +402,8 @@ def executable_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {PANEL}, {_STATE}{labels_sql(2)}, r AS (
   SELECT l.signal_date, l.instrument_id, l.future_return, l.invalid_reason AS price_reason, l.return_end,
-         CASE WHEN l.return_end IS NULL THEN 'INSUFFICIENT_FUTURE_SESSIONS' WHEN NOT coalesce(a.is_listed, false) THEN 'NOT_LISTED_AT_ENTRY' WHEN coalesce(a.is_suspended, true) THEN 'SUSPENDED_AT_ENTRY'
-              WHEN coalesce(a.entry_limit_up, false) THEN 'LIMIT_UP_AT_ENTRY' WHEN NOT coalesce(b.is_listed, true) THEN 'NOT_LISTED_AT_EXIT' WHEN coalesce(b.is_suspended, false) THEN 'SUSPENDED_AT_EXIT' ELSE l.invalid_reason END AS invalid_reason
+         CASE WHEN l.return_end IS NULL THEN 'INCOMPLETE_FORWARD_WINDOW' WHEN NOT coalesce(a.is_listed, false) THEN 'NOT_LISTED_AT_ENTRY' WHEN coalesce(a.is_suspended, true) THEN 'ENTRY_SUSPENDED'
+              WHEN coalesce(a.entry_limit_up, false) THEN 'ENTRY_LIMIT_UP' WHEN l.invalid_reason = 'MISSING_EXIT_PRICE' AND NOT coalesce(b.is_listed, true) THEN 'DELISTED_WITHOUT_EXIT_PRICE' ELSE l.invalid_reason END AS invalid_reason
   FROM labels l LEFT JOIN state a ON a.instrument_id = l.instrument_id AND a.trade_date = l.return_start LEFT JOIN state b ON b.instrument_id = l.instrument_id AND b.trade_date = l.return_end)
 SELECT signal_date, instrument_id, CASE WHEN invalid_reason IS NULL THEN future_return END AS future_return, invalid_reason IS NULL AS is_valid, invalid_reason FROM r"""
 )

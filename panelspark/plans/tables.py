@@ -110,7 +110,7 @@ def labels_sql(horizon: int = 1, name: str = "labels") -> str:
   SELECT p.trade_date AS signal_date, p.instrument_id, {horizon} AS horizon, 'theoretical' AS label_kind, c.return_start, c.return_end,
          CASE WHEN c.return_end IS NOT NULL THEN x.close / e.open - 1 END AS future_return,
          c.return_start IS NOT NULL AND c.return_end IS NOT NULL AND e.open IS NOT NULL AND x.close IS NOT NULL AS is_valid,
-         CASE WHEN c.return_start IS NULL OR c.return_end IS NULL THEN 'INSUFFICIENT_FUTURE_SESSIONS' WHEN e.open IS NULL OR x.close IS NULL THEN 'MISSING_PRICE' END AS invalid_reason
+         CASE WHEN c.return_start IS NULL OR c.return_end IS NULL THEN 'INCOMPLETE_FORWARD_WINDOW' WHEN e.open IS NULL THEN 'MISSING_ENTRY_PRICE' WHEN x.close IS NULL THEN 'MISSING_EXIT_PRICE' END AS invalid_reason
   FROM panel p JOIN cal_{name} c ON c.signal_date = p.trade_date
   LEFT JOIN bars e ON e.instrument_id = p.instrument_id AND e.trade_date = c.return_start
   LEFT JOIN bars x ON x.instrument_id = p.instrument_id AND x.trade_date = c.return_end)"""
