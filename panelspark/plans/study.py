@@ -226,7 +226,7 @@ def _quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_QUANTILES} SELECT signal_date, factor_id, quantile, member_count, return_count, round(mean_return, 8) AS mean_return, lower_bound, upper_bound, is_empty FROM quantiles")
 def quantile_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_quantiles(spark, sf_dir), 8).drop("lower_bound", "upper_bound").join(_quantiles(spark, sf_dir).select("signal_date", "factor_id", "quantile", "lower_bound", "upper_bound"), ["signal_date", "factor_id", "quantile"])
+    return _quantiles(spark, sf_dir).withColumn("mean_return", F.round("mean_return", 8))
 
 
 _SPREAD = f"""{_QUANTILES}, spreads AS (
