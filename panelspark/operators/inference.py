@@ -22,7 +22,7 @@ def normal_p_value(t: pd.Series) -> pd.Series:
 def hac_sums(series: DataFrame, value: str, keys: Sequence[str], order: str, horizon: int) -> DataFrame:
     """Count, mean, lag and Bartlett-weighted long-run variance of each key's series.
 
-    The lag is min(horizon - 1, valid rows - 1) and pairs are positional on the whole axis:
+    The lag is min(horizon - 1, sessions - 1) and pairs are positional on the whole axis:
     an invalid row leaves a gap, it does not bring its neighbours together.
     """
     w = Window.partitionBy(*keys)
@@ -31,13 +31,13 @@ def hac_sums(series: DataFrame, value: str, keys: Sequence[str], order: str, hor
     rows = rows.withColumns({"__n": F.count("__v").over(w), "__e": F.col("__v") - F.avg("__v").over(w)})
     products = {f"__g{k}": F.col("__e") * F.lag("__e", k).over(axis) for k in range(horizon)}
     rows = rows.withColumns(products)
-    sums = rows.groupBy(*keys).agg(F.count("__v").alias("n_valid"), F.avg("__v").alias("mean"), *[F.coalesce(F.sum(g), F.lit(0.0)).alias(g) for g in products])
-    lag = F.greatest(F.least(F.lit(horizon - 1), F.col("n_valid") - 1), F.lit(0)).cast("int")
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("__sessions"), F.count("__v").alias("n_valid"), F.avg("__v").alias("mean"), *[F.coalesce(F.sum(g), F.lit(0.0)).alias(g) for g in products])
+    lag = F.greatest(F.least(F.lit(horizon - 1), F.col("__sessions") - 1), F.lit(0)).cast("int")
     total: Column = F.col("__g0")
     for k in range(1, horizon):
         total = total + F.when(k <= F.col("lag"), (F.lit(1.0) - F.lit(float(k)) / (F.col("lag") + 1)) * 2 * F.col(f"__g{k}")).otherwise(0.0)
     out = sums.withColumn("lag", lag)
-    return out.withColumn("long_run_variance", F.try_divide(total, F.col("n_valid").cast("double"))).drop(*products)
+    return out.withColumn("long_run_variance", F.try_divide(total, F.col("n_valid").cast("double"))).drop("__sessions", *products)
 
 
 def hac_mean(series: DataFrame, value: str, keys: Sequence[str], order: str, horizon: int, p_values: bool = True) -> DataFrame:

@@ -107,11 +107,11 @@ def index_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {BARS}, t AS (SELECT trade_date, sum(amount) AS amount FROM bars GROUP BY 1), l AS (SELECT *, list(round(amount, 2)) OVER (ORDER BY trade_date ROWS 19 PRECEDING) AS last FROM t)
-SELECT trade_date, round(amount, 2) AS amount, round(amount / lag(amount) OVER (ORDER BY trade_date) - 1, 8) AS change, round(avg(amount) OVER (ORDER BY trade_date ROWS 4 PRECEDING), 3) AS average_5, round(avg(amount) OVER (ORDER BY trade_date ROWS 19 PRECEDING), 3) AS average_20, round(len(list_filter(last, lambda x: x <= round(amount, 2))) / len(last), 8) AS percentile_20 FROM l"""
+SELECT trade_date, round(amount, 2) AS amount, round(amount / lag(amount) OVER (ORDER BY trade_date) - 1, 8) AS change, round(avg(amount) OVER (ORDER BY trade_date ROWS 4 PRECEDING), 4) AS average_5, round(avg(amount) OVER (ORDER BY trade_date ROWS 19 PRECEDING), 4) AS average_20, round(len(list_filter(last, lambda x: x <= round(amount, 2))) / len(last), 8) AS percentile_20 FROM l"""
 )
 def market_liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = review.liquidity(bars(spark, sf_dir).withColumn("amount", F.col("amount").cast("decimal(20,2)"))).withColumn("amount", F.col("amount").cast("double"))
-    return out.select("trade_date", F.round("amount", 2).alias("amount"), F.round("change", 8).alias("change"), *[F.round(F.col(c).cast("double"), 3).alias(c) for c in ("average_5", "average_20")], F.round("percentile_20", 8).alias("percentile_20"))
+    out = review.liquidity(bars(spark, sf_dir))
+    return out.select("trade_date", F.round("amount", 2).alias("amount"), F.round("change", 8).alias("change"), *[F.round(c, 4).alias(c) for c in ("average_5", "average_20")], F.round("percentile_20", 8).alias("percentile_20"))
 
 
 _CHANGES = f"WITH {RETURNS}, ch AS (SELECT trade_date, instrument_id, (close / preclose - 1) * 100 AS change, amount, 'n' || CAST(instrument_id % 8 AS VARCHAR) AS industry FROM ret)"

@@ -240,7 +240,7 @@ def long_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_QUANTILES}, v AS (SELECT *, rank() OVER (PARTITION BY signal_date ORDER BY mean_return) AS r, lag(mean_return) OVER (PARTITION BY signal_date ORDER BY quantile) AS before FROM quantiles WHERE mean_return IS NOT NULL)
+    f"""{_QUANTILES}, v AS (SELECT *, rank() OVER (PARTITION BY signal_date ORDER BY mean_return) + (count(*) OVER (PARTITION BY signal_date, mean_return) - 1) / 2.0 AS r, lag(mean_return) OVER (PARTITION BY signal_date ORDER BY quantile) AS before FROM quantiles WHERE mean_return IS NOT NULL)
 SELECT signal_date, factor_id, count(*) AS n_buckets, round(CASE WHEN max(r) > min(r) THEN corr(quantile, r) END, 8) AS rank_correlation, round(regr_slope(mean_return, quantile), 8) AS slope,
        CAST(count(*) FILTER (WHERE mean_return < before) AS BIGINT) AS inversions, round(arg_max(mean_return, quantile) - arg_min(mean_return, quantile), 8) AS terminal_spread, NULL::VARCHAR AS invalid_reason FROM v GROUP BY 1, 2 HAVING count(*) >= 3
 UNION ALL SELECT signal_date, factor_id, count(*), NULL, NULL, NULL, NULL, 'INSUFFICIENT_VALID_QUANTILES' FROM v GROUP BY 1, 2 HAVING count(*) < 3"""
@@ -351,7 +351,7 @@ def _hac_sql(horizon: int) -> str:
     cols = ", ".join(f"lag(e, {k}) OVER (PARTITION BY factor_id ORDER BY signal_date) AS e{k}" for k in range(horizon))
     terms = " + ".join(["g0", *(f"CASE WHEN {k} <= lag THEN 2 * (1 - {k} / (lag + 1.0)) * g{k} ELSE 0 END" for k in range(1, horizon))])
     return f"""{_IC}, dev AS (SELECT *, rank_ic - avg(rank_ic) OVER (PARTITION BY factor_id) AS e FROM ic), lagged AS (SELECT *, {cols} FROM dev),
-g AS (SELECT factor_id, count(rank_ic) AS n_valid, avg(rank_ic) AS mean, {lags} FROM lagged GROUP BY 1), h AS (SELECT *, greatest(least({horizon - 1}, n_valid - 1), 0) AS lag FROM g), v AS (SELECT *, ({terms}) / n_valid AS lrv FROM h), r AS (SELECT *, sqrt(lrv / n_valid) AS se FROM v)
+g AS (SELECT factor_id, count(*) AS sessions, count(rank_ic) AS n_valid, avg(rank_ic) AS mean, {lags} FROM lagged GROUP BY 1), h AS (SELECT *, greatest(least({horizon - 1}, sessions - 1), 0) AS lag FROM g), v AS (SELECT *, ({terms}) / n_valid AS lrv FROM h), r AS (SELECT *, sqrt(lrv / n_valid) AS se FROM v)
 SELECT factor_id, n_valid, CAST(lag AS INTEGER) AS lag, round(mean, 8) AS mean, round(se, 8) AS se, round(mean / se, 6) AS t, round(mean - 1.959963984540054 * se, 8) AS ci_low, round(mean + 1.959963984540054 * se, 8) AS ci_high FROM r"""
 
 
