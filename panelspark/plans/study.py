@@ -240,8 +240,8 @@ def long_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_QUANTILES}, rq AS (SELECT * REPLACE (round(mean_return, 9) AS mean_return) FROM quantiles), v AS (SELECT *, rank() OVER (PARTITION BY signal_date ORDER BY mean_return) + (count(*) OVER (PARTITION BY signal_date, mean_return) - 1) / 2.0 AS r, lag(mean_return) OVER (PARTITION BY signal_date ORDER BY quantile) AS before FROM rq WHERE mean_return IS NOT NULL)
-SELECT signal_date, factor_id, count(*) AS n_buckets, round(CASE WHEN max(r) > min(r) THEN corr(quantile, r) END, 8) AS rank_correlation, round(regr_slope(mean_return, quantile), 8) AS slope,
+    f"""{_QUANTILES}, rq AS (SELECT * REPLACE (round(mean_return, 9) AS mean_return) FROM quantiles), v AS (SELECT *, rank() OVER (PARTITION BY signal_date ORDER BY mean_return) + (count(*) OVER (PARTITION BY signal_date, mean_return) - 1) / 2.0 AS r, row_number() OVER (PARTITION BY signal_date ORDER BY quantile) AS qr, lag(mean_return) OVER (PARTITION BY signal_date ORDER BY quantile) AS before FROM rq WHERE mean_return IS NOT NULL)
+SELECT signal_date, factor_id, count(*) AS n_buckets, round(CASE WHEN max(r) > min(r) THEN corr(qr, r) END, 8) AS rank_correlation, round(regr_slope(mean_return, quantile), 8) AS slope,
        CAST(count(*) FILTER (WHERE mean_return < before) AS BIGINT) AS inversions, round(arg_max(mean_return, quantile) - arg_min(mean_return, quantile), 8) AS terminal_spread, NULL::VARCHAR AS invalid_reason FROM v GROUP BY 1, 2 HAVING count(*) >= 3
 UNION ALL SELECT signal_date, factor_id, count(*), NULL, NULL, NULL, NULL, 'INSUFFICIENT_VALID_QUANTILES' FROM v GROUP BY 1, 2 HAVING count(*) < 3"""
 )
