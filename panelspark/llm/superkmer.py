@@ -124,7 +124,7 @@ _SPANS = "doc_id long, text_key long, start int, count int"
 
 
 def _codec() -> pa.Codec:
-    return pa.Codec("zstd", compression_level=1)
+    return pa.Codec("zstd", compression_level=3)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int | None, int, list[bytes]]]]:
@@ -243,7 +243,7 @@ def _counted(texts: list[bytes], infos: list[np.ndarray], k: int) -> pa.RecordBa
     return _span_batch(info[which], info["start"][which] + within[hit[i]], length)
 
 
-def repeated_windows(rows: DataFrame, k: int = 35, m: int = 6) -> DataFrame:
+def repeated_windows(rows: DataFrame, k: int = 35, m: int = 3) -> DataFrame:
     """doc_id, text_key, start, count: runs of windows (numbers of their first words) that occur more than once. rows: doc_id, text_key, text (binary)."""
     n_parts = partitions(rows.sparkSession)
     buckets = n_parts * BUCKETS_PER_PARTITION
@@ -274,7 +274,7 @@ def repeated_windows(rows: DataFrame, k: int = 35, m: int = 6) -> DataFrame:
     return sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, _SPANS)
 
 
-def remove_repeats(docs: DataFrame, k: int = 35, m: int = 6) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 35, m: int = 3) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by single spaces; as binary) of every row."""
     rows = docs.select("doc_id", text_key().alias("text_key"), F.col("text").cast("binary").alias("text"))
     found = repeated_windows(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text_key", "text"), k, m)
