@@ -1,6 +1,6 @@
 """The engine's queries over the sample tables; importing the modules registers them."""
 
-from panelspark.plans import decisions, market, pit, study
+from panelspark.plans import decisions, market, more, pit, study
 from panelspark.plans.tables import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "decisions", "market", "pit", "study"]
+__all__ = ["QUERIES", "SQL", "decisions", "market", "more", "pit", "study"]
