@@ -17,6 +17,7 @@ ignored. Only DataFrame functions are used.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -63,18 +64,33 @@ def _template_words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", re.sub("[0-9]+", "0", text.lower()))
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, unit (line, paragraph or text), number (of the unit, from 0), license, dice: every unit that reaches `least`."""
+@dataclass(frozen=True)
+class Template:
+    """A notice's bigrams, and the least and most bigrams of a unit that can reach the score."""
+
+    name: str
+    pairs: tuple[str, ...]
+    least: int
+    most: int
+
+
+def known_templates(templates: dict[str, str], least: float) -> list[Template]:
+    """The templates by name, those without a bigram left out."""
     t = Fraction(least).limit_denominator(1000)
-    low, high = t / (2 - t), (2 - t) / t
-    known = []
-    for name in sorted(templates or TEMPLATES):
-        w = _template_words((templates or TEMPLATES)[name])
-        pairs = list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:])))
+    low, high, out = t / (2 - t), (2 - t) / t, []
+    for name in sorted(templates):
+        w = _template_words(templates[name])
+        pairs = tuple(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:])))
         if pairs:
-            known.append((name, pairs, -(-low * len(pairs) // 1), high * len(pairs) // 1))
-    fewest, most = min(int(k[2]) for k in known) + 1, max(int(k[3]) for k in known) + 1
-    literal = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*[F.lit(p) for p in ps]).alias("pairs"), F.lit(int(a)).alias("least"), F.lit(int(z)).alias("most")) for n, ps, a, z in known])
+            out.append(Template(name, pairs, int(-(-low * len(pairs) // 1)), int(high * len(pairs) // 1)))
+    return out
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+    """doc_id, unit (line, paragraph or text), number (of the unit, from 0), license, dice: every unit that reaches `least`."""
+    known = known_templates(templates or TEMPLATES, least)
+    fewest, most = min(k.least for k in known) + 1, max(k.most for k in known) + 1
+    literal = F.array(*[F.struct(F.lit(k.name).alias("name"), F.array(*[F.lit(p) for p in k.pairs]).alias("pairs"), F.lit(k.least).alias("least"), F.lit(k.most).alias("most")) for k in known])
 
     numbered = lambda kind, values, keep: F.filter(F.transform(values, lambda u, i: F.struct(F.lit(kind).alias("unit"), i.alias("number"), u.alias("value"))), keep)
     bare = lambda u: F.btrim(u, F.lit(" \n"))

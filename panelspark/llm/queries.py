@@ -25,10 +25,10 @@ def op2_kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
 r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
@@ -54,6 +54,77 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key")
 
 
+_UNITS = "[" + ", ".join(f"'{u}'" for u in decontam.UNITS) + "]"
+_HOLDERS = "['<num>', '<qty>', '<unit>', '<name>']"
+
+
+def _canonical_sql(name: str, table_name: str, id_column: str) -> str:
+    """CTEs that end in `name`: id, text, c (canonical words), v (values)."""
+    return rf"""{name}_raw AS (
+  SELECT DISTINCT {id_column}, text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS r FROM {table_name}),
+{name}_words AS (
+  SELECT {id_column}, text, list_filter(list_transform(range(1, len(r) + 1), lambda i: {{'c': regexp_replace(r[i], '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g'),
+         'n': i > 1 AND NOT regexp_matches(r[i - 1], '[.!?]$') AND regexp_matches(r[i], '^[^\p{{L}}\p{{N}}]*\p{{Lu}}')}}), lambda w: w.c <> '') AS w FROM {name}_raw),
+{name} AS (
+  SELECT {id_column}, text, list_transform(w, lambda x: lower(x.c)) AS v, list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i].n THEN '<name>' WHEN regexp_matches(w[i].c, '{decontam.NUMBER}') THEN '<num>'
+         WHEN regexp_matches(lower(w[i].c), '{decontam.QUANTITY}') THEN '<qty>' WHEN i > 1 AND NOT w[i - 1].n AND regexp_matches(w[i - 1].c, '{decontam.NUMBER}') AND list_contains({_UNITS}, lower(w[i].c)) THEN '<unit>' ELSE lower(w[i].c) END) AS c FROM {name}_words)"""
+
+
+OP5_SQL = f"""
+WITH {_canonical_sql('doc', 'documents', 'doc_id')}, {_canonical_sql('item', 'benchmark', 'item_id')},
+iw AS (
+  SELECT item_id, text AS item, n, len(c) - n + 1 AS n_windows, i AS item_at, c[i : i + n - 1] AS kinds, v[i : i + n - 1] AS item_values
+  FROM (SELECT *, least({decontam.K}, len(c)) AS n FROM item WHERE len(c) >= {decontam.SHORTEST}), unnest(range(1, len(c) - n + 2)) AS u(i)),
+dw AS (
+  SELECT doc_id, text, n, i AS pos, c[i : i + n - 1] AS kinds, v[i : i + n - 1] AS doc_values FROM doc, (SELECT DISTINCT n FROM iw), unnest(range(1, len(c) - n + 2)) AS u(i)),
+m AS (
+  SELECT doc_id, dw.text, item_id, item, n_windows, item_at, pos - item_at AS diagonal, item_values = doc_values AS literal, len(list_filter(iw.kinds, lambda k: list_contains({_HOLDERS}, k))) AS n_slots, dw.n,
+         list_filter(list_transform(range(1, dw.n + 1), lambda j: {{'k': iw.kinds[j], 'i': item_values[j], 'd': doc_values[j]}}), lambda s: list_contains({_HOLDERS}, s.k)) AS slots
+  FROM dw JOIN iw ON dw.n = iw.n AND dw.kinds = iw.kinds),
+l AS (
+  SELECT doc_id, text, item_id, item, n_windows, diagonal, list(DISTINCT {{'a': item_at, 'literal': literal}}) AS found, list_distinct(flatten(list(slots))) AS slots FROM m WHERE literal OR n_slots * 2 <= n GROUP BY ALL),
+o AS (
+  SELECT *, len(slots) = len(list_distinct(list_transform(slots, lambda s: {{'k': s.k, 'i': s.i}}))) AND len(slots) = len(list_distinct(list_transform(slots, lambda s: {{'k': s.k, 'd': s.d}}))) AS one FROM l),
+f AS (
+  SELECT doc_id, text, item_id, item, n_windows, unnest(list_filter(found, lambda x: one OR x.literal)) AS x FROM o),
+s AS (
+  SELECT doc_id, text, item_id, item, n_windows, count(DISTINCT x.a) AS n_found, NOT bool_and(x.literal) AS reparameterised FROM f GROUP BY ALL)
+SELECT doc_id, item_id, n_found, n_windows, n_found / n_windows AS coverage, reparameterised FROM s WHERE n_found / n_windows >= {decontam.LEAST}
+"""
+
+
+def _licenses_sql() -> str:
+    known = licenses.known_templates(licenses.TEMPLATES, licenses.LEAST)
+    rows = ", ".join(f"('{k.name}', [{', '.join(repr(p) for p in k.pairs)}], {k.least}, {k.most})" for k in known)
+    low, high = min(k.least for k in known) + 1, max(k.most for k in known) + 1
+    return rf"""
+WITH k(license, pairs, low, high) AS (VALUES {rows}),
+n AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[0-9]+', '0', 'g'), '[^\p{{L}}\p{{N}}
+]+', ' ', 'g') AS t FROM documents),
+p AS (
+  SELECT *, string_split(t, chr(10)) AS l, string_split_regex(t, '
+[ 
+]*
+') AS g FROM n),
+u AS (
+  SELECT doc_id, r, 'line' AS unit, i - 1 AS number, l[i] AS v FROM p, unnest(range(1, len(l) + 1)) AS x(i)
+  UNION ALL SELECT doc_id, r, 'paragraph', i - 1, g[i] FROM p, unnest(range(1, len(g) + 1)) AS x(i) WHERE contains(trim(g[i], ' ' || chr(10)), chr(10))
+  UNION ALL SELECT doc_id, r, 'text', 0, t FROM p WHERE len(list_filter(g, lambda x: trim(x, ' ' || chr(10)) <> '')) > 1),
+w AS (
+  SELECT doc_id, r, unit, number, list_filter(string_split_regex(v, '[ 
+]+'), lambda x: x <> '') AS w FROM u),
+b AS (
+  SELECT doc_id, r, unit, number, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs FROM w WHERE len(w) BETWEEN {low} AND {high}),
+d AS (
+  SELECT doc_id, r, unit, number, license, 2.0::DOUBLE * len(list_intersect(b.pairs, k.pairs)) / (len(b.pairs) + len(k.pairs)) AS dice FROM b JOIN k ON len(b.pairs) BETWEEN low AND high)
+SELECT doc_id, unit, CAST(number AS INTEGER) AS number, license, dice FROM d WHERE dice >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY r, unit, number ORDER BY dice DESC, license) = 1
+"""
+
+
+OP6_SQL = _licenses_sql()
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -136,4 +207,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op2_kdtree_top_k": OP2_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_kdtree_top_k": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_licenses": OP6_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}
