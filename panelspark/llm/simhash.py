@@ -23,6 +23,7 @@ than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -202,13 +203,143 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, n_piv
     return fps.join(fp_components(fps, max_bits, n_pivots), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, max_bits: int = 2, n_pivots: int = 16) -> DataFrame:
-    """docs without all but one row of each component: the one of smallest doc_id (nulls last), then of smallest text hash."""
-    rows = docs.select(F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("id"), text_key().alias("key")).alias("doc_id"), "text")
-    fps = written(fingerprints(rows, words), "fingerprints")
-    best = fp_components(fps, max_bits, n_pivots).select("component_id").distinct()
+_ODD = np.array([xxhash.xxh64_intdigest(f"lane {i}".encode(), 0) | 1 for i in range(32)], np.uint64)
+
+
+def wide_fingerprint(text: bytes | None, words: int = 5, lanes: int = 8) -> bytes:
+    """A fingerprint of lanes * 64 bits: each lane is a SimHash of the shingles under another mixing of their hashes."""
+    w = (text or b"").lower().split()
+    if not w:
+        return bytes(8 * lanes)
+    n, digest = max(1, len(w) - words + 1), xxhash.xxh64_intdigest
+    h = np.fromiter((digest(b" ".join(w[i : i + words]), 42) for i in range(n)), np.uint64, n)
+    ones = np.zeros(lanes * BITS, np.int64)
+    for a in range(0, n, 1 << 13):
+        x = h[a : a + (1 << 13), None] * _ODD[:lanes]
+        x ^= x >> np.uint64(29)
+        x *= _ODD[lanes : 2 * lanes]
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > n, bitorder="little").tobytes()
+
+
+def most_differing(bits: int, similarity: float) -> int:
+    """Bits that may differ at a Jaccard similarity: equal sets of it have cosine 2 s / (1 + s), and a bit differs with probability angle / pi; 0.8 standard deviations are allowed on top."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + 0.8 * math.sqrt(bits * share * (1 - share)))
+
+
+def _near(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= limit
+
+
+def group_links(nodes: np.ndarray, lanes: np.ndarray, limit: int, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links of one large bucket."""
+    parent = np.arange(len(nodes))
+    for a in range(0, len(nodes), block):
+        z = min(a + block, len(nodes))
+        for c in range(a, len(nodes), 8 * block):
+            d = min(c + 8 * block, len(nodes))
+            i, j = np.nonzero(_near(lanes[a:z, None], lanes[None, c:d], limit))
+            i, j = parent[i + a], parent[j + c]
+            for x, y in np.unique(np.stack([i[i != j], j[i != j]], 1), axis=0).tolist():
+                while parent[x] != x:
+                    x = parent[x]
+                while parent[y] != y:
+                    y = parent[y]
+                parent[max(x, y)] = min(x, y)
+            parent = _roots(parent)
+    moved = np.nonzero(parent != np.arange(len(nodes)))[0]
+    return nodes[moved], nodes[parent[moved]]
+
+
+def wide_links(values: DataFrame, similarity: float = 0.8, band_bits: int = 16, sketch_lanes: int = 4, small: int = 16) -> DataFrame:
+    """Links `u`, `v` between rows node, wide (distinct) that share a band of band_bits and whose first sketch_lanes lanes differ in few enough bits.
+
+    With 32 bands of 16 bits a pair of similarity 0.8 shares one with probability 0.91, one
+    of 0.9 with probability 0.998. A bucket of up to `small` rows gives its links, a larger one a spanning set.
+    """
+    limit = most_differing(sketch_lanes * BITS, similarity)
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            keys = raw.view(f"<u{band_bits // 8}").astype(np.int64)
+            keys += np.arange(keys.shape[1], dtype=np.int64) << band_bits
+            sketch = [x.tobytes() for x in raw[:, : 8 * sketch_lanes]]
+            nodes = np.repeat(b.column(0).to_numpy(), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes), pa.array([s for s in sketch for _ in range(keys.shape[1])], pa.binary())], ["key", "node", "sketch"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, lanes = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, sketch_lanes), np.uint64)
+
+        def out(n: int) -> Iterator[pa.RecordBatch]:
+            """Works through the first n rows held."""
+            k, x, m = key[:n], node[:n], lanes[:n]
+            start = np.nonzero(np.r_[True, k[1:] != k[:-1]])[0] if n else np.empty(0, np.int64)
+            size = np.diff(np.r_[start, n])
+            of = np.repeat(size, size)
+            u, v = [], []
+            for shift in range(1, small):  # pairs of small buckets, all at once for each distance
+                i = np.nonzero((k[:-shift] == k[shift:]) & (of[:-shift] <= small))[0] if n > shift else np.empty(0, np.int64)
+                if not len(i):
+                    break
+                i = i[np.bitwise_count(m[i, 0] ^ m[i + shift, 0]) <= limit]
+                i = i[_near(m[i], m[i + shift], limit)]
+                u.append(x[i])
+                v.append(x[i + shift])
+            for a, many in zip(start[size > small].tolist(), size[size > small].tolist()):
+                p, q = group_links(x[a : a + many], m[a : a + many], limit)
+                u.append(p)
+                v.append(q)
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, node = np.r_[key, b.column(0).to_numpy()], np.r_[node, b.column(1).to_numpy()]
+            lanes = np.concatenate([lanes, np.frombuffer(b"".join(b.column(2).to_pylist()), "<u8").reshape(b.num_rows, -1)])
+            whole = np.nonzero(key != key[-1])[0]
+            if len(whole):
+                n = int(whole[-1]) + 1
+                yield from out(n)
+                key, node, lanes = key[n:], node[n:], lanes[n:]
+        yield from out(len(key))
+
+    rows = values.select("node", "wide").mapInArrow(bands, "key long, node long, sketch binary")
+    return rows.repartition(partitions(values.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 8) -> DataFrame:
+    """docs without all but one row of each near-duplicate group: the one of smallest doc_id (nulls last), then of smallest text hash.
+
+    Documents are linked by `simhash_components`' rule (three words, two bits) and by wide
+    fingerprints over `words` words that estimate a Jaccard similarity of at least
+    `similarity`. Both kinds of fingerprint are nodes of one graph, a document an edge
+    between its two; nodes are 64-bit hashes.
+    """
+    kind = "struct<last:boolean,id:" + docs.schema["doc_id"].dataType.simpleString() + ",key:bigint>"
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [x.as_py() for x in b.column(1)]
+            fps = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([wide_fingerprint(t, words, lanes) for t in texts], pa.binary())], ["k", "fp", "wide"])
+
+    rows = docs.select(F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("id"), text_key().alias("key")).alias("k"), F.col("text").cast("binary").alias("text"))
+    table = written(rows.mapInArrow(both, f"k {kind}, fp long, wide binary"), "fingerprints")
+    narrow, wide = (lambda c: F.xxhash64(c, F.lit(3))), F.xxhash64("wide", F.lit(5))
+    close = links(table.select("fp").distinct()).select(narrow("u").alias("u"), narrow("v").alias("v"))
+    alike = wide_links(table.select(wide.alias("node"), "wide").distinct(), similarity)
+    roots = components(table.select(narrow("fp").alias("u"), wide.alias("v")).distinct().union(close).union(alike))
+    firsts = table.groupBy(narrow("fp").alias("node")).agg(F.min("k").alias("k"))
+    groups = firsts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "k")
+    best = groups.groupBy("root").agg(F.min("k").alias("k"))
     keys = ["__id", "__null", "__key"]
-    kept = best.select(F.coalesce(F.col("component_id.id").cast("string"), F.lit("")).alias("__id"), F.col("component_id.last").alias("__null"), F.col("component_id.key").alias("__key"))
+    kept = best.select(F.coalesce(F.col("k.id").cast("string"), F.lit("")).alias("__id"), F.col("k.last").alias("__null"), F.col("k.key").alias("__key"))
     whole = carried(docs, "doc_id").select("__row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.isnull("doc_id").alias("__null"), text_key("__row.text").alias("__key"))
     one = whole.join(kept, keys, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__key")))
     return one.where("__n = 1").select("__row.*")

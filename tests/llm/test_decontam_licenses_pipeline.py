@@ -7,7 +7,7 @@ import corpus_pipeline
 import regex
 from panelspark.llm import decontam, langid, licenses, mixing, queries
 from panelspark.llm.common import table
-from test_simhash_tokens import slow_components
+from test_simhash_tokens import slow_kept
 
 UNITS = set(decontam.UNITS)
 
@@ -165,7 +165,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
             want = [r for r in before if langid.infer(model, r[1])[0] != "und" and langid.infer(model, r[1])[2] <= 0.5]
             assert len(want) >= 0.95 * len(before)
         elif name == "simhash_near_dedup":
-            least = {c for _, _, c in slow_components([(r[0], r[1]) for r in before])}
+            least = set(slow_kept([(r[0], r[1]) for r in before]))
             want = [r for r in before if r[0] in least]
             assert len(want) < len(before)
         elif name == "benchmark_decontamination":
