@@ -213,3 +213,28 @@ def realized_cost(gross: Column, side: Column, commission_bps: float, tax_bps: f
     part = lambda bps: F.bround(gross * bps / 10_000, 0).cast("long")
     return part(commission_bps) + F.when(side == "SELL", part(tax_bps)).otherwise(F.lit(0).cast("long"))
 
+
+
+def strategy_universe(instruments: DataFrame, sessions: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Every instrument on every session, out only while under a risk warning or suspended (U4)."""
+    rows = grid(instruments.select("instrument_id"), sessions.select("signal_date")).join(statuses, ["signal_date", "instrument_id"], "left")
+    reasons = _reasons([(F.col("is_risk_warning"), "RISK_WARNING"), (F.col("is_suspended"), "SUSPENDED")])
+    return rows.withColumn("reasons", reasons).select("signal_date", "instrument_id", (F.size("reasons") == 0).alias("eligible"), "reasons")
+
+
+def dual_ma_strategy(bars: DataFrame, sessions: DataFrame, short: int, long: int) -> DataFrame:
+    """ENTER, EXIT or HOLD by two moving averages over the last sessions without a gap.
+
+    sessions: trade_date, session_ordinal. A state lasts over rows whose window has a gap,
+    and a first FLAT does nothing.
+    """
+    w = by("instrument_id", "trade_date")
+    rows = bars.join(small(sessions), "trade_date")
+    whole = F.col("session_ordinal") - F.lag("session_ordinal", long - 1).over(w) == long - 1
+    rows = rows.withColumns({"short_ma": rolling_mean("close", w, short), "long_ma": rolling_mean("close", w, long), "whole": F.coalesce(whole, F.lit(False))})
+    ok = F.col("whole") & F.col("short_ma").isNotNull() & F.col("long_ma").isNotNull()
+    rows = rows.withColumn("direction", F.when(ok, F.when(F.col("short_ma") > F.col("long_ma"), "LONG").otherwise("FLAT")))
+    before = F.last("direction", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit("FLAT")))
+    act = F.when((F.col("direction") == "LONG") & (F.col("before") == "FLAT"), "ENTER").when((F.col("direction") == "FLAT") & (F.col("before") == "LONG"), "EXIT").otherwise("HOLD")
+    return rows.select("instrument_id", F.col("trade_date").alias("signal_date"), "direction", act.alias("action"), F.when(F.col("direction").isNull(), "INSUFFICIENT_CONTIGUOUS_WINDOW").alias("invalid_reason"))

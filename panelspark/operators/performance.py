@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import first_reason, is_finite
-from panelspark.operators.relational import top_and_other
+from panelspark.operators.relational import left_join_checked, top_and_other
 
 YEAR = 252
 ID = "portfolio_id"
@@ -142,3 +142,15 @@ def broken_identities(nav: DataFrame) -> DataFrame:
     """Rows where equity isn't cash + receivables + long - short - fees (V10). All in whole cents."""
     want = F.col("cash") + F.col("dividend_receivable") + F.col("long_market_value") - F.col("short_market_value") - F.col("accrued_fees")
     return nav.where((want != F.col("equity")) | ~is_finite("equity"))
+
+
+def attribution_rollup(rows: DataFrame) -> DataFrame:
+    """Contribution by security over all sessions with its place by (-|contribution|, security) (V13). rows: portfolio_id, security, contribution."""
+    sums = rows.groupBy(ID, "security").agg(F.sum("contribution").alias("contribution"))
+    return sums.withColumn("place", F.row_number().over(Window.partitionBy(ID).orderBy(F.abs("contribution").desc(), "security")))
+
+
+def decision_matrix(summary: DataFrame, metrics: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per summary row with its metrics, and its decision or PENDING (V14). metrics and decisions are unique on keys."""
+    out = left_join_checked(left_join_checked(summary, metrics, keys), decisions, keys)
+    return out.withColumn("decision", F.coalesce("decision", F.lit("PENDING")))

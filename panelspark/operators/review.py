@@ -74,3 +74,14 @@ def valuation(rows: DataFrame, value: str, keys: Sequence[str] = ("trade_date",)
     """Count and quantiles of the positive finite values (M7)."""
     v = F.when(is_finite(value) & (F.col(value) > 0), F.col(value))
     return rows.groupBy(*keys).agg(F.count(v).alias("n_values"), *[F.percentile(v, p / 100).alias(f"p{p:02d}") for p in (10, 25, 50, 75, 90)])
+
+
+def day_coverage(listed: DataFrame, warned: DataFrame, bars: DataFrame) -> DataFrame:
+    """Listed, reviewed (not under a risk warning) and priced instruments of each session (M1). listed, warned: trade_date, instrument_id; bars: with close."""
+    keys = ["trade_date", "instrument_id"]
+    marked = warned.select(*keys).distinct().withColumn("__warned", F.lit(True))
+    rows = listed.select(*keys).distinct().join(marked, keys, "left").join(bars.select(*keys, "close"), keys, "left")
+    kept = F.col("__warned").isNull()
+    priced = kept & is_finite("close") & (F.col("close") > 0)
+    out = rows.groupBy("trade_date").agg(F.count("*").alias("listed"), F.count_if(kept).alias("reviewed"), F.count_if(priced).alias("priced"))
+    return out.withColumn("coverage", F.try_divide(F.col("priced").cast("double"), F.col("reviewed").cast("double")))

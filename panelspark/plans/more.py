@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark import streaming
-from panelspark.operators import actions, decisions, portfolio
+from panelspark.operators import actions, decisions, performance, portfolio, review
 from panelspark.plans.decisions import _candidates
+from panelspark.plans.study import rounded
 from panelspark.plans.tables import BARS, bars, load, panel, query
 
 
@@ -100,3 +101,65 @@ def semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership in a computed set (P3) as a left-semi join."""
     ids = bars(spark, sf_dir).where("amount > 100000").select(F.col("instrument_id").alias("l_suppkey")).distinct()
     return load(spark, sf_dir, "lineitem").join(ids, "l_suppkey", "left_semi").groupBy((F.col("l_suppkey") % 10).alias("decile")).agg(F.count("*").alias("n"))
+
+
+_WARNED = "warned AS (SELECT DISTINCT CAST(date_trunc('month', l_shipdate) AS DATE) AS signal_date, l_suppkey AS instrument_id FROM lineitem WHERE l_linenumber = 7 AND l_returnflag = 'R')"
+
+
+def _warned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    month = F.trunc(F.col("l_shipdate").cast("date"), "month")
+    return load(spark, sf_dir, "lineitem").where("l_linenumber = 7 and l_returnflag = 'R'").select(month.alias("signal_date"), F.col("l_suppkey").alias("instrument_id")).distinct()
+
+
+@query(
+    f"""WITH {BARS}, {_WARNED} SELECT d.signal_date, s.s_suppkey AS instrument_id, w.instrument_id IS NULL AS eligible, CASE WHEN w.instrument_id IS NULL THEN '' WHEN w.instrument_id % 2 = 0 THEN 'RISK_WARNING,SUSPENDED' ELSE 'RISK_WARNING' END AS reasons
+FROM supplier s CROSS JOIN (SELECT DISTINCT trade_date AS signal_date FROM bars) d LEFT JOIN warned w ON w.signal_date = d.signal_date AND w.instrument_id = s.s_suppkey"""
+)
+def strategy_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statuses = _warned(spark, sf_dir).withColumns({"is_risk_warning": F.lit(True), "is_suspended": F.col("instrument_id") % 2 == 0})
+    instruments = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("instrument_id"))
+    out = decisions.strategy_universe(instruments, bars(spark, sf_dir).select(F.col("trade_date").alias("signal_date")).distinct(), statuses)
+    return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query(
+    f"""WITH {BARS}, o AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS n FROM (SELECT DISTINCT trade_date FROM bars)), b AS (SELECT b.*, o.n FROM bars b JOIN o USING (trade_date)),
+m AS (SELECT *, CASE WHEN count(*) OVER s = 3 THEN avg(close) OVER s END AS x, CASE WHEN count(*) OVER l = 8 THEN avg(close) OVER l END AS y, coalesce(n - lag(n, 7) OVER (PARTITION BY instrument_id ORDER BY trade_date) = 7, false) AS whole FROM b WINDOW s AS (PARTITION BY instrument_id ORDER BY trade_date ROWS 2 PRECEDING), l AS (PARTITION BY instrument_id ORDER BY trade_date ROWS 7 PRECEDING)),
+d AS (SELECT *, CASE WHEN whole AND x IS NOT NULL AND y IS NOT NULL THEN CASE WHEN x > y THEN 'LONG' ELSE 'FLAT' END END AS direction FROM m), p AS (SELECT *, coalesce(last_value(direction IGNORE NULLS) OVER (PARTITION BY instrument_id ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'FLAT') AS before FROM d)
+SELECT instrument_id, trade_date AS signal_date, direction, CASE WHEN direction = 'LONG' AND before = 'FLAT' THEN 'ENTER' WHEN direction = 'FLAT' AND before = 'LONG' THEN 'EXIT' ELSE 'HOLD' END AS action, CASE WHEN direction IS NULL THEN 'INSUFFICIENT_CONTIGUOUS_WINDOW' END AS invalid_reason FROM p"""
+)
+def dual_ma_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir)
+    ordinals = b.select("trade_date").distinct().withColumn("session_ordinal", F.row_number().over(Window.orderBy("trade_date")))  # a calendar
+    return decisions.dual_ma_strategy(b, ordinals, 3, 8)
+
+
+@query(
+    """WITH s AS (SELECT c_nationkey AS portfolio_id, o_custkey AS security, CAST(sum(CAST(round(o_totalprice) AS BIGINT) * CASE WHEN o_orderstatus = 'F' THEN 1 ELSE -1 END) AS BIGINT) AS contribution FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY portfolio_id ORDER BY abs(contribution) DESC, security) AS INTEGER) AS place FROM s"""
+)
+def attribution_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("portfolio_id"), F.col("c_custkey").alias("o_custkey"))
+    signed = F.round("o_totalprice").cast("long") * F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1)
+    return performance.attribution_rollup(load(spark, sf_dir, "orders").join(c, "o_custkey").select("portfolio_id", F.col("o_custkey").alias("security"), signed.alias("contribution")))
+
+
+@query(
+    """SELECT n_nationkey AS k, n_name, CAST(m.n AS BIGINT) AS n_suppliers, coalesce(d.decision, 'PENDING') AS decision FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) m ON m.s_nationkey = n_nationkey
+LEFT JOIN (SELECT n_nationkey AS k, 'KEEP' AS decision FROM nation WHERE n_nationkey % 3 = 0) d ON d.k = n_nationkey"""
+)
+def decision_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    metrics = load(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n_suppliers"))
+    return performance.decision_matrix(nation, metrics, nation.where("k % 3 = 0").select("k", F.lit("KEEP").alias("decision")), ["k"])
+
+
+@query(
+    f"""WITH {BARS}, {_WARNED}, c AS (SELECT s_suppkey AS instrument_id, trade_date FROM supplier CROSS JOIN (SELECT DISTINCT trade_date FROM bars))
+SELECT c.trade_date, count(*) AS listed, count(*) FILTER (WHERE w.instrument_id IS NULL) AS reviewed, count(*) FILTER (WHERE w.instrument_id IS NULL AND b.close > 0) AS priced, round(count(*) FILTER (WHERE w.instrument_id IS NULL AND b.close > 0) / count(*) FILTER (WHERE w.instrument_id IS NULL), 9) AS coverage
+FROM c LEFT JOIN warned w ON w.signal_date = c.trade_date AND w.instrument_id = c.instrument_id LEFT JOIN bars b ON b.trade_date = c.trade_date AND b.instrument_id = c.instrument_id GROUP BY 1"""
+)
+def review_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = bars(spark, sf_dir)
+    listed = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("instrument_id")).crossJoin(F.broadcast(b.select("trade_date").distinct()))  # sessions: a calendar
+    return rounded(review.day_coverage(listed, _warned(spark, sf_dir).withColumnRenamed("signal_date", "trade_date"), b), 9)
