@@ -190,14 +190,14 @@ _QUANTILES_SUM = ", ".join(f"round(quantile_cont(rank_ic, {p / 100}), 8) AS p{p:
 
 
 @query(
-    f"""{_IC}, runs AS (SELECT *, sum(CASE WHEN rank_ic > 0 THEN 0 ELSE 1 END) OVER o AS u, sum(CASE WHEN rank_ic < 0 THEN 0 ELSE 1 END) OVER o AS d FROM ic WINDOW o AS (PARTITION BY factor_id ORDER BY signal_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    f"""{_IC}, ric AS (SELECT * REPLACE (round(rank_ic, 9) AS rank_ic) FROM ic), runs AS (SELECT *, sum(CASE WHEN rank_ic > 0 THEN 0 ELSE 1 END) OVER o AS u, sum(CASE WHEN rank_ic < 0 THEN 0 ELSE 1 END) OVER o AS d FROM ric WINDOW o AS (PARTITION BY factor_id ORDER BY signal_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 up AS (SELECT factor_id, max(n) AS n FROM (SELECT factor_id, u, count(*) AS n FROM runs WHERE rank_ic > 0 GROUP BY 1, 2) GROUP BY 1), down AS (SELECT factor_id, max(n) AS n FROM (SELECT factor_id, d, count(*) AS n FROM runs WHERE rank_ic < 0 GROUP BY 1, 2) GROUP BY 1),
-st AS (SELECT factor_id, count(*) AS n_dates, count(rank_ic) AS n_valid, avg(rank_ic) AS mean, stddev_samp(rank_ic) AS std, count(*) FILTER (WHERE rank_ic > 0) / count(rank_ic) AS positive_rate, {_QUANTILES_SUM} FROM ic GROUP BY 1)
+st AS (SELECT factor_id, count(*) AS n_dates, count(rank_ic) AS n_valid, avg(rank_ic) AS mean, stddev_samp(rank_ic) AS std, count(*) FILTER (WHERE rank_ic > 0) / count(rank_ic) AS positive_rate, {_QUANTILES_SUM} FROM ric GROUP BY 1)
 SELECT st.factor_id, n_dates, n_valid, round(mean, 8) AS mean, round(std, 8) AS std, round(mean / std, 8) AS icir, round(positive_rate, 8) AS positive_rate, p05, p25, p50, p75, p95, coalesce(up.n, 0) AS longest_positive, coalesce(down.n, 0) AS longest_negative
 FROM st LEFT JOIN up USING (factor_id) LEFT JOIN down USING (factor_id)"""
 )
 def ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(study.ic_summary(_ic(spark, sf_dir)))
+    return rounded(study.ic_summary(_ic(spark, sf_dir).withColumn("rank_ic", F.round("rank_ic", 9))))
 
 
 _UNIVERSE = ", universe AS (SELECT signal_date, instrument_id, instrument_id % 4 <> 0 AS eligible FROM factor)"
