@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark import streaming
-from panelspark.operators import actions, decisions, performance, portfolio, review
+from panelspark.operators import actions, decisions, performance, portfolio, quality, review, study
 from panelspark.plans.decisions import _candidates
 from panelspark.plans.study import rounded
-from panelspark.plans.tables import BARS, bars, load, panel, query
+from panelspark.plans.tables import BARS, PANEL, bars, factor, factor_sql, load, panel, query
 
 
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -163,3 +163,69 @@ def review_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     listed = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("instrument_id")).crossJoin(F.broadcast(b.select("trade_date").distinct()))  # sessions: a calendar
     return rounded(review.day_coverage(listed, _warned(spark, sf_dir).withColumnRenamed("signal_date", "trade_date"), b), 9)
+
+
+@query(
+    f"""WITH {PANEL}{factor_sql(6)}, u AS (SELECT signal_date, instrument_id FROM factor WHERE instrument_id % 4 <> 0), i AS (SELECT *, CASE WHEN instrument_id % 9 = 0 THEN ' ' ELSE 'n' || CAST(instrument_id % 5 AS VARCHAR) END AS industry, instrument_id % 10 = 0 AS ended FROM u WHERE instrument_id % 7 <> 0)
+SELECT u.signal_date, count(*) AS eligible_count, count(*) FILTER (WHERE trim(industry) <> '' AND NOT ended) AS classified, count(*) FILTER (WHERE ended) AS ended, count(*) FILTER (WHERE coalesce(trim(industry), '') = '' AND NOT coalesce(ended, false)) AS missing,
+round(count(*) FILTER (WHERE trim(industry) <> '' AND NOT ended) / count(*), 9) AS usable_share FROM u LEFT JOIN i USING (signal_date, instrument_id) GROUP BY 1"""
+)
+def industry_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("instrument_id")
+    cells = factor(spark, sf_dir).select("signal_date", "instrument_id", (i % 4 != 0).alias("eligible"))
+    known = cells.where(i % 7 != 0).select(F.col("signal_date").alias("date"), "instrument_id", F.when(i % 9 == 0, " ").otherwise(F.concat(F.lit("n"), (i % 5).cast("string"))).alias("industry"), (i % 10 == 0).alias("ended"))
+    return rounded(study.industry_coverage(cells, known), 9)
+
+
+@query(f"WITH {PANEL}{factor_sql(6)}{factor_sql(3, 'factor3')}, a AS (SELECT * FROM factor UNION ALL SELECT * FROM factor3) SELECT signal_date, instrument_id, factor_id, value * CASE factor_id WHEN 'return_3m' THEN -1 ELSE 1 END AS value, 'direction_adjusted' AS signal_variant FROM a UNION ALL SELECT signal_date, instrument_id, factor_id, value / 2, 'neutralized' FROM factor")
+def signal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = factor(spark, sf_dir, 6)
+    directions = spark.createDataFrame([("return_6m", 1), ("return_3m", -1)], "factor_id string, direction int")
+    out = study.signal_variants(f.unionByName(factor(spark, sf_dir, 3)), directions, f.withColumn("value", F.col("value") / 2))
+    return out.select("signal_date", "instrument_id", "factor_id", "value", "signal_variant")
+
+
+_HOLDINGS = """h AS (SELECT s_nationkey AS portfolio_id, CAST(date_trunc('year', l_shipdate) AS DATE) AS trade_date, l_suppkey AS security, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS market_value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),
+nav AS (SELECT portfolio_id, trade_date, CAST(portfolio_id AS BIGINT) * 10 AS cash, CAST(sum(market_value) AS BIGINT) + portfolio_id * 10 AS equity FROM h GROUP BY 1, 2)"""
+
+
+@query(
+    f"""WITH {_HOLDINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY portfolio_id, trade_date ORDER BY abs(market_value) DESC, security) AS n FROM h), b AS (SELECT portfolio_id, trade_date, CASE WHEN n <= 3 THEN CAST(security AS VARCHAR) ELSE 'OTHER' END AS bucket, CAST(sum(market_value) AS BIGINT) AS market_value FROM r GROUP BY 1, 2, 3
+UNION ALL SELECT portfolio_id, trade_date, 'CASH', cash FROM nav) SELECT b.portfolio_id, b.trade_date, bucket, market_value, equity, round(market_value / equity, 9) AS weight FROM b JOIN nav USING (portfolio_id, trade_date)"""
+)
+def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("portfolio_id"))
+    year = F.trunc(F.col("l_shipdate").cast("date"), "year")
+    held = load(spark, sf_dir, "lineitem").join(s, "l_suppkey").groupBy("portfolio_id", year.alias("trade_date"), F.col("l_suppkey").alias("security")).agg(F.sum(F.col("l_quantity").cast("long")).alias("market_value"))
+    cash = F.col("portfolio_id").cast("long") * 10
+    nav = held.groupBy("portfolio_id", "trade_date").agg(F.sum("market_value").alias("m")).select("portfolio_id", "trade_date", cash.alias("cash"), (F.col("m") + cash).alias("equity"))
+    return rounded(performance.exposures(held, nav, 3), 9)
+
+
+@query(
+    """WITH e AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS record_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 AS INTEGER) AS ex_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INTEGER) AS pay_date, o_orderdate + INTERVAL (o_orderkey % 20) HOUR AS available_at,
+  CASE WHEN o_orderkey % 9 = 0 THEN -0.1 ELSE 0.5 END AS cash, 0.25 AS bonus, CASE WHEN o_orderkey % 4 = 0 THEN 0.3 ELSE 0.25 END AS stock, o_orderstatus <> 'P' AS done FROM orders)
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE cash < 0) AS amounts, 0::BIGINT AS dates_missing, count(*) FILTER (WHERE done AND available_at > CAST(record_date AS TIMESTAMP) + INTERVAL 15 HOUR) AS seen_too_late, count(*) FILTER (WHERE record_date >= ex_date OR pay_date < ex_date) AS date_order, count(*) FILTER (WHERE abs(stock - bonus) > 1e-12) AS stock_parts FROM e"""
+)
+def dividend_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    rows = load(spark, sf_dir, "orders").select(
+        day.alias("record_date"), F.date_add(day, (k % 3).cast("int")).alias("ex_date"), F.date_add(day, (k % 5).cast("int")).alias("pay_date"), F.lit(None).cast("date").alias("listing_date"),
+        (F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), (k % 20).cast("int"))).alias("available_at"), F.when(k % 9 == 0, -0.1).otherwise(0.5).alias("cash_per_share"), F.lit(0.25).alias("bonus_per_share"),
+        F.lit(None).cast("double").alias("conversion_per_share"), F.when(k % 4 == 0, 0.3).otherwise(0.25).alias("stock_per_share"), F.when(F.col("o_orderstatus") == "P", "PLANNED").otherwise("IMPLEMENTED").alias("status"),
+    )
+    return quality.counts(rows, quality.dividend_violations())
+
+
+@query(
+    """WITH e AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) - 1 AS p, CAST(o_orderdate AS DATE) - CAST(o_orderkey % 40 AS INTEGER) AS a, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderdate AS DATE) END AS i, CAST(o_orderdate AS DATE) - 5 + CAST(o_orderkey % 10 AS INTEGER) AS o, CASE WHEN o_orderkey % 8 <> 0 THEN CAST(o_orderdate AS DATE) END AS oa FROM orders)
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE month(p) % 3 <> 0 OR a < p) AS financial, count(*) FILTER (WHERE i IS NULL OR o < i OR oa IS NULL) AS industry FROM e"""
+)
+def state_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    begun = F.when(k % 6 != 0, day)
+    rows = load(spark, sf_dir, "orders").select(
+        F.date_sub(F.trunc(day, "month"), 1).alias("report_period"), F.date_sub(day, (k % 40).cast("int")).alias("announcement_date"), begun.alias("in_date"), begun.alias("in_available_at"),
+        F.date_add(F.date_sub(day, 5), (k % 10).cast("int")).alias("out_date"), F.when(k % 8 != 0, day).alias("out_available_at"),
+    )
+    return quality.counts(rows, {"financial": quality.financial_violations(), "industry": quality.industry_violations()})
