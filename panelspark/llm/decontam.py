@@ -5,7 +5,11 @@ words of nothing else vanish. What can vary between copies of a question becomes
 typed placeholder: numbers `<num>`, numbers with a unit attached `<qty>`, a unit word
 after a number `<unit>`, and capitalised words that don't start a sentence `<name>`;
 all other words are lower-cased. Windows of k canonical words of the benchmark are
-hash-joined with those of the documents.
+hash-joined with those of the documents, and so are windows of k plain lower-cased
+words: a copy in capitals or in Title Case, or one that starts inside a sentence, turns
+words into `<name>` that the item doesn't have there. A window is found if either form
+meets. Counts are those of the typed form where that alone reaches `least`, as in
+OP5_SQL, and else of both; OP5_SQL knows the typed form only and gives no row for the latter.
 
 Windows of one document and item on one diagonal (document position less item
 position) form an alignment. Its slots must map the item's values to the document's
@@ -72,35 +76,47 @@ def _values(w: Column) -> Column:
     return F.transform(w, lambda t: F.lower(F.replace(t, F.lit(MARK), F.lit(""))))
 
 
-def _hashes(c: Column, k: int) -> Column:
-    """Hashes of all windows of k words, in order."""
+def _word_hashes(c: Column) -> Column:
+    return F.transform(c, lambda t: F.xxhash64(t))
+
+
+def _window_hash(h: Column, i: Column | int, k: Column | int) -> Column:
+    """Hash of the k words from the ith, given the words' hashes."""
+    return F.xxhash64(F.slice(h, i, k))
+
+
+def _hashes(w: Column, c: Column, k: int) -> Column:
+    """The different hashes of all windows of k words, canonical and plain."""
     at = F.when(F.size(c) >= k, F.sequence(F.lit(1), F.size(c) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.slice(c, i, F.lit(k))))
+    of = lambda words: let(_word_hashes(words), lambda h: F.transform(at, lambda i: _window_hash(h, i, F.lit(k))))
+    return F.array_distinct(F.concat(of(c), of(_values(w))))
 
 
 def _read(rows: DataFrame, id_column: str, key: str, sizes: list[int] | None = None) -> DataFrame:
-    """id, key (of the text), w (words), c (canonical words) and, for each size, h<size> (hashes of windows).
+    """id, key (of the text), w (words), c (canonical words) and, for each size, h<size> (different hashes of windows).
 
     They come out of an explode of one struct: the optimizer doesn't copy what is
     computed there into each place that mentions it.
     """
 
     def found(w: Column) -> Column:
-        return let(canonical(w), lambda c: F.struct(w.alias("w"), c.alias("c"), *[_hashes(c, s).alias(f"h{s}") for s in sizes or []]))
+        return let(canonical(w), lambda c: F.struct(w.alias("w"), c.alias("c"), *[_hashes(w, c, s).alias(f"h{s}") for s in sizes or []]))
 
     one = F.explode(F.transform(F.array(words(F.col("text"))), found)).alias("t")
     return rows.select(id_column, text_key().alias(key), one).select(id_column, key, "t.*")
 
 
 def item_windows(benchmark: DataFrame, k: int = K) -> DataFrame:
-    """item_id, item (its row by id and text), n_windows, size, item_at, hash, item_words, item_values: one row per window."""
+    """item_id, item (its row by id and text), n_windows, size, item_at, hashes (canonical and plain, once if equal), item_words, item_values: one row per window."""
     items = _read(benchmark, "item_id", "item").distinct().where(F.size("c") >= SHORTEST)
     items = items.withColumn("size", F.least(F.size("c"), F.lit(k)))
     at = items.select("item_id", "item", "w", "c", "size", F.explode(F.sequence(F.lit(1), F.size("c") - F.col("size") + 1)).alias("item_at"))
     window = F.slice("c", F.col("item_at"), F.col("size"))
+    values = _values(F.slice("w", F.col("item_at"), F.col("size")))
+    hashes = F.array_distinct(F.array(*[_window_hash(_word_hashes(x), F.lit(1), F.col("size")) for x in (window, values)]))
     return at.select(
-        "item_id", "item", "size", "item_at", (F.size("c") - F.col("size") + 1).alias("n_windows"), F.xxhash64(window).alias("hash"), window.alias("item_words"),
-        _values(F.slice("w", F.col("item_at"), F.col("size"))).alias("item_values"),
+        "item_id", "item", "size", "item_at", (F.size("c") - F.col("size") + 1).alias("n_windows"), hashes.alias("hashes"), window.alias("item_words"),
+        values.alias("item_values"),
     )
 
 
@@ -126,8 +142,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, least: float
     counts = []
     for size, b, n in blocks:
         item = ["item_id", "item", "n_windows"]
-        sought = part(size, b, n).groupBy("hash", *item).agg(F.count("*").alias("times"))
-        each = _read(docs, "doc_id", "text_key", [size]).select("doc_id", "text_key", F.explode(F.array_distinct(f"h{size}")).alias("hash"))
+        # a window whose two forms are both there counts twice here, which lets more documents through and loses none
+        sought = part(size, b, n).select(F.explode("hashes").alias("hash"), *item).groupBy("hash", *item).agg(F.count("*").alias("times"))
+        each = _read(docs, "doc_id", "text_key", [size]).select("doc_id", "text_key", F.explode(f"h{size}").alias("hash"))
         hits = each.join(F.broadcast(sought), "hash").groupBy("doc_id", "text_key", *item).agg(F.sum("times").alias("n"))
         counts.append(hits.where(F.col("n") >= F.col("n_windows") * least).select("doc_id", "text_key"))
     near = written(_union(counts).distinct(), "candidates")
@@ -142,21 +159,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, least: float
         at = F.sequence(F.lit(1), F.size("c") - (size - 1))
         window = F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("c", i, F.lit(size)).alias("words"), _values(F.slice("w", i, F.lit(size))).alias("values")))  # noqa: B023
         each = _read(whole, "doc_id", "text_key").where(F.size("c") >= size).select("doc_id", "text_key", F.explode(window).alias("d"))
-        meet = each.join(F.broadcast(part(size, b, n)), F.col("d.words") == F.col("item_words"))
-        found.append(meet.select("doc_id", "text_key", "item_id", "item", "n_windows", "item_at", (F.col("d.at") - F.col("item_at")).alias("diagonal"), "item_words", "item_values", "d.values"))
+        sought = F.broadcast(part(size, b, n))
+        columns = ("doc_id", "text_key", "item_id", "item", "n_windows", "item_at", (F.col("d.at") - F.col("item_at")).alias("diagonal"), "item_words", "item_values", "d.values")
+        found.append(each.join(sought, F.col("d.words") == F.col("item_words")).select(*columns, F.lit(True).alias("typed")))
+        plain = each.join(sought, (F.col("d.values") == F.col("item_values")) & (F.col("d.words") != F.col("item_words")))
+        found.append(plain.select(*columns, F.lit(False).alias("typed")))
     met = _union(found)
     slots = F.filter(F.arrays_zip(F.col("item_words").alias("kind"), F.col("item_values").alias("item"), F.col("values").alias("doc")), lambda s: s["kind"].isin("<num>", "<qty>", "<unit>", "<name>"))
-    met = met.withColumn("slots", slots).withColumn("literal", F.col("item_values") == F.col("values"))
+    # windows that meet as plain words alone are literal: they say nothing of the slots
+    met = met.withColumn("slots", F.when(F.col("typed"), slots).otherwise(F.slice(slots, 1, 0))).withColumn("literal", F.col("item_values") == F.col("values"))
     sure = F.col("literal") | (F.size("slots") * 2 <= F.size("item_words"))
-    # equal document rows fall together here; a group has at most one entry per window of the item
+    # equal document rows fall together here; a group has at most two entries per window of the item
     lines = met.where(sure).groupBy("doc_id", "text_key", "item_id", "item", "n_windows", "diagonal").agg(
-        F.collect_set(F.struct("item_at", "literal")).alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+        F.collect_set(F.struct("item_at", "literal", "typed")).alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     pairs = F.size("slots")
     one_to_one = (pairs == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"]))))) & (pairs == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["doc"])))))
     kept = F.filter("found", lambda f: F.col("one_to_one") | f["literal"])
     each = lines.withColumn("one_to_one", one_to_one).select("doc_id", "text_key", "item_id", "item", "n_windows", F.explode(kept).alias("f"))
-    sums = each.groupBy("doc_id", "text_key", "item_id", "item", "n_windows").agg(F.count_distinct("f.item_at").alias("n_found"), (~F.bool_and("f.literal")).alias("reparameterised"))
+    typed = F.size(F.collect_set(F.when(F.col("f.typed"), F.col("f.item_at")))).cast("long")
+    either = F.size(F.collect_set("f.item_at")).cast("long")
+    sums = each.groupBy("doc_id", "text_key", "item_id", "item", "n_windows").agg(typed.alias("typed"), either.alias("either"), (~F.bool_and("f.literal")).alias("reparameterised"))
+    sums = sums.withColumn("n_found", F.when(F.col("typed") / F.col("n_windows") >= least, F.col("typed")).otherwise(F.col("either")))
     share = (F.col("n_found") / F.col("n_windows")).alias("coverage")
     return sums.select("doc_id", "text_key", "item_id", "n_found", "n_windows", share, "reparameterised").where(F.col("coverage") >= least)
 

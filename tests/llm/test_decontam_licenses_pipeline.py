@@ -107,6 +107,19 @@ def test_reparameterised_questions_and_odd_rows(spark, monkeypatch):
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0 and decontam.clean(d, b.limit(0)).count() == len(docs)
 
 
+def test_verbatim_copies_in_other_capitals_are_found(spark):
+    items = [(1, "Each morning a baker sells 40 loaves to Alice and keeps 3 kg of flour for the next day of work."), (2, "The small green frog jumps")]
+    docs = [
+        (1, "Intro. " + items[0][1].upper()), (2, "so " + items[0][1].title() + " End"), (3, "see " + items[0][1].lower()), (4, "we saw how The small green frog jumps over"), (5, "WE SAW THE SMALL GREEN FROG JUMPS"),
+        (6, "EACH MORNING A BAKER OPENS THE SHOP AND NOTHING ELSE OF THE QUESTION IS HERE"), (7, "Intro. " + items[0][1]), (8, "the small green toad jumps"),
+    ]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_found, r.n_windows, r.coverage, r.reparameterised) for r in decontam.contaminated(d, b).collect()}
+    # the third is found by the ten typed windows without Alice already
+    assert got == {(i, 1): (16, 16, 1.0, False) for i in (1, 2, 7)} | {(3, 1): (10, 16, 0.625, False)} | {(i, 2): (1, 1, 1.0, False) for i in (4, 5)}
+    assert sorted(r.doc_id for r in decontam.clean(d, b).collect()) == [6, 8]
+
+
 def slow_scan(docs, templates=licenses.TEMPLATES, least=0.8):
     def words(t):
         return regex.findall(r"[\p{L}\p{N}]+", t)
