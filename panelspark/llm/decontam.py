@@ -12,9 +12,9 @@ meets. Counts are those of the typed form where that alone reaches `least`, as i
 OP5_SQL, and else of both; OP5_SQL knows the typed form only and gives no row for the latter.
 
 Windows of one document and item on one diagonal (document position less item
-position) form an alignment. Its slots must map the item's values to the document's
-one to one, type by type; if not, only the windows whose words agree literally
-count. So does a window of more than half placeholders. A document is contaminated by
+position) form an alignment. Its slots must map each of the item's values to one value
+of the document, type by type; two values of the item may take the same new one. If
+not, only the windows whose words agree literally count. So does a window of more than half placeholders. A document is contaminated by
 an item if at least `least` of the item's windows are found.
 
 Items of fewer than k words have one window of all their words; items of fewer than
@@ -174,9 +174,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, least: float
         F.collect_set(F.struct("item_at", "literal", "typed")).alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     pairs = F.size("slots")
-    one_to_one = (pairs == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"]))))) & (pairs == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["doc"])))))
-    kept = F.filter("found", lambda f: F.col("one_to_one") | f["literal"])
-    each = lines.withColumn("one_to_one", one_to_one).select("doc_id", "text_key", "item_id", "item", "n_windows", F.explode(kept).alias("f"))
+    one_value = pairs == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"]))))
+    kept = F.filter("found", lambda f: F.col("one_value") | f["literal"])
+    each = lines.withColumn("one_value", one_value).select("doc_id", "text_key", "item_id", "item", "n_windows", F.explode(kept).alias("f"))
     typed = F.size(F.collect_set(F.when(F.col("f.typed"), F.col("f.item_at")))).cast("long")
     either = F.size(F.collect_set("f.item_at")).cast("long")
     sums = each.groupBy("doc_id", "text_key", "item_id", "item", "n_windows").agg(typed.alias("typed"), either.alias("either"), (~F.bool_and("f.literal")).alias("reparameterised"))

@@ -120,6 +120,15 @@ def test_verbatim_copies_in_other_capitals_are_found(spark):
     assert sorted(r.doc_id for r in decontam.clean(d, b).collect()) == [6, 8]
 
 
+def test_two_values_of_an_item_may_take_the_same_new_one(spark):
+    items = [(1, "A shop sells 3 apples and 5 pears on each day of the week to people who walk past Alice and see Bob.")]
+    ask = "Intro. A shop sells {} apples and {} pears on each day of the week to people who walk past {} and see {}."
+    docs = [(1, ask.format(4, 4, "Carol", "Dan")), (2, ask.format(4, 6, "Carol", "Carol")), (3, ask.format(4, 6, "Carol", "Dan")), (4, ask.format(3, 5, "Alice", "Bob"))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.n_found, r.n_windows, r.reparameterised) for r in decontam.contaminated(d, b).collect()}
+    assert got == {(1, 18, 18, True), (2, 18, 18, True), (3, 18, 18, True), (4, 18, 18, False)}
+
+
 def slow_scan(docs, templates=licenses.TEMPLATES, least=0.8):
     def words(t):
         return regex.findall(r"[\p{L}\p{N}]+", t)
