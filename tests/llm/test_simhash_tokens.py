@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import xxhash
 from panelspark.llm import queries, simhash, tokens
 from panelspark.llm.common import scratch, table
@@ -178,3 +179,23 @@ def test_token_files_of_odd_rows(spark):
     assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((r.doc_id is not None, r.doc_id or 0) for r in got)
     out = scratch(spark, "none")
     assert tokens.read_tokens(spark, out, tokens.write_tokens(docs.limit(0), out, path, 2)).count() == 0
+
+
+def test_token_ids_with_a_small_cache_and_broken_bytes(monkeypatch):
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    t = Tokenizer.from_file(path)
+    monkeypatch.setattr(tokens, "CACHE_STEMS", 300)
+    letters = "abcdefghijklmnoéßñø"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) + rng.choice(["", "", ".", "...", "!?", ".,;:!?.,;:!?", "-x", "'s", "7"]) for _ in range(900)]
+    encoder = tokens.Encoder(path, 2)
+    for _ in range(4):
+        texts = [" ".join(rng.choice(words).capitalize() for _ in range(rng.randrange(120))).encode() for _ in range(20)] + [b"", b"\xff\xfe bad \xc3 x"]
+        got = encoder.encode(texts, 2)
+        want = [[*t.encode(x.decode("utf-8", "replace"), add_special_tokens=False).ids, 2] for x in texts]
+        assert [got.values[a:z].tolist() for a, z in zip(got.edges, got.edges[1:])] == want
+
+
+def test_token_files_refuse_a_tokenizer_that_keeps_white_space(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 1, "c")], DOCS)
+    with pytest.raises(ValueError, match="white space"):
+        tokens.write_tokens(docs, scratch(spark, "refused"), public_tokenizers.path("byte_bpe_50k.json"), 2)
