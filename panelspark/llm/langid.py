@@ -11,13 +11,20 @@ the selected language of the largest proportion; score is that proportion among
 learned languages.
 
 Trigrams run over the lower-cased letters of the whole text, every stretch of other
-characters read as one space. The model holds MAX_LANGUAGES languages at most (those
-with most training rows; ties by name), each of SLOTS counts: that bounds what goes
-through the driver and to the tasks, however large the corpus is.
+characters read as one space, with one space at either end; a long text is read in pieces
+that carry that state on. Each language has SLOTS counts, or fewer where there are many
+languages: all together MODEL_CELLS at most, which bounds what goes through the driver
+and to the tasks, however large the corpus is.
+
+EM stops where the likelihood is proven to be within TOLERANCE of the highest there is:
+it is concave, so its gap is at most the number of trigrams times the largest relative
+growth of a proportion. The search for the set ends where the full mixture's bound shows
+that no larger set can win.
 
 Defined results: a null text, one without a letter, or any text where nothing could be
 learned gives `und` with score 0; rows of a null lang or text teach nothing; ties go
-to the smaller name; repeated rows count again; an empty table gives an empty result.
+to the smaller name; repeated rows count again; bytes that are no UTF-8 are read as
+U+FFFD; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,14 +39,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
+from panelspark.llm.common import written
+
 SLOTS = 1 << 15
-MAX_LANGUAGES = 64
+#: Counts that a model holds at most: beyond 64 languages each has fewer slots.
+MODEL_CELLS = 1 << 21
 SMOOTHING = 0.5
 PENALTY = 2.0
-ROUNDS = 12
+#: Log-likelihood (nats) that EM may lack when it stops.
+TOLERANCE = 0.01
 UNDETERMINED = "und"
-#: Characters of a text that are looked at in one piece.
-PIECE = 1 << 20
+#: Code points of a text that are looked at in one piece, and languages whose counts a task holds at a time.
+PIECE, HELD_LANGUAGES = 1 << 20, 64
 
 _letters: list[np.ndarray] = []
 
@@ -51,37 +62,51 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def _slots(text: str) -> np.ndarray:
-    """The trigram slots of one piece of lower-cased text."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = letters()[codes]
-    codes = np.where(is_letter, codes, np.uint32(32))
-    keep = is_letter | np.r_[True, is_letter[:-1]]
-    codes = np.r_[np.uint32(32), codes[keep], np.uint32(32)].astype(np.uint64)
+def _slots(codes: np.ndarray) -> np.ndarray:
+    """The trigram slots of consecutive code points."""
     h = codes[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ codes[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ codes[2:] * np.uint64(0x165667B19E3779F9)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return (h >> np.uint64(49)).astype(np.int32)
 
 
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """Trigram slots of lower-cased text, piece by piece; none where it has no letter."""
+    carry, in_gap = np.array([32], np.uint64), True
+    for a in range(0, len(text), PIECE):
+        codes = np.frombuffer(text[a : a + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        is_letter = letters()[codes]
+        keep = is_letter.copy()
+        keep[1:] |= is_letter[:-1]
+        keep[0] |= not in_gap
+        now = np.concatenate([carry, np.where(is_letter, codes, np.uint32(32))[keep]])
+        in_gap = not is_letter[-1]
+        if len(now) > 2:
+            yield _slots(now)
+        carry = now[-2:]
+    if len(carry) == 2 and not in_gap:
+        yield _slots(np.append(carry, np.uint64(32)))
+
+
+def decoded(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column, whatever bytes they hold."""
+    for t in column.cast(pa.binary()):
+        raw = t.as_py()
+        yield None if raw is None else raw.decode("utf-8", "replace")
+
+
 def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray | None]:
     """Slots of the whole text, and how often each occurs (None: once each as listed). No slots: no letter."""
-    text = (text or "").lower()
-    if len(text) <= PIECE:
-        if not text or not letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
-            return np.empty(0, np.int32), None
-        s = _slots(text)
-        if len(s) <= SLOTS // 32:
-            return s, None
-        counts = np.bincount(s, minlength=SLOTS)
-    else:
-        counts, seen = np.zeros(SLOTS, np.int64), False
-        for a in range(0, len(text), PIECE):
-            piece = text[a : a + PIECE + 2]
-            seen = seen or bool(letters()[np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
-            counts += np.bincount(_slots(piece), minlength=SLOTS)
-        if not seen:
-            return np.empty(0, np.int32), None
+    listed, counts = [], None
+    for s in _pieces((text or "").lower()):
+        listed.append(s)
+        if sum(map(len, listed)) > SLOTS // 32:
+            now = np.bincount(np.concatenate(listed), minlength=SLOTS)
+            counts, listed = now if counts is None else counts + now, []
+    if counts is None:
+        return (np.concatenate(listed) if listed else np.empty(0, np.int32)), None
+    if listed:
+        counts = counts + np.bincount(np.concatenate(listed), minlength=SLOTS)
     which = np.nonzero(counts)[0].astype(np.int32)
     return which, counts[which]
 
@@ -92,6 +117,10 @@ class Model:
     #: p(slot | language), one column per language and a last one for the background.
     p: np.ndarray
 
+    def rows(self, slots: np.ndarray) -> np.ndarray:
+        """p of these of SLOTS slots; a smaller model has 2, 4, ... of them in one."""
+        return self.p[slots // (SLOTS // len(self.p))]
+
 
 def counts(rows: DataFrame) -> DataFrame:
     """lang, slot, n: trigram counts of rows (text, lang), added up within tasks first."""
@@ -106,10 +135,10 @@ def counts(rows: DataFrame) -> DataFrame:
             held.clear()
 
         for b in batches:
-            for text, lang in zip(b.column(0), b.column(1).to_pylist()):
-                slots, times = trigrams(text.as_py())
+            for text, lang in zip(decoded(b.column(0)), b.column(1).to_pylist()):
+                slots, times = trigrams(text)
                 held[lang] += np.bincount(slots, times, SLOTS).astype(np.int64)
-                if len(held) > MAX_LANGUAGES:
+                if len(held) > HELD_LANGUAGES:
                     yield from out()
         yield from out()
 
@@ -119,26 +148,34 @@ def counts(rows: DataFrame) -> DataFrame:
 
 def learn(rows: DataFrame) -> Model:
     """A model from all rows (text, lang) whose lang and text are not null."""
-    top = rows.where("text is not null and lang is not null").groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).select("lang")
-    found = counts(rows.join(F.broadcast(top), "lang", "left_semi")).toArrow()  # MAX_LANGUAGES * SLOTS rows at most
-    names, slots, n = found.column("lang").to_pylist(), found.column("slot").to_numpy(), found.column("n").to_numpy()
-    languages = sorted(set(names))
+    every = written(counts(rows), "trigrams")
+    languages = sorted(r.lang for r in every.select("lang").distinct().collect())  # names alone; their counts follow as MODEL_CELLS rows at most
+    size = SLOTS
+    while size > 1 and size * len(languages) > MODEL_CELLS:
+        size //= 2
+    folded = every.groupBy("lang", F.floor(F.col("slot") / (SLOTS // size)).cast("int").alias("slot")).agg(F.sum("n").alias("n")) if size < SLOTS else every
+    found = folded.toArrow()
     at = {x: i for i, x in enumerate(languages)}
-    p = np.full((SLOTS, len(languages) + 1), SMOOTHING)
-    p[slots, [at[x] for x in names]] += n
+    p = np.full((size, len(languages) + 1), SMOOTHING)
+    p[found.column("slot").to_numpy(), [at[x] for x in found.column("lang").to_pylist()]] += found.column("n").to_numpy()
     p[:, -1] = 1
     return Model(languages, (p / p.sum(0)).astype(np.float64))
 
 
-def proportions(p: np.ndarray, times: np.ndarray | None, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Mixture proportions of the columns of p by EM, and the log-likelihood they reach."""
+def proportions(p: np.ndarray, times: np.ndarray | None, tolerance: float = TOLERANCE) -> tuple[np.ndarray, float, float]:
+    """Mixture proportions of the columns of p by EM, the log-likelihood they reach, and a bound on what it lacks."""
     k = p.shape[1]
-    theta, n = np.full(k, 1.0 / k), float(len(p) if times is None else times.sum())
-    for _ in range(rounds if k > 1 else 0):
+    theta, n, gap = np.full(k, 1.0 / k), float(len(p) if times is None else times.sum()), 0.0
+    while k > 1:
         weight = 1.0 / (p @ theta)
-        theta = theta * (p.T @ (weight if times is None else weight * times)) / n
+        growth = (weight if times is None else weight * times) @ p
+        growth /= n
+        gap = n * (growth.max() - 1.0)
+        if gap <= tolerance:
+            break
+        theta *= growth
     log = np.log(p @ theta)
-    return theta, float(log.sum() if times is None else log @ times)
+    return theta, float(log.sum() if times is None else log @ times), gap
 
 
 def infer(model: Model, text: str | None) -> tuple[str, float, float, list[str]]:
@@ -146,18 +183,17 @@ def infer(model: Model, text: str | None) -> tuple[str, float, float, list[str]]
     slots, times = trigrams(text)
     if not len(slots) or not model.languages:
         return UNDETERMINED, 0.0, 0.0, []
-    p, last = model.p[slots], len(model.languages)
+    p, last = model.rows(slots), len(model.languages)
     n = float(len(slots) if times is None else times.sum())
-    full, best = proportions(p, times)
+    full, log, gap = proportions(p, times)
     order = sorted(range(last), key=lambda i: (-full[i], i))
     cost = PENALTY * np.log(max(n, 2.0)) / 2
-    chosen, value = None, -np.inf
+    chosen, value, most = None, -np.inf, log + gap
     for k in range(1, last + 1):
-        if best - cost * k <= value:  # no larger set can do better: none has a higher likelihood than the full mixture
+        if most - cost * k <= value:  # no larger set can do better: none has a higher likelihood than the best full mixture
             break
         columns = order[:k]
-        theta, log = proportions(p[:, [*columns, last]], times)
-        best = max(best, log)
+        theta, log, _ = proportions(p[:, [*columns, last]], times)
         if log - cost * k > value:
             chosen, value = (columns, theta), log - cost * k
     columns, theta = chosen
@@ -177,7 +213,7 @@ def predict(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [infer(model, t.as_py()) for t in b.column(at)]
+            found = [infer(model, t) for t in decoded(b.column(at))]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*kept, "lang_pred", "score", "other_share", "lang_set"])
 
@@ -198,15 +234,21 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, most_other: float = 0.5) -> DataFrame:
-    """The rows of docs whose text is in a learned language: those that have a letter and fit the background to most_other at most."""
+    """The rows of docs whose text is in a learned language: those that have a letter and fit the background to most_other at most.
+
+    Where no row has a language to learn from, only rows without a letter go.
+    """
     model = learn(docs.select("text", "lang"))
-    if not model.languages:
-        return docs
+
+    def fits(text: str | None) -> bool:
+        if not model.languages:
+            return len(trigrams(text)[0]) > 0
+        lang, _, other, _ = infer(model, text)
+        return lang != UNDETERMINED and other <= most_other
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [infer(model, t.as_py()) for t in b.column(at)]
-            yield b.filter(pa.array([f[0] != UNDETERMINED and f[2] <= most_other for f in found], pa.bool_()))
+            yield b.filter(pa.array([fits(t) for t in decoded(b.column(at))], pa.bool_()))
 
     at = docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)

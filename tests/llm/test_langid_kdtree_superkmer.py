@@ -28,14 +28,11 @@ def test_language_id_on_held_out_texts(spark, sf_dir):
 
 
 def slow_slots(text):
-    import unicodedata  # noqa: F401
-
     letters = "".join(c if c.isalpha() else " " for c in text.lower())
-    padded = " " + re.sub(" +", " ", letters) + " "
+    padded = " " + re.sub(" +", " ", letters.strip()) + " "
     mask = (1 << 64) - 1
     out = []
-    padded = padded if not letters.startswith(" ") else " " + padded[1:]
-    for a, b, c in zip(padded, padded[1:], padded[2:]):
+    for a, b, c in zip(padded, padded[1:], padded[2:]) if letters.strip() else ():
         h = (ord(a) * 0x9E3779B97F4A7C15 ^ ord(b) * 0xC2B2AE3D27D4EB4F ^ ord(c) * 0x165667B19E3779F9) & mask
         h ^= h >> 29
         h = h * 0xBF58476D1CE4E5B9 & mask
@@ -43,6 +40,36 @@ def slow_slots(text):
     return out
 
 
+def test_trigrams_of_pieces_are_those_of_the_whole(monkeypatch):
+    rng, whole = random.Random(2), langid.PIECE
+    texts = ["", "a", "ab", " a ", "!!", "1a", "a1", "a" + "." * 50, "." * 50 + "a", "ÄbC ß.. x"] + ["".join(rng.choice("abc  .é1") for _ in range(rng.randrange(200))) for _ in range(60)]
+    for piece in (1, 2, 3, 7, whole):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        for t in texts:
+            slots, times = langid.trigrams(t)
+            assert times is None and slots.tolist() == slow_slots(t), (piece, t)
+    monkeypatch.setattr(langid, "PIECE", whole)
+    slots, times = langid.trigrams("a" + "." * 3_000_000)
+    assert times is None and slots.tolist() == slow_slots("a")
+    long = "".join(rng.choice(["wort ", "und, ", "satz", " ... ", "É 1 "]) for _ in range(900_000))
+    slots, times = langid.trigrams(long)
+    assert len(long) > 3_000_000 and dict(zip(slots.tolist(), times.tolist())) == Counter(slow_slots(long))
+
+
+def test_more_languages_than_full_columns(spark):
+    rng = random.Random(4)
+    names, rows = [f"l{i:02d}" for i in range(70)], []
+    for name in names:
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        rows += [(" ".join(rng.choice(words) for _ in range(60)), name) for _ in range(1 if name == "l69" else 3)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.learn(df)
+    assert model.languages == names and model.p.shape == (langid.SLOTS // 2, 71)
+    assert sum(langid.infer(model, t)[0] == lang for t, lang in rows) == len(rows)
+    unlabelled = spark.createDataFrame([(1, "wort", None), (2, None, None), (3, "!!!", "x"), (4, "", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.accepted(unlabelled.withColumn("lang", F.lit(None).cast("string"))).collect()] == [1]
+
+
 def test_trigrams_counts_and_mixture(spark):
     text = "Ab, cdé 12 ÜX abab"
     slots, times = langid.trigrams(text)
@@ -61,15 +88,16 @@ def test_trigrams_counts_and_mixture(spark):
         slots = slow_slots(t)
         # the mixture of all columns by plain Python
         theta = [1 / 3] * 3
-        for _ in range(langid.ROUNDS):
+        for _ in range(4_000):
             new = [0.0] * 3
             for s in slots:
                 d = sum(theta[j] * model.p[s, j] for j in range(3))
                 for j in range(3):
                     new[j] += theta[j] * model.p[s, j] / d / len(slots)
             theta = new
-        full, _ = langid.proportions(model.p[slots], None)
-        assert np.allclose(full, theta)
+        full, log, gap = langid.proportions(model.p[slots], None)
+        best = sum(np.log(sum(theta[j] * model.p[s, j] for j in range(3))) for s in slots)
+        assert gap <= langid.TOLERANCE and best - langid.TOLERANCE <= log <= best + 1e-6
     assert langid.infer(model, "aa bb " * 40 + "cc dd " * 20)[3] == ["x", "y"] and langid.infer(model, "aa bb " * 40)[3] == ["x"]
     assert 0.6 < langid.infer(model, "aa bb " * 40 + "cc dd " * 20)[1] < 0.72
     odd = spark.createDataFrame([(1, None, "x", "s", 5), (None, "12 !", None, None, 1), (1, "aa", "x", "s", 2), (1, "aa", "x", "s", 2)], "doc_id long, text string, lang string, score string, n int")
