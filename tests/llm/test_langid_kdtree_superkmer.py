@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from panelspark.llm import kdtree, langid, queries, superkmer
 from panelspark.llm.common import table
 from pyspark.sql import functions as F
@@ -111,21 +112,19 @@ def test_trigrams_counts_and_mixture(spark):
 def slow_top(rows, k=5, every=50):
     fine = [(i, v) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     fine = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in fine]
-    out = []
-    for q, v in fine:
+    found = {}
+    for q, v in fine:  # rows of one query id are ranked together
         if q % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q and len(w) == len(v))[:k]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
-    return sorted(out)
+            found.setdefault(q, []).extend((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q and len(w) == len(v))
+    return sorted((q, n + 1, i, -s) for q, all_of in found.items() for n, (s, i) in enumerate(sorted(all_of)[:k]))
 
 
 def test_kdtree_against_all_pairs(spark, sf_dir, monkeypatch):
     rows = [(r.vec_id, r.embedding) for r in table(spark, sf_dir, "embeddings").collect()]
     want = slow_top(rows)
     assert sorted(tuple(r) for r in queries.op2_kdtree_top_k(spark, sf_dir).collect()) == want
-    monkeypatch.setattr(kdtree, "SHARD_ROWS", 100)
-    monkeypatch.setattr(kdtree, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(kdtree, "LEAF_ROWS", 4)
+    for name, value in (("SHARD_ROWS", 100), ("QUERY_BLOCK", 3), ("LEAF_ROWS", 4), ("BOXES", 3), ("SPLIT_QUERIES", 2)):
+        monkeypatch.setattr(kdtree, name, value)
     assert sorted(tuple(r) for r in queries.op2_kdtree_top_k(spark, sf_dir).collect()) == want
 
 
@@ -133,6 +132,7 @@ def test_kdtree_of_odd_rows(spark, monkeypatch):
     rng = random.Random(5)
     same = [0.5, -0.25, 0.125]
     rows = [(i, same) for i in range(120)] + [(i, [rng.choice([-1.0, 0.0, 0.5, 3e3]) for _ in range(3)]) for i in range(120, 260)]
+    rows += [(50, [-2.0, 7.0, 1e7]), (50, [1e7, -1e7, 1e7]), (701, [2.0e6, -1.0, 4.1e6])]
     rows += [(300, None), (350, [1.0, None, 2.0]), (400, [float("nan"), 0.0, 0.0]), (450, [float("inf"), 0.0, 1.0]), (500, []), (550, [1.0, 2.0]), (551, [3.0, 4.0]), (None, same), (600, [0.0, 0.0, 0.0])]
     df = spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<float>, score int")
     run = lambda: sorted(tuple(r) for r in kdtree.top_k(df.select("vec_id", kdtree.scaled(F.col("embedding")).alias("v")), F.col("vec_id") % 50 == 0).collect())
@@ -144,6 +144,37 @@ def test_kdtree_of_odd_rows(spark, monkeypatch):
     assert kdtree.top_k(df.limit(0).select("vec_id", kdtree.scaled(F.col("embedding")).alias("v")), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_kdtree_of_wide_components_and_results(spark):
+    rows = [(50, [4e9, -3.0]), (1, [3.0e4, 2.0e9]), (2, [-1e4, 1e3]), (3, [0.5, 0.25])]
+    as_df = lambda rs: spark.createDataFrame(rs, "vec_id long, embedding array<double>").select("vec_id", kdtree.scaled(F.col("embedding")).alias("v"))
+    run = lambda rs: sorted(tuple(r) for r in kdtree.top_k(as_df(rs), F.col("vec_id") % 50 == 0).collect())
+    fine = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    best = sorted((-sum(a * b for a, b in zip(fine[50], fine[i])), i) for i in (1, 2, 3))
+    assert run(rows) == [(50, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    with pytest.raises(Exception, match="64|too large|[Oo]verflow"):
+        run([(50, [1e12, 1e12]), (1, [1e12, 1e12])])
+    with pytest.raises(Exception, match="too large"):
+        run([(50, [1e300, 1.0]), (1, [1.0, 1.0])])
+
+
+def test_kdtree_sends_queries_only_where_a_box_may_serve(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(6, 8)) * 100
+    rows = [(i, [float(x) for x in centres[i % 6] + rng.normal(size=8) * 0.01]) for i in range(1200)]
+    low = np.stack([np.floor(256 * np.array(v)) for _, v in rows if _ % 6 == 0]).astype(np.int64)
+    tree = kdtree.Tree(np.arange(len(low)), low)
+    q = low[:4]
+    far = kdtree.best_of_boxes(-q, tree.low[:1], tree.high[:1])
+    assert (far < (q * q).sum(1)[:, None]).all()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", kdtree.scaled(F.col("embedding")).alias("v"))
+    fine = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for qi, v in fine:
+        if qi % 50 == 0:
+            want += [(qi, n + 1, i, -s) for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != qi)[:5])]
+    assert sorted(tuple(r) for r in kdtree.top_k(df, F.col("vec_id") % 50 == 0).collect()) == sorted(want)
+
+
 def slow_cut(rows, k=35):
     texts = [(t or "").encode().split() for _, t in rows]
     seen = Counter(tuple(w[i : i + k]) for w in texts for i in range(len(w) - k + 1))
