@@ -141,8 +141,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'w', 'g'), '[\x20\x09-\x0D]+', '', 'g')) AS size,
-         CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u
-  FROM documents),
+         CAST('0x' || substr(md5('11:' || name || ':' || CAST(row_number() OVER (PARTITION BY name) - 1 AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE AS u
+  FROM (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':' || coalesce(source, 'null')) AS name FROM documents)),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (

@@ -1,8 +1,10 @@
 """Reproducible shuffling into shards: a Feistel permutation over global row numbers.
 
-Rows get global numbers 0..n-1 that depend on the rows alone (a hash bucket of the
-key, then the order within the bucket), not on how Spark happens to split the
-input. A Feistel network over Z_a x Z_b, a*b being the least such product at or
+Rows get global numbers 0..n-1, their ranks by key and tie: they depend on the rows
+alone, not on how Spark happens to split the input. The rows are dealt by ranges of these
+and sorted within, so a number is the count of rows in the ranges before plus the place
+in its own; equal rows are told apart by their place in the input, so that a key which a
+third of all rows have spreads over ranges too. A Feistel network over Z_a x Z_b, a*b being the least such product at or
 above n, permutes [0, a*b); a value at or beyond n is permuted again until it
 falls below n (cycle walking). Place p of the permutation is row p // shards of
 shard p % shards: shard sizes differ by at most one and slots have no gaps.
@@ -20,10 +22,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import carried, let, text_bytes, text_key
-
-#: Row numbers are dealt within so many hash buckets; their counts are all that is summed in one place.
-BUCKETS = 4096
+from panelspark.llm.common import carried, let, partitions, text_bytes, text_key, written
 
 
 def grid(n: int) -> tuple[int, int]:
@@ -101,16 +100,20 @@ def walked(x: Column, n: int, seed: int = 7, rounds: int = 6) -> Column:
 def numbered(rows: DataFrame, key: Column, tie: Column) -> tuple[DataFrame, int]:
     """rows with a global number `__row_number` in [0, n), and n. key and tie: what the numbers depend on."""
     spark = rows.sparkSession
-    dealt = rows.withColumn("__key", key).withColumn("__tie", tie).withColumn("__bucket", F.pmod(F.xxhash64(F.coalesce("__key", "__tie")), F.lit(BUCKETS)).cast("int"))
-    counts = {r[0]: r[1] for r in dealt.groupBy("__bucket").count().collect()}  # BUCKETS rows at most
+    order = [F.col("__key").asc_nulls_last(), F.col("__tie").asc_nulls_last(), F.col("__input_place").asc()]
+    keyed = rows.withColumns({"__key": key, "__tie": tie, "__input_place": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    # the upper bits of such an id are the partition's number, the lower 33 the row's place in it
+    ranged = written(dealt.drop("__key", "__tie", "__input_place").withColumn("__range_place", F.monotonically_increasing_id()), "ranges")
+    ranged = ranged.withColumn("__range", F.shiftright("__range_place", 33).cast("int"))
+    counts = sorted(tuple(r) for r in ranged.groupBy("__range").count().collect())  # one row per partition
     bases, n = [], 0
-    for b in range(BUCKETS):
-        bases.append((b, n))
-        n += counts.get(b, 0)
-    base = F.broadcast(spark.createDataFrame(bases, "__bucket int, __base long"))  # BUCKETS rows
-    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(F.col("__key").asc_nulls_last(), "__tie"))
-    out = dealt.withColumn("__within", within.cast("long") - 1).join(base, "__bucket")
-    return out.withColumn("__row_number", F.col("__base") + F.col("__within")).drop("__key", "__tie", "__bucket", "__within", "__base"), n
+    for number, count in counts:
+        bases.append((number, n))
+        n += count
+    base = F.broadcast(spark.createDataFrame(bases, "__range int, __base long"))  # one row per partition
+    out = ranged.join(base, "__range").withColumn("__row_number", F.col("__base") + F.pmod("__range_place", F.lit(1 << 33)))
+    return out.drop("__range_place", "__range", "__base"), n
 
 
 def placed(rows: DataFrame, key: Column, tie: Column, shards: int, seed: int = 7, rounds: int = 6) -> DataFrame:
@@ -125,7 +128,8 @@ def placed(rows: DataFrame, key: Column, tie: Column, shards: int, seed: int = 7
 
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     """doc_id, size (UTF-8 bytes and 16), text_crc32, shard and slot of every row."""
-    narrow = docs.select("doc_id", (F.length(text_bytes()) + 16).cast("long").alias("size"), F.crc32(text_bytes()).alias("text_crc32"), text_key().alias("__text"))
+    # written first, so that dealing by ranges samples this and not the texts
+    narrow = written(docs.select("doc_id", (F.length(text_bytes()) + 16).cast("long").alias("size"), F.crc32(text_bytes()).alias("text_crc32"), text_key().alias("__text")), "sizes")
     return placed(narrow, F.col("doc_id"), F.col("__text"), shards, seed).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 

@@ -106,6 +106,30 @@ def test_mix_of_odd_rows(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix_sizes(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_draw_for_themselves(spark):
+    rows = [(1, "w " * 10, "a")] * 200 + [(i, "w " * 10, "b") for i in range(900)] + [(None, None, "b")] * 5 + [(7, "w " * 10, None)] * 300
+    df = spark.createDataFrame([(d, t, s, i) for i, (d, t, s) in enumerate(rows)], "doc_id long, text string, source string, other int")
+    for docs in (df.repartition(7), df.coalesce(1)):
+        sums, goal, size = Counter(), {}, {}
+        for r, s in ((r, "a" if r.source_size == 2000 else "b" if r.source_size == 9000 else None) for r in mixing.mix_sizes(docs).collect()):
+            sums[s] += r.taken
+            goal[s], size[s] = r.target, r.source_size
+        assert all(abs(sums[s] - goal[s]) < 0.12 * size[s] for s in goal), (sums, goal)
+        taken = Counter((r.doc_id, r.source) for r in mixing.mix(docs).collect())
+        assert {s: sum(10 * n for (d, x), n in taken.items() if x == s and d is not None) for s in sums} == sums
+        assert max(Counter(r.other for r in mixing.mix(docs).collect()).values()) <= 3
+
+
+def test_row_numbers_are_ranks_whatever_the_input_order(spark):
+    rows = [(i % 7, "x") for i in range(100)] + [(3, "x")] * 150 + [(None, None)] * 9 + [(3, "y")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for docs in (df.repartition(6), df.coalesce(1)):
+        numbers, n = sharding.numbered(docs, F.col("doc_id"), F.col("text"))
+        got = sorted((r["__row_number"], r.doc_id, r.text) for r in numbers.collect())
+        assert n == len(rows) and [g[0] for g in got] == list(range(n))
+        assert [g[1:] for g in got] == sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+
 def test_chat_round_trip(spark, sf_dir):
     got = {r.conv_id: r for r in queries.op9_chat(spark, sf_dir).collect()}
     convs = defaultdict(list)
