@@ -8,8 +8,7 @@ all other words are lower-cased. Windows of k canonical words of the benchmark a
 hash-joined with those of the documents, and so are windows of k plain lower-cased
 words: a copy in capitals or in Title Case, or one that starts inside a sentence, turns
 words into `<name>` that the item doesn't have there. A window is found if either form
-meets. Counts are those of the typed form where that alone reaches `least`, as in
-OP5_SQL, and else of both; OP5_SQL knows the typed form only and gives no row for the latter.
+meets.
 
 Windows of one document and item on one diagonal (document position less item
 position) form an alignment. Its slots must map each of the item's values to one value
@@ -17,11 +16,14 @@ of the document, type by type; two values of the item may take the same new one.
 not, only the windows whose words agree literally count. So does a window of more than half placeholders. A document is contaminated by
 an item if at least `least` of the item's windows are found.
 
-Items of fewer than k words have one window of all their words; items of fewer than
-SHORTEST words can't be told from chance and are not searched. Benchmark windows are
-broadcast in blocks of at most BLOCK_WINDOWS, however large the benchmark is. A first
-pass counts hashes and leaves the documents that can reach `least`; a second compares
-the words of those.
+Items of fewer than k words have one window of all their words. Items of fewer than
+SHORTEST words can't be told from chance inside a sentence: they are found where a whole
+line or sentence of the document is the item, in plain lower-cased words.
+
+One pass over the documents hashes the windows of all sizes that items have, and keeps the
+hits on hashes of the benchmark, which are broadcast BLOCK_HASHES at a time (one pass
+for each such block; a benchmark of some ten thousand items has one). Only documents that
+can reach `least` by their hits are read again and compared word by word.
 
 Defined results: null and empty texts, documents or items, have no windows; rows of one
 doc_id are told apart by their text and give a row each if it differs; wholly equal
@@ -39,7 +41,8 @@ from panelspark.llm.common import SPACE, carried, let, text_key, written
 K = 6
 LEAST = 0.5
 SHORTEST = 4
-BLOCK_WINDOWS = 400_000
+#: Hashes of the benchmark that are broadcast at a time, each of 8 bytes.
+BLOCK_HASHES = 2_000_000
 #: Contaminated documents are joined by broadcast up to so many.
 BROADCAST_DOCS = 500_000
 #: Stands before a word that is a name, within this module's expressions.
@@ -76,48 +79,58 @@ def _values(w: Column) -> Column:
     return F.transform(w, lambda t: F.lower(F.replace(t, F.lit(MARK), F.lit(""))))
 
 
-def _word_hashes(c: Column) -> Column:
-    return F.transform(c, lambda t: F.xxhash64(t))
+def _window_hashes(w: Column, sizes: list[int]) -> Column:
+    """Of each size an array with the hashes of all windows of that many words; null words never occur."""
 
+    def joined(a: Column, b: Column, ahead: int) -> Column:
+        """Hashes of a window each of a and the one `ahead` words later of b."""
+        return F.zip_with(a, F.slice(b, ahead + 1, F.greatest(F.size(b), F.lit(1))), lambda x, y: F.xxhash64(x, y))
 
-def _window_hash(h: Column, i: Column | int, k: Column | int) -> Column:
-    """Hash of the k words from the ith, given the words' hashes."""
-    return F.xxhash64(F.slice(h, i, k))
+    def build(parts: dict[int, Column], size: int) -> Column:
+        """parts: windows of 1, 2, 4, ... words; a window of any size is a chain of these."""
+        out, have = None, 0
+        for p in sorted(parts, reverse=True):
+            if size & p:
+                out, have = (parts[p], p) if out is None else (joined(out, parts[p], have), have + p)
+        return F.slice(out, F.lit(1), F.greatest(F.size(parts[1]) - (size - 1), F.lit(0)))
 
+    def grown(parts: dict[int, Column]) -> Column:
+        last = max(parts)
+        if 2 * last > max(sizes):
+            return F.array(*[build(parts, s) for s in sizes])
+        return let(joined(parts[last], parts[last], last), lambda x: grown(parts | {2 * last: x}))
 
-def _hashes(w: Column, c: Column, k: int) -> Column:
-    """The different hashes of all windows of k words, canonical and plain."""
-    at = F.when(F.size(c) >= k, F.sequence(F.lit(1), F.size(c) - (k - 1))).otherwise(F.array().cast("array<int>"))
-    of = lambda words: let(_word_hashes(words), lambda h: F.transform(at, lambda i: _window_hash(h, i, F.lit(k))))
-    return F.array_distinct(F.concat(of(c), of(_values(w))))
+    return let(F.transform(w, lambda t: F.xxhash64(t)), lambda h: grown({1: h}))
 
 
 def _read(rows: DataFrame, id_column: str, key: str, sizes: list[int] | None = None) -> DataFrame:
-    """id, key (of the text), w (words), c (canonical words) and, for each size, h<size> (different hashes of windows).
+    """id, key (of the text), w (words), c (canonical words), v (plain lower-cased words) and, given sizes, `typed` and `plain` (hashes of windows, an array for each size).
 
     They come out of an explode of one struct: the optimizer doesn't copy what is
     computed there into each place that mentions it.
     """
 
     def found(w: Column) -> Column:
-        return let(canonical(w), lambda c: F.struct(w.alias("w"), c.alias("c"), *[_hashes(w, c, s).alias(f"h{s}") for s in sizes or []]))
+        def both(c: Column, v: Column) -> Column:
+            typed = [_window_hashes(c, sizes).alias("typed"), F.when(c == v, F.array().cast("array<array<bigint>>")).otherwise(_window_hashes(v, sizes)).alias("plain")] if sizes else []
+            return F.struct(w.alias("w"), c.alias("c"), v.alias("v"), *typed)
+
+        return let(canonical(w), lambda c: let(_values(w), lambda v: both(c, v)))
 
     one = F.explode(F.transform(F.array(words(F.col("text"))), found)).alias("t")
     return rows.select(id_column, text_key().alias(key), one).select(id_column, key, "t.*")
 
 
 def item_windows(benchmark: DataFrame, k: int = K) -> DataFrame:
-    """item_id, item (its row by id and text), n_windows, size, item_at, hashes (canonical and plain, once if equal), item_words, item_values: one row per window."""
-    items = _read(benchmark, "item_id", "item").distinct().where(F.size("c") >= SHORTEST)
+    """item_id, item (its row by id and text), n_windows, size, item_at, hashes (canonical and plain), item_words, item_values: one row per window."""
+    sizes = list(range(SHORTEST, k + 1))
+    items = _read(benchmark, "item_id", "item", sizes).distinct().where(F.size("c") >= SHORTEST)
     items = items.withColumn("size", F.least(F.size("c"), F.lit(k)))
-    at = items.select("item_id", "item", "w", "c", "size", F.explode(F.sequence(F.lit(1), F.size("c") - F.col("size") + 1)).alias("item_at"))
-    window = F.slice("c", F.col("item_at"), F.col("size"))
-    values = _values(F.slice("w", F.col("item_at"), F.col("size")))
-    hashes = F.array_distinct(F.array(*[_window_hash(_word_hashes(x), F.lit(1), F.col("size")) for x in (window, values)]))
-    return at.select(
-        "item_id", "item", "size", "item_at", (F.size("c") - F.col("size") + 1).alias("n_windows"), hashes.alias("hashes"), window.alias("item_words"),
-        values.alias("item_values"),
-    )
+    of = lambda c: F.get(F.col(c), F.col("size") - SHORTEST)
+    at = items.select("item_id", "item", "w", "c", "v", "size", of("typed").alias("typed"), of("plain").alias("plain"), F.explode(F.sequence(F.lit(1), F.size("c") - F.col("size") + 1)).alias("item_at"))
+    hashes = F.array_distinct(F.array_compact(F.array(*[F.get(F.col(c), F.col("item_at") - 1) for c in ("typed", "plain")])))
+    cut = lambda c: F.slice(c, F.col("item_at"), F.col("size"))
+    return at.select("item_id", "item", "size", "item_at", (F.size("c") - F.col("size") + 1).alias("n_windows"), hashes.alias("hashes"), cut("c").alias("item_words"), cut("v").alias("item_values"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -127,62 +140,73 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _candidates(docs: DataFrame, windows: DataFrame, sizes: list[int], least: float) -> DataFrame:
+    """doc_id and text_key of the documents that have enough of an item's hashes: all that are contaminated, and few others."""
+    sought = windows.select("item_id", "item", "n_windows", F.explode("hashes").alias("hash")).groupBy("hash", "item_id", "item", "n_windows").agg(F.count("*").alias("times"))
+    hashes = written(sought.select("hash").distinct(), "item-hashes")
+    blocks = max(1, -(-hashes.count() // BLOCK_HASHES))
+    each = _read(docs, "doc_id", "text_key", sizes).select("doc_id", "text_key", F.explode(F.flatten(F.concat("typed", "plain"))).alias("hash"))
+    hits = [each.join(F.broadcast(hashes.where(F.pmod("hash", F.lit(blocks)) == b)), "hash", "left_semi") for b in range(blocks)]
+    # only hits travel; a window may count twice here, in both forms or in two places, which lets more documents through and loses none
+    met = _union(hits).groupBy("doc_id", "text_key", "hash").agg(F.lit(1).alias("hit")).join(sought, "hash")
+    return met.groupBy("doc_id", "text_key", "item_id", "item", "n_windows").agg(F.sum("times").alias("n")).where(F.col("n") >= F.col("n_windows") * least).select("doc_id", "text_key").distinct()
+
+
+def _short(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
+    """doc_id, text_key, item_id of documents one of whose lines or sentences is a whole item of fewer than SHORTEST words; None if there is no such item."""
+    items = _read(benchmark, "item_id", "item").where(F.size("v").between(1, SHORTEST - 1)).select("item_id", F.array_join("v", " ").alias("said")).distinct()
+    items = written(items, "short-items")
+    n = items.count()
+    if not n:
+        return None
+    pieces = F.explode(F.split(F.col("text"), r"[\n\r]+|(?<=[.!?])[\x20\x09\x0B\x0C]+")).alias("text")
+    said = docs.select("doc_id", text_key().alias("text_key"), pieces).where(F.length("text") <= 4096).select("doc_id", "text_key", F.array_join(_values(words(F.col("text"))), " ").alias("said"))
+    items = F.broadcast(items) if n <= BROADCAST_DOCS else items
+    return said.join(items, "said").select("doc_id", "text_key", "item_id").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, least: float = LEAST) -> DataFrame:
     """doc_id, text_key, item_id, n_found, n_windows, coverage, reparameterised (some slot differs): one row per contaminated document and item."""
     windows = written(item_windows(benchmark, k), "item-windows")
-    per_size = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most k rows
-    blocks = [(size, b, max(1, -(-n // BLOCK_WINDOWS))) for size, n in sorted(per_size.items()) for b in range(max(1, -(-n // BLOCK_WINDOWS)))]
-    part = lambda size, b, n: windows.where((F.col("size") == size) & (F.pmod(F.xxhash64("item", "item_id"), F.lit(n)) == b))
-    if not blocks:
-        kinds = {"n_found": "long", "n_windows": "int", "coverage": "double", "reparameterised": "boolean"}
-        ids = (F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), *[F.lit(None).cast(t).alias(n) for n, t in kinds.items()])
-        return docs.select("doc_id", text_key().alias("text_key"), *ids).limit(0)
-
-    # first the documents that have enough of an item's hashes: only numbers leave a row here
-    counts = []
-    for size, b, n in blocks:
-        item = ["item_id", "item", "n_windows"]
-        # a window whose two forms are both there counts twice here, which lets more documents through and loses none
-        sought = part(size, b, n).select(F.explode("hashes").alias("hash"), *item).groupBy("hash", *item).agg(F.count("*").alias("times"))
-        each = _read(docs, "doc_id", "text_key", [size]).select("doc_id", "text_key", F.explode(f"h{size}").alias("hash"))
-        hits = each.join(F.broadcast(sought), "hash").groupBy("doc_id", "text_key", *item).agg(F.sum("times").alias("n"))
-        counts.append(hits.where(F.col("n") >= F.col("n_windows") * least).select("doc_id", "text_key"))
-    near = written(_union(counts).distinct(), "candidates")
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most k rows
+    counts = (F.lit(1).cast("long").alias("n_found"), F.lit(1).alias("n_windows"), F.lit(1.0).alias("coverage"), F.lit(False).alias("reparameterised"))
+    if (short := _short(docs, benchmark)) is not None:
+        short = short.select("doc_id", "text_key", "item_id", *counts)
+    if not sizes:
+        if short is not None:
+            return short
+        return docs.select("doc_id", text_key().alias("text_key"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), *counts).limit(0)
+
+    near = written(_candidates(docs, windows, sizes, least), "candidates")
     near = near.select(F.col("doc_id").alias("__near"), F.col("text_key").alias("__near_key"))
     near = F.broadcast(near) if near.count() <= BROADCAST_DOCS else near
     whole = docs.select("doc_id", "text", text_key().alias("__key"))
     whole = whole.join(near, whole["doc_id"].eqNullSafe(near["__near"]) & (whole["__key"] == near["__near_key"]), "left_semi").select("doc_id", "text")
-
-    # then their windows, word by word
-    found = []
-    for size, b, n in blocks:
-        at = F.sequence(F.lit(1), F.size("c") - (size - 1))
-        window = F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("c", i, F.lit(size)).alias("words"), _values(F.slice("w", i, F.lit(size))).alias("values")))  # noqa: B023
-        each = _read(whole, "doc_id", "text_key").where(F.size("c") >= size).select("doc_id", "text_key", F.explode(window).alias("d"))
-        sought = F.broadcast(part(size, b, n))
-        columns = ("doc_id", "text_key", "item_id", "item", "n_windows", "item_at", (F.col("d.at") - F.col("item_at")).alias("diagonal"), "item_words", "item_values", "d.values")
-        found.append(each.join(sought, F.col("d.words") == F.col("item_words")).select(*columns, F.lit(True).alias("typed")))
-        plain = each.join(sought, (F.col("d.values") == F.col("item_values")) & (F.col("d.words") != F.col("item_words")))
-        found.append(plain.select(*columns, F.lit(False).alias("typed")))
-    met = _union(found)
+    # wholly equal rows count once
+    whole = written(_read(whole, "doc_id", "text_key", sizes).dropDuplicates(["doc_id", "text_key"]), "candidate-words")
+
+    # their windows that meet an item's, word by word
+    one = lambda form, typed: F.flatten(F.transform(form, lambda hs, i: F.transform(hs, lambda h, at: F.struct(h.alias("hash"), F.get(F.array(*map(F.lit, sizes)), i).alias("size"), (at + 1).alias("at"), F.lit(typed).alias("typed")))))
+    each = whole.select("doc_id", "text_key", "c", "v", F.explode(F.concat(one("typed", True), one(F.when(F.size("plain") > 0, F.col("plain")).otherwise(F.col("typed")), False))).alias("d"))
+    each = each.select("doc_id", "text_key", "d.hash", "d.size", "d.at", "d.typed", F.slice("c", F.col("d.at"), F.col("d.size")).alias("words"), F.slice("v", F.col("d.at"), F.col("d.size")).alias("values"))
+    sought = windows.select("item_id", "item", "n_windows", "size", "item_at", "item_words", "item_values", F.explode("hashes").alias("hash"))
+    met = each.join(sought, ["hash", "size"]).where(F.when(F.col("typed"), F.col("words") == F.col("item_words")).otherwise((F.col("values") == F.col("item_values")) & (F.col("words") != F.col("item_words"))))
+    met = met.withColumns({"diagonal": F.col("at") - F.col("item_at"), "literal": F.col("item_values") == F.col("values")})
     slots = F.filter(F.arrays_zip(F.col("item_words").alias("kind"), F.col("item_values").alias("item"), F.col("values").alias("doc")), lambda s: s["kind"].isin("<num>", "<qty>", "<unit>", "<name>"))
     # windows that meet as plain words alone are literal: they say nothing of the slots
-    met = met.withColumn("slots", F.when(F.col("typed"), slots).otherwise(F.slice(slots, 1, 0))).withColumn("literal", F.col("item_values") == F.col("values"))
+    met = met.withColumn("slots", F.when(F.col("typed"), slots).otherwise(F.slice(slots, 1, 0)))
     sure = F.col("literal") | (F.size("slots") * 2 <= F.size("item_words"))
-    # equal document rows fall together here; a group has at most two entries per window of the item
+    # a group has at most two entries per window of the item
     lines = met.where(sure).groupBy("doc_id", "text_key", "item_id", "item", "n_windows", "diagonal").agg(
-        F.collect_set(F.struct("item_at", "literal", "typed")).alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+        F.collect_set(F.struct("item_at", "literal")).alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
-    pairs = F.size("slots")
-    one_value = pairs == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"]))))
+    one_value = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["item"]))))
     kept = F.filter("found", lambda f: F.col("one_value") | f["literal"])
-    each = lines.withColumn("one_value", one_value).select("doc_id", "text_key", "item_id", "item", "n_windows", F.explode(kept).alias("f"))
-    typed = F.size(F.collect_set(F.when(F.col("f.typed"), F.col("f.item_at")))).cast("long")
-    either = F.size(F.collect_set("f.item_at")).cast("long")
-    sums = each.groupBy("doc_id", "text_key", "item_id", "item", "n_windows").agg(typed.alias("typed"), either.alias("either"), (~F.bool_and("f.literal")).alias("reparameterised"))
-    sums = sums.withColumn("n_found", F.when(F.col("typed") / F.col("n_windows") >= least, F.col("typed")).otherwise(F.col("either")))
+    found = lines.withColumn("one_value", one_value).select("doc_id", "text_key", "item_id", "item", "n_windows", F.explode(kept).alias("f"))
+    sums = found.groupBy("doc_id", "text_key", "item_id", "item", "n_windows").agg(F.size(F.collect_set("f.item_at")).cast("long").alias("n_found"), (~F.bool_and("f.literal")).alias("reparameterised"))
     share = (F.col("n_found") / F.col("n_windows")).alias("coverage")
-    return sums.select("doc_id", "text_key", "item_id", "n_found", "n_windows", share, "reparameterised").where(F.col("coverage") >= least)
+    out = sums.select("doc_id", "text_key", "item_id", "n_found", "n_windows", share, "reparameterised").where(F.col("coverage") >= least)
+    return out if short is None else out.union(short)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = K, least: float = LEAST) -> DataFrame:

@@ -70,6 +70,7 @@ def _canonical_sql(name: str, table_name: str, id_column: str) -> str:
          WHEN regexp_matches(lower(w[i].c), '{decontam.QUANTITY}') THEN '<qty>' WHEN i > 1 AND NOT w[i - 1].n AND regexp_matches(w[i - 1].c, '{decontam.NUMBER}') AND list_contains({_UNITS}, lower(w[i].c)) THEN '<unit>' ELSE lower(w[i].c) END) AS c FROM {name}_words)"""
 
 
+# items of fewer than SHORTEST words, found as whole lines or sentences, are left out: the benchmark has none
 OP5_SQL = f"""
 WITH {_canonical_sql('doc', 'documents', 'doc_id')}, {_canonical_sql('item', 'benchmark', 'item_id')},
 iw AS (
@@ -80,11 +81,13 @@ dw AS (
 m AS (
   SELECT doc_id, dw.text, item_id, item, n_windows, item_at, pos - item_at AS diagonal, item_values = doc_values AS literal, len(list_filter(iw.kinds, lambda k: list_contains({_HOLDERS}, k))) AS n_slots, dw.n,
          list_filter(list_transform(range(1, dw.n + 1), lambda j: {{'k': iw.kinds[j], 'i': item_values[j], 'd': doc_values[j]}}), lambda s: list_contains({_HOLDERS}, s.k)) AS slots
-  FROM dw JOIN iw ON dw.n = iw.n AND dw.kinds = iw.kinds),
+  FROM dw JOIN iw ON dw.n = iw.n AND dw.kinds = iw.kinds
+  UNION ALL
+  SELECT doc_id, dw.text, item_id, item, n_windows, item_at, pos - item_at, true, 0, dw.n, [] FROM dw JOIN iw ON dw.n = iw.n AND doc_values = item_values AND dw.kinds <> iw.kinds),
 l AS (
   SELECT doc_id, text, item_id, item, n_windows, diagonal, list(DISTINCT {{'a': item_at, 'literal': literal}}) AS found, list_distinct(flatten(list(slots))) AS slots FROM m WHERE literal OR n_slots * 2 <= n GROUP BY ALL),
 o AS (
-  SELECT *, len(slots) = len(list_distinct(list_transform(slots, lambda s: {{'k': s.k, 'i': s.i}}))) AND len(slots) = len(list_distinct(list_transform(slots, lambda s: {{'k': s.k, 'd': s.d}}))) AS one FROM l),
+  SELECT *, len(slots) = len(list_distinct(list_transform(slots, lambda s: {{'k': s.k, 'i': s.i}}))) AS one FROM l),
 f AS (
   SELECT doc_id, text, item_id, item, n_windows, unnest(list_filter(found, lambda x: one OR x.literal)) AS x FROM o),
 s AS (

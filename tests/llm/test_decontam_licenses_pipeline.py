@@ -39,38 +39,45 @@ def slow_words(text):
 
 
 def slow_contaminated(docs, items, k=decontam.K, least=decontam.LEAST):
-    index, total = defaultdict(list), {}
+    typed, plain, total, short = defaultdict(list), defaultdict(list), {}, defaultdict(set)
     for item, text in items:
         c = slow_words(text)
         if len(c) < decontam.SHORTEST:
+            short[" ".join(v for _, v in c)].add(item)
             continue
         size = min(k, len(c))
         total[item] = len(c) - size + 1
         for i in range(len(c) - size + 1):
-            w = c[i : i + size]
-            index[tuple(x for x, _ in w)].append((item, i, tuple(v for _, v in w)))
+            key, values = zip(*c[i : i + size])
+            typed[key].append((item, i, values))
+            plain[values].append((item, i, key))
+    short.pop("", None)
     out = set()
     for doc, text in docs:
         c = slow_words(text)
         found = defaultdict(list)
-        for size in {len(x) for x in index}:
+        for size in {len(x) for x in typed}:
             for i in range(len(c) - size + 1):
-                w = c[i : i + size]
-                key, values = tuple(x for x, _ in w), tuple(v for _, v in w)
-                for item, j, theirs in index.get(key, ()):
+                key, values = zip(*c[i : i + size])
+                for item, j, theirs in typed.get(key, ()):
                     slots = {(t, a, b) for t, a, b in zip(key, theirs, values) if t.startswith("<")}
                     n_slots = sum(t in ("<num>", "<qty>", "<unit>", "<name>") for t in key)
                     if theirs == values or n_slots * 2 <= size:
                         found[item, i - j].append((j, theirs == values, slots))
+                for item, j, theirs in plain.get(values, ()):
+                    if theirs != key:
+                        found[item, i - j].append((j, True, set()))
         hits = defaultdict(set)
         for (item, _), lines in found.items():
             slots = set().union(*(s for _, _, s in lines))
-            fine = len(slots) == len({(t, a) for t, a, _ in slots}) == len({(t, b) for t, _, b in slots})
+            fine = len(slots) == len({(t, a) for t, a, _ in slots})
             hits[item] |= {(j, literal) for j, literal, _ in lines if fine or literal}
         for item, js in hits.items():
             n = len({j for j, _ in js})
             if js and n / total[item] >= least:
                 out.add((doc, item, n, total[item], not all(x for _, x in js)))
+        for piece in re.split(r"[\n\r]+|(?<=[.!?])[ \t\x0b\x0c]+", text or ""):
+            out |= {(doc, item, 1, 1, False) for item in short.get(" ".join(v for _, v in slow_words(piece)), ())}
     return out
 
 
@@ -100,7 +107,7 @@ def test_reparameterised_questions_and_odd_rows(spark, monkeypatch):
     for r in run():
         by[r.doc_id].add(r.item_id)
     assert by == {1: {1, 7}, 2: {1, 7}, None: {5}, 9: {None}, 10: {5}}
-    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 10)
+    monkeypatch.setattr(decontam, "BLOCK_HASHES", 10)
     assert {(r.doc_id, r.item_id, r.n_found, r.n_windows, r.reparameterised) for r in run()} == got
     kept = decontam.clean(d, b)
     assert kept.columns == d.columns and sorted((r.doc_id, (r.text or "")[:9]) for r in kept.collect()) == sorted((i, (t or "")[:9]) for i, t in docs if i not in (2, None, 9, 10) and not (t or "").startswith("so. "))
@@ -115,11 +122,24 @@ def test_verbatim_copies_in_other_capitals_are_found(spark):
     ]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.n_found, r.n_windows, r.coverage, r.reparameterised) for r in decontam.contaminated(d, b).collect()}
-    # the third is found by the ten typed windows without Alice already
-    assert got == {(i, 1): (16, 16, 1.0, False) for i in (1, 2, 7)} | {(3, 1): (10, 16, 0.625, False)} | {(i, 2): (1, 1, 1.0, False) for i in (4, 5)}
+    assert got == {(i, 1): (16, 16, 1.0, False) for i in (1, 2, 3, 7)} | {(i, 2): (1, 1, 1.0, False) for i in (4, 5)}
     assert sorted(r.doc_id for r in decontam.clean(d, b).collect()) == [6, 8]
 
 
+def test_short_items_are_found_as_whole_lines_or_sentences(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "42"), (3, "two words"), (4, "Who wrote Hamlet?"), (5, "")]
+    docs = [
+        (1, "Intro here. WHO wrote Hamlet? More."), (2, "He asked who wrote hamlet in the end of it"), (3, "a\n 42.\nb"), (4, "there are 42 of them"), (5, "Two   words"), (6, None), (7, "x " * 50000 + "\ntwo words\n"),
+        (1, "other two words here"),
+    ]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_found, r.n_windows, r.reparameterised) for r in decontam.contaminated(d, b).collect()}
+    assert got == slow_contaminated(docs, items) == {(1, 1, 1, 1, False), (1, 4, 1, 1, False), (3, 2, 1, 1, False), (5, 3, 1, 1, False), (7, 3, 1, 1, False)}
+    assert sorted(r.doc_id for r in decontam.clean(d, b).collect()) == [1, 2, 4, 6]
+    longer = spark.createDataFrame([*items, (9, "a question of eight words about something else entirely")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, longer).collect()} == {g[:2] for g in got}
+
+
 def test_two_values_of_an_item_may_take_the_same_new_one(spark):
     items = [(1, "A shop sells 3 apples and 5 pears on each day of the week to people who walk past Alice and see Bob.")]
     ask = "Intro. A shop sells {} apples and {} pears on each day of the week to people who walk past {} and see {}."
