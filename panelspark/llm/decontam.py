@@ -57,7 +57,8 @@ QUANTITY = r"^[0-9]+([.,][0-9]+)*(" + "|".join(UNITS) + ")$"
 def words(text: Column) -> Column:
     """The words of a text without the punctuation at their edges, names marked."""
     t = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(""))
-    t = F.regexp_replace(t, r"(?<=[^.!?\x20\x09-\x0D])(" + SPACE + r"[^\p{L}\p{N}\x20\x09-\x0D]*)(?=\p{Lu})", "$1" + MARK)
+    # the look behind comes after a white-space character, so that it is tried at few places
+    t = F.regexp_replace(t, r"([\x20\x09-\x0D](?<=[^.!?\x20\x09-\x0D][\x20\x09-\x0D])[\x20\x09-\x0D]*+[^\p{L}\p{N}\x20\x09-\x0D]*+)(?=\p{Lu})", "$1" + MARK)
     t = F.regexp_replace(t, f"{_WORD_START}{_EDGE}++|{_EDGE}++{_WORD_END}", "")
     return F.filter(F.split(t, SPACE), lambda w: (w != "") & (w != MARK))
 
