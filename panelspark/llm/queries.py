@@ -98,12 +98,11 @@ SELECT doc_id, item_id, n_found, n_windows, n_found / n_windows AS coverage, rep
 
 def _licenses_sql() -> str:
     known = licenses.known_templates(licenses.TEMPLATES, licenses.LEAST)
-    rows = ", ".join(f"('{k.name}', [{', '.join(repr(p) for p in k.pairs)}], {k.least}, {k.most})" for k in known)
-    low, high = min(k.least for k in known) + 1, max(k.most for k in known) + 1
+    rows = ", ".join(f"('{k.name}', [{', '.join(repr(p) for p in k.pairs)}], {k.n_words}, {k.least}, {k.most})" for k in known)
     return rf"""
-WITH k(license, pairs, low, high) AS (VALUES {rows}),
+WITH k(license, pairs, n_words, low, high) AS (VALUES {rows}),
 n AS (
-  SELECT doc_id, row_number() OVER () AS r, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[0-9]+', '0', 'g'), '[^\p{{L}}\p{{N}}
+  SELECT doc_id, row_number() OVER () AS r, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[0-9]{{3,}}', '0', 'g'), '[^\p{{L}}\p{{N}}
 ]+', ' ', 'g') AS t FROM documents),
 p AS (
   SELECT *, string_split(t, chr(10)) AS l, string_split_regex(t, '
@@ -118,10 +117,26 @@ w AS (
   SELECT doc_id, r, unit, number, list_filter(string_split_regex(v, '[ 
 ]+'), lambda x: x <> '') AS w FROM u),
 b AS (
-  SELECT doc_id, r, unit, number, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs FROM w WHERE len(w) BETWEEN {low} AND {high}),
+  SELECT doc_id, r, unit, number, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs FROM w WHERE len(w) > 1),
 d AS (
-  SELECT doc_id, r, unit, number, license, 2.0::DOUBLE * len(list_intersect(b.pairs, k.pairs)) / (len(b.pairs) + len(k.pairs)) AS dice FROM b JOIN k ON len(b.pairs) BETWEEN low AND high)
-SELECT doc_id, unit, CAST(number AS INTEGER) AS number, license, dice FROM d WHERE dice >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY r, unit, number ORDER BY dice DESC, license) = 1
+  SELECT doc_id, r, unit, number, license, 2.0::DOUBLE * len(list_intersect(b.pairs, k.pairs)) / (len(b.pairs) + len(k.pairs)) AS dice FROM b JOIN k ON len(b.pairs) BETWEEN low AND high),
+e AS (
+  SELECT r, doc_id, unit, CAST(number AS INTEGER) AS number, license, dice FROM d WHERE dice >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY r, unit, number ORDER BY dice DESC, license) = 1),
+t AS (
+  SELECT doc_id, r, w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS h FROM (
+    SELECT doc_id, r, list_filter(string_split_regex(t, '[ 
+]+'), lambda x: x <> '') AS w FROM n)),
+c AS (
+  SELECT t.*, k.*, list_filter(range(1, len(h) + 1), lambda i: list_contains(pairs, h[i])) AS hits FROM t JOIN k ON len(w) > n_words AND len(list_intersect(h, pairs)) >= low
+  WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.r = t.r AND e.license = k.license)),
+x AS (
+  SELECT doc_id, r, license, hits[i] AS pos, pairs, list_distinct(h[hits[i] : hits[i] + n_words - 2]) AS mine FROM c, unnest(range(1, len(hits) + 1)) AS v(i)
+  WHERE hits[i + low - 1] - hits[i] <= n_words - 2 AND hits[i] <= len(w) - n_words + 1),
+y AS (
+  SELECT *, 2.0::DOUBLE * len(list_intersect(mine, pairs)) / (len(mine) + len(pairs)) AS dice FROM x)
+SELECT doc_id, unit, number, license, dice FROM e
+UNION ALL
+(SELECT doc_id, 'window', CAST(pos - 1 AS INTEGER), license, dice FROM y WHERE dice >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY r, license ORDER BY dice DESC, pos) = 1)
 """
 
 

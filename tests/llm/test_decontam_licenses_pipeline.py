@@ -153,24 +153,37 @@ def slow_scan(docs, templates=licenses.TEMPLATES, least=0.8):
     def words(t):
         return regex.findall(r"[\p{L}\p{N}]+", t)
 
-    known = {n: list(dict.fromkeys(zip(w, w[1:]))) for n, w in ((n, words(re.sub("[0-9]+", "0", t.lower()))) for n, t in templates.items())}
-    most = max(int(len(p) * 3 / 2 + 1e-9) for p in known.values()) + 1
-    fewest = min(-(-len(p) * 2 // 3) for p in known.values()) + 1
+    def score(a, b):
+        return 2 * len(a & b) / (len(a) + len(b))
+
+    lengths = {n: words(re.sub("[0-9]{3,}", "0", t.lower())) for n, t in templates.items()}
+    known = {n: set(zip(w, w[1:])) for n, w in lengths.items()}
     out = []
     for doc, text in docs:
-        t = re.sub("[0-9]+", "0", (text or "").lower())
+        t = re.sub("[0-9]{3,}", "0", (text or "").lower())
         t = regex.sub(r"[^\p{L}\p{N}\n]+", " ", t)
         paragraphs = re.split(r"\n[ \n]*\n", t)
         units = [("line", i, x) for i, x in enumerate(t.split("\n"))] + [("paragraph", i, x) for i, x in enumerate(paragraphs) if "\n" in x.strip(" \n")]
         units += [("text", 0, t)] if sum(bool(p.strip(" \n")) for p in paragraphs) > 1 else []
+        found = set()
         for kind, i, x in units:
             w = words(x)
             pairs = set(zip(w, w[1:]))
-            if not fewest <= len(w) <= most or not pairs:
+            if not pairs:
                 continue
-            dice, name = max(((2 * len(pairs & set(k)) / (len(pairs) + len(k)), n) for n, k in known.items()), key=lambda s: (s[0], [-ord(c) for c in s[1]]))
+            dice, name = max(((score(pairs, k), n) for n, k in known.items()), key=lambda s: (s[0], [-ord(c) for c in s[1]]))
             if dice >= least:
                 out.append((doc, kind, i, name, round(dice, 9)))
+                found.add(name)
+        w = words(t)
+        every = list(zip(w, w[1:]))
+        for name in set(known) - found:
+            n = len(lengths[name])
+            if len(w) <= n or len(known[name] & set(every)) * 3 < 2 * len(known[name]):
+                continue
+            best = max(((score(set(every[i : i + n - 1]), known[name]), -i) for i in range(len(w) - n + 1) if every[i] in known[name]), default=(0, 0))
+            if best[0] >= least:
+                out.append((doc, "window", -best[1], name, round(best[0], 9)))
     return sorted(out, key=str)
 
 
@@ -193,6 +206,25 @@ def test_license_scan_of_odd_rows(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_license_texts_wrapped_edited_and_embedded(spark):
+    mit, apache = licenses.TEXTS["MIT-text"], licenses.TEXTS["Apache-2.0-text"]
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    docs = [
+        (1, "Copyright 2020 X\n\n" + wrap(mit, 9)), (2, "This project is released under the MIT License."), (3, "see below. " + mit.replace("\n", " ") + " and " + "more words of code " * 300),
+        (4, wrap(apache, 12)), (5, "intro\n" + wrap(apache.replace("Contributor", "Author"), 11) + "\n\nint main() { return 0; }\n" * 40), (6, licenses.TEXTS["BSD-2-Clause-text"]), (7, licenses.TEXTS["BSD-3-Clause-text"].replace("THE COPYRIGHT HOLDERS", "ACME INC")),
+        (8, licenses.TEXTS["ISC-text"].upper()), (9, "permission is granted to the copyright holder of this license without warranty of any kind"), (10, "word " * 30000 + licenses.NOTICES["GPL-3.0-header"] + " word" * 3000),
+        (11, "the license of the software is not the license of the work " * 200),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = licenses.scan(df).collect()
+    assert sorted(((r.doc_id, r.unit, r.number, r.license, round(r.dice, 9)) for r in rows), key=str) == slow_scan(docs)
+    by = defaultdict(set)
+    for r in rows:
+        by[r.doc_id].add(r.license)
+    assert "MIT-text" in by[1] and by[2] == {"MIT"} and "MIT-text" in by[3] and "Apache-2.0-text" in by[4] and "Apache-2.0-text" in by[5]
+    assert "BSD-2-Clause-text" in by[6] and "BSD-3-Clause-text" in by[7] and "ISC-text" in by[8] and not by[9] and "GPL-3.0-header" in by[10] and not by[11]
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     columns, before = docs.columns, [tuple(r) for r in docs.collect()]
