@@ -6,11 +6,12 @@ at `max_bits` differing bits or fewer, and a document's component is the
 smallest doc_id that it reaches over links.
 
 How pairs are found: equal fingerprints are merged first, so copies cost one row.
-The 64 bits are cut into blocks; two fingerprints within `max_bits` agree on all
-but `max_bits` blocks, so every choice of that many blocks is a bucket key and no
-link is lost. A bucket is sorted by its distance to the first pivot, so that only
-neighbours in that coordinate meet; the table of distances to the other pivots
-discards pairs whose largest coordinate difference exceeds `max_bits` (triangle
+The table of each one's Hamming distances to the pivots, reference fingerprints that are
+the same in every run, is computed once and goes with it. The 64 bits are cut into
+blocks; two fingerprints within `max_bits` agree on all but `max_bits` blocks, so every
+choice of that many blocks is a bucket key and no link is lost. A bucket is sorted by its
+distance to the first pivot, so that only neighbours in that coordinate meet; the other
+coordinates discard pairs whose largest difference exceeds `max_bits` (triangle
 inequality), and survivors are verified bit by bit. A bucket returns a spanning
 set of its links, never more of them than it has rows.
 
@@ -117,42 +118,69 @@ def bucket_links(fps: np.ndarray, table: np.ndarray, max_bits: int, block: int =
     return fps[moved], fps[parent[moved]]
 
 
+def pivot_table(values: DataFrame, n_pivots: int = 16) -> DataFrame:
+    """fp and `distances`, one byte for each pivot, of the values in column fp."""
+    refs = np.array(pivots(n_pivots), np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            table = np.bitwise_count(b.column(0).to_numpy().view(np.uint64)[:, None] ^ refs)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.tobytes() for t in table], pa.binary())], ["fp", "distances"])
+
+    return values.select("fp").mapInArrow(run, "fp long, distances binary")
+
+
 def links(values: DataFrame, max_bits: int = 2, n_pivots: int = 16) -> DataFrame:
     """Links `u`, `v` that span every component of the distinct values in column fp."""
-    masks, refs = block_masks(max_bits), np.array(pivots(n_pivots), np.uint64)
+    masks = block_masks(max_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.uint64)]
-
-        def out(n: int) -> Iterator[pa.RecordBatch]:
-            """Works through the first n rows held."""
-            which, key, fps = (x[:n] for x in held)
-            new = np.r_[True, (which[1:] != which[:-1]) | (key[1:] != key[:-1])] if n else np.empty(0, bool)
-            start = np.nonzero(new)[0]
-            end, found = np.r_[start[1:], n], []
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            """Works through whole buckets."""
+            which, key, fps, table = (np.concatenate(x) for x in zip(*parts))
+            start = np.nonzero(np.r_[True, (which[1:] != which[:-1]) | (key[1:] != key[:-1])])[0]
+            end, found = np.r_[start[1:], len(key)], []
             for a, z in zip(start[end - start > 1].tolist(), end[end - start > 1].tolist()):
-                t = np.bitwise_count(fps[a:z, None] ^ refs)
-                order = np.argsort(t[:, 0], kind="stable")
-                found.append(bucket_links(fps[a:z][order], t[order], max_bits))
+                order = np.argsort(table[a:z, 0], kind="stable")
+                found.append(bucket_links(fps[a:z][order], table[a:z][order], max_bits))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]).view(np.int64)) for k in (0, 1)], ["u", "v"])
 
         for b in batches:
-            got = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)]
-            held = [np.concatenate(x) for x in zip(held, got)]
-            which, key, _ = held
-            whole = np.nonzero((which != which[-1]) | (key != key[-1]))[0] if len(which) else []
-            if n := (int(whole[-1]) + 1 if len(whole) else 0):
-                yield from out(n)
-                held = [x[n:] for x in held]
-        yield from out(len(held[0]))
+            if not b.num_rows:
+                continue
+            table = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            now = (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64), table)
+            which, key = now[:2]
+            last = (which == which[-1]) & (key == key[-1])
+            n = int(np.argmax(last))  # rows before the batch's last bucket
+            if n or (held and (held[-1][0][-1], held[-1][1][-1]) != (which[0], key[0])):
+                yield from out([*held, *([tuple(x[:n] for x in now)] if n else [])])
+                held = []
+            held.append(tuple(x[n:] for x in now))
+        if held:
+            yield from out(held)
 
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)]))
-    rows = values.select("fp", keys.alias("k")).select("k.mask", "k.key", "fp")
+    rows = pivot_table(values, n_pivots).select("fp", "distances", keys.alias("k")).select("k.mask", "k.key", "fp", "distances")
     dealt = rows.repartition(partitions(values.sparkSession), "mask", "key").sortWithinPartitions("mask", "key")
     return dealt.mapInArrow(run, "u long, v long")
 
 
+#: Parts that the rows of one key are dealt to.
+SALTS = 16
+
+
+def with_least(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with `least`, the smallest value among those of their key. A key of very many rows is spread over SALTS tasks."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "__salt").agg(F.min(value).alias("__least"))
+    least = parts.groupBy(key).agg(F.min("__least").alias("least"))
+    return salted.join(parts.select(key, "__salt").join(least, key), [key, "__salt"]).drop("__salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """`node` and `root` (the smallest node reachable) of every node that has an edge u, v.
 
@@ -163,13 +191,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     def large(e: DataFrame) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        return with_least(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("least", "u").alias("v")).distinct()
 
     def small(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        down = with_least(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "u", "v")
+        hung = down.select(F.col("v").alias("u"), F.col("least").alias("v")).union(down.select("u", F.col("least").alias("v")))
         return hung.where("u != v").distinct()
 
     def mark(e: DataFrame):
@@ -193,8 +219,7 @@ def fp_components(fps: DataFrame, max_bits: int = 2, n_pivots: int = 16, least:
     roots = components(links(classes, max_bits, n_pivots))
     # roots themselves are no node of the stars, so they stand for themselves
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "component_id")
+    return with_least(rooted, "root", "rep").select("fp", F.col("least").alias("component_id"))
 
 
 def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, n_pivots: int = 16) -> DataFrame:
@@ -273,12 +298,13 @@ def wide_links(values: DataFrame, similarity: float = 0.8, band_bits: int = 16,
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes), pa.array([s for s in sketch for _ in range(keys.shape[1])], pa.binary())], ["key", "node", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, lanes = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, sketch_lanes), np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def out(n: int) -> Iterator[pa.RecordBatch]:
-            """Works through the first n rows held."""
-            k, x, m = key[:n], node[:n], lanes[:n]
-            start = np.nonzero(np.r_[True, k[1:] != k[:-1]])[0] if n else np.empty(0, np.int64)
+        def out(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            """Works through whole buckets."""
+            k, x, m = (np.concatenate(c) for c in zip(*parts))
+            n = len(k)
+            start = np.nonzero(np.r_[True, k[1:] != k[:-1]])[0]
             size = np.diff(np.r_[start, n])
             of = np.repeat(size, size)
             u, v = [], []
@@ -300,14 +326,14 @@ def wide_links(values: DataFrame, similarity: float = 0.8, band_bits: int = 16,
         for b in batches:
             if not b.num_rows:
                 continue
-            key, node = np.r_[key, b.column(0).to_numpy()], np.r_[node, b.column(1).to_numpy()]
-            lanes = np.concatenate([lanes, np.frombuffer(b"".join(b.column(2).to_pylist()), "<u8").reshape(b.num_rows, -1)])
-            whole = np.nonzero(key != key[-1])[0]
-            if len(whole):
-                n = int(whole[-1]) + 1
-                yield from out(n)
-                key, node, lanes = key[n:], node[n:], lanes[n:]
-        yield from out(len(key))
+            now = (b.column(0).to_numpy(), b.column(1).to_numpy(), np.frombuffer(b"".join(b.column(2).to_pylist()), "<u8").reshape(b.num_rows, -1))
+            n = int(np.argmax(now[0] == now[0][-1]))  # rows before the batch's last bucket
+            if n or (held and held[-1][0][-1] != now[0][0]):
+                yield from out([*held, *([tuple(c[:n] for c in now)] if n else [])])
+                held = []
+            held.append(tuple(c[n:] for c in now))
+        if held:
+            yield from out(held)
 
     rows = values.select("node", "wide").mapInArrow(bands, "key long, node long, sketch binary")
     return rows.repartition(partitions(values.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
