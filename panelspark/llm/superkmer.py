@@ -39,8 +39,9 @@ from panelspark.llm.common import partitions, text_key
 PIECE_WORDS = 2_000_000
 #: Windows of one packed string at most.
 RUN_WINDOWS = 256
-#: Buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 8
+#: Buckets for each shuffle partition at least, and words of the input for each bucket at most: a bucket is
+#: worked through in one worker's memory, and packed windows come to some three times the input.
+BUCKETS_PER_PARTITION, BUCKET_WORDS = 8, 1_500_000
 HEAVY_GRAMS = 1 << 16
 HEAVY_IN_PIECE = 64
 
@@ -152,19 +153,23 @@ def _numbered(piece: list) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndar
     return ids, of[ids], words, np.cumsum([0, *(len(ws) for _, _, ws in piece)])
 
 
-def heavy_grams(rows: DataFrame, k: int, m: int) -> np.ndarray:
-    """Hashes of the most frequent m-word grams, ascending; at most HEAVY_GRAMS of them."""
+def heavy_grams(rows: DataFrame, k: int, m: int) -> tuple[np.ndarray, int]:
+    """Hashes of the most frequent m-word grams, ascending, at most HEAVY_GRAMS of them; and the words of documents that have windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches, k):
-            grams = mixed(rolled(_numbered(piece)[1], m, _B1))
+            hashes = _numbered(piece)[1]
+            grams = mixed(rolled(hashes, m, _B1))
             # small hashes alone become minimisers of many windows
             found, n = np.unique(grams[grams < _U(1 << 61)], return_counts=True)
             often = n >= HEAVY_IN_PIECE
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], ["gram", "n"])
+            grams, counts = found[often].view(np.int64), n[often]
+            # the row of the null gram counts words
+            yield pa.RecordBatch.from_arrays([pa.array([*grams.tolist(), None], pa.int64()), pa.array([*counts.tolist(), len(hashes)], pa.int64())], ["gram", "n"])
 
-    top = rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "gram").limit(HEAVY_GRAMS)
-    return np.sort(np.array([r.gram for r in top.select("gram").collect()], np.int64).view(np.uint64))
+    top = rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.isnull("gram").desc(), F.col("n").desc(), "gram").limit(HEAVY_GRAMS + 1).collect()
+    words = sum(r.n for r in top if r.gram is None)
+    return np.sort(np.array([r.gram for r in top if r.gram is not None], np.int64).view(np.uint64)), words
 
 
 def _sent(piece: list, k: int, m: int, heavy: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -246,8 +251,8 @@ def _counted(texts: list[bytes], infos: list[np.ndarray], k: int) -> pa.RecordBa
 def repeated_windows(rows: DataFrame, k: int = 35, m: int = 3) -> DataFrame:
     """doc_id, text_key, start, count: runs of windows (numbers of their first words) that occur more than once. rows: doc_id, text_key, text (binary)."""
     n_parts = partitions(rows.sparkSession)
-    buckets = n_parts * BUCKETS_PER_PARTITION
-    heavy = heavy_grams(rows, k, m)
+    heavy, n_words = heavy_grams(rows, k, m)
+    buckets = max(n_parts * BUCKETS_PER_PARTITION, -(-n_words // BUCKET_WORDS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches, k):
