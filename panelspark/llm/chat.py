@@ -4,7 +4,8 @@ A turn's content is a list of parts (type, text, ref, units). The visitor flatte
 them in order: text parts are escaped and kept, every other part becomes a
 placeholder `<|type:i|>` with its index among the conversation's attachments, whose
 reference and expanded token count (units times TOKENS_PER_UNIT) are recorded. A
-plain text column is a turn of one text part.
+plain text column is a turn of one text part. Where a turn starts and how many attachments
+stand before it are running sums over the conversation's turns, and turns are joined once.
 
 Output of a turn: `<|role|>` + role + newline + content + `<|end|>`. Inside roles
 and texts, `\` becomes `\e`, `<` becomes `\l` and `[` becomes `\b` (a newline in a
@@ -21,7 +22,7 @@ functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PART = "struct<type:string,text:string,ref:string,units:bigint>"
@@ -55,10 +56,10 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units")))
 
 
-def _visited(state: Column, part: Column) -> Column:
-    """The visitor: state (content, attachments) after one more part."""
+def _visited(state: Column, part: Column, base: Column) -> Column:
+    """The visitor: state (content, attachments) of a turn after one more part. base: attachments of the turns before."""
     kind = F.coalesce(part["type"], F.lit("text"))
-    is_text, n = kind == "text", F.size(state["attachments"])
+    is_text, n = kind == "text", base + F.size(state["attachments"])
     per = F.lit(1).cast("long")
     for name, tokens in TOKENS_PER_UNIT.items():
         per = F.when(kind == name, F.lit(tokens).cast("long")).otherwise(per)
@@ -72,24 +73,24 @@ def _visited(state: Column, part: Column) -> Column:
 
 def format_chats(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv_id, formatted, loss_spans, attachments of every conversation. turns: conv_id, turn, role, parts (array of PART)."""
-    role = F.coalesce("role", F.lit(""))
-    # sorting by (turn, role, parts) makes ties of turn come out the same in every run
-    each = turns.select("conv_id", F.struct("turn", role.alias("role"), F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")).alias("parts")).alias("t"))
-    convs = each.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    # ties of turn are ordered by role and parts, so that they come out the same in every run
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "parts").rowsBetween(Window.unboundedPreceding, -1)
+    each = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")).alias("parts"))
+    others = F.size(F.filter("parts", lambda p: F.coalesce(p["type"] != "text", F.lit(False))))
+    each = each.withColumn("base", F.coalesce(F.sum(others).over(before), F.lit(0)).cast("int"))
     entry = "struct<index:int,type:string,ref:string,tokens:bigint>"
-    start = F.struct(F.lit("").alias("formatted"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"), F.array().cast(f"array<{entry}>").alias("attachments"))
-
-    def turn(state: Column, t: Column) -> Column:
-        body = F.aggregate(t["parts"], F.struct(F.lit("").alias("content"), state["attachments"].alias("attachments")), _visited)
-        head = F.concat(state["formatted"], F.lit(TURN), escape_role(t["role"]), F.lit("\n"))
-        span = F.array(F.struct(F.length(head).alias("start"), F.length(body["content"]).alias("length")))
-        return F.struct(
-            F.concat(head, body["content"], F.lit(END)).alias("formatted"),
-            F.when(t["role"].isin(*trained), F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"),
-            body["attachments"].alias("attachments"),
-        )
-
-    return convs.select("conv_id", F.aggregate("turns", start, turn).alias("s")).select("conv_id", "s.formatted", F.col("s.spans").alias("loss_spans"), "s.attachments")
+    start = F.struct(F.lit("").alias("content"), F.array().cast(f"array<{entry}>").alias("attachments"))
+    body = F.aggregate("parts", start, lambda state, part: _visited(state, part, F.col("base")))
+    each = each.select("conv_id", "turn", "role", "parts", F.concat(F.lit(TURN), escape_role(F.col("role")), F.lit("\n")).alias("head"), body.alias("body"))
+    each = each.withColumn("piece", F.concat("head", "body.content", F.lit(END)))
+    each = each.withColumn("start", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int"))
+    span = F.struct((F.col("start") + F.length("head")).alias("start"), F.length("body.content").alias("length"))
+    kept = F.struct("start", "piece", F.when(F.col("role").isin(*trained), span).alias("span"), F.col("body.attachments").alias("attachments"))
+    convs = each.groupBy("conv_id").agg(F.array_sort(F.collect_list(kept)).alias("turns"))
+    spans = F.filter(F.transform("turns", lambda t: t["span"]), lambda s: s.isNotNull())
+    return convs.select(
+        "conv_id", F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"), spans.alias("loss_spans"), F.flatten(F.transform("turns", lambda t: t["attachments"])).alias("attachments")
+    )
 
 
 def read_turns(formatted: Column) -> Column:

@@ -162,3 +162,13 @@ def test_chat_parts_and_odd_turns(spark):
     assert rows[1].loss == "[INST] \\e\\b naïve 🎈\n<|role|>x" * 2 and rows[1].formatted.count(chat.END) == 3
     assert [(t.role, t.text) for t in rows[None].turns] == [("", ""), ("ro\nle", "")] and rows[2].loss == ""
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_chat_of_many_long_turns_and_attachments(spark):
+    part = lambda kind, text=None, ref=None, units=None: {"type": kind, "text": text, "ref": ref, "units": units}
+    turns = [(1, t, "assistant" if t % 2 else "user", [part("text", "wort [x] " * 200), part("document", ref=f"d{t}", units=t)]) for t in range(600)] + [(2, 0, "user", [part("text", "é" * 400_000)])]
+    df = spark.createDataFrame(turns, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    rows = {r.conv_id: r for r in chat.format_chats(df).select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert [(a["index"], a.ref, a.tokens) for a in rows[1].attachments] == [(t, f"d{t}", 600 * t) for t in range(600)]
+    assert [t.text for t in rows[1].turns] == ["wort [x] " * 200 + f"<|document:{t}|>" for t in range(600)]
+    assert rows[1].loss == "".join("wort [x] " * 200 + f"<|document:{t}|>" for t in range(1, 600, 2)) and rows[2].turns[0].text == "é" * 400_000
