@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,13 +191,30 @@ def needs_rebalance(weights: DataFrame, tolerance: float, keys: Sequence[str] =
 # --- risk and cost ----------------------------------------------------------------
 
 
-def shrunk_covariance(returns: DataFrame, shrink: float = 0.1) -> DataFrame:
-    """Sample covariance of each pair of instruments over common dates, missing returns as 0, off-diagonals shrunk (K1). returns: trade_date, instrument_id, r on a complete grid."""
-    r = returns.select("trade_date", "instrument_id", F.coalesce(finite("r"), F.lit(0.0)).alias("r"))
-    other = r.select("trade_date", F.col("instrument_id").alias("instrument_y"), F.col("r").alias("s"))
-    pairs = r.withColumnRenamed("instrument_id", "instrument_x").join(other, "trade_date").where("instrument_x <= instrument_y")
-    cov = pairs.groupBy("instrument_x", "instrument_y").agg(F.covar_samp("r", "s").alias("covariance"))
-    return cov.withColumn("covariance", F.when(F.col("instrument_x") == F.col("instrument_y"), F.col("covariance")).otherwise(F.col("covariance") * (1 - shrink)))
+def shrunk_covariance(returns: DataFrame, shrink: float = 0.1, blocks: int = 8) -> DataFrame:
+    """Sample covariance of each pair of instruments, missing returns as 0, off-diagonals shrunk (K1). returns: trade_date, instrument_id, r on a complete grid.
+
+    Instruments are dealt to `blocks`, and each pair of blocks is one product of two
+    matrices: an instrument's series travels `blocks` times, and no row per pair and date is made.
+    """
+    series = returns.groupBy("instrument_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_date", F.coalesce(finite("r"), F.lit(0.0)).alias("r")))), lambda x: x["r"]).alias("series"))
+    dealt = series.withColumn("block", F.pmod(F.xxhash64("instrument_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("instrument_id", "series", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def gram(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("instrument_id")
+        low, high = (rows[rows["block"] == rows[c].iloc[0]] for c in ("low", "high"))
+        if low.empty or high.empty:
+            return pd.DataFrame({"instrument_x": low["instrument_id"][:0], "instrument_y": low["instrument_id"][:0], "covariance": np.empty(0)})
+        x, y = (np.stack(part["series"].to_list()) for part in (low, high))
+        cov = (x - x.mean(1, keepdims=True)) @ (y - y.mean(1, keepdims=True)).T / (x.shape[1] - 1) if x.shape[1] > 1 else np.full((len(x), len(y)), np.nan)
+        i, j = np.triu_indices(len(low)) if rows["low"].iloc[0] == rows["high"].iloc[0] else (k.ravel() for k in np.indices(cov.shape))
+        a, b = low["instrument_id"].to_numpy()[i], high["instrument_id"].to_numpy()[j]
+        return pd.DataFrame({"instrument_x": np.where(a <= b, a, b), "instrument_y": np.where(a <= b, b, a), "covariance": cov[i, j]})
+
+    kind = dict(returns.dtypes)["instrument_id"]
+    cov = dealt.groupBy("low", "high").applyInPandas(gram, f"instrument_x {kind}, instrument_y {kind}, covariance double")
+    return cov.withColumn("covariance", F.nanvl("covariance", F.lit(None).cast("double"))).withColumn("covariance", F.when(F.col("instrument_x") == F.col("instrument_y"), F.col("covariance")).otherwise(F.col("covariance") * (1 - shrink)))
 
 
 def pre_trade_cost(size: Column, fixed: float, linear: float, impact: float) -> Column:

@@ -160,12 +160,11 @@ def needs_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dec.needs_rebalance(dec.equal_weight(_candidates(spark, sf_dir), 15, 0.08, 100_000.0), 0.0601), 9)
 
 
-@query(f"WITH {PANEL}, r AS (SELECT trade_date, instrument_id, coalesce(log_return, 0) AS r FROM panel WHERE instrument_id < 40) SELECT a.instrument_id AS instrument_x, b.instrument_id AS instrument_y, round(covar_samp(a.r, b.r) * CASE WHEN a.instrument_id = b.instrument_id THEN 1.0 ELSE 0.9 END, 8) AS covariance FROM r a JOIN r b USING (trade_date) WHERE a.instrument_id <= b.instrument_id GROUP BY 1, 2, a.instrument_id, b.instrument_id")
+@query(f"WITH {PANEL}, r AS (SELECT trade_date, instrument_id, coalesce(log_return, 0) AS r FROM panel) SELECT a.instrument_id AS instrument_x, b.instrument_id AS instrument_y, round(covar_samp(a.r, b.r) * CASE WHEN a.instrument_id = b.instrument_id THEN 1.0 ELSE 0.9 END, 8) AS covariance FROM r a JOIN r b USING (trade_date) WHERE a.instrument_id <= b.instrument_id GROUP BY 1, 2, a.instrument_id, b.instrument_id")
 def shrunk_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of one portfolio's 40 instruments."""
     from panelspark.plans.tables import panel
 
-    rows = panel(spark, sf_dir).where("instrument_id < 40").withColumnRenamed("log_return", "r")
+    rows = panel(spark, sf_dir).withColumnRenamed("log_return", "r")
     return rounded(dec.shrunk_covariance(rows))
 
 
@@ -184,14 +183,14 @@ def trade_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAV = """nav AS (
   SELECT n AS portfolio_id, d AS trade_date, 100000000 + CAST(sum(c) OVER (PARTITION BY n ORDER BY d) AS BIGINT) AS equity, 100000000 + CAST(sum(t) OVER (PARTITION BY n ORDER BY d) AS BIGINT) AS benchmark
-  FROM (SELECT s_nationkey AS n, CAST(l_shipdate AS DATE) AS d, sum(CAST(l_quantity AS BIGINT) - 25) * 100000 AS c, sum(CAST(l_linenumber AS BIGINT) - 4) * 100000 AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey < 8 GROUP BY 1, 2))"""
+  FROM (SELECT s_nationkey AS n, CAST(l_shipdate AS DATE) AS d, sum(CAST(l_quantity AS BIGINT) - 25) * 100000 AS c, sum(CAST(l_linenumber AS BIGINT) - 4) * 100000 AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2))"""
 _DAILY = f"""WITH {_NAV}, ret_ AS (
   SELECT *, coalesce(equity / lag(equity) OVER w - 1, 0) AS daily_return, coalesce(benchmark / lag(benchmark) OVER w - 1, 0) AS benchmark_return, max(equity) OVER (PARTITION BY portfolio_id ORDER BY trade_date) AS peak, row_number() OVER w AS session FROM nav WINDOW w AS (PARTITION BY portfolio_id ORDER BY trade_date)),
 daily AS (SELECT *, daily_return - benchmark_return AS active_return, equity / peak - 1 AS drawdown FROM ret_)"""
 
 
 def _nav(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = load(spark, sf_dir, "supplier").where("s_nationkey < 8").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("portfolio_id"))
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("portfolio_id"))
     rows = load(spark, sf_dir, "lineitem").join(s, "l_suppkey").groupBy("portfolio_id", F.col("l_shipdate").cast("date").alias("trade_date"))
     rows = rows.agg((F.sum(F.col("l_quantity").cast("long") - 25) * 100000).alias("c"), (F.sum(F.col("l_linenumber").cast("long") - 4) * 100000).alias("t"))
     w = Window.partitionBy("portfolio_id").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)

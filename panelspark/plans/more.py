@@ -84,9 +84,11 @@ def entitlements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def optimized_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best of each month, by projected gradient."""
-    cov = decisions.shrunk_covariance(panel(spark, sf_dir).withColumnRenamed("log_return", "r"))
+    """The ten best of each month; covariances of those alone that are ever among them."""
     c = _candidates(spark, sf_dir).withColumn("capacity_limit", F.col("adv_amount") / 1e6)
+    best = Window.partitionBy("signal_date").orderBy(F.col("score").desc(), "instrument_id")
+    ever = c.where("score is not null").withColumn("n", F.row_number().over(best)).where("n <= 10").select("instrument_id").distinct()
+    cov = decisions.shrunk_covariance(panel(spark, sf_dir).join(ever, "instrument_id", "left_semi").withColumnRenamed("log_return", "r"))
     return portfolio.alpha_risk_cost(c, cov, 10, 0.2, most_turnover=0.6)
 
 

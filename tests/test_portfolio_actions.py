@@ -13,35 +13,67 @@ from panelspark.operators import actions, portfolio
 D0 = date(2024, 1, 1)
 
 
-def test_capped_simplex_is_the_nearest_point():
+def test_best_weights_beat_other_weights():
     rng = np.random.default_rng(2)
-    for _ in range(50):
-        n = int(rng.integers(1, 6))
-        v, u = rng.normal(0.3, 0.6, n), rng.uniform(0.05, 0.9, n)
-        w = portfolio.capped_simplex(v, u)
-        assert (w >= 0).all() and (w <= u + 1e-12).all() and w.sum() <= 1 + 1e-9
-        best = ((w - v) ** 2).sum()
-        for _ in range(200):  # no feasible point is nearer
-            x = np.clip(w + rng.normal(0, 0.05, n), 0, u)
-            if x.sum() <= 1:
-                assert ((x - v) ** 2).sum() >= best - 1e-9
-
-
-def test_limited_target_keeps_the_limit():
-    rng = random.Random(7)
-    for _ in range(100):
-        names = list("abcdefgh")
-        rng.shuffle(names)
-        current = {k: rng.random() / 5 for k in names[:4]}
-        target = {k: rng.random() / 5 for k in names[2:6]}
-        order = sorted(target, key=lambda k: -target[k])
-        limit = rng.random() / 2
-        out = portfolio.limited_target(current, target, order, 5, 0.2, limit)
-        assert portfolio.turnover(current, out) <= limit + 1e-9 and len(out) <= 5
-    assert portfolio.limited_target({"a": 0.1}, {"a": 0.2, "b": 0.1}, ["a", "b"], 2, 0.5, 1.0) == {"a": 0.2, "b": 0.1}
-    assert portfolio.limited_target({"a": 0.1}, {"a": 0.2}, ["a"], 2, 0.5, 0.025) == pytest.approx({"a": 0.15})
-    with pytest.raises(ValueError):
-        portfolio.limited_target({"a": 0.1, "b": 0.1}, {}, [], 1, 0.5, 1.0)
+    for _ in range(40):
+        n = int(rng.integers(1, 7))
+        root = rng.normal(size=(n, n))
+        cov, s, held, most = root @ root.T / n, rng.normal(0.3, 0.6, n), rng.uniform(0, 0.3, n) * rng.integers(0, 2, n), rng.uniform(0.05, 0.9, n)
+        value = lambda w: s @ w - 0.7 * w @ cov @ w - 0.05 * np.abs(w - held).sum()  # noqa: B023, E731
+        w = portfolio.best_weights(s, cov, held, most, 0.7, 0.05)
+        assert (w >= 0).all() and (w <= most + 1e-9).all() and w.sum() <= 1 + 1e-9
+        for _ in range(300):
+            x = np.clip(w + rng.normal(0, rng.choice([1e-3, 0.05, 0.4]), n), 0, most)
+            x = x / max(1.0, x.sum())
+            assert value(x) <= value(w) + 1e-7
+    flat = portfolio.best_weights(np.array([0.2, -0.2]), np.zeros((2, 2)), np.zeros(2), np.array([0.4, 0.4]), 1.0, 0.0)
+    assert flat.tolist() == [0.4, 0.0]
+
+
+def slow_limited(rows, most, cap, limit):
+    """rows: name -> (now, goal, rank); None where it is an error."""
+    one_way = lambda held: sum(abs(held.get(k, 0.0) - now) for k, (now, _, _) in rows.items()) / 2
+    held = {k: min(now, cap) for k, (now, _, _) in rows.items() if now > 0}
+    if len(held) > most or one_way(held) > limit + 1e-12:
+        return None
+    drops = sorted((now, k) for k, (now, goal, _) in rows.items() if now > 0 and goal <= 0)
+    for _, k in sorted((rank, k) for k, (now, goal, rank) in rows.items() if goal > 0 and now <= 0):
+        new = held | {k: rows[k][1]}
+        if len(new) > most:
+            if not drops:
+                continue
+            new.pop(drops[0][1])
+        if one_way(new) <= limit + 1e-12:
+            drops = drops[1:] if len(held) + 1 > most else drops
+            held = new
+    best = held
+    for i in range(10_001):
+        moved = {k: w + i / 10_000 * ((rows[k][1] or w) - w) for k, w in held.items()}
+        best = moved if one_way(moved) <= limit + 1e-12 else best
+    return best
+
+
+def test_turnover_limit_against_plain_python(spark):
+    rng, data, want = random.Random(7), [], {}
+    for d in range(60):
+        names = rng.sample(range(12), 9)
+        rows = {k: (round(rng.uniform(0.01, 0.25), 3) if i < 4 else 0.0, round(rng.uniform(0.01, 0.15), 3) if i >= 2 and i != 5 else 0.0, i if i % 3 else 3) for i, k in enumerate(names)}
+        most, limit = 5, 0.35
+        got = slow_limited(rows, most, 0.2, limit)
+        if got is not None:
+            want[d] = got
+            data += [(D0 + timedelta(d), k, now or None, goal, rank) for k, (now, goal, rank) in rows.items()]
+    df = spark.createDataFrame(data, "signal_date date, instrument_id long, current_weight double, target_weight double, target_rank int")
+    out = {}
+    for r in portfolio.turnover_limited(df, 5, 0.2, 0.35).collect():
+        out.setdefault((r.signal_date - D0).days, {})[r.instrument_id] = r.target_weight
+    assert out.keys() == want.keys() and len(want) > 40
+    for d, rows in want.items():
+        assert out[d] == pytest.approx(rows, abs=2e-4), d
+    with pytest.raises(Exception, match="more positions"):
+        portfolio.turnover_limited(df, 3, 0.2, 0.35).collect()
+    with pytest.raises(Exception, match="limit on a weight"):
+        portfolio.turnover_limited(df, 5, 0.01, 0.01).collect()
 
 
 def test_constructors_over_dates(spark):
