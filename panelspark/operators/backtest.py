@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import first_reason
-from panelspark.operators.rules import COMMISSION_MINIMUM, COMMISSION_RATE, price_limits
+from panelspark.operators.rules import COMMISSION_MINIMUM, COMMISSION_RATE, allowed_quantity, price_limits, profile_floor
 
 
 def volume_capacity(volume: Column, participation: float) -> Column:
@@ -30,21 +30,42 @@ def slipped_ticks(ticks: Column, side: Column, bps: int) -> Column:
 
 
 def prepared_orders(orders: DataFrame, market: DataFrame, participation: float = 0.1, slippage_bps: int = 5) -> DataFrame:
-    """orders (run_id, trade_date, instrument_id, side, quantity) with price, capacity and the first stateless reason against them.
-
-    market: instrument_id, trade_date, limit_group, status, preclose_ticks, open_ticks, volume, is_suspended.
+    """orders with price, capacity, normalised quantity and the first reason against them that needs no books.
+
+    orders: run_id, trade_date, instrument_id, side (BUY, SELL, SHORT_OPEN, SHORT_COVER),
+    quantity, and `sellable` (what may be sold) where it is known; without it the reasons
+    that depend on it are left to the fold. market: instrument_id, trade_date, limit_group,
+    status, preclose_ticks, open_ticks, low_ticks, high_ticks, volume, is_suspended and the
+    columns of a trading profile (`rules.with_profile`).
+    A name is blocked at its limit only if it traded nowhere inside it: a buy where the
+    low is at the upper limit, a sale where the high is at the lower one.
     """
+    if "sellable" not in orders.columns:
+        orders = orders.withColumn("sellable", F.lit(None).cast("long"))
     rows = orders.join(price_limits(market), ["instrument_id", "trade_date"], "left")
+    side, quantity, sellable = F.col("side"), F.col("quantity"), F.col("sellable")
+    capacity = F.coalesce(volume_capacity(F.col("volume"), participation), F.lit(0).cast("long"))
+    buys, sells = side == "BUY", side == "SELL"
+    unfit = F.when(buys | sellable.isNotNull(), ~allowed_quantity(side, quantity, sellable)).otherwise(F.lit(False))
+    most = F.when(sells, F.least(quantity, capacity, F.coalesce(sellable, quantity))).otherwise(F.least(quantity, capacity))
+    fitted = F.when(allowed_quantity(side, most, sellable), most).otherwise(profile_floor(side, most))
+    rows = rows.withColumns({"capacity": capacity, "candidate": F.when((buys | sells) & F.col("buy_minimum").isNotNull(), fitted)})
     reason = first_reason(
         (F.coalesce("is_suspended", F.lit(False)), "SUSPENDED"),
-        (F.col("open_ticks").isNull() | (F.coalesce("volume", F.lit(0)) <= 0), "NO_MARKET_DATA"),
-        ((F.col("side") == "BUY") & (F.col("open_ticks") >= F.col("upper_ticks")), "LIMIT_UP_BUY_BLOCKED"),
-        ((F.col("side") == "SELL") & (F.col("open_ticks") <= F.col("lower_ticks")), "LIMIT_DOWN_SELL_BLOCKED"),
+        (F.col("open_ticks").isNull(), "NO_MARKET_DATA"),
+        (side.isin("SHORT_OPEN", "SHORT_COVER"), "SHORT_NOT_SUPPORTED"),
+        (unfit, "ODD_LOT"),
+        (buys & (F.col("low_ticks") >= F.col("upper_ticks")), "LIMIT_UP_BUY_BLOCKED"),
+        (sells & (F.col("high_ticks") <= F.col("lower_ticks")), "LIMIT_DOWN_SELL_BLOCKED"),
+        (sells & (sellable == 0), "INSUFFICIENT_SELLABLE"),
+        (F.col("capacity") == 0, "VOLUME_CAP"),
+        ((F.col("candidate") == 0) & sells & sellable.isNotNull(), "INSUFFICIENT_SELLABLE"),
+        ((F.col("candidate") == 0) & buys, "VOLUME_CAP"),
     )
-    price = slipped_ticks(F.col("open_ticks"), F.col("side"), slippage_bps)
+    price = slipped_ticks(F.col("open_ticks"), side, slippage_bps)
     banded = F.least(F.greatest(price, F.coalesce("lower_ticks", price)), F.coalesce("upper_ticks", price))
-    rows = rows.withColumns({"market_reason": reason, "price_ticks": banded, "capacity": F.coalesce(volume_capacity(F.col("volume"), participation), F.lit(0).cast("long"))})
-    return rows.select("run_id", "trade_date", "instrument_id", "side", "quantity", "price_ticks", "capacity", "market_reason")
+    rows = rows.withColumns({"market_reason": reason, "price_ticks": F.when(buys | sells, banded)})
+    return rows.select("run_id", "trade_date", "instrument_id", "side", "quantity", "price_ticks", "capacity", "candidate", "market_reason")
 
 
 def commission(gross: int) -> int:

@@ -163,7 +163,13 @@ def last_sessions(calendar: DataFrame, until: Column, n: int = 21) -> DataFrame:
 
 
 def content_hash(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """n_rows and an order-free hash of the rows by key (A16): the exclusive-or and the sum of 64-bit row hashes, so repeated rows count."""
-    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns)])
-    rows = df.withColumn("__h", h)
-    return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.bit_xor("__h").alias("xor_hash"), F.sum(F.pmod("__h", F.lit(1_000_000_007))).alias("sum_hash"))
+    """n_rows and an order-free hash of the rows by key (A16): exclusive-or and sum (modulo 2**31 - 1 a row) of numbers from each row's MD5, so repeated rows count.
+
+    A row is its columns by name, each with its length, or as null: no two rows read alike.
+    """
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    cell = lambda c: F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-"))
+    digest = F.md5(F.concat_ws("|", *[cell(c) for c in sorted(df.columns)]).cast("binary"))
+    number = lambda a: F.conv(F.substring(digest, a, 15), 16, 10).cast("long")
+    rows = df.withColumns({"__a": number(1), "__b": F.pmod(number(16), F.lit((1 << 31) - 1))})
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.bit_xor("__a").alias("xor_hash"), F.sum("__b").alias("sum_hash"))

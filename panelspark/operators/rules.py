@@ -136,3 +136,7 @@ def allowed_quantity(side: Column, quantity: Column, held: Column) -> Column:
     return F.when(side == "BUY", grid("buy_minimum", "buy_increment")).otherwise(grid("sell_minimum", "sell_increment") | odd)
 
 
+def profile_floor(side: Column, quantity: Column) -> Column:
+    """The largest size up to quantity that fits the profile's minimum and increment, 0 if none does."""
+    fit = lambda low, step: F.when(quantity >= F.col(low), quantity - (quantity - F.col(low)) % F.col(step)).otherwise(F.lit(0).cast("long"))
+    return F.when(side == "BUY", fit("buy_minimum", "buy_increment")).otherwise(fit("sell_minimum", "sell_increment"))

@@ -69,34 +69,53 @@ def trading_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(number.alias("instrument_id"), "profile", F.col("buy_minimum").cast("int").alias("buy_minimum"), F.col("buy_increment").cast("int").alias("buy_increment"), rules.allowed_quantity(F.lit("BUY"), number * 20, F.lit(0)).alias("allowed"))
 
 
+def _traded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market with the day's range and each name's trading profile."""
+    m = _market(spark, sf_dir)
+    profiles = spark.createDataFrame([p[2:6] + p[7:8] for p in rules.PROFILES if p[0].startswith("STOCK")], "buy_minimum long, buy_increment long, sell_minimum long, sell_increment long, limit_group string")
+    width = F.col("instrument_id") % 50
+    return m.withColumns({"low_ticks": F.col("open_ticks") - width, "high_ticks": F.col("open_ticks") + width}).join(F.broadcast(profiles), "limit_group")  # four rows
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = load(spark, sf_dir, "lineitem").where("l_suppkey < 20")
-    day = F.date_add(F.col("l_shipdate").cast("date"), 4000)
-    return li.groupBy((F.col("l_suppkey") % 4).cast("long").alias("run_id"), day.alias("trade_date"), F.col("l_suppkey").alias("instrument_id"), F.when(F.col("l_linenumber") <= 4, "BUY").otherwise("SELL").alias("side")).agg((F.sum("l_quantity").cast("long") * 10).alias("quantity"))
+    """Orders of one book for each supplier."""
+    li, day = load(spark, sf_dir, "lineitem"), F.date_add(F.col("l_shipdate").cast("date"), 4000)
+    return li.groupBy(F.col("l_suppkey").alias("run_id"), day.alias("trade_date"), F.col("l_suppkey").alias("instrument_id"), F.when(F.col("l_linenumber") <= 4, "BUY").otherwise("SELL").alias("side")).agg((F.sum("l_quantity").cast("long") * 10).alias("quantity"))
 
 
 @query(
-    f"""WITH {_MARKET}, {_LIMITS}, o AS (SELECT l_suppkey % 4 AS run_id, CAST(l_shipdate AS DATE) + 4000 AS trade_date, l_suppkey AS instrument_id, CASE WHEN l_linenumber <= 4 THEN 'BUY' ELSE 'SELL' END AS side, CAST(sum(l_quantity) AS BIGINT) * 10 AS quantity FROM lineitem WHERE l_suppkey < 20 GROUP BY 1, 2, 3, 4),
-j AS (SELECT o.*, l.* EXCLUDE (instrument_id, trade_date), CAST(round(CAST(open_ticks AS DECIMAL(18, 0)) * CASE WHEN side = 'BUY' THEN 1.0005 ELSE 0.9995 END, 0) AS BIGINT) AS p FROM o LEFT JOIN limited l USING (instrument_id, trade_date))
-SELECT run_id, trade_date, instrument_id, side, quantity, least(greatest(p, coalesce(lower_ticks, p)), coalesce(upper_ticks, p)) AS price_ticks, CAST(floor(volume * 0.1) AS BIGINT) AS capacity,
-CASE WHEN is_suspended THEN 'SUSPENDED' WHEN open_ticks IS NULL OR volume <= 0 THEN 'NO_MARKET_DATA' WHEN side = 'BUY' AND open_ticks >= upper_ticks THEN 'LIMIT_UP_BUY_BLOCKED' WHEN side = 'SELL' AND open_ticks <= lower_ticks THEN 'LIMIT_DOWN_SELL_BLOCKED' END AS market_reason FROM j"""
+    f"""WITH {_MARKET}, {_LIMITS}, prof(limit_group, bmin, binc, smin, sinc) AS (VALUES ('MAIN', 100, 100, 100, 100), ('CHINEXT', 100, 100, 100, 100), ('STAR', 200, 1, 200, 1), ('BSE', 100, 1, 100, 1)),
+o AS (SELECT l_orderkey AS run_id, CAST(l_shipdate AS DATE) + CASE WHEN l_orderkey % 40 = 0 THEN 9000 ELSE 4000 END AS trade_date, l_suppkey AS instrument_id, CASE WHEN l_orderkey % 37 = 0 THEN 'SHORT_OPEN' WHEN l_linenumber <= 4 THEN 'BUY' ELSE 'SELL' END AS side, CAST(l_quantity AS BIGINT) * CASE WHEN l_orderkey % 3 = 0 THEN 10 ELSE 100 END AS quantity, CASE WHEN l_orderkey % 6 = 0 THEN 0 WHEN l_orderkey % 5 = 0 THEN 350 ELSE 100000 END AS sellable FROM lineitem),
+j AS (SELECT o.*, l.* EXCLUDE (instrument_id, trade_date), open_ticks - o.instrument_id % 50 AS low_ticks, open_ticks + o.instrument_id % 50 AS high_ticks, bmin, binc, smin, sinc, coalesce(CAST(floor(CASE WHEN o.instrument_id % 13 = 0 THEN 9 ELSE volume END * 0.1) AS BIGINT), 0) AS capacity, CAST(round(CAST(open_ticks AS DECIMAL(18, 0)) * CASE WHEN side = 'BUY' THEN 1.0005 ELSE 0.9995 END, 0) AS BIGINT) AS p FROM o LEFT JOIN limited l USING (instrument_id, trade_date) LEFT JOIN prof USING (limit_group)),
+c AS (SELECT *, CASE side WHEN 'BUY' THEN least(quantity, capacity) WHEN 'SELL' THEN least(quantity, capacity, sellable) END AS most, CASE side WHEN 'BUY' THEN quantity >= bmin AND (quantity - bmin) % binc = 0 WHEN 'SELL' THEN (quantity >= smin AND (quantity - smin) % sinc = 0) OR (quantity = sellable AND sellable > 0) END AS fits FROM j),
+n AS (SELECT *, CASE WHEN limit_group IS NULL THEN NULL WHEN side = 'BUY' THEN CASE WHEN most >= bmin THEN most - (most - bmin) % binc ELSE 0 END WHEN side = 'SELL' THEN CASE WHEN most = sellable AND sellable > 0 THEN most WHEN most >= smin THEN most - (most - smin) % sinc ELSE 0 END END AS candidate FROM c)
+SELECT run_id, trade_date, instrument_id, side, quantity, CASE WHEN side IN ('BUY', 'SELL') THEN least(greatest(p, coalesce(lower_ticks, p)), coalesce(upper_ticks, p)) END AS price_ticks, capacity, candidate,
+CASE WHEN is_suspended THEN 'SUSPENDED' WHEN open_ticks IS NULL THEN 'NO_MARKET_DATA' WHEN side LIKE 'SHORT%' THEN 'SHORT_NOT_SUPPORTED' WHEN NOT fits THEN 'ODD_LOT' WHEN side = 'BUY' AND low_ticks >= upper_ticks THEN 'LIMIT_UP_BUY_BLOCKED' WHEN side = 'SELL' AND high_ticks <= lower_ticks THEN 'LIMIT_DOWN_SELL_BLOCKED'
+WHEN side = 'SELL' AND sellable = 0 THEN 'INSUFFICIENT_SELLABLE' WHEN capacity = 0 THEN 'VOLUME_CAP' WHEN candidate = 0 AND side = 'SELL' THEN 'INSUFFICIENT_SELLABLE' WHEN candidate = 0 THEN 'VOLUME_CAP' END AS market_reason FROM n"""
 )
 def execution_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.prepared_orders(_orders(spark, sf_dir), _market(spark, sf_dir))
+    """Every order line with what it may sell: all reasons occur."""
+    k = F.col("l_orderkey")
+    side = F.when(k % 37 == 0, "SHORT_OPEN").when(F.col("l_linenumber") <= 4, "BUY").otherwise("SELL")
+    size = F.col("l_quantity").cast("long") * F.when(k % 3 == 0, 10).otherwise(100)
+    sellable = F.when(k % 6 == 0, 0).when(k % 5 == 0, 350).otherwise(100000).cast("long")
+    day = F.date_add(F.col("l_shipdate").cast("date"), F.when(k % 40 == 0, 9000).otherwise(4000))
+    orders = load(spark, sf_dir, "lineitem").select(k.alias("run_id"), day.alias("trade_date"), F.col("l_suppkey").alias("instrument_id"), side.alias("side"), size.alias("quantity"), sellable.alias("sellable"))
+    market = _traded(spark, sf_dir).withColumn("volume", F.when(F.col("instrument_id") % 13 == 0, 9).otherwise(F.col("volume")).cast("long"))
+    return backtest.prepared_orders(orders, market)
 
 
 @query()
 def backtest_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four runs folded through the ledger."""
-    return backtest.run_backtests(backtest.prepared_orders(_orders(spark, sf_dir), _market(spark, sf_dir)), 100_000_000)
+    """One run for each supplier, folded through the ledger."""
+    return backtest.run_backtests(backtest.prepared_orders(_orders(spark, sf_dir), _traded(spark, sf_dir)), 100_000_000)
 
 
 @query()
 def backtest_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    market = _market(spark, sf_dir)
+    market = _traded(spark, sf_dir)
     fills = backtest.run_backtests(backtest.prepared_orders(_orders(spark, sf_dir), market), 100_000_000)
-    marks = market.where("instrument_id < 20").select("trade_date", "instrument_id", F.col("open_ticks").alias("close_ticks"))
-    return backtest.marked_to_market(fills, marks, 100_000_000)
+    return backtest.marked_to_market(fills, market.select("trade_date", "instrument_id", F.col("open_ticks").alias("close_ticks")), 100_000_000)
 
 
 @query(f"WITH {BARS} SELECT instrument_id, trade_date, round(close / lag(close) OVER o - 1, 8) AS return_1, round(close / lag(close, 5) OVER o - 1, 8) AS return_5, round(close / lag(close, 20) OVER o - 1, 8) AS return_20, round((high - low) / lag(close) OVER o, 8) AS amplitude, round(close / first_value(close) OVER o * 100, 6) AS rebased FROM bars WINDOW o AS (PARTITION BY instrument_id ORDER BY trade_date)")

@@ -194,7 +194,19 @@ def running_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("instrument_id", "trade_date", win.running_max("close", w).alias("peak"), F.round(win.running_sum("log_return", w), 7).alias("path"), F.round(win.running_growth(F.col("close") / F.col("preclose") - 1, w), 6).alias("growth"), win.changed(F.col("close") > F.col("preclose"), w).alias("turned"))
 
 
-@query()
+_CELL = lambda c: f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+_HASHES = "CAST(count(*) AS BIGINT) AS n_rows, bit_xor(CAST('0x' || substr(m, 1, 15) AS BIGINT)) AS xor_hash, CAST(sum(CAST('0x' || substr(m, 16, 15) AS BIGINT) % 2147483647) AS BIGINT) AS sum_hash"
+
+
+@query(f"SELECT o_custkey, {_HASHES} FROM (SELECT o_custkey, md5({" || '|' || ".join(_CELL(c) for c in ('o_clerk', 'o_custkey', 'o_orderkey', 'o_orderstatus'))}) AS m FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS o_orderstatus, o_orderpriority AS o_clerk FROM orders)) GROUP BY 1")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-free content hash of each supplier's lines (A16): 64-bit hashes that DuckDB doesn't have."""
-    return relational.content_hash(load(spark, sf_dir, "lineitem"), ["l_suppkey"])
+    """Order-free content hash of each customer's orders, some cells null."""
+    status = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("o_orderstatus")
+    rows = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", status, F.col("o_orderpriority").alias("o_clerk"))
+    return relational.content_hash(rows, ["o_custkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey DESC, l_linenumber DESC LIMIT 25")
+def tail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last rows of a table by price (T4)."""
+    return relational.tail_rows(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_extendedprice", "l_orderkey", "l_linenumber"], 25)

@@ -270,10 +270,10 @@ def test_rules_have_no_gaps_and_round_half_up(spark):
 
 
 def test_backtest_books_balance(spark, sf_dir):
-    from panelspark.plans.market import _market, _orders
+    from panelspark.plans.market import _orders, _traded
 
     cash = 100_000_000
-    prepared = backtest.prepared_orders(_orders(spark, sf_dir), _market(spark, sf_dir)).cache()
+    prepared = backtest.prepared_orders(_orders(spark, sf_dir), _traded(spark, sf_dir)).cache()
     fills = backtest.run_backtests(prepared, cash).collect()
     assert len(fills) == prepared.count() and {r.reason for r in fills} >= {"FILLED", "SHORT_NOT_SUPPORTED"}
     caps = {(r.run_id, r.trade_date, r.instrument_id, r.side): r.capacity for r in prepared.collect()}
