@@ -182,6 +182,15 @@ def financial(factor_id: str, column: str, signals: DataFrame, most_days: int =
     return compute
 
 
+#: A financial factor's column in the records; a leverage is never negative and ranks downwards.
+FINANCIALS = {"roe": "roe", "roa": "roa", "revenue_growth": "tr_yoy", "profit_growth": "netprofit_yoy", "gross_margin": "gross_margin", "cash_quality": "ocf_to_opincome", "leverage": "debt_to_assets"}
+
+
+def financial_factors(signals: DataFrame) -> list[Factor]:
+    """The financial metrics as of the cells asked for (F13), from the source `financials`. signals: instrument_id, trade_date."""
+    return [Factor(f, financial(f, c, signals, positive=f == "leverage"), "financials", -1 if f == "leverage" else 1) for f, c in FINANCIALS.items()]
+
+
 def standard_factors(scale: int = 1) -> list[Factor]:
     """The market, turnover and valuation factors. scale divides the look-backs, for panels of longer periods."""
     n = lambda days: max(2, days // scale)

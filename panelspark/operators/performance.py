@@ -73,13 +73,114 @@ def value_at_risk(returns: DataFrame, level: float = 0.05) -> DataFrame:
     return tail.select(ID, (-F.col("cutoff")).alias("var_95"), (-F.col("tail")).alias("es_95"))
 
 
+def _growth(ratio: Column, sessions: Column, year: int) -> Column:
+    """A growth ratio over so many returns as a rate a year."""
+    return F.when((sessions > 0) & (ratio > 0), F.pow(ratio, F.lit(float(year)) / sessions) - 1)
+
+
 def rolling_block(returns: DataFrame, n: int = YEAR, year: int = YEAR) -> DataFrame:
-    """Return, volatility and Sharpe ratio of the last n returns, from the session on that has n (V5)."""
-    w = _axis().rowsBetween(-(n - 1), 0)
-    before = F.lag("equity", n).over(_axis())
-    mean, std = F.avg("daily_return").over(w), F.stddev_samp("daily_return").over(w)
-    rows = returns.withColumns({"rolling_return": F.try_divide(F.col("equity").cast("double"), before.cast("double")) - 1, "rolling_volatility": std * F.lit(float(year) ** 0.5), "rolling_sharpe": F.try_divide(mean, std) * F.lit(float(year) ** 0.5)})
-    return rows.where(F.col("session") > n).select(ID, "trade_date", "rolling_return", "rolling_volatility", "rolling_sharpe")
+    """The nine figures of the last n returns, from the session on that has n (V5, W18): rates a year, volatility, Sharpe ratio, largest drawdown, tracking error, information ratio and beta."""
+    axis = _axis()
+    w, points = axis.rowsBetween(-(n - 1), 0), axis.rowsBetween(-n, 0)
+    ratio = lambda c: F.try_divide(F.col(c).cast("double"), F.lag(c, n).over(axis).cast("double"))
+    mean = lambda c: F.avg(c).over(w)
+    std = lambda c: F.stddev_samp(c).over(w)
+    moving = lambda c: F.max(c).over(w) > F.min(c).over(w)
+    root = F.lit(float(year) ** 0.5)
+    # the largest fall of a window: each of its points against the highest before it
+    fall = F.aggregate("__points", F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("worst")), lambda a, x: F.struct(F.greatest(a["top"], x).alias("top"), F.least(a["worst"], x / F.greatest(a["top"], x) - 1).alias("worst")), lambda a: a["worst"])
+    rows = returns.withColumns(
+        {
+            "__equity": ratio("equity"), "__benchmark": ratio("benchmark"), "annualized_volatility": std("daily_return") * root, "sharpe_ratio": F.when(moving("daily_return"), F.try_divide(mean("daily_return"), std("daily_return")) * root),
+            "tracking_error": std("active_return") * root, "information_ratio": F.when(moving("active_return"), F.try_divide(mean("active_return"), std("active_return")) * root),
+            "beta": F.when(moving("benchmark_return"), F.try_divide(F.covar_samp("daily_return", "benchmark_return").over(w), F.var_samp("benchmark_return").over(w))),
+            "__points": F.collect_list(F.col("equity").cast("double")).over(points),
+        }
+    ).where(F.col("session") > n)
+    rate = lambda x: _growth(x, F.lit(n), year)
+    return rows.select(
+        ID, "trade_date", rate(F.col("__equity")).alias("annualized_return"), rate(F.col("__benchmark")).alias("benchmark_annualized_return"), rate(F.try_divide("__equity", "__benchmark")).alias("annualized_excess_return"),
+        "annualized_volatility", "sharpe_ratio", fall.alias("max_drawdown"), "tracking_error", "information_ratio", "beta",
+    )
+
+
+def relative_performance(returns: DataFrame, year: int = YEAR) -> DataFrame:
+    """First and last session, growth against the benchmark and the largest fall of their ratio (V2). A rate a year is null beside its reason."""
+    ratio = F.col("equity").cast("double") / F.col("benchmark").cast("double")
+    rows = returns.withColumn("__ratio", ratio)
+    rows = rows.withColumn("__fall", F.col("__ratio") / F.max("__ratio").over(_axis().rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    ends = lambda c, f: f(c, "trade_date").cast("double")
+    s = rows.groupBy(ID).agg(
+        F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"), F.count("*").alias("observations"), (ends("equity", F.max_by) / ends("equity", F.min_by)).alias("e"), (ends("benchmark", F.max_by) / ends("benchmark", F.min_by)).alias("b"),
+        F.min("__fall").alias("active_max_drawdown"),
+    )
+    n, g = F.col("observations") - 1, F.col("e") / F.col("b")
+    why = F.when(n < 1, "INSUFFICIENT_OBSERVATIONS")
+    return s.select(
+        ID, "start_date", "end_date", "observations", (F.col("b") - 1).alias("benchmark_cumulative_return"), (F.col("e") - F.col("b")).alias("relative_cumulative_return"), (g - 1).alias("geometric_excess_return"), "active_max_drawdown",
+        _growth(F.col("b"), n, year).alias("benchmark_annualized_return"), _growth(g, n, year).alias("annualized_geometric_excess_return"), why.alias("annualized_reason"),
+    )
+
+
+def drawdown_summary(returns: DataFrame) -> DataFrame:
+    """The deepest fall with its dates, the longest stretch under water and the share of sessions there (V2). Without a fall all dates are the first session's."""
+    axis = _axis()
+    rows = returns.withColumn("__run", F.sum(F.when(F.col("drawdown") < 0, 0).otherwise(1)).over(axis.rowsBetween(Window.unboundedPreceding, 0)))
+    deepest = F.min_by(F.struct("trade_date", "peak"), F.struct("drawdown", "trade_date"))
+    s = rows.groupBy(ID).agg(deepest.alias("d"), F.min("drawdown").alias("max_drawdown"), F.try_divide(F.count_if(F.col("drawdown") < 0).cast("double"), F.count("*").cast("double")).alias("time_under_water_rate"))
+    longest = rows.where("drawdown < 0").groupBy(ID, "__run").count().groupBy(ID).agg(F.max("count").alias("__longest"))
+    at = rows.join(s, ID)
+    peak = F.min(F.when((F.col("trade_date") <= F.col("d.trade_date")) & (F.col("equity") == F.col("d.peak")), F.col("trade_date")))
+    back = F.min(F.when((F.col("trade_date") > F.col("d.trade_date")) & (F.col("equity") >= F.col("d.peak")), F.col("trade_date")))
+    dates = at.groupBy(ID, "d", "max_drawdown", "time_under_water_rate").agg(peak.alias("peak_date"), back.alias("back"))
+    flat = F.col("max_drawdown") == 0
+    out = dates.join(longest, ID, "left").withColumn("recovery_date", F.when(flat, F.col("d.trade_date")).otherwise(F.col("back")))
+    return out.select(ID, "max_drawdown", "peak_date", F.col("d.trade_date").alias("trough_date"), "recovery_date", F.when(F.col("recovery_date").isNull(), "DRAWDOWN_NOT_RECOVERED").alias("recovery_reason"), F.coalesce("__longest", F.lit(0)).alias("max_drawdown_duration_sessions"), "time_under_water_rate")
+
+
+def trading_metrics(returns: DataFrame, fills: DataFrame, year: int = YEAR) -> DataFrame:
+    """Turnover, fees, cost drag and fill rates of each portfolio (V2, V8, V9).
+
+    fills: portfolio_id, trade_date, requested_quantity, filled_quantity, reference_price
+    (null: not priced), gross_value and fees in cents. A metric that is undefined is null
+    beside its reason. Rates over notional count priced orders; the coverage is their share.
+    """
+    w = _axis()
+    daily = fills.groupBy(ID, "trade_date").agg(F.sum("gross_value").alias("gross"), F.sum("fees").alias("fees"))
+    value = F.col("equity").cast("double")
+    rows = returns.join(daily, [ID, "trade_date"], "left").withColumn("before", F.coalesce(F.lag(value).over(w), value))
+    nil = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    rows = rows.withColumn("gross_return", F.col("daily_return") + F.when(F.col("session") > 1, nil("fees") / F.col("before")).otherwise(0.0))
+    s = rows.groupBy(ID).agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean_nav"), F.sum(nil("gross") / (F.col("before") * 2)).alias("turned"), F.exp(F.sum(F.log1p("gross_return"))).alias("g"),
+        (F.max_by("equity", "trade_date").cast("double") / F.min_by("equity", "trade_date").cast("double")).alias("e"),
+    )
+    notional = lambda q: F.round(F.col(q).cast("decimal(19,0)") * F.col("reference_price").cast("decimal(18,6)") * 100, 0).cast("long")
+    priced = F.col("reference_price").isNotNull()
+    orders = fills.groupBy(ID).agg(
+        F.count("*").alias("orders"), F.sum("gross_value").alias("traded"), F.sum("fees").alias("paid"), F.count_if((F.col("filled_quantity") == 0) | (F.col("filled_quantity") < F.col("requested_quantity"))).alias("failed"),
+        F.count_if(priced).alias("priced"), F.sum(notional("requested_quantity")).alias("asked"), F.sum(notional("filled_quantity")).alias("got"),
+    )
+    all_ = s.join(orders, ID, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("orders", "traded", "paid", "failed", "priced")})
+    n = F.col("n") - 1
+    few, none = F.when(n < 1, "INSUFFICIENT_OBSERVATIONS"), F.when(F.col("orders") == 0, "NO_ORDERS")
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    gross_rate, net_rate = _growth(F.col("g"), n, year), _growth(F.col("e"), n, year)
+    return all_.select(
+        ID, F.try_divide(F.col("traded").cast("double"), F.col("mean_nav") * 2).alias("one_way_turnover"), F.when(n > 0, F.col("turned") * year / n).alias("annualized_turnover"), share("paid", "mean_nav").alias("fee_rate"),
+        (F.col("g") - 1).alias("gross_cumulative_return"), gross_rate.alias("gross_annualized_return"), (F.col("g") - F.col("e")).alias("cumulative_cost_drag"), (gross_rate - net_rate).alias("annualized_cost_drag"), few.alias("annualized_reason"),
+        share("failed", "orders").alias("failed_fill_rate"), none.alias("failed_fill_rate_reason"), share("got", "asked").alias("notional_fill_rate"), F.coalesce(none, F.when(F.col("priced") == 0, "NO_PRICEABLE_ORDERS")).alias("notional_fill_rate_reason"),
+        share("priced", "orders").alias("priced_order_coverage_rate"),
+    )
+
+
+def holding_metrics(nav: DataFrame, holdings: DataFrame) -> DataFrame:
+    """Average weight of cash and receivables, largest weight of a position and share of months with a gain (V2). nav: portfolio_id, trade_date, equity, cash, dividend_receivable; holdings: portfolio_id, trade_date, security, market_value."""
+    part = lambda c: F.avg(F.col(c).cast("double") / F.col("equity").cast("double"))
+    s = nav.groupBy(ID).agg(part("cash").alias("average_cash_weight"), part("dividend_receivable").alias("average_receivable_weight"))
+    largest = holdings.join(nav.select(ID, "trade_date", "equity"), [ID, "trade_date"]).groupBy(ID).agg(F.max(F.col("market_value").cast("double") / F.col("equity").cast("double")).alias("largest"))
+    months = period_returns(nav).groupBy(ID).agg(F.try_divide(F.count_if(F.col("period_return") > 0).cast("double"), F.count("*").cast("double")).alias("positive_month_rate"))
+    return s.join(largest, ID, "left").join(months, ID).select(ID, "average_cash_weight", "average_receivable_weight", F.coalesce("largest", F.lit(0.0)).alias("max_position_weight"), "positive_month_rate")
 
 
 def drawdown_episodes(returns: DataFrame) -> DataFrame:
@@ -102,11 +203,12 @@ def period_returns(nav: DataFrame, unit: str = "month") -> DataFrame:
 
 
 def execution_summary(fills: DataFrame) -> DataFrame:
-    """Orders, quantities, fill rate and notional (halves up) by side and reason (V8)."""
-    notional = F.round(F.col("requested_quantity").cast("decimal(19,0)") * F.col("reference_price").cast("decimal(18,6)") * 100, 0).cast("long")
+    """Orders, quantities, fill rate and notionals (halves up) by side and reason (V8). Orders without a reference price are counted and have no notional."""
+    notional = lambda q: F.coalesce(F.sum(F.round(F.col(q).cast("decimal(19,0)") * F.col("reference_price").cast("decimal(18,6)") * 100, 0).cast("long")), F.lit(0))
     sums = fills.groupBy(ID, "side", "reason_code").agg(
-        F.count("*").alias("n_orders"), F.sum("requested_quantity").alias("requested"), F.sum("filled_quantity").alias("filled"), F.coalesce(F.sum(notional), F.lit(0)).alias("requested_notional")
-    )
+        F.count("*").alias("n_orders"), F.sum("requested_quantity").alias("requested"), F.sum("filled_quantity").alias("filled"), F.sum(F.col("requested_quantity") - F.col("filled_quantity")).alias("unfilled"),
+        notional("requested_quantity").alias("requested_notional"), notional("filled_quantity").alias("filled_notional"), F.count_if(F.col("reference_price").isNull()).alias("n_unpriced"),
+    )
     return sums.withColumn("fill_rate", F.try_divide(F.col("filled").cast("double"), F.col("requested").cast("double")))
 
 

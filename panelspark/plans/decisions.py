@@ -202,15 +202,28 @@ def daily_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(perf.daily_returns(_nav(spark, sf_dir)), 9)
 
 
+_EXTENDED = _DAILY.replace("ret_ AS (", "more AS (SELECT * FROM nav UNION ALL SELECT portfolio_id + 100, trade_date, 7, 7 FROM nav WHERE portfolio_id = 3 UNION ALL SELECT portfolio_id + 200, trade_date, equity, 9 FROM nav WHERE portfolio_id = 3 UNION ALL SELECT portfolio_id + 300, trade_date, equity, benchmark FROM nav WHERE portfolio_id = 3 AND trade_date = (SELECT min(trade_date) FROM nav WHERE portfolio_id = 3)), ret_ AS (").replace("FROM nav WINDOW w", "FROM more WINDOW w")
+
+
 @query(
-    f"""{_DAILY}, s AS (SELECT portfolio_id, count(*) AS n, arg_min(equity, trade_date) AS e0, arg_max(equity, trade_date) AS e1, arg_min(benchmark, trade_date) AS b0, arg_max(benchmark, trade_date) AS b1, min(drawdown) AS max_drawdown FROM daily GROUP BY 1),
-m AS (SELECT portfolio_id, avg(daily_return) AS mu, stddev_samp(daily_return) AS sd, sqrt(avg(least(daily_return, 0) ** 2)) AS dd, avg(active_return) AS ma, stddev_samp(active_return) AS sa, covar_samp(daily_return, benchmark_return) / var_samp(benchmark_return) AS beta, avg(benchmark_return) AS mb, count(*) FILTER (WHERE daily_return > 0) / count(*) AS positive_rate FROM daily WHERE session > 1 GROUP BY 1)
-SELECT portfolio_id, n - 1 AS n_returns, round(e1 / e0 - 1, 7) AS total_return, round(b1 / b0 - 1, 7) AS benchmark_total_return, round((e1 / e0) ** (252.0 / (n - 1)) - 1, 7) AS annualized_return, round(sd * sqrt(252), 7) AS volatility, round(max_drawdown, 7) AS max_drawdown, round(positive_rate, 7) AS positive_rate,
-round(mu / sd * sqrt(252), 6) AS sharpe, NULL::VARCHAR AS sharpe_reason, round(mu / dd * sqrt(252), 6) AS sortino, NULL::VARCHAR AS sortino_reason, round(((e1 / e0) ** (252.0 / (n - 1)) - 1) / -max_drawdown, 6) AS calmar, NULL::VARCHAR AS calmar_reason,
-round(sa * sqrt(252), 6) AS tracking_error, NULL::VARCHAR AS tracking_error_reason, round(ma / sa * sqrt(252), 6) AS information_ratio, NULL::VARCHAR AS information_ratio_reason, round(beta, 6) AS beta, NULL::VARCHAR AS beta_reason, round((mu - beta * mb) * 252, 6) AS alpha, NULL::VARCHAR AS alpha_reason FROM s JOIN m USING (portfolio_id)"""
+    f"""{_EXTENDED}, s AS (SELECT portfolio_id, count(*) AS n, arg_min(equity, trade_date) AS e0, arg_max(equity, trade_date) AS e1, arg_min(benchmark, trade_date) AS b0, arg_max(benchmark, trade_date) AS b1, min(drawdown) AS max_drawdown FROM daily GROUP BY 1),
+m AS (SELECT portfolio_id, avg(daily_return) AS mu, stddev_samp(daily_return) AS sd, sqrt(avg(least(daily_return, 0) ** 2)) AS dd, avg(active_return) AS ma, stddev_samp(active_return) AS sa, covar_samp(daily_return, benchmark_return) AS cv, var_samp(benchmark_return) AS vb, avg(benchmark_return) AS mb, count(*) FILTER (WHERE daily_return > 0) / count(*) AS positive_rate,
+  max(daily_return) = min(daily_return) AS flat, max(active_return) = min(active_return) AS flat_a, max(benchmark_return) = min(benchmark_return) AS flat_b FROM daily WHERE session > 1 GROUP BY 1),
+j AS (SELECT s.*, mu, sd, dd, ma, sa, mb, positive_rate, CASE WHEN NOT flat_b THEN cv / vb END AS bt, CASE WHEN n - 1 < 2 THEN 'INSUFFICIENT_OBSERVATIONS' END AS few, flat, flat_a, flat_b, CASE WHEN n > 1 THEN (e1 / e0) ** (252.0 / (n - 1)) - 1 END AS ar FROM s LEFT JOIN m USING (portfolio_id)),
+k AS (SELECT *, coalesce(few, CASE WHEN flat THEN 'ZERO_VOLATILITY' END) AS r1, coalesce(few, CASE WHEN dd = 0 THEN 'ZERO_DOWNSIDE_DEVIATION' END) AS r2, coalesce(few, CASE WHEN ar IS NULL THEN 'ANNUALIZED_RETURN_NOT_AVAILABLE' WHEN max_drawdown = 0 THEN 'ZERO_MAX_DRAWDOWN' END) AS r3, coalesce(few, CASE WHEN flat_a THEN 'ZERO_ACTIVE_VOLATILITY' END) AS r5, coalesce(few, CASE WHEN flat_b THEN 'ZERO_BENCHMARK_VARIANCE' END) AS r6 FROM j)
+SELECT portfolio_id, n - 1 AS n_returns, round(e1 / e0 - 1, 7) AS total_return, round(b1 / b0 - 1, 7) AS benchmark_total_return, round(ar, 7) AS annualized_return, round(sd * sqrt(252), 7) AS volatility, round(max_drawdown, 7) AS max_drawdown, round(positive_rate, 7) AS positive_rate,
+CASE WHEN r1 IS NULL THEN round(mu / sd * sqrt(252), 6) END AS sharpe, r1 AS sharpe_reason, CASE WHEN r2 IS NULL THEN round(mu / dd * sqrt(252), 6) END AS sortino, r2 AS sortino_reason, CASE WHEN r3 IS NULL THEN round(ar / -max_drawdown, 6) END AS calmar, r3 AS calmar_reason,
+CASE WHEN few IS NULL THEN round(sa * sqrt(252), 6) END AS tracking_error, few AS tracking_error_reason, CASE WHEN r5 IS NULL THEN round(ma / sa * sqrt(252), 6) END AS information_ratio, r5 AS information_ratio_reason, CASE WHEN r6 IS NULL THEN round(bt, 6) END AS beta, r6 AS beta_reason, CASE WHEN r6 IS NULL THEN round((mu - bt * mb) * 252, 6) END AS alpha, r6 AS alpha_reason FROM k"""
 )
 def performance_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = perf.headline(perf.daily_returns(_nav(spark, sf_dir)))
+    """All portfolios, and one that never moves, one with a flat benchmark and one of a single session."""
+    nav = _nav(spark, sf_dir)
+    one = nav.where("portfolio_id = 3")
+    more = lambda n, e, b: one.select((F.col("portfolio_id") + n).alias("portfolio_id"), "trade_date", e.cast("long").alias("equity"), b.cast("long").alias("benchmark"))
+    first = Window.partitionBy("portfolio_id").orderBy("trade_date")
+    short = more(300, F.col("equity"), F.col("benchmark")).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    nav = nav.union(more(100, F.lit(7), F.lit(7))).union(more(200, F.col("equity"), F.lit(9))).union(short)
+    out = perf.headline(perf.daily_returns(nav))
     six = ("sharpe", "sortino", "calmar", "tracking_error", "information_ratio", "beta", "alpha")
     return out.select(*[F.round(c, 6 if c in six else 7).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
@@ -220,10 +233,85 @@ def value_at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(perf.value_at_risk(perf.daily_returns(_nav(spark, sf_dir))))
 
 
-@query(f"{_DAILY} SELECT portfolio_id, trade_date, round(equity / lag(equity, 252) OVER o - 1, 7) AS rolling_return, round(stddev_samp(daily_return) OVER f * sqrt(252), 7) AS rolling_volatility, round(avg(daily_return) OVER f / stddev_samp(daily_return) OVER f * sqrt(252), 6) AS rolling_sharpe FROM daily WINDOW o AS (PARTITION BY portfolio_id ORDER BY trade_date), f AS (PARTITION BY portfolio_id ORDER BY trade_date ROWS 251 PRECEDING) QUALIFY session > 252")
+@query(
+    f"""{_DAILY}, r AS (SELECT portfolio_id, trade_date, session, equity / lag(equity, 252) OVER o AS e, benchmark / lag(benchmark, 252) OVER o AS b, stddev_samp(daily_return) OVER f AS sd, avg(daily_return) OVER f AS mu, stddev_samp(active_return) OVER f AS sa, avg(active_return) OVER f AS ma, covar_samp(daily_return, benchmark_return) OVER f AS cv, var_samp(benchmark_return) OVER f AS vb FROM daily
+  WINDOW o AS (PARTITION BY portfolio_id ORDER BY trade_date), f AS (PARTITION BY portfolio_id ORDER BY trade_date ROWS 251 PRECEDING) QUALIFY session > 252),
+p AS (SELECT r.portfolio_id, r.trade_date, d.trade_date AS t, d.equity::DOUBLE / max(d.equity) OVER (PARTITION BY r.portfolio_id, r.trade_date ORDER BY d.trade_date) - 1 AS dd FROM r JOIN daily d ON d.portfolio_id = r.portfolio_id AND d.session BETWEEN r.session - 252 AND r.session),
+m AS (SELECT portfolio_id, trade_date, min(dd) AS max_drawdown FROM p GROUP BY 1, 2)
+SELECT portfolio_id, trade_date, round(e - 1, 7) AS annualized_return, round(b - 1, 7) AS benchmark_annualized_return, round(e / b - 1, 7) AS annualized_excess_return, round(sd * sqrt(252), 7) AS annualized_volatility, round(mu / sd * sqrt(252), 6) AS sharpe_ratio, round(max_drawdown, 7) AS max_drawdown,
+round(sa * sqrt(252), 7) AS tracking_error, round(ma / sa * sqrt(252), 6) AS information_ratio, round(cv / vb, 6) AS beta FROM r JOIN m USING (portfolio_id, trade_date)"""
+)
 def rolling_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = perf.rolling_block(perf.daily_returns(_nav(spark, sf_dir)))
-    return out.select("portfolio_id", "trade_date", F.round("rolling_return", 7).alias("rolling_return"), F.round("rolling_volatility", 7).alias("rolling_volatility"), F.round("rolling_sharpe", 6).alias("rolling_sharpe"))
+    return out.select(*[F.round(c, 6 if c in ("sharpe_ratio", "information_ratio", "beta") else 7).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query(
+    f"""{_DAILY}, a AS (SELECT *, (equity::DOUBLE / benchmark) / max(equity::DOUBLE / benchmark) OVER (PARTITION BY portfolio_id ORDER BY trade_date) - 1 AS fall FROM daily),
+s AS (SELECT portfolio_id, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS observations, arg_max(equity, trade_date)::DOUBLE / arg_min(equity, trade_date) AS e, arg_max(benchmark, trade_date)::DOUBLE / arg_min(benchmark, trade_date) AS b, min(fall) AS fall FROM a GROUP BY 1)
+SELECT portfolio_id, start_date, end_date, observations, round(b - 1, 7) AS benchmark_cumulative_return, round(e - b, 7) AS relative_cumulative_return, round(e / b - 1, 7) AS geometric_excess_return, round(fall, 7) AS active_max_drawdown, round(b ** (252.0 / (observations - 1)) - 1, 7) AS benchmark_annualized_return,
+round((e / b) ** (252.0 / (observations - 1)) - 1, 7) AS annualized_geometric_excess_return, NULL::VARCHAR AS annualized_reason FROM s"""
+)
+def relative_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(perf.relative_performance(perf.daily_returns(_nav(spark, sf_dir))), 7)
+
+
+@query(
+    f"""{_DAILY}, t AS (SELECT portfolio_id, min(drawdown) AS max_drawdown, arg_min({{'d': trade_date, 'p': peak}}, {{'x': drawdown, 'd': trade_date}}) AS t, count(*) FILTER (WHERE drawdown < 0) / count(*) AS u FROM daily GROUP BY 1),
+r AS (SELECT portfolio_id, max(n) AS n FROM (SELECT portfolio_id, count(*) AS n FROM (SELECT portfolio_id, drawdown, sum(CASE WHEN drawdown < 0 THEN 0 ELSE 1 END) OVER (PARTITION BY portfolio_id ORDER BY trade_date) AS g FROM daily) WHERE drawdown < 0 GROUP BY portfolio_id, g) GROUP BY 1),
+x AS (SELECT portfolio_id, max_drawdown, t.d AS trough_date, u, (SELECT min(trade_date) FROM daily d WHERE d.portfolio_id = t.portfolio_id AND d.equity = t.t.p AND d.trade_date <= t.t.d) AS peak_date, (SELECT min(trade_date) FROM daily d WHERE d.portfolio_id = t.portfolio_id AND d.equity >= t.t.p AND d.trade_date > t.t.d) AS back FROM t)
+SELECT portfolio_id, round(max_drawdown, 7) AS max_drawdown, peak_date, trough_date, CASE WHEN max_drawdown = 0 THEN trough_date ELSE back END AS recovery_date, CASE WHEN max_drawdown < 0 AND back IS NULL THEN 'DRAWDOWN_NOT_RECOVERED' END AS recovery_reason, coalesce(n, 0) AS max_drawdown_duration_sessions, round(u, 7) AS time_under_water_rate FROM x LEFT JOIN r USING (portfolio_id)"""
+)
+def drawdown_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(perf.drawdown_summary(perf.daily_returns(_nav(spark, sf_dir))), 7)
+
+
+_FILLS = """fills AS (SELECT s_nationkey AS portfolio_id, CAST(l_shipdate AS DATE) AS trade_date, CAST(l_quantity AS BIGINT) AS requested_quantity, CASE WHEN l_linenumber > 5 THEN 0 WHEN l_linenumber = 5 THEN CAST(l_quantity AS BIGINT) // 2 ELSE CAST(l_quantity AS BIGINT) END AS filled_quantity,
+  CASE WHEN l_linenumber <> 7 AND s_nationkey <> 3 THEN (CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT)) / 100.0::DOUBLE END AS reference_price, CAST(l_quantity AS BIGINT) * 100 AS gross_value, CAST(l_quantity AS BIGINT) AS fees FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> 5)"""
+
+
+def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of all portfolios but one; another has no prices."""
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("portfolio_id")).where("portfolio_id <> 5")
+    q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber")
+    filled = F.when(n > 5, F.lit(0).cast("long")).when(n == 5, F.floor(q / 2)).otherwise(q)
+    price = F.when((n != 7) & (F.col("portfolio_id") != 3), F.floor(F.round(F.col("l_extendedprice") * 100).cast("long") / q) / F.lit(100.0))
+    return load(spark, sf_dir, "lineitem").join(s, "l_suppkey").select("portfolio_id", F.col("l_shipdate").cast("date").alias("trade_date"), q.alias("requested_quantity"), filled.cast("long").alias("filled_quantity"), price.alias("reference_price"), (q * 100).alias("gross_value"), q.alias("fees"))
+
+
+@query(
+    f"""{_DAILY}, {_FILLS}, f AS (SELECT portfolio_id, trade_date, sum(gross_value) AS gross, sum(fees) AS fees FROM fills GROUP BY 1, 2),
+d AS (SELECT daily.*, coalesce(lag(equity) OVER (PARTITION BY portfolio_id ORDER BY trade_date), equity)::DOUBLE AS before, coalesce(gross, 0) AS gross, CASE WHEN session > 1 THEN coalesce(fees, 0) ELSE 0 END AS paid FROM daily LEFT JOIN f USING (portfolio_id, trade_date)),
+s AS (SELECT portfolio_id, count(*) - 1 AS n, avg(equity) AS mean_nav, sum(gross / (2 * before)) AS turned, exp(sum(ln(1 + daily_return + paid / before))) AS g, arg_max(equity, trade_date)::DOUBLE / arg_min(equity, trade_date) AS e FROM d GROUP BY 1),
+o AS (SELECT portfolio_id, count(*) AS orders, sum(gross_value) AS traded, sum(fees) AS paid, count(*) FILTER (WHERE filled_quantity = 0 OR filled_quantity < requested_quantity) AS failed, count(reference_price) AS priced, sum(CAST(round(CAST(requested_quantity AS DECIMAL(18,0)) * CAST(reference_price AS DECIMAL(18,6)) * 100, 0) AS BIGINT)) AS asked, sum(CAST(round(CAST(filled_quantity AS DECIMAL(18,0)) * CAST(reference_price AS DECIMAL(18,6)) * 100, 0) AS BIGINT)) AS got FROM fills GROUP BY 1)
+SELECT portfolio_id, round(coalesce(traded, 0) / (2 * mean_nav), 9) AS one_way_turnover, round(turned * 252 / n, 9) AS annualized_turnover, round(coalesce(paid, 0) / mean_nav, 9) AS fee_rate, round(g - 1, 7) AS gross_cumulative_return, round(g ** (252.0 / n) - 1, 7) AS gross_annualized_return, round(g - e, 7) AS cumulative_cost_drag, round(g ** (252.0 / n) - e ** (252.0 / n), 7) AS annualized_cost_drag, NULL::VARCHAR AS annualized_reason,
+round(failed / orders, 9) AS failed_fill_rate, CASE WHEN orders IS NULL THEN 'NO_ORDERS' END AS failed_fill_rate_reason, round(got::DOUBLE / asked::DOUBLE, 9) AS notional_fill_rate, CASE WHEN orders IS NULL THEN 'NO_ORDERS' WHEN priced = 0 THEN 'NO_PRICEABLE_ORDERS' END AS notional_fill_rate_reason, round(priced / orders, 9) AS priced_order_coverage_rate FROM s LEFT JOIN o USING (portfolio_id)"""
+)
+def trading_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perf.trading_metrics(perf.daily_returns(_nav(spark, sf_dir)), _fills(spark, sf_dir))
+    seven = ("gross_cumulative_return", "gross_annualized_return", "cumulative_cost_drag", "annualized_cost_drag")
+    return out.select(*[F.round(c, 7 if c in seven else 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query(
+    f"""WITH {_NAV}, n AS (SELECT *, equity // 4 AS cash, equity // 50 AS dividend_receivable FROM nav), h AS (SELECT portfolio_id, trade_date, i AS security, equity // (10 + i * 3 + portfolio_id) AS market_value FROM n, unnest(range(0, 4)) AS u(i)),
+l AS (SELECT portfolio_id, max(market_value::DOUBLE / equity) AS w FROM h JOIN n USING (portfolio_id, trade_date) GROUP BY 1), e AS (SELECT portfolio_id, date_trunc('month', trade_date) AS p, arg_max(equity, trade_date) AS l, arg_min(equity, trade_date) AS f FROM nav GROUP BY 1, 2), g AS (SELECT portfolio_id, l::DOUBLE / coalesce(lag(l) OVER (PARTITION BY portfolio_id ORDER BY p), f) - 1 AS r FROM e), m AS (SELECT portfolio_id, count(*) FILTER (WHERE r > 0) / count(*) AS positive FROM g GROUP BY 1)
+SELECT portfolio_id, round(avg(cash::DOUBLE / equity), 9) AS average_cash_weight, round(avg(dividend_receivable::DOUBLE / equity), 9) AS average_receivable_weight, round(any_value(w), 9) AS max_position_weight, round(any_value(positive), 9) AS positive_month_rate FROM n JOIN l USING (portfolio_id) JOIN m USING (portfolio_id) GROUP BY 1"""
+)
+def holding_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = lambda by: F.floor(F.col("equity") / by).cast("long")
+    nav = _nav(spark, sf_dir).withColumns({"cash": whole(4), "dividend_receivable": whole(50)})
+    held = nav.select("portfolio_id", "trade_date", "equity", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("security")).withColumn("market_value", whole(F.col("security") * 3 + 10 + F.col("portfolio_id")))
+    return rounded(perf.holding_metrics(nav, held.drop("equity")), 9)
+
+
+@query(f"WITH {_NAV} SELECT portfolio_id, trade_date, equity FROM nav WHERE equity % 3 = 1")
+def broken_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions whose parts don't add up to the equity (V10): one cent is put out on some."""
+    e, third = F.col("equity"), F.pmod("equity", F.lit(3))
+    nav = _nav(spark, sf_dir).withColumns({"cash": F.floor(e / 2).cast("long"), "dividend_receivable": F.lit(700).cast("long"), "short_market_value": F.lit(0).cast("long"), "accrued_fees": F.lit(700).cast("long")})
+    nav = nav.withColumn("long_market_value", e - F.col("cash") + F.when(third == 1, 1).otherwise(0))
+    return perf.broken_identities(nav).select("portfolio_id", "trade_date", "equity")
 
 
 @query(
@@ -240,12 +328,13 @@ def monthly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderpriority AS portfolio_id, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, o_orderstatus AS reason_code, count(*) AS n_orders, CAST(sum(o_orderkey % 1000) AS BIGINT) AS requested, CAST(sum(o_orderkey % 500) AS BIGINT) AS filled,
-CAST(sum(CAST(round(CAST(o_orderkey % 1000 AS DECIMAL(18,0)) * CAST(o_totalprice AS DECIMAL(18,2)) * 100, 0) AS BIGINT)) AS BIGINT) AS requested_notional, round(sum(o_orderkey % 500) / sum(o_orderkey % 1000), 9) AS fill_rate FROM orders GROUP BY 1, 2, 3"""
+    """WITH f AS (SELECT *, o_orderkey % 1000 AS q, o_orderkey % 500 AS g, CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS p FROM orders)
+SELECT o_orderpriority AS portfolio_id, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, o_orderstatus AS reason_code, count(*) AS n_orders, CAST(sum(q) AS BIGINT) AS requested, CAST(sum(g) AS BIGINT) AS filled, CAST(sum(q - g) AS BIGINT) AS unfilled,
+CAST(coalesce(sum(CAST(round(CAST(q AS DECIMAL(18,0)) * p * 100, 0) AS BIGINT)), 0) AS BIGINT) AS requested_notional, CAST(coalesce(sum(CAST(round(CAST(g AS DECIMAL(18,0)) * p * 100, 0) AS BIGINT)), 0) AS BIGINT) AS filled_notional, count(*) - count(p) AS n_unpriced, round(sum(g) / sum(q), 9) AS fill_rate FROM f GROUP BY 1, 2, 3"""
 )
 def execution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    fills = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("portfolio_id"), F.when(k % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.col("o_orderstatus").alias("reason_code"), (k % 1000).alias("requested_quantity"), (k % 500).alias("filled_quantity"), F.col("o_totalprice").alias("reference_price"))
+    fills = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("portfolio_id"), F.when(k % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.col("o_orderstatus").alias("reason_code"), (k % 1000).alias("requested_quantity"), (k % 500).alias("filled_quantity"), F.when(k % 9 != 0, F.col("o_totalprice")).alias("reference_price"))
     return rounded(perf.execution_summary(fills), 9)
 
 
@@ -262,12 +351,12 @@ def security_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perf.security_attribution(values, flows)
 
 
-@query(f"{_DAILY}, f AS (SELECT s_nationkey AS portfolio_id, CAST(l_shipdate AS DATE) AS trade_date, sum(CAST(l_quantity AS BIGINT)) * 10 AS fees FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2), g AS (SELECT d.portfolio_id, d.trade_date, daily_return + coalesce(fees / lag(equity) OVER (PARTITION BY d.portfolio_id ORDER BY d.trade_date), 0) AS gross FROM daily d LEFT JOIN f USING (portfolio_id, trade_date)) SELECT portfolio_id, trade_date, round(gross, 9) AS gross_return, round(exp(sum(ln(1 + gross)) OVER (PARTITION BY portfolio_id ORDER BY trade_date)), 6) AS gross_growth FROM g")
+@query(f"{_DAILY}, f AS (SELECT s_nationkey AS portfolio_id, CAST(l_shipdate AS DATE) AS trade_date, sum(CAST(l_quantity AS BIGINT)) * 10 AS fees FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2), g AS (SELECT d.portfolio_id, d.trade_date, daily_return + coalesce(fees / lag(equity) OVER (PARTITION BY d.portfolio_id ORDER BY d.trade_date), 0) AS gross FROM daily d LEFT JOIN f USING (portfolio_id, trade_date)) SELECT portfolio_id, trade_date, round(gross, 12) AS gross_return, round(exp(sum(ln(1 + gross)) OVER (PARTITION BY portfolio_id ORDER BY trade_date)), 6) AS gross_growth FROM g")
 def gross_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("portfolio_id"))
     fees = load(spark, sf_dir, "lineitem").join(s, "l_suppkey").groupBy("portfolio_id", F.col("l_shipdate").cast("date").alias("trade_date")).agg((F.sum(F.col("l_quantity").cast("long")) * 10).alias("fees"))
     out = perf.gross_growth(perf.daily_returns(_nav(spark, sf_dir)), fees)
-    return out.select("portfolio_id", "trade_date", F.round("gross_return", 9).alias("gross_return"), F.round("gross_growth", 6).alias("gross_growth"))
+    return out.select("portfolio_id", "trade_date", F.round("gross_return", 12).alias("gross_return"), F.round("gross_growth", 6).alias("gross_growth"))
 
 
 # --- data quality -------------------------------------------------------------------

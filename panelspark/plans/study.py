@@ -151,6 +151,49 @@ def factor_roe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.financial("roe", "roe", asked)(records).select("signal_date", "instrument_id", "value", "available_at", "is_valid", "invalid_reason")
 
 
+_METRICS = {f: i for i, f in enumerate(fx.FINANCIALS)}
+_METRIC_SQL = ", ".join(f"CASE WHEN o_orderkey % {7 + i} <> 0 THEN (o_totalprice - {i * 20000}) / 1e5 END AS {fx.FINANCIALS[f]}" for f, i in _METRICS.items())
+_WIDE = _RECORDS.replace("CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice / 1e5 - 1 END AS roe", _METRIC_SQL)
+_EACH = " UNION ALL ".join(f"SELECT '{f}' AS factor_id, instrument_id, trade_date, available_at, report_period, {c} AS x, age FROM m" for f, c in fx.FINANCIALS.items())
+
+
+@query(
+    f"""WITH {_WIDE}, asked AS (
+  SELECT i.instrument_id, d.trade_date, CAST(d.trade_date AS TIMESTAMP) + INTERVAL 1 DAY - INTERVAL 1 MICROSECOND AS signal_at
+  FROM (SELECT DISTINCT instrument_id FROM records) i CROSS JOIN (SELECT DISTINCT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS trade_date FROM orders) d),
+m AS (SELECT a.instrument_id, a.trade_date, k.* EXCLUDE (instrument_id), date_diff('day', k.report_period, a.trade_date) AS age FROM asked a ASOF LEFT JOIN moved k ON a.instrument_id = k.instrument_id AND a.signal_at >= k.available_at),
+e AS ({_EACH}), r AS (SELECT *, CASE WHEN available_at IS NULL THEN 'NO_RECORD' WHEN x IS NULL THEN 'MISSING_VALUE' WHEN age < 0 OR age > 190 THEN 'STALE_RECORD' WHEN factor_id = 'leverage' AND x < 0 THEN 'NEGATIVE_VALUE' END AS invalid_reason FROM e)
+SELECT factor_id, trade_date AS signal_date, instrument_id, CASE WHEN invalid_reason IS NULL THEN round(x, 9) END AS value, invalid_reason IS NULL AS is_valid, invalid_reason FROM r"""
+)
+def financial_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven financial factors, through the registry."""
+    records = _records(spark, sf_dir).drop("roe")
+    o = load(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    wide = o.select(k.alias("revision"), *[F.when(k % (7 + i) != 0, (F.col("o_totalprice") - i * 20000) / 1e5).alias(fx.FINANCIALS[f]) for f, i in _METRICS.items()])
+    records = records.join(wide, "revision")
+    dates = o.select(F.trunc(F.col("o_orderdate").cast("date"), "quarter").alias("trade_date")).distinct()
+    asked = records.select("instrument_id").distinct().crossJoin(F.broadcast(dates))  # quarters: a few dozen
+    out = fx.compute_factors(fx.Registry().register(*fx.financial_factors(asked)), list(fx.FINANCIALS), {"financials": records})
+    return out.select("factor_id", "signal_date", "instrument_id", F.round("value", 9).alias("value"), "is_valid", "invalid_reason")
+
+
+_fundamental("book_to_price", fx.inverse, lambda x: x != 0, _fundamental_sql("1 / x", "x <> 0"))
+_fundamental("sales_yield", fx.inverse, lambda x: x != 0, _fundamental_sql("1 / x", "x <> 0"))
+
+
+@query(
+    f"""WITH {BARS}, t AS (SELECT *, CASE WHEN instrument_id % 9 <> 0 THEN volume / 1e4 END AS rate, row_number() OVER o AS n FROM bars WINDOW o AS (PARTITION BY instrument_id ORDER BY trade_date)),
+f AS (SELECT *, avg(rate) OVER w AS v, count(rate) OVER w AS c FROM t WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date ROWS 19 PRECEDING)),
+r AS (SELECT *, CASE WHEN n < 20 THEN 'INSUFFICIENT_HISTORY' WHEN c < 20 THEN 'INVALID_INPUT' END AS invalid_reason FROM f)
+SELECT trade_date AS signal_date, instrument_id, CASE WHEN invalid_reason IS NULL THEN round(v, 9) END AS value, invalid_reason IS NULL AS is_valid, invalid_reason FROM r"""
+)
+def factor_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean turnover of the last twenty observed rows (F8)."""
+    rows = bars(spark, sf_dir).withColumns({"available_at": F.col("trade_date").cast("timestamp_ntz"), "turnover_rate_free_float": F.when(F.col("instrument_id") % 9 != 0, F.col("volume") / 1e4)})
+    return rounded(fx.observed_mean("turnover_20d", "turnover_rate_free_float", 20)(rows).select("signal_date", "instrument_id", "value", "is_valid", "invalid_reason"), 9)
+
+
 _STUDY = f"WITH {PANEL}{factor_sql(6)}{labels_sql(1)}"
 
 
