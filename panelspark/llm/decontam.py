@@ -80,6 +80,11 @@ def _values(w: Column) -> Column:
     return F.transform(w, lambda t: F.lower(F.replace(t, F.lit(MARK), F.lit(""))))
 
 
+def _plain(w: Column, c: Column) -> Column:
+    """What `_values` gives, given the canonical words: these are it but for placeholders, and no other word starts with <."""
+    return F.zip_with(c, w, lambda x, t: F.when(x.startswith("<"), F.lower(F.replace(t, F.lit(MARK), F.lit("")))).otherwise(x))
+
+
 def _window_hashes(w: Column, sizes: list[int]) -> Column:
     """Of each size an array with the hashes of all windows of that many words; null words never occur."""
 
@@ -116,7 +121,7 @@ def _read(rows: DataFrame, id_column: str, key: str, sizes: list[int] | None = N
             typed = [_window_hashes(c, sizes).alias("typed"), F.when(c == v, F.array().cast("array<array<bigint>>")).otherwise(_window_hashes(v, sizes)).alias("plain")] if sizes else []
             return F.struct(w.alias("w"), c.alias("c"), v.alias("v"), *typed)
 
-        return let(canonical(w), lambda c: let(_values(w), lambda v: both(c, v)))
+        return let(canonical(w), lambda c: let(_plain(w, c), lambda v: both(c, v)))
 
     one = F.explode(F.transform(F.array(words(F.col("text"))), found)).alias("t")
     return rows.select(id_column, text_key().alias(key), one).select(id_column, key, "t.*")
@@ -183,8 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, least: float
     near = F.broadcast(near) if near.count() <= BROADCAST_DOCS else near
     whole = docs.select("doc_id", "text", text_key().alias("__key"))
     whole = whole.join(near, whole["doc_id"].eqNullSafe(near["__near"]) & (whole["__key"] == near["__near_key"]), "left_semi").select("doc_id", "text")
-    # wholly equal rows count once
-    whole = written(_read(whole, "doc_id", "text_key", sizes).dropDuplicates(["doc_id", "text_key"]), "candidate-words")
+    whole = _read(whole, "doc_id", "text_key", sizes)
 
     # their windows that meet an item's, word by word
     one = lambda form, typed: F.flatten(F.transform(form, lambda hs, i: F.transform(hs, lambda h, at: F.struct(h.alias("hash"), F.get(F.array(*map(F.lit, sizes)), i).alias("size"), (at + 1).alias("at"), F.lit(typed).alias("typed")))))
@@ -197,7 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = K, least: float
     # windows that meet as plain words alone are literal: they say nothing of the slots
     met = met.withColumn("slots", F.when(F.col("typed"), slots).otherwise(F.slice(slots, 1, 0)))
     sure = F.col("literal") | (F.size("slots") * 2 <= F.size("item_words"))
-    # a group has at most two entries per window of the item
+    # equal rows fall together here; a group has at most two entries per window of the item
     lines = met.where(sure).groupBy("doc_id", "text_key", "item_id", "item", "n_windows", "diagonal").agg(
         F.collect_set(F.struct("item_at", "literal")).alias("found"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
