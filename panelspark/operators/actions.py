@@ -36,7 +36,7 @@ def mapped_to_sessions(events: DataFrame, calendar: DataFrame, columns: dict[str
         days = sessions.withColumn("open", F.lit(True)).unionByName(events.select(F.col(source).alias("day")).distinct().withColumn("open", F.lit(False)))
         ahead = F.min(F.when(F.col("open"), F.col("day"))).over(Window.orderBy("day").rowsBetween(0, Window.unboundedFollowing))
         found = days.groupBy("day").agg(F.bool_or("open").alias("open")).withColumn(target, ahead).select(F.col("day").alias(source), target)
-        out = out.join(small(found.where(F.col(source).isNotNull())), source, "left")
+        out = out.join(found.where(F.col(source).isNotNull()), source, "left")
     return out
 
 

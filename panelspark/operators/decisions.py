@@ -121,7 +121,7 @@ def rotation(bars: DataFrame, windows: dict[int, float], trend: int, vol: int, p
 def multifactor_strategy(factors: DataFrame, weights: dict[str, float], least_factors: int) -> DataFrame:
     """Scores on the last session of each ISO week (G6): winsorized z-scores per (date, factor), weighted over those that are valid."""
     last = factors.groupBy(F.extract(F.lit("YEAROFWEEK"), "signal_date").alias("y"), F.weekofyear("signal_date").alias("w")).agg(F.max("signal_date").alias("signal_date")).select("signal_date")
-    rows = factors.where(F.col("factor_id").isin(*weights)).join(small(last), "signal_date", "left_semi")
+    rows = factors.where(F.col("factor_id").isin(*weights)).join(last, "signal_date", "left_semi")
     keys = ["signal_date", "factor_id"]
     z = zscore(winsorize_mad(rows, "value", keys, "w"), "w", keys, "z")
     table = factors.sparkSession.createDataFrame(list(weights.items()), "factor_id string, weight double")
@@ -248,7 +248,7 @@ def dual_ma_strategy(bars: DataFrame, sessions: DataFrame, short: int, long: int
     and a first FLAT does nothing.
     """
     w = by("instrument_id", "trade_date")
-    rows = bars.join(small(sessions), "trade_date")
+    rows = bars.join(sessions, "trade_date")
     whole = F.col("session_ordinal") - F.lag("session_ordinal", long - 1).over(w) == long - 1
     rows = rows.withColumns({"short_ma": rolling_mean("close", w, short), "long_ma": rolling_mean("close", w, long), "whole": F.coalesce(whole, F.lit(False))})
     ok = F.col("whole") & F.col("short_ma").isNotNull() & F.col("long_ma").isNotNull()

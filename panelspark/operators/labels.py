@@ -30,7 +30,7 @@ def forward_returns(signals: DataFrame, sessions: DataFrame, bars: DataFrame, ho
     price = bars.select("instrument_id", "trade_date", "open", "close")
 
     def one(h: int) -> DataFrame:
-        rows = signals.select("signal_date", "instrument_id").join(small(_session_map(sessions, h)), "signal_date", "left")
+        rows = signals.select("signal_date", "instrument_id").join(_session_map(sessions, h), "signal_date", "left")
         entry = price.select("instrument_id", F.col("trade_date").alias("return_start"), F.col("open").alias("entry_open"))
         leave = price.select("instrument_id", F.col("trade_date").alias("return_end"), F.col("close").alias("exit_close"))
         rows = rows.join(entry, ["instrument_id", "return_start"], "left").join(leave, ["instrument_id", "return_end"], "left")

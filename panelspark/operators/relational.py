@@ -12,7 +12,7 @@ BROADCAST_ROWS = 200_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it is counted to have `rows` rows at most; left to a shuffle otherwise."""
+    """df, marked for broadcast if it is counted to have `rows` rows at most: for pairs of dimension tables, whose join has no key. Joins on keys are left to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -98,12 +98,15 @@ def interval_state(memberships: DataFrame, dates: DataFrame, key: str, in_date:
 
     A membership counts if it began by the date and that was known by the date's
     cutoff, and if its end is open, later, or not known yet. Among several the last
-    by `order` counts. dates: distinct `date`, cutoff; a few thousand at most, and
-    checked to be small before they are broadcast.
+    by `order` counts. dates: distinct `date`, cutoff. Memberships meet the dates of each month
+    from their beginning on by an equi-join on the month, of which the rest is filtered.
     """
     ended = F.col(out_date).isNotNull() & (F.col(out_date) <= F.col("date")) & F.col(out_known).isNotNull() & (F.col(out_known) <= F.col(cutoff))
     valid = (F.col(in_date) <= F.col("date")) & (F.col(in_known) <= F.col(cutoff)) & ~ended
-    met = memberships.join(small(dates), valid)
+    months = F.sequence(F.trunc(F.col(in_date), "month"), F.trunc("__last", "month"), F.expr("INTERVAL 1 MONTH"))
+    last = dates.agg(F.max("date")).first()[0]  # one value
+    begun = memberships.withColumn("__last", F.lit(last).cast("date")).where(F.col(in_date) <= F.col("__last")).withColumn("__month", F.explode(months)).drop("__last")
+    met = begun.join(dates.withColumn("__month", F.trunc("date", "month")), "__month").where(valid).drop("__month")
     n = F.row_number().over(Window.partitionBy("date", key).orderBy(*order))
     return met.withColumn("__n", n).where("__n = 1").drop("__n")
 
@@ -118,7 +121,7 @@ def with_previous_period(df: DataFrame, key: Sequence[str], period: str, values:
     dates = df.select(period).distinct()
     dates = dates.withColumn(f"previous_{period}", F.lag(period).over(Window.orderBy(period)))  # one row per period
     then = df.select(*key, F.col(period).alias(f"previous_{period}"), *[F.col(v).alias(f"previous_{v}") for v in values])
-    return df.join(small(dates), period).join(then, [*key, f"previous_{period}"], "left")
+    return df.join(dates, period).join(then, [*key, f"previous_{period}"], "left")
 
 
 def factor_pairs(df: DataFrame, keys: Sequence[str] = ("signal_date", "instrument_id"), name: str = "factor_id", value: str = "value") -> DataFrame:

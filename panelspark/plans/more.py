@@ -13,11 +13,17 @@ from panelspark.operators import actions, decisions, performance, portfolio, qua
 from panelspark.plans.decisions import _candidates
 from panelspark.plans.study import rounded
 from panelspark.plans.tables import BARS, PANEL, bars, factor, factor_sql, load, panel, query
+from panelspark.sources import lake
 
 
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}").rstrip("/")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = f"file://{tempfile.gettempdir()}"
+    shared = shared.rstrip("/")
     out = streaming.drained(spark, f"{sf_dir}/events.parque[t]", f"{shared}/panelspark/stream-{uuid.uuid4().hex}")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events", F.round("total", 4).alias("total"))
 
@@ -231,3 +237,69 @@ def state_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_add(F.date_sub(day, 5), (k % 10).cast("int")).alias("out_date"), F.when(k % 8 != 0, day).alias("out_available_at"),
     )
     return quality.counts(rows, {"financial": quality.financial_violations(), "industry": quality.industry_violations()})
+
+
+_MONTHS = "CAST(date_trunc('month', o_orderdate) AS DATE)"
+
+
+@query(
+    """SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 9 <> 0 THEN 'C' || o_custkey END AS instrument_id, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS trade_date, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey AS DOUBLE) * 100 END AS volume FROM orders"""
+)
+def normalized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of strings renamed, trimmed, cast and scaled."""
+    k, text = F.col("o_orderkey"), lambda c: F.concat(F.lit("  "), c.cast("string"), F.lit(" "))
+    raw = load(spark, sf_dir, "orders").select(
+        text(k).alias("no"), F.when(k % 9 != 0, F.concat(F.lit(" C"), F.col("o_custkey").cast("string"))).otherwise("   ").alias("ts_code"),
+        F.when(k % 7 != 0, F.date_format(F.col("o_orderdate").cast("date"), "yyyyMMdd")).otherwise("bad").alias("day"), F.when(k % 5 != 0, text(F.col("o_custkey"))).otherwise("n/a").alias("vol"),
+    )
+    return lake.normalized(raw, {"no": "row_id", "ts_code": "instrument_id", "day": "trade_date", "vol": "volume"}, {"row_id": "bigint", "trade_date": "date", "volume": "double"}, {"volume": 100.0})
+
+
+@query(
+    """WITH r AS (SELECT o_custkey, o_orderkey, o_orderpriority AS content, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS n FROM orders) SELECT o_custkey, o_orderkey, content, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS revision FROM r WHERE n = 1"""
+)
+def row_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content without repeats, numbered within its key."""
+    return lake.revisions(load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("content")), ["o_custkey"], ["o_orderkey"])
+
+
+_SEEN = """seen AS (SELECT o_custkey AS instrument_id, o_orderpriority AS code, CAST(date_trunc('year', o_orderdate) AS DATE) AS in_date, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END AS out_date, CAST(o_orderdate AS TIMESTAMP) + INTERVAL (o_orderkey % 86400) SECOND AS available_at, o_orderkey AS name FROM orders)"""
+
+
+@query(
+    f"""WITH {_SEEN}, t AS (SELECT instrument_id, code, in_date, min(available_at) AS in_available_at, min(available_at) FILTER (WHERE out_date IS NOT NULL) AS out_available_at FROM seen GROUP BY 1, 2, 3)
+SELECT s.*, t.in_available_at, t.out_available_at FROM (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY instrument_id, code, in_date ORDER BY available_at DESC) = 1) s JOIN t USING (instrument_id, code, in_date)"""
+)
+def industry_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per membership with its first entry and exit times."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, CAST(o_orderkey % 86400 AS INT))")
+    seen = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("instrument_id"), F.col("o_orderpriority").alias("code"), F.trunc(day, "year").alias("in_date"), F.when(k % 3 == 0, day).alias("out_date"), at.alias("available_at"), k.alias("name"))
+    return lake.consolidated_industries(seen)
+
+
+@query(
+    f"""WITH a AS (SELECT {_MONTHS} AS m, count(*) AS n, count(*) FILTER (WHERE o_orderkey % 50 = 0) AS c FROM orders WHERE o_orderdate >= '1996-01-01' GROUP BY 1), b AS (SELECT {_MONTHS} AS m FROM orders WHERE o_orderdate < '1998-01-01' GROUP BY 1)
+SELECT CAST(coalesce(a.m, b.m) AS VARCHAR) AS partition_value, CASE WHEN b.m IS NULL THEN 'new_partition' WHEN a.m IS NULL THEN 'canonical_file_missing' WHEN a.c > 0 THEN 'raw_input_changed' ELSE 'unchanged' END AS status FROM a FULL JOIN b ON a.m = b.m"""
+)
+def changed_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of orders against an earlier state (N3): every fiftieth order's customer has changed since."""
+    o = load(spark, sf_dir, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"), "o_orderkey", "o_custkey", "o_orderdate")
+    now = o.where("o_orderdate >= '1996-01-01'").withColumn("o_custkey", F.col("o_custkey") + F.when(F.col("o_orderkey") % 50 == 0, 1).otherwise(0))
+    return lake.changed_partitions(lake.partition_hashes(now.drop("o_orderdate"), "month"), lake.partition_hashes(o.where("o_orderdate < '1998-01-01'").drop("o_orderdate"), "month"))
+
+
+@query(
+    """SELECT CAST(c_nationkey AS VARCHAR) AS dataset, NOT bool_or(c_acctbal < -950) AS open FROM customer GROUP BY 1"""
+)
+def open_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which nations' customers passed validation."""
+    bad = F.col("c_acctbal") < -950
+    return lake.open_gates(load(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("dataset"), F.when(bad, "FAIL").otherwise("PASS").alias("status"), bad.alias("blocks")))
+
+
+@query(f"WITH {BARS}, e AS (SELECT trade_date AS signal_date, md5(length(CAST(instrument_id AS VARCHAR)) || ':' || instrument_id || '|10:' || trade_date) AS m FROM bars WHERE amount > 100000) SELECT signal_date, count(*) AS n_rows, bit_xor(CAST('0x' || substr(m, 1, 15) AS BIGINT)) AS xor_hash, CAST(sum(CAST('0x' || substr(m, 16, 15) AS BIGINT) % 2147483647) AS BIGINT) AS sum_hash FROM e GROUP BY 1")
+def universe_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identity of each month's universe, the names traded above a floor."""
+    rows = bars(spark, sf_dir).select(F.col("trade_date").alias("signal_date"), "instrument_id", (F.col("amount") > 100000).alias("eligible"))
+    return decisions.universe_identity(rows)

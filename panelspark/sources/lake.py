@@ -1,160 +1,72 @@
-"""The partitioned dataset lake (S1, S9-S14, S16, N3-N8): content-addressed Parquet parts under a manifest.
-
-A dataset is a folder of immutable part folders, each named by the hash of its content,
-and a manifest table that says which part each partition value now points to, with
-its row count, content hash, schema and the hash of the input it was built from. A
-publication writes the new parts first and then a new manifest version; readers use
-the latest version only, so they see all of a publication or nothing, and a job that is
-run again finds its parts there already.
+"""Partitioned datasets as plain Parquet tables, and the jobs that keep them.
+
+A dataset is a folder partitioned by one column. Publishing overwrites just the partitions
+that a frame has (dynamic partition overwrite), so a job that is run again leaves the same
+table; reading leaves pruning to Spark. Content hashes of partitions are DataFrame jobs:
+which partitions changed, or differ from what was recorded, is a join of two tables of hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
-import time
+import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators.relational import content_hash, duplicate_keys, latest
-
-MANIFEST = "partition_value string, part string, n_rows long, content string, input_hash string, schema string, validated boolean, version long"
-
-
-def fingerprint(df: DataFrame) -> tuple[int, str]:
-    """Rows and an order-free content hash of a whole frame, in one aggregation."""
-    r = content_hash(df).first()
-    return r["n_rows"], f"{(r['xor_hash'] or 0) & (2**64 - 1):016x}-{r['sum_hash'] or 0:x}"
-
-
-@dataclass
-class Lake:
-    """Datasets below root, any path that Spark writes to."""
-
-    spark: SparkSession
-    root: str
-
-    def _manifests(self, dataset: str) -> str:
-        return f"{self.root}/{dataset}/_manifest"
-
-    def history(self, dataset: str) -> DataFrame:
-        """All manifest rows; none for a dataset that was never published."""
-        path = self._manifests(dataset)
-        if not self._exists(path):
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(path)
-
-    def _exists(self, path: str) -> bool:
-        try:
-            return not self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").isEmpty()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return False
-            raise
-
-    def manifest(self, dataset: str) -> DataFrame:
-        """The rows in force: of each partition value the latest."""
-        return latest(self.history(dataset), ["partition_value"], ["version"]).where("part is not null")
-
-    def publish(self, dataset: str, df: DataFrame, by: str, keys: Sequence[str], input_hashes: dict[str, str] | None = None) -> list[str]:
-        """Replaces the partitions (values of column `by`) that df has, if their content changed (S10, N3); returns their values.
-
-        Primary keys must be unique. A partition whose content is that of the part in force
-        is left alone, so publishing again changes nothing.
-        """
-        if not duplicate_keys(df, [by, *keys]).isEmpty():
-            raise ValueError(f"{dataset}: primary key {', '.join([by, *keys])} repeats")
-        value = F.coalesce(F.col(by).cast("string"), F.lit("__null__"))
-        hashes = content_hash(df.withColumn("__value", value), ["__value"]).collect()  # one row per partition
-        now = {r["partition_value"]: r["content"] for r in self.manifest(dataset).select("partition_value", "content").collect()}
-        version, rows = time.time_ns(), []
-        schema = json.dumps([[f.name, f.dataType.simpleString()] for f in df.schema])
-        changed = {r["__value"]: (r["n_rows"], f"{r['xor_hash'] & (2**64 - 1):016x}-{r['sum_hash']:x}") for r in hashes}
-        changed = {v: c for v, c in changed.items() if now.get(v) != c[1]}
-        if not changed:
-            return []
-        part = f"part-{version}"
-        rows_out = df.withColumn("__value", value).where(F.col("__value").isin(*changed))
-        # one write for all partitions; within a value rows are sorted by key, so that min/max statistics prune
-        rows_out.repartition("__value").sortWithinPartitions("__value", *keys).write.partitionBy("__value").mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{dataset}/{part}")
-        for v, (n, content) in sorted(changed.items()):
-            rows.append((v, part, n, content, (input_hashes or {}).get(v), schema, False, version))
-        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(self._manifests(dataset))
-        return sorted(changed)
-
-    def upsert(self, dataset: str, df: DataFrame, by: str, keys: Sequence[str]) -> list[str]:
-        """Publishes the union of what is there and df, of which df's row wins on equal keys."""
-        old = self.read(dataset, verify=False)
-        if old is not None:
-            touched = df.select(by).distinct()
-            kept = old.join(F.broadcast(touched) if touched.limit(10_001).count() <= 10_000 else touched, by, "left_semi")
-            both = kept.withColumn("__order", F.lit(0)).unionByName(df.withColumn("__order", F.lit(1)))
-            df = latest(both, [by, *keys], ["__order"]).drop("__order")
-        return self.publish(dataset, df, by, keys)
-
-    def read(self, dataset: str, columns: Sequence[str] | None = None, where: Column | None = None, verify: bool = True, values: Sequence[str] | None = None) -> DataFrame | None:
-        """The dataset in force (S1, S2): projection, filters and partition values reach the scan. None if nothing is published."""
-        rows = self.manifest(dataset).collect()  # one row per partition
-        if values is not None:
-            rows = [r for r in rows if r["partition_value"] in set(values)]
-        if not rows:
-            return None
-        if len({r["schema"] for r in rows}) > 1:
-            raise ValueError(f"{dataset}: partitions differ in schema")
-        paths = {f"{self.root}/{dataset}/{r['part']}": r["part"] for r in rows}
-        out = None
-        for path, part in sorted(paths.items()):
-            mine = [r["partition_value"] for r in rows if r["part"] == part]
-            df = self.spark.read.option("recursiveFileLookup", "false").parquet(path).where(F.col("__value").cast("string").isin(*mine)).drop("__value")
-            out = df if out is None else out.unionByName(df)
-        if verify and (bad := self.damaged(dataset)):
-            raise ValueError(f"{dataset}: content differs from the manifest in {', '.join(bad)}")
-        out = out.where(where) if where is not None else out
-        return out.select(*columns) if columns else out
-
-    def damaged(self, dataset: str) -> list[str]:
-        """Partition values whose rows no longer have the count and hash of the manifest: a pre-flight check of the whole dataset."""
-        bad = []
-        rows = self.manifest(dataset).collect()
-        for part in sorted({r["part"] for r in rows}):
-            df = self.spark.read.parquet(f"{self.root}/{dataset}/{part}")
-            have = self._hashes(df)
-            bad += [r["partition_value"] for r in rows if r["part"] == part and have.get(r["partition_value"]) != (r["n_rows"], r["content"])]
-        return bad
-
-    @staticmethod
-    def _hashes(df: DataFrame) -> dict[str, tuple[int, str]]:
-        columns = [c for c in df.columns if c != "__value"]
-        rows = content_hash(df.select(*columns, F.col("__value").cast("string").alias("__value")), ["__value"]).collect()
-        return {r["__value"]: (r["n_rows"], f"{r['xor_hash'] & (2**64 - 1):016x}-{r['sum_hash']:x}") for r in rows}
-
-    def catalog_hash(self, datasets: Sequence[str]) -> str:
-        """A hash over the contents in force of datasets (N8): equal before and after a job if nothing moved below it."""
-        h = hashlib.sha256()
-        for d in sorted(datasets):
-            for r in sorted(self.manifest(d).select("partition_value", "content").collect()):
-                h.update(f"{d}|{r[0]}|{r[1]}\n".encode())
-        return h.hexdigest()
-
-    def stale(self, dataset: str, input_hashes: dict[str, str]) -> dict[str, str]:
-        """Why partitions need a rebuild (N3): `new_partition`, or `raw_input_changed` where the recorded input hash differs."""
-        now = {r["partition_value"]: r["input_hash"] for r in self.manifest(dataset).collect()}
-        return {v: "new_partition" if v not in now else "raw_input_changed" for v, h in sorted(input_hashes.items()) if now.get(v, "") != h or v not in now}
-
-    def open_gate(self, dataset: str, passed: bool) -> bool:
-        """Marks what is in force as validated (N7): only a passed validation opens the gate, by a new manifest version."""
-        if not passed:
-            return False
-        rows = self.manifest(dataset).withColumns({"validated": F.lit(True), "version": F.lit(time.time_ns())})
-        self.spark.createDataFrame(rows.collect(), MANIFEST).coalesce(1).write.mode("append").parquet(self._manifests(dataset))
-        return True
-
-    def is_open(self, dataset: str) -> bool:
-        r = self.manifest(dataset).agg(F.count("*").alias("n"), F.coalesce(F.bool_and("validated"), F.lit(False)).alias("ok")).first()
-        return bool(r["n"] and r["ok"])
+from panelspark.operators.relational import content_hash, latest, require_unique
+
+
+def read(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Column | None = None) -> DataFrame:
+    """The dataset (S1): columns and filters reach the scan, filters on the partition column prune folders."""
+    rows = spark.read.parquet(path)
+    rows = rows.where(where) if where is not None else rows
+    return rows.select(*columns) if columns else rows
+
+
+def publish(df: DataFrame, path: str, by: str, keys: Sequence[str]) -> None:
+    """Replaces the partitions of the dataset that df has (S10). Primary keys must be unique; rows are sorted by them, so that file statistics prune."""
+    require_unique(df, [by, *keys])
+    dealt = df.repartition(by).sortWithinPartitions(by, *keys)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(by).parquet(path)
+
+
+def upsert(df: DataFrame, path: str, by: str, keys: Sequence[str]) -> None:
+    """Publishes the touched partitions with df's rows in place of those of equal keys (S11). They are written beside the dataset first, as a table is not overwritten while it is read."""
+    spark = df.sparkSession
+    kept = read(spark, path).join(df.select(by).distinct(), by, "left_semi").select(*df.columns)
+    both = kept.withColumn("__order", F.lit(0)).unionByName(df.withColumn("__order", F.lit(1)))
+    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    latest(both, [by, *keys], ["__order"]).drop("__order").write.parquet(beside)
+    publish(spark.read.schema(df.schema).parquet(beside), path, by, keys)
+
+
+def partition_hashes(df: DataFrame, by: str) -> DataFrame:
+    """partition_value, n_rows, xor_hash, sum_hash: the content of each partition, whatever the order of its rows."""
+    value = F.coalesce(F.col(by).cast("string"), F.lit("__null__"))
+    rows = df.select(*[F.col(c) for c in df.columns if c != by], value.alias("partition_value"))
+    return content_hash(rows, ["partition_value"])
+
+
+def changed_partitions(now: DataFrame, recorded: DataFrame) -> DataFrame:
+    """partition_value and status of two tables of `partition_hashes` (S2, N3): new_partition, raw_input_changed, canonical_file_missing or unchanged."""
+    new, old = now.alias("n"), recorded.alias("r")
+    met = new.join(old, F.col("n.partition_value") == F.col("r.partition_value"), "full")
+    same = F.lit(True)
+    for c in ("n_rows", "xor_hash", "sum_hash"):
+        same = same & (F.col(f"n.{c}") == F.col(f"r.{c}"))
+    status = F.when(F.col("r.partition_value").isNull(), "new_partition").when(F.col("n.partition_value").isNull(), "canonical_file_missing").when(same, "unchanged").otherwise("raw_input_changed")
+    return met.select(F.coalesce("n.partition_value", "r.partition_value").alias("partition_value"), status.alias("status"))
+
+
+def catalog_hash(hashes: DataFrame) -> DataFrame:
+    """One row for all datasets (N8): equal before and after a job if nothing moved below it. hashes: dataset and the columns of `partition_hashes`."""
+    return content_hash(hashes.select("dataset", "partition_value", "n_rows", "xor_hash", "sum_hash"))
+
+
+def open_gates(results: DataFrame) -> DataFrame:
+    """dataset, open: whether all that was validated passed (N7). results: dataset, status, blocks (see `quality.run_rules`)."""
+    return results.groupBy("dataset").agg((~F.bool_or(F.coalesce("blocks", F.lit(True)))).alias("open"))
 
 
 def file_years(spark: SparkSession, path: str, day: str) -> DataFrame:

@@ -5,42 +5,43 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.sources.lake import Lake, consolidated_industries, file_years, normalized, revisions
+from panelspark.sources import lake
+from panelspark.sources.lake import consolidated_industries, file_years, normalized, revisions
 
 SCHEMA = "year int, id int, v string"
 
 
-def test_publish_read_upsert_and_drift(spark, tmp_path):
-    lake = Lake(spark, str(tmp_path))
-    assert lake.read("d") is None and not lake.is_open("d")
+def rows(df):
+    return sorted((r.year, r.id, r.v) for r in df.collect())
+
+
+def test_publish_read_and_upsert(spark, tmp_path):
+    path = f"{tmp_path}/d"
+    df = spark.createDataFrame([(2020, 1, "a"), (2020, 2, None), (2021, 1, "c")], SCHEMA)
+    for _ in range(2):  # once more leaves the same table
+        lake.publish(df, path, "year", ["id"])
+        assert rows(lake.read(spark, path)) == [(2020, 1, "a"), (2020, 2, None), (2021, 1, "c")]
+    assert lake.read(spark, path, ["v"], F.col("year") == 2021).collect()[0].v == "c"
+    plan = lake.read(spark, path, ["v"], (F.col("year") == 2021) & (F.col("id") == 1))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "EqualTo(id,1)" in plan
+    before = {r.partition_value: r for r in lake.partition_hashes(lake.read(spark, path), "year").collect()}
+    lake.upsert(spark.createDataFrame([(2021, 1, "new"), (2021, 5, "e"), (2022, 1, "z")], SCHEMA), path, "year", ["id"])
+    assert rows(lake.read(spark, path)) == [(2020, 1, "a"), (2020, 2, None), (2021, 1, "new"), (2021, 5, "e"), (2022, 1, "z")]
+    now = lake.partition_hashes(lake.read(spark, path), "year")
+    recorded = spark.createDataFrame(list(before.values()), now.schema)
+    found = {r.partition_value: r.status for r in lake.changed_partitions(now.where("partition_value <> '2020'"), recorded).collect()}
+    assert found == {"2020": "canonical_file_missing", "2021": "raw_input_changed", "2022": "new_partition"}
+    assert {r.status for r in lake.changed_partitions(now, now).collect()} == {"unchanged"}
+    with pytest.raises(ValueError, match="same"):
+        lake.publish(df.union(df), path, "year", ["id"])
+
+
+def test_catalog_hash_and_gate(spark):
     df = spark.createDataFrame([(2020, 1, "a"), (2020, 2, None), (2021, 1, "c")], SCHEMA)
-    assert lake.publish("d", df, "year", ["id"]) == ["2020", "2021"] and lake.publish("d", df.orderBy("v"), "year", ["id"]) == []
-    before = lake.catalog_hash(["d"])
-    assert sorted(tuple(r) for r in lake.read("d").select("year", "id").collect()) == [(2020, 1), (2020, 2), (2021, 1)]
-    assert lake.read("d", ["v"], F.col("id") == 1, values=["2021"]).collect()[0].v == "c"
-    assert lake.open_gate("d", False) is False and not lake.is_open("d") and lake.open_gate("d", True) and lake.is_open("d")
-    assert lake.catalog_hash(["d"]) == before
-    assert lake.upsert("d", spark.createDataFrame([(2021, 1, "new"), (2021, 5, "e")], SCHEMA), "year", ["id"]) == ["2021"]
-    assert not lake.is_open("d") and lake.catalog_hash(["d"]) != before
-    assert sorted((r.year, r.id, r.v) for r in lake.read("d").where("year = 2021").collect()) == [(2021, 1, "new"), (2021, 5, "e")]
-    with pytest.raises(ValueError, match="repeats"):
-        lake.publish("d", df.union(df), "year", ["id"])
-    assert lake.damaged("d") == []
-
-
-def test_damage_is_found(spark, tmp_path):
-    lake = Lake(spark, str(tmp_path))
-    lake.publish("d", spark.createDataFrame([(2020, 1, "a")], SCHEMA), "year", ["id"])
-    part = next(p for p in (tmp_path / "d").iterdir() if p.name.startswith("part-"))
-    spark.createDataFrame([(2020, 1, "X", "2020")], SCHEMA + ", __value string").write.mode("overwrite").partitionBy("__value").parquet(str(part))
-    with pytest.raises(ValueError, match="2020"):
-        lake.read("d")
-
-
-def test_stale_partitions(spark, tmp_path):
-    lake = Lake(spark, str(tmp_path))
-    lake.publish("d", spark.createDataFrame([(2020, 1, "a"), (2021, 1, "a")], SCHEMA), "year", ["id"], {"2020": "h1", "2021": "h2"})
-    assert lake.stale("d", {"2020": "h1", "2021": "other", "2022": "h"}) == {"2021": "raw_input_changed", "2022": "new_partition"}
+    total = lambda d: tuple(lake.catalog_hash(lake.partition_hashes(d, "year").withColumn("dataset", F.lit("d"))).first())
+    assert total(df) == total(df.orderBy("v").repartition(3)) != total(df.withColumn("v", F.coalesce("v", F.lit("-"))))
+    results = spark.createDataFrame([("a", "PASS", False), ("a", "FAIL", False), ("b", "FAIL", True), ("c", "PASS", None)], "dataset string, status string, blocks boolean")
+    assert {r.dataset: r.open for r in lake.open_gates(results).collect()} == {"a": True, "b": False, "c": False}
 
 
 def test_normalize_revisions_and_industries(spark, tmp_path):
