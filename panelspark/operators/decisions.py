@@ -227,6 +227,24 @@ def capacity_weight(adv: Column, participation: float, portfolio_value: Column)
     return F.try_divide(adv * participation, portfolio_value)
 
 
+def cost_estimates(liquidity: DataFrame, model: str, commission_bps: float, minimum_cents: int, impact_bps: float = 0.0, participation: float = 0.1) -> DataFrame:
+    """Cost terms of each name as shares of the portfolio (K3): sqrt_impact puts the impact on the root of the size, linear_impact on the size, any other model has none.
+
+    liquidity: signal_date, instrument_id, amount (a day's average), equity_cents. Out come
+    fixed, linear, square_root and capacity, the largest weight that trades at
+    the participation; without equity fixed and capacity are 0.
+    """
+    if not 0 < participation <= 1 or impact_bps < 0:
+        raise ValueError("participation is above 0 and at most 1, impact is not negative")
+    impact = impact_bps / 10_000
+    funded = F.col("equity_cents") > 0
+    return liquidity.select(
+        "signal_date", "instrument_id", F.when(funded, F.lit(float(minimum_cents)) / F.col("equity_cents")).otherwise(0.0).alias("fixed"),
+        F.lit(commission_bps / 10_000 + (impact if model == "linear_impact" else 0.0)).alias("linear"), F.lit(impact if model == "sqrt_impact" else 0.0).alias("square_root"),
+        F.when(funded, F.greatest(F.lit(0.0), F.col("amount") * participation / (F.col("equity_cents") / 100))).otherwise(0.0).alias("capacity"),
+    )
+
+
 def realized_cost(gross: Column, side: Column, commission_bps: float, tax_bps: float) -> Column:
     """Commission, and tax on sells, in whole cents, each rounded half to even (K4)."""
     part = lambda bps: F.bround(gross * bps / 10_000, 0).cast("long")

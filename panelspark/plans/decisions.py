@@ -179,6 +179,18 @@ def trade_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", F.round(dec.pre_trade_cost(price / 1e5, 5, 3, 2), 8).alias("pre_trade"), dec.capacity_weight(price, 0.1, F.lit(1e7)).alias("capacity"), dec.realized_cost(cents, side, 2.5, 5.0).alias("realized"))
 
 
+@query(
+    f"""{_CANDIDATES}, e AS (SELECT signal_date, instrument_id, adv_amount, CAST((instrument_id % 4) * 1000000 AS BIGINT) AS equity FROM cand), m(model, linear, root) AS (VALUES ('sqrt_impact', 0.00025::DOUBLE, 0.003::DOUBLE), ('linear_impact', 0.00325::DOUBLE, 0.0::DOUBLE), ('fixed_linear', 0.00025::DOUBLE, 0.0::DOUBLE))
+SELECT model, signal_date, instrument_id, CASE WHEN equity > 0 THEN round(500.0::DOUBLE / equity, 12) ELSE 0.0::DOUBLE END AS fixed, linear, root AS square_root, CASE WHEN equity > 0 THEN round(greatest(0.0::DOUBLE, adv_amount * 0.1::DOUBLE / (equity / 100)), 9) ELSE 0.0::DOUBLE END AS capacity FROM e, m"""
+)
+def cost_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three pre-trade cost models; a quarter of the names belong to a book without equity."""
+    rows = _candidates(spark, sf_dir).select("signal_date", "instrument_id", F.col("adv_amount").alias("amount"), (F.col("instrument_id") % 4 * 1000000).alias("equity_cents"))
+    parts = [dec.cost_estimates(rows, m, 2.5, 500, 30.0).withColumn("model", F.lit(m)) for m in ("sqrt_impact", "linear_impact", "fixed_linear")]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.select("model", "signal_date", "instrument_id", F.round("fixed", 12).alias("fixed"), F.round("linear", 9).alias("linear"), F.round("square_root", 9).alias("square_root"), F.round("capacity", 9).alias("capacity"))
+
+
 # --- performance: portfolios are nations, their equity grows with what their suppliers ship ---
 
 _NAV = """nav AS (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import any_true, first_reason, is_finite, mapped
-from panelspark.operators import prices, relational
+from panelspark.operators import prices, reads, relational
 from panelspark.operators import windows as win
 from panelspark.plans.tables import BARS, RETURNS, bars, load, query, returns
 
@@ -210,3 +210,38 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last rows of a table by price (T4)."""
     return relational.tail_rows(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_extendedprice", "l_orderkey", "l_linenumber"], 25)
+
+
+_KNOWN = """known AS (SELECT o_custkey AS instrument_id, CAST(o_orderdate AS DATE) AS trade_date, o_orderkey AS row_id, o_totalprice AS x, CAST(o_orderdate AS TIMESTAMP) + INTERVAL (o_orderkey % 90) HOUR AS available_at, o_orderstatus <> 'P' AS pit_usable FROM orders)"""
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("o_orderdate").cast("timestamp_ntz") + F.expr("make_dt_interval(0, CAST(o_orderkey % 90 AS INT))")
+    return load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("instrument_id"), F.col("o_orderdate").cast("date").alias("trade_date"), F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("x"), at.alias("available_at"), (F.col("o_orderstatus") != "P").alias("pit_usable"))
+
+
+@query(f"WITH {_KNOWN} SELECT instrument_id, trade_date, row_id, x FROM known WHERE instrument_id IN (2, 5, 40, 41) AND trade_date BETWEEN DATE '1996-02-01' AND DATE '1997-03-31' AND pit_usable AND available_at < TIMESTAMP '1997-04-01'")
+def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of listed ids in a range, as known at its end."""
+    return reads.bars_of(_known(spark, sf_dir), [2, 5, 40, 41], "1996-02-01", "1997-03-31").select("instrument_id", "trade_date", "row_id", "x")
+
+
+@query(f"WITH {_KNOWN} SELECT instrument_id, trade_date, row_id, x FROM known WHERE instrument_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') AND trade_date BETWEEN DATE '1996-02-01' AND DATE '1997-03-31' AND pit_usable AND available_at < TIMESTAMP '1997-04-01'")
+def daily_basics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a table of ids, by a semi-join."""
+    ids = load(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("instrument_id"))
+    return reads.bars_of(_known(spark, sf_dir), ids, "1996-02-01", "1997-03-31").select("instrument_id", "trade_date", "row_id", "x")
+
+
+@query(f"WITH {_KNOWN} SELECT instrument_id, trade_date, row_id, x FROM known WHERE trade_date <= DATE '1996-12-31' AND pit_usable AND available_at < TIMESTAMP '1997-01-01'")
+def adjustment_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors of all ids without a lower bound."""
+    return reads.adjustment_factors(_known(spark, sf_dir), "1996-12-31").select("instrument_id", "trade_date", "row_id", "x")
+
+
+@query(f"WITH {_KNOWN} SELECT 'listed' AS part, count(*) AS n_rows FROM known WHERE trade_date BETWEEN DATE '1996-01-01' AND DATE '1996-06-30' AND pit_usable AND available_at < TIMESTAMP '1996-07-01' UNION ALL SELECT 'none', 0")
+def event_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a range as known at its end (S7), and a read of an empty list of ids, which has no rows."""
+    rows = _known(spark, sf_dir)
+    n = lambda df, part: df.agg(F.lit(part).alias("part"), F.count("*").alias("n_rows"))
+    return n(reads.between(rows, "1996-01-01", "1996-06-30"), "listed").union(n(reads.bars_of(rows, [], "1996-01-01", "1996-06-30"), "none"))

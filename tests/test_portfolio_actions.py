@@ -76,6 +76,44 @@ def test_turnover_limit_against_plain_python(spark):
         portfolio.turnover_limited(df, 5, 0.01, 0.01).collect()
 
 
+def test_assembled_query_against_plain_python(spark, sf_dir):
+    from panelspark.plans import QUERIES
+    from panelspark.plans.decisions import _candidates
+
+    days = {}
+    for r in _candidates(spark, sf_dir).collect():
+        days.setdefault(r.signal_date, []).append(r)
+    got = {}
+    for r in QUERIES["assembled_portfolio"](spark, sf_dir).collect():
+        got.setdefault(r.signal_date, {})[r.instrument_id] = r.target_weight
+    assert len(got) > 50
+    for day, rows in days.items():
+        fine = sorted((-r.score, r.instrument_id) for r in rows if r.score is not None)
+        rest = sorted(r.instrument_id for r in rows if r.score is None)
+        place = {i: n for n, i in enumerate([*(i for _, i in fine), *rest], 1)}
+        chosen = {i for _, i in fine[:10]}
+        weight = {r.instrument_id: min(1 / len(chosen), 0.12) if r.instrument_id in chosen else 0.0 for r in rows}
+        of = {r.instrument_id: r.industry for r in rows}
+        total = {}
+        for i, w in weight.items():
+            total[of[i]] = total.get(of[i], 0.0) + w
+        goal = {i: w * min(1.0, 0.3 / total[of[i]]) if total[of[i]] else 0.0 for i, w in weight.items()}
+        want = slow_limited({i: (0.1 if i < 8 else 0.0, goal[i], place[i]) for i in weight}, 10, 0.12, 0.4)
+        assert got.get(day, {}) == pytest.approx(want, abs=2e-4), day
+
+
+def test_hac_query_has_normal_p_values(spark, sf_dir):
+    from math import erfc, sqrt
+
+    from panelspark.plans import QUERIES
+
+    rows = {r.factor_id: r for r in QUERIES["hac_inference"](spark, sf_dir).collect()}
+    plain = {r.factor_id: r for r in QUERIES["hac_mean"](spark, sf_dir).collect()}
+    assert rows.keys() == plain.keys() and rows
+    for k, r in rows.items():
+        assert r.p_value == pytest.approx(erfc(abs(r.t) / sqrt(2))) and (round(r.mean, 8), round(r.se, 8)) == (plain[k]["mean"], plain[k].se)
+
+
 def test_constructors_over_dates(spark):
     rows = [(D0 + timedelta(d), i, float((i * 7 + d) % 5), 0.1 if i < 2 else 0.0, 0.5, f"n{i % 2}") for d in (0, 1) for i in range(6)]
     c = spark.createDataFrame(rows, "signal_date date, instrument_id long, score double, current_weight double, capacity_limit double, industry string")
