@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat, decontam, kdtree, langid, licenses, mixing, sharding, simhash, superkmer, tokens
+from panelspark.llm import chat, decontam, kdtree, langid, licenses, mixing, phrases, pii, sharding, simhash, superkmer, tokens, whitening
 from panelspark.llm.common import scratch, table
 
 SHARDS = 40
@@ -213,6 +213,93 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), whitening.scaled(F.col("embedding")).alias("x"))
+    return whitening.whiten(vectors).withColumnRenamed("id", "vec_id")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{phrases.UPPER}', '{phrases.LOWER}'), '{phrases.CUT}')) AS piece FROM documents),
+w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+n AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+o AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS v(size)),
+g AS (
+  SELECT lang, size, phrase, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 10),
+c AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE size > 1),
+k AS (
+  SELECT *, array_to_string(w[1 : cut], ' ') AS head, array_to_string(w[cut + 1 : size], ' ') AS rest FROM c, unnest(range(1, size)) AS u(cut)),
+s AS (
+  SELECT k.lang, k.size, k.phrase, a, cut, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM k JOIN g x ON x.lang = k.lang AND x.phrase = head JOIN g y ON y.lang = k.lang AND y.phrase = rest),
+b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (
+  SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a AS longer FROM c WHERE size = 3),
+t AS (
+  SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.longer >= 50 * b.a)),
+r AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM t)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, base = pii.find(table(spark, sf_dir, "documents")), [k.name for k in pii.KINDS if k.base]
+    counts = [F.size(F.filter(F.transform("spans", lambda s: s["kind"]), lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in base]
+    of_base = F.filter("spans", lambda s: s["kind"].isin(*base))
+    return found.select("doc_id", *counts, F.sha2(pii.digest(of_base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
+def _pii_sql() -> str:
+    """The plain patterns of the contract for the base kinds, those of pii.KINDS for the others."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        **{k.name: k.pattern for k in pii.KINDS if not k.base},
+    }
+    checks = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST(right('00' || p, 3) AS INTEGER) > 255)) = 0",
+        "card": "length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda j: CASE WHEN j % 2 = 1 THEN x[j] WHEN x[j] > 4 THEN 2 * x[j] - 9 ELSE 2 * x[j] END)) % 10 = 0",
+        "phone": "length(d) BETWEEN 10 AND 15",
+        "iban": "list_reduce(list_prepend(0, list_transform(string_split(replace(v[5:] || v[:4], ' ', ''), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda s, c: (s * (CASE WHEN c > 9 THEN 100 ELSE 10 END) + c) % 97) = 1",
+        "ssn": "NOT regexp_matches(v, '^(?:000|666|9)|-00-|-0000$')",
+        "local_phone": "NOT regexp_matches(b, '[0-9+][ .-]?$')",
+    }
+    each = " UNION ALL ".join(f"SELECT r, doc_id, '{k}' AS kind, {i} AS place, regexp_extract_all(t, '{p}') AS f, string_split_regex(t, '{p}') AS g FROM d" for i, (k, p) in enumerate(patterns.items()))
+    words = " ".join(f"WHEN '{k}' THEN regexp_matches(near, '(?:^|[^\\p{{L}}])(?:{w})(?:$|[^\\p{{L}}])')" for k, w in pii.WORDS.items())
+    passes = " ".join(f"WHEN '{k}' THEN {c}" for k, c in checks.items())
+    base = ", ".join(f"'{k.name}'" for k in pii.KINDS if k.base)
+    join = "coalesce(string_agg(kind || ':' || start || ':' || (start + length(v)), ',' ORDER BY start, place){}, '')"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({each}),
+e AS (
+  SELECT r, kind, place, f[i] AS v, g[i] AS b, g[i + 1] AS a, CAST(list_sum(list_transform(g[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM m, unnest(range(1, len(f) + 1)) AS u(i)),
+x AS (
+  SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS d, list_transform(string_split(reverse(regexp_replace(v, '[^0-9]', '', 'g')), ''), lambda c: TRY_CAST(c AS INTEGER)) AS x, lower(right(b, {pii.BEFORE}) || ' ' || left(a, {pii.AFTER})) AS near FROM e),
+k AS (
+  SELECT r, kind, place, v, start FROM x
+  WHERE CASE kind {passes} END AND (kind IN ({base}) OR kind = 'iban' OR CASE kind {words} END))
+SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = '{k.name}') AS n_{k.name}" for k in pii.KINDS if k.base)},
+       sha256({join.format(f" FILTER (WHERE kind IN ({base}))")}) AS base_sha256, {join.format(" FILTER (WHERE kind IS NOT NULL)")} AS spans
+FROM d LEFT JOIN k USING (r) GROUP BY r, doc_id
+"""
+
+
+OP13_SQL = _pii_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_kdtree_top_k": op2_kdtree_top_k,
@@ -224,5 +311,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
+    "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
+    "op13_pii": op13_pii,
 }
-ORACLE_SQL: dict[str, str] = {"op2_kdtree_top_k": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_licenses": OP6_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_kdtree_top_k": OP2_SQL, "op5_decontamination": OP5_SQL, "op6_licenses": OP6_SQL, "op8_mixing": OP8_SQL, "op9_chat": OP9_SQL, "op12_collocations": OP12_SQL, "op13_pii": OP13_SQL}
