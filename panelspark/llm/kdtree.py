@@ -164,7 +164,8 @@ class Tree:
 _BUILT = "kind int, dim int, shard int, place int, tree binary, box binary, query_ids binary, queries binary, bounds binary, at binary, vec binary, score binary"
 _ASKED = "kind int, dim int, shard int, split int, tree binary, query_ids binary, queries binary, bounds binary"
 _FOUND = "query_id long, vec_id long, score long"
-NO_BOUND = -(1 << 62)
+#: The bound of a query that has fewer than k hits: no score and id of 64 bits is worse.
+NO_BOUND, NO_ID = -(1 << 63), (1 << 63) - 1
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 
 
@@ -200,7 +201,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndar
 
 def _bounds(n: int, k: int, at: list[int], vec: list[int], score: list[int]) -> np.ndarray:
     """Of each of n queries the kth score and id, if it found k; rows of scores and ids."""
-    bounds = np.array([[NO_BOUND] * n, [1 << 62] * n], "<i8")
+    bounds = np.array([[NO_BOUND] * n, [NO_ID] * n], "<i8")
     place, ids, scores = np.array(at, np.int64), np.array(vec, np.int64), np.array(score, np.int64)
     order, many = np.lexsort((ids, -scores, place)), np.bincount(place, minlength=n)
     full, last = many >= k, np.cumsum(many) - 1
@@ -235,7 +236,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
             ids, v = ids[asks], v[asks]
             for a in range(0, len(ids), QUERY_BLOCK):
                 i, q = ids[a : a + QUERY_BLOCK], v[a : a + QUERY_BLOCK]
-                found = tree.search(q, i, k, np.full(len(i), NO_BOUND), np.full(len(i), 1 << 62))
+                found = tree.search(q, i, k, np.full(len(i), NO_BOUND), np.full(len(i), NO_ID))
                 at, vec, score = (np.array(x, t).tobytes() for x, t in zip(found, ("<i4", "<i8", "<i8")))
                 out.append({"kind": 1, "dim": dim, "shard": shard, "place": a // QUERY_BLOCK, **_packed_queries(i, q, _bounds(len(i), k, *found)), "at": at, "vec": vec, "score": score})
             yield _batch(_BUILT, out)
