@@ -166,7 +166,7 @@ def _short(docs: DataFrame, benchmark: DataFrame) -> DataFrame | None:
     if not n:
         return None
     pieces = F.explode(F.split(F.col("text"), r"[\n\r]+|(?<=[.!?])[\x20\x09\x0B\x0C]+")).alias("text")
-    said = docs.select("doc_id", text_key().alias("text_key"), pieces).where(F.length("text") <= 4096).select("doc_id", "text_key", F.array_join(_values(words(F.col("text"))), " ").alias("said"))
+    said = docs.select("doc_id", text_key().alias("text_key"), pieces).select("doc_id", "text_key", F.array_join(_values(words(F.col("text"))), " ").alias("said"))
     items = F.broadcast(items) if n <= BROADCAST_DOCS else items
     return said.join(items, "said").select("doc_id", "text_key", "item_id").distinct()
 
