@@ -2,7 +2,7 @@
 
 Each kind has a pattern, a check of what it matched, a score to start from and words that speak for it.
 Spans of a kind are its leftmost non-overlapping matches that pass the check; spans of
-different kinds may overlap. Positions come from the lengths of what lies between
+different kinds may overlap. Words count up to the next match of the same kind. Positions come from the lengths of what lies between
 matches, added up in blocks, so time is linear in a text and its matches.
 
 Base kinds (email, ip, card by Luhn's rule, phone) are found whatever their score. The others (iban by mod-97 and

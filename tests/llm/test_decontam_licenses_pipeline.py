@@ -140,6 +140,13 @@ def test_short_items_are_found_as_whole_lines_or_sentences(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, longer).collect()} == {g[:2] for g in got}
 
 
+def test_short_items_are_found_in_lines_of_any_length(spark):
+    blanks = " " * 5000
+    docs = spark.createDataFrame([(1, "blue whale song"), (2, blanks + "blue whale song"), (3, "first. blue" + blanks + "whale\tsong"), (4, "x" * 5000 + " blue whale song")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "Blue whale song")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.contaminated(docs, items).collect()) == [1, 2, 3]
+
+
 def test_two_values_of_an_item_may_take_the_same_new_one(spark):
     items = [(1, "A shop sells 3 apples and 5 pears on each day of the week to people who walk past Alice and see Bob.")]
     ask = "Intro. A shop sells {} apples and {} pears on each day of the week to people who walk past {} and see {}."

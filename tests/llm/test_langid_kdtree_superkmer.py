@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -157,6 +158,14 @@ def test_kdtree_of_wide_components_and_results(spark):
         run([(50, [1e300, 1.0]), (1, [1.0, 1.0])])
 
 
+def test_kdtree_returns_all_where_scores_are_very_low(spark):
+    rows = [(50, [1.1796875e7]), (2, [-1.1796875e7]), (3, [1.0]), (4, [-1.1863283e7])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", kdtree.scaled(F.col("embedding")).alias("v"))
+    got = sorted(tuple(r) for r in kdtree.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert [r[:3] for r in got] == [(50, 1, 3), (50, 2, 2), (50, 3, 4)]
+    assert got[1][3] == -((256 * 11796875) ** 2) and got[2][3] < -(1 << 62)
+
+
 def test_kdtree_sends_queries_only_where_a_box_may_serve(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(6, 8)) * 100
@@ -233,3 +242,24 @@ def test_equal_hashes_of_unequal_windows():
         want = [sum(int(h[i + j]) * pow(b, n - 1 - j, 1 << 64) for j in range(n)) % (1 << 64) for i in range(len(h) - n + 1)]
         assert superkmer.rolled(h, n, superkmer._B1).tolist() == want
         assert superkmer.sliding_min(h[::-1], n).tolist() == [min(h[::-1][i : i + n]) for i in range(len(h) - n + 1)]
+
+
+def test_mixtures_of_languages_that_are_alike_end_soon():
+    rng = np.random.default_rng(1)
+    for apart in (0.02, 0.001):
+        for n in (1000, 1_000_000):
+            base = rng.random(n) + 0.1
+            p = np.stack([base, base * (1 + apart * rng.standard_normal(n)).clip(0.1), np.full(n, 0.6)], 1)
+            began = time.process_time()
+            theta, log, gap = langid.proportions(p, None)
+            assert time.process_time() - began < 5 and gap <= langid.TOLERANCE and abs(theta.sum() - 1) < 1e-9 and (theta >= 0).all()
+            if n == 1000:  # plain EM, as far as it comes
+                plain = np.full(3, 1 / 3)
+                for _ in range(5000):
+                    plain = plain * ((1 / (p @ plain)) @ p) / n
+                assert log >= np.log(p @ plain).sum() - langid.TOLERANCE
+    p = rng.random((3000, 80))
+    p[:, 40:] = p[:, :40]  # equal columns
+    times = rng.integers(1, 9, 3000)
+    theta, _, gap = langid.proportions(p, times)
+    assert gap <= langid.TOLERANCE and (theta >= 0).all()
