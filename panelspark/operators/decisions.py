@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import finite, is_finite
-from panelspark.operators.relational import content_hash, grid, small
+from panelspark.operators.relational import asof_backward, content_hash, grid, small
 from panelspark.operators.transforms import winsorize_mad, zscore
 from panelspark.operators.windows import by, rolling_mean, rolling_std
 
@@ -188,6 +188,28 @@ def needs_rebalance(weights: DataFrame, tolerance: float, keys: Sequence[str] =
     return weights.groupBy(*keys).agg(F.max(off).alias("largest_gap"), (F.max(off) > tolerance).alias("rebalance"))
 
 
+def pursued_targets(sessions: DataFrame, proposals: DataFrame, holdings: DataFrame, tolerance: float, key: str = "portfolio_id") -> DataFrame:
+    """What each portfolio works towards on each session (G7): a proposal holds from its session on, until no weight is off by more than the tolerance, or until the next one.
+
+    sessions: key, trade_date. proposals and holdings: key, trade_date, instrument_id, weight; a name that is missing on
+    one side weighs 0 there. state: PURSUED (orders are due), REACHED (the session on which the target is met, which ends it) or
+    IDLE. Since only the latest proposal can be at work, the state machine is two windows: the latest proposal, and
+    whether it was met before within its own stretch.
+    """
+    made = proposals.select(key, "trade_date").distinct()
+    at = asof_backward(sessions.select(key, "trade_date").distinct(), made, [key], "trade_date", []).withColumnRenamed("trade_date_matched", "proposal_date")
+    on = at.where("proposal_date is not null")
+    target = on.join(proposals.select(key, F.col("trade_date").alias("proposal_date"), "instrument_id", F.col("weight").alias("target")), [key, "proposal_date"]).withColumn("weight", F.lit(0.0))
+    held = on.join(holdings.select(key, "trade_date", "instrument_id", "weight"), [key, "trade_date"]).withColumn("target", F.lit(0.0))
+    names = target.unionByName(held).groupBy(key, "trade_date", "instrument_id").agg((F.sum("weight") - F.sum("target")).alias("off"))
+    gaps = names.groupBy(key, "trade_date").agg(F.max(F.abs("off")).alias("largest_gap"))
+    rows = at.join(gaps, [key, "trade_date"], "left").withColumn("met", F.coalesce(F.col("largest_gap") <= tolerance, F.lit(True)))
+    before = Window.partitionBy(key, "proposal_date").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
+    done = F.coalesce(F.max("met").over(before), F.lit(False))
+    state = F.when(F.col("proposal_date").isNull() | done, "IDLE").when(F.col("met"), "REACHED").otherwise("PURSUED")
+    return rows.select(key, "trade_date", "proposal_date", "largest_gap", state.alias("state"))
+
+
 # --- risk and cost ----------------------------------------------------------------
 
 

@@ -16,6 +16,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def chain_keys(parts: Sequence[Column]) -> Column:
+    """All of several conditions."""
+    out = F.lit(True)
+    for p in parts:
+        out = out & p
+    return out
+
+
 def require_columns(df: DataFrame, **types: str) -> DataFrame:
     """df, or an error that names each missing or mistyped column."""
     have = dict(df.dtypes)
@@ -85,9 +93,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], on: str,
     b = right.where(F.col(on).isNotNull()).select(*[F.col(k).alias(f"__{k}") for k in by], F.col(on).alias("__on"), F.lit(r_order).alias("__side"), payload.alias("__right"))
     both = a.unionByName(b, allowMissingColumns=True)
     w = Window.partitionBy(*[f"__{k}" for k in by]).orderBy("__on", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    known = F.lit(True)
-    for k in by:
-        known = known & F.col(f"__{k}").isNotNull()
+    known = chain_keys([F.col(f"__{k}").isNotNull() for k in by])
     met = both.withColumn("__m", F.last("__right", ignorenulls=True).over(w)).where("__left is not null")
     found = F.when(known & F.col("__on").isNotNull(), F.col("__m"))
     return met.select("__left.*", found["matched"].alias(f"{on}_matched"), *[found[v].alias(v) for v in values])

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,19 +9,13 @@ from panelspark import streaming
 from panelspark.operators import actions, decisions, performance, portfolio, quality, review, study
 from panelspark.plans.decisions import _candidates
 from panelspark.plans.study import rounded
-from panelspark.plans.tables import BARS, PANEL, bars, factor, factor_sql, load, panel, query
+from panelspark.plans.tables import BARS, PANEL, bars, factor, factor_sql, load, panel, query, shared_folder
 from panelspark.sources import lake
 
 
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = f"file://{tempfile.gettempdir()}"
-    shared = shared.rstrip("/")
-    out = streaming.drained(spark, f"{sf_dir}/events.parque[t]", f"{shared}/panelspark/stream-{uuid.uuid4().hex}")
+    out = streaming.drained(spark, f"{sf_dir}/events.parque[t]", shared_folder(spark, "stream"))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n_events", F.round("total", 4).alias("total"))
 
 

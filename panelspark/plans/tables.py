@@ -7,6 +7,8 @@ both engines compute on the same numbers.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +35,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests, a local one; on a cluster an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = f"file://{tempfile.gettempdir()}"
+    return f"{shared.rstrip('/')}/panelspark/{name}-{uuid.uuid4().hex}"
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """instrument_id, trade_date, open, high, low, close, amount, volume."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
