@@ -213,30 +213,56 @@ def pursued_targets(sessions: DataFrame, proposals: DataFrame, holdings: DataFra
 # --- risk and cost ----------------------------------------------------------------
 
 
-def shrunk_covariance(returns: DataFrame, shrink: float = 0.1, blocks: int = 8) -> DataFrame:
-    """Sample covariance of each pair of instruments, missing returns as 0, off-diagonals shrunk (K1). returns: trade_date, instrument_id, r on a complete grid.
+#: Instruments of a block and dates of a range: a task multiplies two blocks over one range.
+BLOCK_SERIES, RANGE_DATES = 512, 4096
 
-    Instruments are dealt to `blocks`, and each pair of blocks is one product of two
-    matrices: an instrument's series travels `blocks` times, and no row per pair and date is made.
-    """
-    series = returns.groupBy("instrument_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_date", F.coalesce(finite("r"), F.lit(0.0)).alias("r")))), lambda x: x["r"]).alias("series"))
-    dealt = series.withColumn("block", F.pmod(F.xxhash64("instrument_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("instrument_id", "series", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
-    def gram(rows: pd.DataFrame) -> pd.DataFrame:
+def shrunk_covariance(returns: DataFrame, shrink: float = 0.1, block: int = BLOCK_SERIES, span: int = RANGE_DATES) -> DataFrame:
+    """Sample covariance of each pair of instruments, off-diagonals shrunk (K1). returns: trade_date, instrument_id, r; a missing cell or return counts as 0.
+
+    Instruments are dealt to blocks of about `block`, dates to ranges of `span`. Each pair of blocks is one matrix product for
+    each range, of series centred beforehand, and the products of a pair of instruments are summed over ranges: a task
+    holds two blocks of one range whatever the table's size, and no row per pair and date is made.
+    """
+    kind, rows = dict(returns.dtypes)["instrument_id"], returns.select("trade_date", "instrument_id", F.coalesce(finite("r"), F.lit(0.0)).alias("r"))
+    n_series, n_dates = rows.agg(F.count_distinct("instrument_id"), F.count_distinct("trade_date")).first()
+    blocks, ranges = max(1, -(-n_series // block)), max(1, -(-n_dates // span))
+    days = rows.select("trade_date").distinct().withColumn("n", F.row_number().over(Window.orderBy("trade_date")) - 1)  # a calendar
+    days = days.select("trade_date", F.floor(F.col("n") / span).cast("int").alias("range"), (F.col("n") % span).cast("int").alias("at"))
+    parts = rows.join(days, "trade_date").groupBy("instrument_id", "range").agg(F.collect_list(F.struct("at", "r")).alias("cells"), F.sum("r").alias("total"))  # span cells at most
+    mean = F.sum("total").over(Window.partitionBy("instrument_id")) / F.lit(float(max(n_dates, 1)))
+    # an instrument that has no row in a range is -mean there as well
+    series = parts.withColumn("mean", mean)
+    every = series.groupBy("instrument_id").agg(F.first("mean").alias("mean"), F.map_from_entries(F.collect_list(F.struct("range", "cells"))).alias("by_range"))
+    every = every.select("instrument_id", "mean", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("range"), "by_range").select("instrument_id", "mean", "range", F.coalesce(F.try_element_at("by_range", F.col("range")), F.array().cast(series.schema["cells"].dataType)).alias("cells"))
+    dealt = every.withColumn("block", F.pmod(F.xxhash64("instrument_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("instrument_id", "mean", F.transform("cells", lambda c: c["at"]).alias("at"), F.transform("cells", lambda c: c["r"]).alias("r"), "range", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def product(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("instrument_id")
+        width = min(span, n_dates - span * int(rows["range"].iloc[0]))
+
+        def matrix(part: pd.DataFrame) -> np.ndarray:
+            out = np.zeros((len(part), width))
+            for i, (at, r) in enumerate(zip(part["at"], part["r"])):
+                np.add.at(out[i], np.asarray(at, np.int64), np.asarray(r, np.float64))
+            return out - part["mean"].to_numpy()[:, None]
+
         low, high = (rows[rows["block"] == rows[c].iloc[0]] for c in ("low", "high"))
         if low.empty or high.empty:
-            return pd.DataFrame({"instrument_x": low["instrument_id"][:0], "instrument_y": low["instrument_id"][:0], "covariance": np.empty(0)})
-        x, y = (np.stack(part["series"].to_list()) for part in (low, high))
-        cov = (x - x.mean(1, keepdims=True)) @ (y - y.mean(1, keepdims=True)).T / (x.shape[1] - 1) if x.shape[1] > 1 else np.full((len(x), len(y)), np.nan)
-        i, j = np.triu_indices(len(low)) if rows["low"].iloc[0] == rows["high"].iloc[0] else (k.ravel() for k in np.indices(cov.shape))
+            return pd.DataFrame({"instrument_x": low["instrument_id"][:0], "instrument_y": low["instrument_id"][:0], "product": np.empty(0)})
+        same = rows["low"].iloc[0] == rows["high"].iloc[0]
+        x = matrix(low)
+        found = x @ (x if same else matrix(high)).T
+        i, j = np.triu_indices(len(low)) if same else (k.ravel() for k in np.indices(found.shape))
         a, b = low["instrument_id"].to_numpy()[i], high["instrument_id"].to_numpy()[j]
-        return pd.DataFrame({"instrument_x": np.where(a <= b, a, b), "instrument_y": np.where(a <= b, b, a), "covariance": cov[i, j]})
+        return pd.DataFrame({"instrument_x": np.where(a <= b, a, b), "instrument_y": np.where(a <= b, b, a), "product": found[i, j]})
 
-    kind = dict(returns.dtypes)["instrument_id"]
-    cov = dealt.groupBy("low", "high").applyInPandas(gram, f"instrument_x {kind}, instrument_y {kind}, covariance double")
-    return cov.withColumn("covariance", F.nanvl("covariance", F.lit(None).cast("double"))).withColumn("covariance", F.when(F.col("instrument_x") == F.col("instrument_y"), F.col("covariance")).otherwise(F.col("covariance") * (1 - shrink)))
+    pairs = dealt.groupBy("low", "high", "range").applyInPandas(product, f"instrument_x {kind}, instrument_y {kind}, product double")
+    if ranges > 1:
+        pairs = pairs.groupBy("instrument_x", "instrument_y").agg(F.sum("product").alias("product"))
+    cov = F.try_divide("product", F.lit(float(n_dates - 1)))
+    return pairs.select("instrument_x", "instrument_y", F.when(F.col("instrument_x") == F.col("instrument_y"), cov).otherwise(cov * (1 - shrink)).alias("covariance"))
 
 
 def pre_trade_cost(size: Column, fixed: float, linear: float, impact: float) -> Column:

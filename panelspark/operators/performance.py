@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import first_reason, is_finite
 from panelspark.operators.relational import left_join_checked, top_and_other
+from panelspark.operators.windows import running_product, with_rolling_fall
 
 YEAR = 252
 ID = "portfolio_id"
@@ -73,6 +74,14 @@ def value_at_risk(returns: DataFrame, level: float = 0.05) -> DataFrame:
     return tail.select(ID, (-F.col("cutoff")).alias("var_95"), (-F.col("tail")).alias("es_95"))
 
 
+def _rate_reason(n: Column, *ratios: Column) -> Column:
+    """Why growth ratios over n returns have no rate a year."""
+    positive = F.lit(True)
+    for r in ratios:
+        positive = positive & F.coalesce(r > 0, F.lit(False))
+    return first_reason((n < 1, "INSUFFICIENT_OBSERVATIONS"), (~positive, "ANNUALIZED_RETURN_NOT_AVAILABLE"))
+
+
 def _growth(ratio: Column, sessions: Column, year: int) -> Column:
     """A growth ratio over so many returns as a rate a year."""
     return F.when((sessions > 0) & (ratio > 0), F.pow(ratio, F.lit(float(year)) / sessions) - 1)
@@ -81,41 +90,40 @@ def _growth(ratio: Column, sessions: Column, year: int) -> Column:
 def rolling_block(returns: DataFrame, n: int = YEAR, year: int = YEAR) -> DataFrame:
     """The nine figures of the last n returns, from the session on that has n (V5, W18): rates a year, volatility, Sharpe ratio, largest drawdown, tracking error, information ratio and beta."""
     axis = _axis()
-    w, points = axis.rowsBetween(-(n - 1), 0), axis.rowsBetween(-n, 0)
+    w = axis.rowsBetween(-(n - 1), 0)
     ratio = lambda c: F.try_divide(F.col(c).cast("double"), F.lag(c, n).over(axis).cast("double"))
     mean = lambda c: F.avg(c).over(w)
     std = lambda c: F.stddev_samp(c).over(w)
     moving = lambda c: F.max(c).over(w) > F.min(c).over(w)
     root = F.lit(float(year) ** 0.5)
-    # the largest fall of a window: each of its points against the highest before it
-    fall = F.aggregate("__points", F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("worst")), lambda a, x: F.struct(F.greatest(a["top"], x).alias("top"), F.least(a["worst"], x / F.greatest(a["top"], x) - 1).alias("worst")), lambda a: a["worst"])
-    rows = returns.withColumns(
+    rows = with_rolling_fall(returns, F.col("equity").cast("double"), axis, n + 1, "__fall").withColumns(
         {
             "__equity": ratio("equity"), "__benchmark": ratio("benchmark"), "annualized_volatility": std("daily_return") * root, "sharpe_ratio": F.when(moving("daily_return"), F.try_divide(mean("daily_return"), std("daily_return")) * root),
             "tracking_error": std("active_return") * root, "information_ratio": F.when(moving("active_return"), F.try_divide(mean("active_return"), std("active_return")) * root),
             "beta": F.when(moving("benchmark_return"), F.try_divide(F.covar_samp("daily_return", "benchmark_return").over(w), F.var_samp("benchmark_return").over(w))),
-            "__points": F.collect_list(F.col("equity").cast("double")).over(points),
         }
     ).where(F.col("session") > n)
     rate = lambda x: _growth(x, F.lit(n), year)
     return rows.select(
         ID, "trade_date", rate(F.col("__equity")).alias("annualized_return"), rate(F.col("__benchmark")).alias("benchmark_annualized_return"), rate(F.try_divide("__equity", "__benchmark")).alias("annualized_excess_return"),
-        "annualized_volatility", "sharpe_ratio", fall.alias("max_drawdown"), "tracking_error", "information_ratio", "beta",
+        "annualized_volatility", "sharpe_ratio", F.col("__fall").alias("max_drawdown"), "tracking_error", "information_ratio", "beta",
     )
 
 
 def relative_performance(returns: DataFrame, year: int = YEAR) -> DataFrame:
-    """First and last session, growth against the benchmark and the largest fall of their ratio (V2). A rate a year is null beside its reason."""
-    ratio = F.col("equity").cast("double") / F.col("benchmark").cast("double")
-    rows = returns.withColumn("__ratio", ratio)
-    rows = rows.withColumn("__fall", F.col("__ratio") / F.max("__ratio").over(_axis().rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    """First and last session, growth against the benchmark and the largest fall of their ratio (V2).
+
+    What would divide by zero is null. A rate a year is null beside its reason: too few sessions, or no positive growth to take the root of.
+    """
+    rows = returns.withColumn("__ratio", F.try_divide(F.col("equity").cast("double"), F.col("benchmark").cast("double")))
+    rows = rows.withColumn("__fall", F.try_divide("__ratio", F.max("__ratio").over(_axis().rowsBetween(Window.unboundedPreceding, 0))) - 1)
     ends = lambda c, f: f(c, "trade_date").cast("double")
     s = rows.groupBy(ID).agg(
-        F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"), F.count("*").alias("observations"), (ends("equity", F.max_by) / ends("equity", F.min_by)).alias("e"), (ends("benchmark", F.max_by) / ends("benchmark", F.min_by)).alias("b"),
+        F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"), F.count("*").alias("observations"), F.try_divide(ends("equity", F.max_by), ends("equity", F.min_by)).alias("e"), F.try_divide(ends("benchmark", F.max_by), ends("benchmark", F.min_by)).alias("b"),
         F.min("__fall").alias("active_max_drawdown"),
     )
-    n, g = F.col("observations") - 1, F.col("e") / F.col("b")
-    why = F.when(n < 1, "INSUFFICIENT_OBSERVATIONS")
+    n, g = F.col("observations") - 1, F.try_divide("e", "b")
+    why = _rate_reason(n, g, F.col("b"))
     return s.select(
         ID, "start_date", "end_date", "observations", (F.col("b") - 1).alias("benchmark_cumulative_return"), (F.col("e") - F.col("b")).alias("relative_cumulative_return"), (g - 1).alias("geometric_excess_return"), "active_max_drawdown",
         _growth(F.col("b"), n, year).alias("benchmark_annualized_return"), _growth(g, n, year).alias("annualized_geometric_excess_return"), why.alias("annualized_reason"),
@@ -150,10 +158,12 @@ def trading_metrics(returns: DataFrame, fills: DataFrame, year: int = YEAR) -> D
     value = F.col("equity").cast("double")
     rows = returns.join(daily, [ID, "trade_date"], "left").withColumn("before", F.coalesce(F.lag(value).over(w), value))
     nil = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
-    rows = rows.withColumn("gross_return", F.col("daily_return") + F.when(F.col("session") > 1, nil("fees") / F.col("before")).otherwise(0.0))
+    none_of = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))  # noqa: E731  nothing was held
+    rows = rows.withColumn("gross_return", F.col("daily_return") + F.when(F.col("session") > 1, none_of(nil("fees"), F.col("before"))).otherwise(0.0))
+    rows = rows.withColumn("__g", running_product(F.col("gross_return") + 1, w))
     s = rows.groupBy(ID).agg(
-        F.count("*").alias("n"), F.avg(value).alias("mean_nav"), F.sum(nil("gross") / (F.col("before") * 2)).alias("turned"), F.exp(F.sum(F.log1p("gross_return"))).alias("g"),
-        (F.max_by("equity", "trade_date").cast("double") / F.min_by("equity", "trade_date").cast("double")).alias("e"),
+        F.count("*").alias("n"), F.avg(value).alias("mean_nav"), F.sum(none_of(nil("gross"), F.col("before") * 2)).alias("turned"), F.max_by("__g", "trade_date").alias("g"),
+        F.try_divide(F.max_by("equity", "trade_date").cast("double"), F.min_by("equity", "trade_date").cast("double")).alias("e"),
     )
     notional = lambda q: F.round(F.col(q).cast("decimal(19,0)") * F.col("reference_price").cast("decimal(18,6)") * 100, 0).cast("long")
     priced = F.col("reference_price").isNotNull()
@@ -163,7 +173,7 @@ def trading_metrics(returns: DataFrame, fills: DataFrame, year: int = YEAR) -> D
     )
     all_ = s.join(orders, ID, "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("orders", "traded", "paid", "failed", "priced")})
     n = F.col("n") - 1
-    few, none = F.when(n < 1, "INSUFFICIENT_OBSERVATIONS"), F.when(F.col("orders") == 0, "NO_ORDERS")
+    few, none = _rate_reason(n, F.col("g"), F.col("e")), F.when(F.col("orders") == 0, "NO_ORDERS")
     share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     gross_rate, net_rate = _growth(F.col("g"), n, year), _growth(F.col("e"), n, year)
     return all_.select(
@@ -176,9 +186,10 @@ def trading_metrics(returns: DataFrame, fills: DataFrame, year: int = YEAR) -> D
 
 def holding_metrics(nav: DataFrame, holdings: DataFrame) -> DataFrame:
     """Average weight of cash and receivables, largest weight of a position and share of months with a gain (V2). nav: portfolio_id, trade_date, equity, cash, dividend_receivable; holdings: portfolio_id, trade_date, security, market_value."""
-    part = lambda c: F.avg(F.col(c).cast("double") / F.col("equity").cast("double"))
+    of_equity = lambda c: F.try_divide(F.col(c).cast("double"), F.col("equity").cast("double"))
+    part = lambda c: F.avg(of_equity(c))
     s = nav.groupBy(ID).agg(part("cash").alias("average_cash_weight"), part("dividend_receivable").alias("average_receivable_weight"))
-    largest = holdings.join(nav.select(ID, "trade_date", "equity"), [ID, "trade_date"]).groupBy(ID).agg(F.max(F.col("market_value").cast("double") / F.col("equity").cast("double")).alias("largest"))
+    largest = holdings.join(nav.select(ID, "trade_date", "equity"), [ID, "trade_date"]).groupBy(ID).agg(F.max(of_equity("market_value")).alias("largest"))
     months = period_returns(nav).groupBy(ID).agg(F.try_divide(F.count_if(F.col("period_return") > 0).cast("double"), F.count("*").cast("double")).alias("positive_month_rate"))
     return s.join(largest, ID, "left").join(months, ID).select(ID, "average_cash_weight", "average_receivable_weight", F.coalesce("largest", F.lit(0.0)).alias("max_position_weight"), "positive_month_rate")
 
@@ -213,14 +224,13 @@ def execution_summary(fills: DataFrame) -> DataFrame:
 
 
 def gross_growth(returns: DataFrame, fees: DataFrame) -> DataFrame:
-    """Compound growth with each session's fees added back on the value before it (V9). fees: portfolio_id, trade_date, fees."""
+    """Compound growth with each session's fees added back on the value before it (V9): 0 from a total loss on. fees: portfolio_id, trade_date, fees."""
     w = _axis()
     rows = returns.join(fees, [ID, "trade_date"], "left")
     before = F.lag("equity").over(w).cast("double")
     gross = F.col("daily_return") + F.coalesce(F.try_divide(F.coalesce("fees", F.lit(0)).cast("double"), before), F.lit(0.0))
     rows = rows.withColumn("gross_return", gross)
-    growth = F.exp(F.sum(F.when(F.col("gross_return") > -1, F.log1p("gross_return"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.select(ID, "trade_date", "gross_return", growth.alias("gross_growth"))
+    return rows.select(ID, "trade_date", "gross_return", running_product(F.col("gross_return") + 1, w).alias("gross_growth"))
 
 
 def security_attribution(values: DataFrame, flows: DataFrame, n: int = 20) -> DataFrame:

@@ -130,13 +130,6 @@ def with_previous_period(df: DataFrame, key: Sequence[str], period: str, values:
     return df.join(dates, period).join(then, [*key, f"previous_{period}"], "left")
 
 
-def factor_pairs(df: DataFrame, keys: Sequence[str] = ("signal_date", "instrument_id"), name: str = "factor_id", value: str = "value") -> DataFrame:
-    """factor_x <= factor_y with their values on the same keys (J10). The other direction is its mirror image."""
-    x = df.select(*keys, F.col(name).alias("factor_x"), F.col(value).alias("x"))
-    y = df.select(*keys, F.col(name).alias("factor_y"), F.col(value).alias("y"))
-    return x.join(y, list(keys)).where("factor_x <= factor_y")
-
-
 def sorted_distinct(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """The distinct values of each key in order, as a list."""
     return df.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias(name))

@@ -81,12 +81,13 @@ def transfer_table(spark: SparkSession) -> DataFrame:
     return _intervals(spark, TRANSFER_FEE, "exchange string, rule_start string, rule_end string, basis string, rate string")
 
 
-def broken_intervals(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys whose intervals don't start on the first day, leave a gap, overlap or don't end open."""
+def broken_intervals(table: DataFrame, keys: list[str], first_day: Column | None = None) -> DataFrame:
+    """Keys whose intervals don't start on the first day (that of the rules, if none is given), leave a gap, overlap or don't end open."""
+    first_day = F.lit(RULES_START).cast("date") if first_day is None else first_day
     w = Window.partitionBy(*keys).orderBy("rule_start")
     rows = table.withColumns({"next": F.lead("rule_start").over(w), "first": F.row_number().over(w) == 1})
     gap = F.when(F.col("next").isNotNull(), F.date_add("rule_end", 1) != F.col("next")).otherwise(F.col("rule_end") != F.lit("9999-12-31").cast("date"))
-    return rows.where(gap | (F.col("first") & (F.col("rule_start") != F.lit(RULES_START).cast("date")))).select(*keys, "rule_start")
+    return rows.where(gap | (F.col("first") & (F.col("rule_start") != first_day))).select(*keys, "rule_start")
 
 
 def with_profile(instruments: DataFrame) -> DataFrame:

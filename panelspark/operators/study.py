@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import average_rank, bucket, finite, first_reason, guarded_corr, is_finite
-from panelspark.operators.relational import factor_pairs, small, with_previous_period
+from panelspark.operators.relational import small, with_previous_period
 from panelspark.operators.windows import island, rolling_mean_of_valid, running_sum
 
 KEYS = ("signal_date", "factor_id")
@@ -155,12 +157,38 @@ def cost_scenarios(spreads: DataFrame, turnover: DataFrame, bps: Sequence[float]
 
 
 def factor_correlations(factors: DataFrame, least: int = 3) -> DataFrame:
-    """Mean over dates of the daily Pearson and rank correlations of each pair of factors on their common instruments."""
-    pairs = factor_pairs(usable(factors).select("signal_date", "instrument_id", "factor_id", "value"))
-    keys = ("signal_date", "factor_x", "factor_y")
-    ranked = pairs.withColumns({"rx": average_rank("x", *keys), "ry": average_rank("y", *keys)})
-    daily = ranked.groupBy(*keys).agg(F.count("*").alias("n"), guarded_corr("x", "y").alias("pearson"), guarded_corr("rx", "ry").alias("rank")).where((F.col("n") >= least) & F.col("pearson").isNotNull() & F.col("rank").isNotNull())
-    half = daily.groupBy("factor_x", "factor_y").agg(F.count("*").alias("n_dates"), F.sum("n").alias("n_pairs"), F.avg("pearson").alias("pearson"), F.avg("rank").alias("rank"))
+    """Mean over dates of the daily Pearson and rank correlations of each pair of factors on their common instruments.
+
+    A value travels once, to its date: what is shuffled grows with factors, not with pairs. A date's cross-section is one group,
+    instruments by factors; ranks are taken anew for each set of common instruments. A factor that doesn't vary on them has no correlation that day.
+    """
+
+    def daily(rows: pd.DataFrame) -> pd.DataFrame:
+        table = rows.pivot_table(index="instrument_id", columns="factor_id", values="value", aggfunc="first")
+        names, x = list(table.columns), table.to_numpy()
+        there, ranks, out = ~np.isnan(x), {}, []
+
+        def ranked(i: int, common: np.ndarray) -> np.ndarray:
+            key = (i, common.tobytes())
+            if key not in ranks:
+                ranks[key] = pd.Series(x[common, i]).rank().to_numpy()
+            return ranks[key]
+
+        def corr(a: np.ndarray, b: np.ndarray) -> float:
+            a, b = a - a.mean(), b - b.mean()
+            return float(a @ b / np.sqrt((a @ a) * (b @ b)))
+
+        for i in range(len(names)):
+            for j in range(i, len(names)):
+                common = there[:, i] & there[:, j]
+                a, b = x[common, i], x[common, j]
+                if len(a) >= least and len(a) > 1 and a.max() > a.min() and b.max() > b.min():
+                    out.append((names[i], names[j], len(a), corr(a, b), corr(ranked(i, common), ranked(j, common))))
+        return pd.DataFrame(out, columns=["factor_x", "factor_y", "n", "pearson", "rank"])
+
+    rows = usable(factors).select("signal_date", "instrument_id", "factor_id", "value")
+    each = rows.groupBy("signal_date").applyInPandas(daily, "factor_x string, factor_y string, n long, pearson double, rank double")
+    half = each.groupBy("factor_x", "factor_y").agg(F.count("*").alias("n_dates"), F.sum("n").alias("n_pairs"), F.avg("pearson").alias("pearson"), F.avg("rank").alias("rank"))
     mirror = half.where("factor_x < factor_y").select(F.col("factor_y").alias("factor_x"), F.col("factor_x").alias("factor_y"), "n_dates", "n_pairs", "pearson", "rank")
     return half.unionByName(mirror)
 

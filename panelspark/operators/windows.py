@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import col, finite
@@ -52,6 +52,40 @@ def running_growth(r: Column | str, w: WindowSpec) -> Column:
     return F.when(ok, F.exp(F.sum(F.when(col(r) > -1, F.log1p(col(r)))).over(frame)))
 
 
+def running_product(factor: Column | str, w: WindowSpec) -> Column:
+    """Product of the factors so far, nulls skipped (W9): magnitudes by logarithms, the sign by a count, 0 from a factor of 0 on."""
+    x, frame = col(factor), w.rowsBetween(Window.unboundedPreceding, 0)
+    lost = F.max(F.when(x == 0, 1).otherwise(0)).over(frame) == 1
+    sign = F.when(F.count(F.when(x < 0, 1)).over(frame) % 2 == 1, -1.0).otherwise(1.0)
+    return F.when(lost, F.lit(0.0)).otherwise(sign * F.exp(F.sum(F.when(x != 0, F.ln(F.abs(x)))).over(frame)))
+
+
+def with_rolling_fall(df: DataFrame, value: Column, w: WindowSpec, n: int, name: str) -> DataFrame:
+    """df with the largest fall among the last n rows, each against the highest before it (W15, W18); 0 where there is none, null before n rows.
+
+    A stretch is summed up as (top, bottom, worst), and two that follow each other combine: the later bottom against the earlier top.
+    Stretches of 1, 2, 4, ... rows are made from two halves each, and n rows from the
+    stretches of its binary digits, so a row holds a few numbers whatever n is, and all windows share one sort.
+    """
+
+    def combined(a: Column, b: Column) -> Column:
+        across = F.when(a["top"] > 0, F.try_divide(b["bottom"], a["top"]) - 1)
+        both = F.struct(F.greatest(a["top"], b["top"]).alias("top"), F.least(a["bottom"], b["bottom"]).alias("bottom"), F.least(a["worst"], b["worst"], across).alias("worst"))
+        return F.when(a.isNotNull() & b.isNotNull(), both)
+
+    one, have, made = F.struct(value.alias("top"), value.alias("bottom"), F.lit(0.0).alias("worst")), 0, False
+    rows = df.withColumn("__part", one)
+    for k in range(n.bit_length()):
+        length = 1 << k
+        if n & length:
+            older = F.lag("__part", have).over(w) if have else F.col("__part")
+            rows = rows.withColumn("__whole", combined(older, F.col("__whole")) if made else older)
+            have, made = have + length, True
+        if 2 * length <= n:
+            rows = rows.withColumn("__part", combined(F.lag("__part", length).over(w), F.col("__part")))
+    return rows.withColumn(name, F.col("__whole")["worst"]).drop("__part", "__whole")
+
+
 def rolling_mean_of_valid(value: Column | str, w: WindowSpec, rows: int = 20, least: int = 10) -> Column:
     """Mean of the finite values among the last `rows` rows, if there are `least` of them."""
     v, frame = finite(value), w.rowsBetween(-(rows - 1), 0)

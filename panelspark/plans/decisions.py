@@ -197,8 +197,8 @@ _NAV = """nav AS (
   SELECT n AS portfolio_id, d AS trade_date, 100000000 + CAST(sum(c) OVER (PARTITION BY n ORDER BY d) AS BIGINT) AS equity, 100000000 + CAST(sum(t) OVER (PARTITION BY n ORDER BY d) AS BIGINT) AS benchmark
   FROM (SELECT s_nationkey AS n, CAST(l_shipdate AS DATE) AS d, sum(CAST(l_quantity AS BIGINT) - 25) * 100000 AS c, sum(CAST(l_linenumber AS BIGINT) - 4) * 100000 AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2))"""
 _DAILY = f"""WITH {_NAV}, ret_ AS (
-  SELECT *, coalesce(equity / lag(equity) OVER w - 1, 0) AS daily_return, coalesce(benchmark / lag(benchmark) OVER w - 1, 0) AS benchmark_return, max(equity) OVER (PARTITION BY portfolio_id ORDER BY trade_date) AS peak, row_number() OVER w AS session FROM nav WINDOW w AS (PARTITION BY portfolio_id ORDER BY trade_date)),
-daily AS (SELECT *, daily_return - benchmark_return AS active_return, equity / peak - 1 AS drawdown FROM ret_)"""
+  SELECT *, coalesce(equity / nullif(lag(equity) OVER w, 0) - 1, 0) AS daily_return, coalesce(benchmark / nullif(lag(benchmark) OVER w, 0) - 1, 0) AS benchmark_return, max(equity) OVER (PARTITION BY portfolio_id ORDER BY trade_date) AS peak, row_number() OVER w AS session FROM nav WINDOW w AS (PARTITION BY portfolio_id ORDER BY trade_date)),
+daily AS (SELECT *, daily_return - benchmark_return AS active_return, equity / nullif(peak, 0) - 1 AS drawdown FROM ret_)"""
 
 
 def _nav(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +209,21 @@ def _nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("portfolio_id", "trade_date", (F.sum("c").over(w) + 100000000).alias("equity"), (F.sum("t").over(w) + 100000000).alias("benchmark"))
 
 
+#: All portfolios, one that loses everything, one that begins with nothing, one whose benchmark is worth nothing and one of a single session.
+_ODD = f"""WITH {_NAV.replace("nav AS (", "nav0 AS (", 1)}, one AS (SELECT * FROM nav0 WHERE portfolio_id = 3), nav AS (SELECT * FROM nav0 UNION ALL SELECT 400, trade_date, CASE WHEN trade_date < DATE '1996-06-01' THEN equity ELSE 0 END, benchmark FROM one
+  UNION ALL SELECT 500, trade_date, CASE WHEN trade_date < DATE '1993-06-01' THEN 0 ELSE equity END, benchmark FROM one UNION ALL SELECT 600, trade_date, equity, 0 FROM one UNION ALL SELECT 700, trade_date, equity, benchmark FROM one WHERE trade_date = (SELECT min(trade_date) FROM one))"""
+_ODD_DAILY = _DAILY.replace(f"WITH {_NAV}", _ODD, 1)
+
+
+def _odd_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nav = _nav(spark, sf_dir)
+    one, day = nav.where("portfolio_id = 3"), lambda d: F.col("trade_date") < F.lit(d).cast("date")
+    more = lambda n, e, b: one.select(F.lit(n).alias("portfolio_id"), "trade_date", e.cast("long").alias("equity"), b.cast("long").alias("benchmark"))
+    short = more(700, F.col("equity"), F.col("benchmark")).orderBy("trade_date").limit(1)
+    lost, late = F.when(day("1996-06-01"), F.col("equity")).otherwise(F.lit(0)), F.when(day("1993-06-01"), F.lit(0)).otherwise(F.col("equity"))
+    return nav.union(more(400, lost, F.col("benchmark"))).union(more(500, late, F.col("benchmark"))).union(more(600, F.col("equity"), F.lit(0))).union(short)
+
+
 @query(f"{_DAILY} SELECT portfolio_id, trade_date, equity, benchmark, round(daily_return, 9) AS daily_return, round(benchmark_return, 9) AS benchmark_return, peak, session, round(active_return, 9) AS active_return, round(drawdown, 9) AS drawdown FROM daily")
 def daily_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(perf.daily_returns(_nav(spark, sf_dir)), 9)
@@ -259,13 +274,13 @@ def rolling_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_DAILY}, a AS (SELECT *, (equity::DOUBLE / benchmark) / max(equity::DOUBLE / benchmark) OVER (PARTITION BY portfolio_id ORDER BY trade_date) - 1 AS fall FROM daily),
-s AS (SELECT portfolio_id, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS observations, arg_max(equity, trade_date)::DOUBLE / arg_min(equity, trade_date) AS e, arg_max(benchmark, trade_date)::DOUBLE / arg_min(benchmark, trade_date) AS b, min(fall) AS fall FROM a GROUP BY 1)
-SELECT portfolio_id, start_date, end_date, observations, round(b - 1, 7) AS benchmark_cumulative_return, round(e - b, 7) AS relative_cumulative_return, round(e / b - 1, 7) AS geometric_excess_return, round(fall, 7) AS active_max_drawdown, round(b ** (252.0 / (observations - 1)) - 1, 7) AS benchmark_annualized_return,
-round((e / b) ** (252.0 / (observations - 1)) - 1, 7) AS annualized_geometric_excess_return, NULL::VARCHAR AS annualized_reason FROM s"""
+    f"""{_ODD_DAILY}, a AS (SELECT *, (equity::DOUBLE / benchmark) / nullif(max(equity::DOUBLE / benchmark) OVER (PARTITION BY portfolio_id ORDER BY trade_date), 0) - 1 AS fall FROM daily),
+s AS (SELECT portfolio_id, min(trade_date) AS start_date, max(trade_date) AS end_date, count(*) AS observations, arg_max(equity, trade_date)::DOUBLE / nullif(arg_min(equity, trade_date), 0) AS e, arg_max(benchmark, trade_date)::DOUBLE / nullif(arg_min(benchmark, trade_date), 0) AS b, min(fall) AS fall FROM a GROUP BY 1)
+SELECT portfolio_id, start_date, end_date, observations, round(b - 1, 7) AS benchmark_cumulative_return, round(e - b, 7) AS relative_cumulative_return, round(e / nullif(b, 0) - 1, 7) AS geometric_excess_return, round(fall, 7) AS active_max_drawdown, CASE WHEN observations > 1 AND b > 0 THEN round(b ** (252.0 / (observations - 1)) - 1, 7) END AS benchmark_annualized_return,
+CASE WHEN observations > 1 AND e / nullif(b, 0) > 0 THEN round((e / b) ** (252.0 / (observations - 1)) - 1, 7) END AS annualized_geometric_excess_return, CASE WHEN observations < 2 THEN 'INSUFFICIENT_OBSERVATIONS' WHEN NOT coalesce(e / nullif(b, 0) > 0 AND b > 0, false) THEN 'ANNUALIZED_RETURN_NOT_AVAILABLE' END AS annualized_reason FROM s"""
 )
 def relative_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(perf.relative_performance(perf.daily_returns(_nav(spark, sf_dir))), 7)
+    return rounded(perf.relative_performance(perf.daily_returns(_odd_nav(spark, sf_dir))), 7)
 
 
 @query(
@@ -292,15 +307,15 @@ def _fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_DAILY}, {_FILLS}, f AS (SELECT portfolio_id, trade_date, sum(gross_value) AS gross, sum(fees) AS fees FROM fills GROUP BY 1, 2),
+    f"""{_ODD_DAILY}, {_FILLS}, f AS (SELECT portfolio_id, trade_date, sum(gross_value) AS gross, sum(fees) AS fees FROM fills GROUP BY 1, 2),
 d AS (SELECT daily.*, coalesce(lag(equity) OVER (PARTITION BY portfolio_id ORDER BY trade_date), equity)::DOUBLE AS before, coalesce(gross, 0) AS gross, CASE WHEN session > 1 THEN coalesce(fees, 0) ELSE 0 END AS paid FROM daily LEFT JOIN f USING (portfolio_id, trade_date)),
-s AS (SELECT portfolio_id, count(*) - 1 AS n, avg(equity) AS mean_nav, sum(gross / (2 * before)) AS turned, exp(sum(ln(1 + daily_return + paid / before))) AS g, arg_max(equity, trade_date)::DOUBLE / arg_min(equity, trade_date) AS e FROM d GROUP BY 1),
+s AS (SELECT portfolio_id, count(*) - 1 AS n, avg(equity) AS mean_nav, sum(coalesce(gross / nullif(2 * before, 0), 0)) AS turned, CASE WHEN min(abs(1 + daily_return + coalesce(paid / nullif(before, 0), 0))) = 0 THEN 0 ELSE exp(sum(ln(nullif(1 + daily_return + coalesce(paid / nullif(before, 0), 0), 0)))) END AS g, arg_max(equity, trade_date)::DOUBLE / nullif(arg_min(equity, trade_date), 0) AS e FROM d GROUP BY 1),
 o AS (SELECT portfolio_id, count(*) AS orders, sum(gross_value) AS traded, sum(fees) AS paid, count(*) FILTER (WHERE filled_quantity = 0 OR filled_quantity < requested_quantity) AS failed, count(reference_price) AS priced, sum(CAST(round(CAST(requested_quantity AS DECIMAL(18,0)) * CAST(reference_price AS DECIMAL(18,6)) * 100, 0) AS BIGINT)) AS asked, sum(CAST(round(CAST(filled_quantity AS DECIMAL(18,0)) * CAST(reference_price AS DECIMAL(18,6)) * 100, 0) AS BIGINT)) AS got FROM fills GROUP BY 1)
-SELECT portfolio_id, round(coalesce(traded, 0) / (2 * mean_nav), 9) AS one_way_turnover, round(turned * 252 / n, 9) AS annualized_turnover, round(coalesce(paid, 0) / mean_nav, 9) AS fee_rate, round(g - 1, 7) AS gross_cumulative_return, round(g ** (252.0 / n) - 1, 7) AS gross_annualized_return, round(g - e, 7) AS cumulative_cost_drag, round(g ** (252.0 / n) - e ** (252.0 / n), 7) AS annualized_cost_drag, NULL::VARCHAR AS annualized_reason,
+SELECT portfolio_id, round(coalesce(traded, 0) / (2 * mean_nav), 9) AS one_way_turnover, CASE WHEN n > 0 THEN round(turned * 252 / n, 9) END AS annualized_turnover, round(coalesce(paid, 0) / mean_nav, 9) AS fee_rate, round(g - 1, 7) AS gross_cumulative_return, CASE WHEN n > 0 AND g > 0 THEN round(g ** (252.0 / n) - 1, 7) END AS gross_annualized_return, round(g - e, 7) AS cumulative_cost_drag, CASE WHEN n > 0 AND g > 0 AND e > 0 THEN round(g ** (252.0 / n) - e ** (252.0 / n), 7) END AS annualized_cost_drag, CASE WHEN n < 1 THEN 'INSUFFICIENT_OBSERVATIONS' WHEN NOT coalesce(g > 0 AND e > 0, false) THEN 'ANNUALIZED_RETURN_NOT_AVAILABLE' END AS annualized_reason,
 round(failed / orders, 9) AS failed_fill_rate, CASE WHEN orders IS NULL THEN 'NO_ORDERS' END AS failed_fill_rate_reason, round(got::DOUBLE / asked::DOUBLE, 9) AS notional_fill_rate, CASE WHEN orders IS NULL THEN 'NO_ORDERS' WHEN priced = 0 THEN 'NO_PRICEABLE_ORDERS' END AS notional_fill_rate_reason, round(priced / orders, 9) AS priced_order_coverage_rate FROM s LEFT JOIN o USING (portfolio_id)"""
 )
 def trading_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = perf.trading_metrics(perf.daily_returns(_nav(spark, sf_dir)), _fills(spark, sf_dir))
+    out = perf.trading_metrics(perf.daily_returns(_odd_nav(spark, sf_dir)), _fills(spark, sf_dir))
     seven = ("gross_cumulative_return", "gross_annualized_return", "cumulative_cost_drag", "annualized_cost_drag")
     return out.select(*[F.round(c, 7 if c in seven else 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
@@ -363,12 +378,12 @@ def security_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perf.security_attribution(values, flows)
 
 
-@query(f"{_DAILY}, f AS (SELECT s_nationkey AS portfolio_id, CAST(l_shipdate AS DATE) AS trade_date, sum(CAST(l_quantity AS BIGINT)) * 10 AS fees FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2), g AS (SELECT d.portfolio_id, d.trade_date, daily_return + coalesce(fees / lag(equity) OVER (PARTITION BY d.portfolio_id ORDER BY d.trade_date), 0) AS gross FROM daily d LEFT JOIN f USING (portfolio_id, trade_date)) SELECT portfolio_id, trade_date, round(gross + 3.1e-13, 12) AS gross_return, round(exp(sum(ln(1 + gross)) OVER (PARTITION BY portfolio_id ORDER BY trade_date)), 6) AS gross_growth FROM g")
+@query(f"{_ODD_DAILY}, f AS (SELECT s_nationkey AS portfolio_id, CAST(l_shipdate AS DATE) AS trade_date, sum(CAST(l_quantity AS BIGINT)) * 10 AS fees FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2), g AS (SELECT d.portfolio_id, d.trade_date, daily_return + coalesce(fees / lag(equity) OVER (PARTITION BY d.portfolio_id ORDER BY d.trade_date), 0) AS gross FROM daily d LEFT JOIN f USING (portfolio_id, trade_date)) SELECT portfolio_id, trade_date, round(gross + 3.1e-13, 12) AS gross_return, CASE WHEN min(abs(1 + gross)) OVER (PARTITION BY portfolio_id ORDER BY trade_date) = 0 THEN 0 ELSE round(exp(sum(ln(nullif(1 + gross, 0))) OVER (PARTITION BY portfolio_id ORDER BY trade_date)), 6) END AS gross_growth FROM g")
 def gross_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returns are moved off the halves before they are rounded, which the two engines round apart."""
     s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("portfolio_id"))
     fees = load(spark, sf_dir, "lineitem").join(s, "l_suppkey").groupBy("portfolio_id", F.col("l_shipdate").cast("date").alias("trade_date")).agg((F.sum(F.col("l_quantity").cast("long")) * 10).alias("fees"))
-    out = perf.gross_growth(perf.daily_returns(_nav(spark, sf_dir)), fees)
+    out = perf.gross_growth(perf.daily_returns(_odd_nav(spark, sf_dir)), fees)
     return out.select("portfolio_id", "trade_date", F.round(F.col("gross_return") + 3.1e-13, 12).alias("gross_return"), F.round("gross_growth", 6).alias("gross_growth"))
 
 

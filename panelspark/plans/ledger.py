@@ -1,11 +1,12 @@
-"""Queries of lots, pursued targets and histories too long for one task (L2, G7, J6, J7, W8-W10) over the sample tables."""
+"""Queries of lots, pursued targets, look-backs and histories too long for one task (L2, G7, F1, J6, J7, W8-W10) over the sample tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.operators import decisions, lots, scan
+from panelspark.operators import decisions, factors, lots, scan
+from panelspark.plans.decisions import _NAV, _nav
 from panelspark.plans.more import _EVENTS, _known
 from panelspark.plans.pit import _LEFT, _RIGHT, _sides
 from panelspark.plans.tables import load, query
@@ -107,3 +108,31 @@ def running_one_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
     out = scan.running(rows, [], "l_shipdate", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"], {"shipped": F.col("l_quantity").cast("long"), "returned": F.when(F.col("l_returnflag") == "R", F.lit(1).cast("long"))}, {"dearest": F.col("l_extendedprice")}, rows=_ROWS)
     return out.select("l_orderkey", "l_linenumber", "shipped", "dearest", "returned")
+
+
+def _session_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Portfolios of `_nav` as instruments of daily returns."""
+    w = Window.partitionBy("instrument_id").orderBy("trade_date")
+    rows = _nav(spark, sf_dir).select(F.col("portfolio_id").alias("instrument_id"), "trade_date", "equity")
+    r = F.ln(F.col("equity").cast("double")) - F.ln(F.lag("equity").over(w).cast("double"))
+    return rows.select("instrument_id", "trade_date", F.when(F.col("equity") > 0, r).alias("log_return"), F.col("trade_date").cast("timestamp_ntz").alias("available_at"))
+
+
+def _look_back_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"""SELECT trade_date AS signal_date, instrument_id, 'return_{n}d' AS factor_id, CASE WHEN i > {n} AND count(r) OVER (PARTITION BY instrument_id ORDER BY trade_date ROWS {n - 1} PRECEDING) = {n} THEN round(exp(sum(r) OVER (PARTITION BY instrument_id ORDER BY trade_date ROWS {n - 1} PRECEDING)) - 1, 7) END AS value,
+CASE WHEN i <= {n} THEN 'INSUFFICIENT_HISTORY' WHEN count(r) OVER (PARTITION BY instrument_id ORDER BY trade_date ROWS {n - 1} PRECEDING) < {n} THEN 'NONFINITE_VALUE' END AS invalid_reason FROM r"""
+        for n in (20, 60, 120)
+    )
+    return f"WITH {_NAV}, l AS (SELECT *, lag(equity) OVER w AS before, row_number() OVER w AS i FROM nav WINDOW w AS (PARTITION BY portfolio_id ORDER BY trade_date)), r AS (SELECT portfolio_id AS instrument_id, trade_date, i, CASE WHEN equity > 0 AND before > 0 THEN ln(equity::DOUBLE) - ln(before::DOUBLE) END AS r FROM l) {parts}"
+
+
+@query(_look_back_sql())
+def factor_return_20_60_120d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns over 20, 60 and 120 sessions (F1)."""
+    panel, out = _session_returns(spark, sf_dir), None
+    for n in (20, 60, 120):
+        one = factors.market_factor(f"return_{n}d", factors.period_return(n), n + 1)(panel)
+        one = one.select("signal_date", "instrument_id", "factor_id", F.round("value", 7).alias("value"), "invalid_reason")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators import backtest, review, rules
@@ -171,8 +171,19 @@ def valuation_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(review.valuation(load(spark, sf_dir, "customer"), "c_acctbal", ["c_nationkey"]), 5)
 
 
-@query("SELECT 'STAMP' AS t, 0::BIGINT AS broken UNION ALL SELECT 'LIMIT', 0 UNION ALL SELECT 'TRANSFER', 0")
+@query(
+    """WITH d AS (SELECT DISTINCT o_custkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders), r AS (SELECT k, d, row_number() OVER w AS n, lead(d) OVER w AS later FROM d WINDOW w AS (PARTITION BY k ORDER BY d)),
+t AS (SELECT k, CASE WHEN n = 1 AND k % 3 <> 0 THEN DATE '2005-01-24' - 7000 ELSE d END AS s, CASE WHEN later IS NULL THEN CASE WHEN k % 7 = 0 THEN DATE '2030-01-01' ELSE DATE '9999-12-31' END ELSE later - 1 - CASE WHEN dayofmonth(d) = 9 THEN 1 ELSE 0 END END AS e FROM r),
+x AS (SELECT *, lead(s) OVER w AS next, row_number() OVER w = 1 AS first FROM t WINDOW w AS (PARTITION BY k ORDER BY s))
+SELECT k, s AS rule_start FROM x WHERE CASE WHEN next IS NULL THEN e <> DATE '9999-12-31' ELSE e + 1 <> next END OR (first AND s <> DATE '2005-01-24' - 7000)"""
+)
 def rule_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dated rules leave no gap."""
-    n = lambda name, table, keys: rules.broken_intervals(table, keys).agg(F.lit(name).alias("t"), F.count("*").alias("broken"))
-    return n("STAMP", rules.stamp_table(spark), ["side"]).union(n("LIMIT", rules.price_limit_table(spark), ["limit_group", "status"])).union(n("TRANSFER", rules.transfer_table(spark), ["exchange"]))
+    """Intervals between the orders of each customer as dated rules: keys that begin late, leave a gap or end."""
+    k, day = F.col("o_custkey").alias("k"), F.col("o_orderdate").cast("date").alias("d")
+    w = Window.partitionBy("k").orderBy("d")
+    r = load(spark, sf_dir, "orders").select(k, day).distinct().withColumns({"n": F.row_number().over(w), "later": F.lead("d").over(w)})
+    first = F.date_sub(F.lit(rules.RULES_START).cast("date"), 7000)
+    ends = F.when(F.col("k") % 7 == 0, F.lit("2030-01-01")).otherwise(F.lit("9999-12-31")).cast("date")
+    until = F.when(F.col("later").isNull(), ends).otherwise(F.date_sub("later", F.when(F.dayofmonth("d") == 9, 2).otherwise(1)))
+    table = r.select("k", F.when((F.col("n") == 1) & (F.col("k") % 3 != 0), first).otherwise(F.col("d")).alias("rule_start"), until.alias("rule_end"))
+    return rules.broken_intervals(table, ["k"], first)

@@ -471,5 +471,3 @@ SELECT f.signal_date, f.instrument_id, f.value, p.value AS previous_value FROM f
 )
 def previous_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.previous_values(factor(spark, sf_dir)).select("signal_date", "instrument_id", "value", "previous_value")
-
-
