@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,17 @@ def chain_keys(parts: Sequence[Column]) -> Column:
     return out
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df, worked out and kept in the folder that driver and executors share (spark.checkpoint.dir); where it is unset, as in tests, in a local one, on a cluster an error."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or f"file://{tempfile.gettempdir()}/panelspark-checkpoints")
+    return df.checkpoint()
+
+
 def require_columns(df: DataFrame, **types: str) -> DataFrame:
     """df, or an error that names each missing or mistyped column."""
     have = dict(df.dtypes)

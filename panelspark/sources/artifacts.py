@@ -64,25 +64,25 @@ STRATEGY = {
 }
 
 
-def _files(spark: SparkSession, path: str):
+def files(spark: SparkSession, path: str):
     """The path and its file system, whichever that is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    at, fs = _files(spark, path)
+    at, fs = files(spark, path)
     return fs.exists(at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    at, fs = _files(spark, path)
+    at, fs = files(spark, path)
     fs.delete(at, True)
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:
     """One rename; an error if the target is there or the store refuses."""
-    (a, fs), (b, _) = _files(spark, source), _files(spark, target)
+    (a, fs), (b, _) = files(spark, source), files(spark, target)
     if fs.exists(b):
         raise FileExistsError(target)
     fs.mkdirs(b.getParent())

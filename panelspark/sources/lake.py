@@ -1,8 +1,9 @@
 """Partitioned datasets as plain Parquet tables, and the jobs that keep them.
 
-A dataset is a folder partitioned by one column. Publishing overwrites just the partitions
-that a frame has (dynamic partition overwrite), so a job that is run again leaves the same
-table; reading leaves pruning to Spark. Content hashes of partitions are DataFrame jobs:
+A dataset is a folder partitioned by one column. Publishing replaces just the partitions
+that a frame has, so a job that is run again leaves the same table: they are written beside the
+dataset, read back and compared, and then put in place folder by folder, each by a rename; if one fails, those
+before it are put back. Reading leaves pruning to Spark. Content hashes of partitions are DataFrame jobs:
 which partitions changed, or differ from what was recorded, is a join of two tables of hashes.
 """
 
@@ -11,10 +12,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.relational import content_hash, latest, require_unique
+from panelspark.sources import artifacts
 
 
 def read(spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Column | None = None) -> DataFrame:
@@ -24,21 +26,61 @@ def read(spark: SparkSession, path: str, columns: Sequence[str] | None = None, w
     return rows.select(*columns) if columns else rows
 
 
-def publish(df: DataFrame, path: str, by: str, keys: Sequence[str]) -> None:
-    """Replaces the partitions of the dataset that df has (S10). Primary keys must be unique; rows are sorted by them, so that file statistics prune."""
-    require_unique(df, [by, *keys])
-    dealt = df.repartition(by).sortWithinPartitions(by, *keys)
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(by).parquet(path)
+def _swapped(spark: SparkSession, staged: str, path: str) -> None:
+    """Moves each partition folder of `staged` into `path`, those in its place aside; all of them or none."""
+    at, fs = artifacts.files(spark, staged)
+    names = [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()]  # a name a partition
+    aside, moved = f"{path}.replaced-{uuid.uuid4().hex}", []
+    try:
+        for name in names:
+            steps = [(f"{path}/{name}", f"{aside}/{name}")] if artifacts.exists(spark, f"{path}/{name}") else []
+            for source, target in [*steps, (f"{staged}/{name}", f"{path}/{name}")]:
+                artifacts.move(spark, source, target)
+                moved.append((source, target))
+    except BaseException:
+        for source, target in reversed(moved):
+            artifacts.move(spark, target, source)
+        raise
+    finally:
+        artifacts.remove(spark, staged)
+        artifacts.remove(spark, aside)
+
+
+def publish(df: DataFrame, path: str, by: str, keys: Sequence[str] = ()) -> None:
+    """Replaces the partitions of the dataset that df has (S10). Primary keys, if given, must be unique; rows are sorted by them, so that file statistics prune.
+
+    df is worked out once. A partition of very many rows is split over tasks. What was written is read back and compared by count and
+    content before anything of the dataset moves.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    staged, seen = f"{path}.staging-{uuid.uuid4().hex}", Observation()
+    marks = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("content")]
+    try:
+        dealt = df.hint("rebalance", F.col(by)).sortWithinPartitions(by, *keys)
+        dealt.observe(seen, *marks).write.option("compression", "zstd").partitionBy(by).parquet(staged)
+        back = spark.read.schema(df.schema).parquet(staged)
+        if seen.get != back.agg(*marks).first().asDict():
+            raise OSError(f"{staged} doesn't hold what was written")
+        if keys:
+            require_unique(back, [by, *keys])
+    except BaseException:
+        artifacts.remove(spark, staged)
+        raise
+    _swapped(spark, staged, path)
+
+
+def publish_raw(df: DataFrame, path: str, by: str) -> None:
+    """Keeps df as it came, all columns as strings (S9): repeated rows and unparsable values stay; `normalized` makes the typed table of it."""
+    publish(df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]), path, by)
 
 
 def upsert(df: DataFrame, path: str, by: str, keys: Sequence[str]) -> None:
-    """Publishes the touched partitions with df's rows in place of those of equal keys (S11). They are written beside the dataset first, as a table is not overwritten while it is read."""
-    spark = df.sparkSession
-    kept = read(spark, path).join(df.select(by).distinct(), by, "left_semi").select(*df.columns)
-    both = kept.withColumn("__order", F.lit(0)).unionByName(df.withColumn("__order", F.lit(1)))
-    beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
-    latest(both, [by, *keys], ["__order"]).drop("__order").write.parquet(beside)
-    publish(spark.read.schema(df.schema).parquet(beside), path, by, keys)
+    """Publishes the touched partitions with df's rows in place of those of equal keys (S11); of equal keys in df one stays."""
+    both = df.withColumn("__order", F.lit(1))
+    if artifacts.exists(df.sparkSession, path):
+        kept = read(df.sparkSession, path).join(df.select(by).distinct(), by, "left_semi").select(*df.columns)
+        both = both.unionByName(kept.withColumn("__order", F.lit(0)))
+    publish(latest(both, [by, *keys], ["__order"]).drop("__order"), path, by, keys)
 
 
 def partition_hashes(df: DataFrame, by: str) -> DataFrame:

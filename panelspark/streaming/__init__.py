@@ -1,10 +1,12 @@
-"""Incremental event-time aggregation: an extension, as the panel operators are batch."""
+"""Incremental event-time aggregation and tables that late data may change: an extension, as the panel operators are batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.sources import artifacts, lake
+
 
 def window_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events and their sum of values per type and tumbling window; batch or stream. Rows later than `late` behind the newest are dropped by a stream."""
@@ -33,3 +35,40 @@ def drained(spark: SparkSession, source: str, out: str, size: str = "1 hour") ->
     stream = window_counts(events, size).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     stream.awaitTermination()
     return spark.read.parquet(f"{out}/windows")
+
+
+def newest_day(spark: SparkSession, out: str):
+    """The business-date watermark: the newest day that a batch has had so far, or None."""
+    at = f"{out}/watermark"
+    return spark.read.schema("day date, batch long").parquet(at).agg(F.max("day")).first()[0] if artifacts.exists(spark, at) else None
+
+
+def rebuilt(spark: SparkSession, source: str, out: str, time: str = "ts", keys: tuple[str, ...] = ("event_id",), overlap_days: int = 7, files: int = 1, summary=None) -> DataFrame:
+    """Drains a folder of files into a table of rows by day that late and repeated rows may change, and gives a table made of each day.
+
+    A batch's rows go into `rows`, a dataset by day in which equal keys of a day are one row, so a
+    batch that is worked off again changes nothing. Days older than overlap_days behind the stored business-date watermark are closed: their rows go to
+    `late` instead. Then the days that the batch touched are made anew from `rows` by `summary` (rows to rows with a
+    `day`) and replaced in `days`. The watermark is stored last; a run that is stopped goes on with the batch it was at.
+    """
+    summary = summary or (lambda rows: rows.groupBy("day").agg(F.count("*").alias("n_events"), F.sum("value").alias("total")))
+    schema = spark.read.parquet(source).schema
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = batch.where(F.col(time).isNotNull()).withColumn("day", F.col(time).cast("date"))
+        days = [r.day for r in rows.select("day").distinct().collect()]  # a batch's days
+        if not days:
+            return
+        mark = newest_day(spark, out)
+        closed = F.lit(False) if mark is None else F.col("day") < F.date_sub(F.lit(mark), overlap_days)
+        rows.where(closed).write.mode("overwrite").parquet(f"{out}/late/batch={number}")
+        open_ = rows.where(~closed)
+        if not open_.isEmpty():
+            lake.upsert(open_, f"{out}/rows", "day", list(keys))
+            touched = spark.read.schema(rows.schema).parquet(f"{out}/rows").join(open_.select("day").distinct(), "day", "left_semi")
+            lake.publish(summary(touched), f"{out}/days", "day")
+        spark.createDataFrame([(max(d for d in [*days, mark] if d is not None), number)], "day date, batch long").write.mode("append").parquet(f"{out}/watermark")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    stream.writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.parquet(f"{out}/days")
