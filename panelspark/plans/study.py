@@ -219,6 +219,17 @@ def daily_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_ic(spark, sf_dir))
 
 
+_BY_NATION = _IC.replace(", pairs AS (", ", by_nation AS (SELECT factor.* REPLACE (factor_id || '/' || s_nationkey AS factor_id) FROM factor JOIN supplier ON s_suppkey = instrument_id), pairs AS (", 1).replace("FROM factor f JOIN labels", "FROM by_nation f JOIN labels").replace("FROM factor GROUP BY", "FROM by_nation GROUP BY").replace("< 3 THEN", "< 2 THEN").replace("AS rank_ic FROM ranked", "AS rank_ic, max(x) = min(x) AS flat_x, max(y) = min(y) AS flat_y FROM ranked").replace("'INSUFFICIENT_FORWARD_PAIRS' END", "'INSUFFICIENT_FORWARD_PAIRS' WHEN s.flat_x THEN 'ZERO_FACTOR_VARIANCE' WHEN s.flat_y THEN 'ZERO_RETURN_VARIANCE' END")
+
+
+@query(f"{_BY_NATION} SELECT signal_date, factor_id, factor_count, pair_count, round(rank_ic, 6) AS rank_ic, is_valid, invalid_reason FROM ic")
+def rank_ic_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank ICs within nations, of cross-sections from two instruments on (C14)."""
+    nations = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("instrument_id"), F.col("s_nationkey").cast("string").alias("nation"))
+    f = factor(spark, sf_dir).join(nations, "instrument_id").withColumn("factor_id", F.concat_ws("/", "factor_id", "nation"))
+    return rounded(study.daily_ic(f, labels(spark, sf_dir), 2).drop("ic"), 6)
+
+
 @query(
     f"""{_IC} SELECT signal_date, factor_id, round(rank_ic, 8) AS rank_ic,
   round(sum(rank_ic) OVER (PARTITION BY factor_id ORDER BY signal_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 8) AS cumulative_rank_ic,
