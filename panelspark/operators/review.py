@@ -1,4 +1,4 @@
-"""Market review (M2-M7): index panel, liquidity, breadth, limit sentiment, industries and valuation of a day, over all days at once."""
+"""Market review (M1-M7): coverage, index panel, liquidity, breadth, limit sentiment, industries and valuation of a day, over all days at once."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.numeric import first_reason, is_finite, ratio
+from panelspark.operators.masters import is_listed
 from panelspark.operators.windows import by
 
 #: Edges of the breadth buckets, in percent of change.
@@ -85,3 +86,46 @@ def day_coverage(listed: DataFrame, warned: DataFrame, bars: DataFrame) -> DataF
     priced = kept & is_finite("close") & (F.col("close") > 0)
     out = rows.groupBy("trade_date").agg(F.count("*").alias("listed"), F.count_if(kept).alias("reviewed"), F.count_if(priced).alias("priced"))
     return out.withColumn("coverage", F.try_divide(F.col("priced").cast("double"), F.col("reviewed").cast("double")))
+
+
+def market_review(master: DataFrame, sessions: DataFrame, bars: DataFrame, suspended: DataFrame, warned: DataFrame, exclude_warned: bool = True) -> DataFrame:
+    """The review of every session in one row: counts and coverage of the data, breadth and liquidity (M1, M3, M4).
+
+    master: instrument_id (unique), list_date, delist_date. sessions: distinct trade_date. bars:
+    unique trade_date, instrument_id with open, high, low, close, preclose, change, amount.
+    suspended, warned: trade_date, instrument_id. Instruments under a warning are left out
+    if exclude_warned. A bar is priced if it isn't suspended and all its prices and its change are
+    finite; missing are listed instruments that are neither suspended nor priced; coverage is null where nothing is expected.
+
+    How many are listed is a running sum of listings and leavings over the calendar, so no row a session and
+    instrument is made: work grows with the bars, the states and the master.
+    """
+    keys = ["trade_date", "instrument_id"]
+    dates = master.select("instrument_id", "list_date", "delist_date").where("list_date is not null and (delist_date is null or delist_date > list_date)")
+    moves = dates.select(F.col("list_date").alias("trade_date"), F.lit(1).alias("n")).union(dates.where("delist_date is not null").select("delist_date", F.lit(-1)))
+    steps = moves.union(sessions.select("trade_date", F.lit(0))).groupBy("trade_date").agg(F.sum("n").alias("n"))
+    running = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)  # one row a day
+    listed = steps.withColumn("listed", F.sum("n").over(running)).join(sessions.select("trade_date").distinct(), "trade_date", "left_semi").select("trade_date", "listed")
+
+    flag = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
+    states = flag(suspended, "__s").join(flag(warned, "__w"), keys, "full")
+    rows = bars.select(*keys, "open", "high", "low", "close", "preclose", "change", "amount").withColumn("__bar", F.lit(True)).join(states, keys, "full")
+    rows = rows.join(sessions.select("trade_date").distinct(), "trade_date", "left_semi").join(dates, "instrument_id").where(is_listed("trade_date"))
+    kept = F.lit(True) if not exclude_warned else F.col("__w").isNull()
+    whole = F.col("__bar") & F.col("__s").isNull()
+    for c in ("open", "high", "low", "close", "preclose", "change"):
+        whole = whole & is_finite(c)
+    rows = rows.withColumns({"__kept": kept, "__priced": F.coalesce(kept & whole, F.lit(False))})
+    counts = rows.groupBy("trade_date").agg(F.count_if("__priced").alias("priced_count"), F.count_if(kept & F.col("__s").isNotNull()).alias("suspended_count"), F.count_if("__w").alias("__warned"))
+
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    out = listed.join(counts, "trade_date", "left")
+    out = out.select("trade_date", (zero("listed") - (zero("__warned") if exclude_warned else F.lit(0))).cast("long").alias("expected_count"), zero("priced_count").alias("priced_count"), zero("suspended_count").alias("suspended_count"), (F.lit(0) if exclude_warned else zero("__warned")).cast("long").alias("st_count"))
+    due = F.col("expected_count") - F.col("suspended_count")
+    out = out.withColumns({"missing_bar_count": F.greatest(due - F.col("priced_count"), F.lit(0)).cast("long"), "coverage_rate": F.when(due > 0, F.col("priced_count") / due)})
+
+    amounts = rows.where(F.col("__bar") & F.col("__kept")).select("trade_date", F.when(is_finite("amount"), F.col("amount")).otherwise(0.0).alias("amount"))
+    traded = liquidity(amounts.union(sessions.select("trade_date", F.lit(0.0))))
+    spread = breadth(rows.where("__priced").select("trade_date", "change"))
+    counted = [c for c, t in spread.dtypes if t == "bigint"]
+    return out.join(spread, "trade_date", "left").fillna(0, subset=counted).join(traded, "trade_date")
