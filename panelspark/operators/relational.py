@@ -117,13 +117,16 @@ def interval_state(memberships: DataFrame, dates: DataFrame, key: str, in_date:
     A membership counts if it began by the date and that was known by the date's
     cutoff, and if its end is open, later, or not known yet. Among several the last
     by `order` counts. dates: distinct `date`, cutoff. Memberships meet the dates of each month
-    from their beginning on by an equi-join on the month, of which the rest is filtered.
+    from their beginning to the last day on which their end may not be known by an equi-join on
+    the month, of which the rest is filtered; cutoffs lag behind their dates by `lag` days at most.
     """
     ended = F.col(out_date).isNotNull() & (F.col(out_date) <= F.col("date")) & F.col(out_known).isNotNull() & (F.col(out_known) <= F.col(cutoff))
     valid = (F.col(in_date) <= F.col("date")) & (F.col(in_known) <= F.col(cutoff)) & ~ended
     months = F.sequence(F.trunc(F.col(in_date), "month"), F.trunc("__last", "month"), F.expr("INTERVAL 1 MONTH"))
-    last = dates.agg(F.max("date")).first()[0]  # one value
-    begun = memberships.withColumn("__last", F.lit(last).cast("date")).where(F.col(in_date) <= F.col("__last")).withColumn("__month", F.explode(months)).drop("__last")
+    last, lag = dates.agg(F.max("date"), F.max(F.date_diff("date", F.col(cutoff).cast("date")))).first()  # two values
+    closed = F.greatest(F.col(out_date).cast("date"), F.date_add(F.col(out_known).cast("date"), lag or 0))
+    until = F.least(F.lit(last).cast("date"), F.when(F.col(out_date).isNotNull() & F.col(out_known).isNotNull(), closed))  # least passes over nulls
+    begun = memberships.withColumn("__last", until).where(F.col(in_date) <= F.col("__last")).withColumn("__month", F.explode(months)).drop("__last")
     met = begun.join(dates.withColumn("__month", F.trunc("date", "month")), "__month").where(valid).drop("__month")
     n = F.row_number().over(Window.partitionBy("date", key).orderBy(*order))
     return met.withColumn("__n", n).where("__n = 1").drop("__n")

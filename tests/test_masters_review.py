@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import clock, text
-from panelspark.operators import decisions, masters, portfolio, review
+from panelspark.operators import decisions, masters, portfolio, relational, review
 from panelspark.plans.decisions import _candidates
 from panelspark.plans.more import optimized_portfolio
 from panelspark.plans.tables import panel
@@ -134,3 +134,23 @@ def test_optimized_portfolio_query_by_plain_numpy(spark, sf_dir):
     assert got.keys() == want.keys() and len(got) > 100
     assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in got)
     assert any(x > 0.01 for x in got.values())
+
+
+@pytest.mark.parametrize("lag", [-40, 0, 1, 75])
+def test_interval_state_with_lagging_cutoffs(spark, lag):
+    rng = random.Random(lag)
+    day = lambda a=0, z=400: D0 + timedelta(rng.randrange(a, z))
+    at = lambda d, hour=12: datetime.combine(d, time(hour))
+    some = lambda x, share=0.2: None if rng.random() < share else x
+    members = [(i, rng.randrange(30), day(), some(day(-30)), at(day()), some(at(day(-30)))) for i in range(200)]
+    dates = [(d, at(d - timedelta(max(0, lag - rng.randrange(3)) if lag > 0 else lag), 18)) for d in sorted({day() for _ in range(60)})] + [(D0 + timedelta(401), None)]
+    m = spark.createDataFrame(members, "n long, k long, in_date date, out_date date, in_known timestamp_ntz, out_known timestamp_ntz")
+    d = spark.createDataFrame(dates, "date date, cutoff timestamp_ntz")
+    state = lambda m, d: relational.interval_state(m, d, "k", "in_date", "out_date", "cutoff", "in_known", "out_known", [F.col("in_date").desc(), F.col("n")])
+    want = {}
+    for on, cutoff in dates[:-1]:
+        for n, k, a, z, a_known, z_known in sorted(members, key=lambda r: (r[2], -r[0])):
+            if a <= on and a_known <= cutoff and not (z is not None and z <= on and z_known is not None and z_known <= cutoff):
+                want[on, k] = n
+    assert {(r.date, r.k): r.n for r in state(m, d).collect()} == want and len(want) > 100
+    assert state(m, d.limit(0)).count() == 0 and state(m.limit(0), d).count() == 0
