@@ -231,58 +231,62 @@ def simhash_components(docs: DataFrame, words: int = 3, max_bits: int = 2, n_piv
 _ODD = np.array([xxhash.xxh64_intdigest(f"lane {i}".encode(), 0) | 1 for i in range(32)], np.uint64)
 
 
-def wide_fingerprint(text: bytes | None, words: int = 5, lanes: int = 8) -> bytes:
-    """A fingerprint of lanes * 64 bits: each lane is a SimHash of the shingles under another mixing of their hashes."""
+def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
+    """The XXH64 values of a text's distinct shingles, ascending; a text of fewer words is one shingle, a wordless one has none."""
     w = (text or b"").lower().split()
-    if not w:
-        return bytes(8 * lanes)
-    n, digest = max(1, len(w) - words + 1), xxhash.xxh64_intdigest
-    h = np.fromiter((digest(b" ".join(w[i : i + words]), 42) for i in range(n)), np.uint64, n)
+    n, digest = max(1, len(w) - words + 1) if w else 0, xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(w[i : i + words]), 42) for i in range(n)), np.uint64, n))
+
+
+def wide_fingerprint(text: bytes | None, words: int = 5, lanes: int = 8) -> bytes:
+    """A fingerprint of lanes * 64 bits: each lane is a SimHash of the distinct shingles under another mixing of their hashes."""
+    h = shingle_set(text, words)
     ones = np.zeros(lanes * BITS, np.int64)
-    for a in range(0, n, 1 << 13):
+    for a in range(0, len(h), 1 << 13):
         x = h[a : a + (1 << 13), None] * _ODD[:lanes]
         x ^= x >> np.uint64(29)
         x *= _ODD[lanes : 2 * lanes]
         x ^= x >> np.uint64(32)
         ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(ones * 2 > n, bitorder="little").tobytes()
+    return np.packbits(ones * 2 > len(h), bitorder="little").tobytes()
 
 
-def most_differing(bits: int, similarity: float) -> int:
-    """Bits that may differ at a Jaccard similarity: equal sets of it have cosine 2 s / (1 + s), and a bit differs with probability angle / pi; 0.8 standard deviations are allowed on top."""
+def most_differing(bits: int, similarity: float, deviations: float = 2.5) -> int:
+    """Bits that may differ at a Jaccard similarity: equal sets of it have cosine 2 s / (1 + s), and a bit differs with probability angle / pi; so many standard deviations are allowed on top."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + 0.8 * math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
 def _near(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64) <= limit
 
 
-def group_links(nodes: np.ndarray, lanes: np.ndarray, limit: int, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links of one large bucket."""
-    parent = np.arange(len(nodes))
-    for a in range(0, len(nodes), block):
-        z = min(a + block, len(nodes))
-        for c in range(a, len(nodes), 8 * block):
-            d = min(c + 8 * block, len(nodes))
-            i, j = np.nonzero(_near(lanes[a:z, None], lanes[None, c:d], limit))
-            i, j = parent[i + a], parent[j + c]
-            for x, y in np.unique(np.stack([i[i != j], j[i != j]], 1), axis=0).tolist():
-                while parent[x] != x:
-                    x = parent[x]
-                while parent[y] != y:
-                    y = parent[y]
-                parent[max(x, y)] = min(x, y)
-            parent = _roots(parent)
-    moved = np.nonzero(parent != np.arange(len(nodes)))[0]
-    return nodes[moved], nodes[parent[moved]]
+def nearest_links(nodes: np.ndarray, lanes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The spanning forest of fewest differing bits among the pairs of one large bucket that are within limit (Prim's algorithm, one row of distances at a time)."""
+    at, row, other = 0, lanes[0], lanes[1:].copy()
+    rest, bits, via = np.arange(1, len(nodes)), np.full(len(nodes) - 1, limit + 1), np.zeros(len(nodes) - 1, np.int64)
+    u, v = [], []
+    while len(rest):
+        now = np.bitwise_count(other ^ row).sum(1, dtype=np.int64)
+        closer = now < bits
+        bits[closer], via[closer] = now[closer], at
+        k = int(bits.argmin())
+        at, row = int(rest[k]), other[k].copy()
+        if bits[k] <= limit:
+            u.append(int(via[k]))
+            v.append(at)
+        for c in (rest, bits, via, other):
+            c[k] = c[-1]
+        rest, bits, via, other = rest[:-1], bits[:-1], via[:-1], other[:-1]
+    return nodes[u], nodes[v]
 
 
 def wide_links(values: DataFrame, similarity: float = 0.8, band_bits: int = 16, sketch_lanes: int = 4, small: int = 16) -> DataFrame:
-    """Links `u`, `v` between rows node, wide (distinct) that share a band of band_bits and whose first sketch_lanes lanes differ in few enough bits.
+    """Candidate links `u`, `v` between rows node, wide (distinct) that share a band of band_bits and whose first sketch_lanes lanes differ in few enough bits.
 
-    With 32 bands of 16 bits a pair of similarity 0.8 shares one with probability 0.91, one
-    of 0.9 with probability 0.998. A bucket of up to `small` rows gives its links, a larger one a spanning set.
+    With 48 bands of 16 bits a pair of similarity 0.8 shares one with probability 0.97, one
+    of 0.9 with probability 0.9999. A bucket of up to `small` rows gives all its candidates, a larger one
+    the spanning forest of its nearest ones.
     """
     limit = most_differing(sketch_lanes * BITS, similarity)
 
@@ -317,7 +321,7 @@ def wide_links(values: DataFrame, similarity: float = 0.8, band_bits: int = 16,
                 u.append(x[i])
                 v.append(x[i + shift])
             for a, many in zip(start[size > small].tolist(), size[size > small].tolist()):
-                p, q = group_links(x[a : a + many], m[a : a + many], limit)
+                p, q = nearest_links(x[a : a + many], m[a : a + many], limit)
                 u.append(p)
                 v.append(q)
             if u:
@@ -339,14 +343,35 @@ def wide_links(values: DataFrame, similarity: float = 0.8, band_bits: int = 16,
     return rows.repartition(partitions(values.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 8) -> DataFrame:
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The pairs u, v whose sets (node, shingles) have a Jaccard similarity of at least `similarity`, counted exactly."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("u", "v"))
+    both = pairs.join(left, "u").join(right, "v")
+    shared, total = F.size(F.array_intersect("of_u", "of_v")), F.size("of_u") + F.size("of_v")
+    counted = both.select("u", "v", shared.alias("shared"), total.alias("total"))
+    return counted.where(F.try_divide(F.col("shared"), F.col("total") - F.col("shared")) >= similarity).select("u", "v")
+
+
+def shingle_sets(texts: DataFrame, words: int = 5) -> DataFrame:
+    """node and `shingles` (its set as longs) of rows node, text (binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(x.as_py(), words).view(np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 12) -> DataFrame:
     """docs without all but one row of each near-duplicate group: the one of smallest doc_id (nulls last), then of smallest text hash.
 
-    Documents are linked by `simhash_components`' rule (three words, two bits) and by wide
-    fingerprints over `words` words that estimate a Jaccard similarity of at least
-    `similarity`. Both kinds of fingerprint are nodes of one graph, a document an edge
-    between its two; nodes are 64-bit hashes.
+    Documents are linked by `simhash_components`' rule (three words, repeats included, two bits), and where their
+    sets of `words`-word shingles have a Jaccard similarity of at least `similarity`: wide
+    fingerprints propose such pairs, the sets (of 64-bit hashes) decide. Both kinds of
+    fingerprint are nodes of one graph, a document an edge between its two; nodes are 64-bit hashes.
     """
+    keys = ["__id", "__null", "__key"]
     kind = "struct<last:boolean,id:" + docs.schema["doc_id"].dataType.simpleString() + ",key:bigint>"
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,13 +384,21 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: in
     table = written(rows.mapInArrow(both, f"k {kind}, fp long, wide binary"), "fingerprints")
     narrow, wide = (lambda c: F.xxhash64(c, F.lit(3))), F.xxhash64("wide", F.lit(5))
     close = links(table.select("fp").distinct()).select(narrow("u").alias("u"), narrow("v").alias("v"))
-    alike = wide_links(table.select(wide.alias("node"), "wide").distinct(), similarity)
+    pairs = wide_links(table.select(wide.alias("node"), "wide").distinct(), similarity)
+    pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    whole = carried(docs, "doc_id").select("__row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.isnull("doc_id").alias("__null"), text_key("__row.text").alias("__key"))
+
+    def keyed(firsts: DataFrame, *more: str) -> DataFrame:
+        return firsts.select(F.coalesce(F.col("k.id").cast("string"), F.lit("")).alias("__id"), F.col("k.last").alias("__null"), F.col("k.key").alias("__key"), *more)
+
+    met = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    samples = keyed(table.groupBy(wide.alias("node")).agg(F.min("k").alias("k")).join(met, "node", "left_semi"), "node")
+    texts = whole.select(*keys, F.col("__row.text").cast("binary").alias("text")).join(samples, keys).dropDuplicates(["node"])
+    alike = similar(pairs, written(shingle_sets(texts, words), "shingles"), similarity)
     roots = components(table.select(narrow("fp").alias("u"), wide.alias("v")).distinct().union(close).union(alike))
     firsts = table.groupBy(narrow("fp").alias("node")).agg(F.min("k").alias("k"))
     groups = firsts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "k")
     best = groups.groupBy("root").agg(F.min("k").alias("k"))
-    keys = ["__id", "__null", "__key"]
-    kept = best.select(F.coalesce(F.col("k.id").cast("string"), F.lit("")).alias("__id"), F.col("k.last").alias("__null"), F.col("k.key").alias("__key"))
-    whole = carried(docs, "doc_id").select("__row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.isnull("doc_id").alias("__null"), text_key("__row.text").alias("__key"))
+    kept = keyed(best)
     one = whole.join(kept, keys, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__key")))
     return one.where("__n = 1").select("__row.*")

@@ -42,11 +42,24 @@ def slow_components(rows: list[tuple], bits: int = 2) -> list:
     return sorted(((d, f"{f:016x}", least[find(i)]) for i, ((d, _), f) in enumerate(zip(rows, fps))), key=str)
 
 
+def slow_shingles(text: str | None, k: int = 5) -> set[tuple]:
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
 def slow_kept(rows: list[tuple], similarity: float = 0.8) -> list:
-    """Ids that keep_one leaves, by all pairs under both rules."""
+    """Ids that keep_one leaves, by all pairs under both rules: two bits of 64, or a shared band, few bits and a true similarity."""
     fps = [slow_fingerprint(t) for _, t in rows]
-    wide = [np.frombuffer(simhash.wide_fingerprint((t or "").encode()), "<u2") for _, t in rows]
+    wide = [np.frombuffer(simhash.wide_fingerprint((t or "").encode(), lanes=12), "<u2") for _, t in rows]
+    sets = [slow_shingles(t) for _, t in rows]
     limit = simhash.most_differing(256, similarity)
+
+    def alike(i, j):
+        a, b = wide[i], wide[j]
+        if not (a == b).any() or int(np.bitwise_count(a[:16] ^ b[:16]).sum()) > limit:
+            return False
+        return (a == b).all() or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])
+
     parent = list(range(len(rows)))
 
     def find(x):
@@ -56,8 +69,7 @@ def slow_kept(rows: list[tuple], similarity: float = 0.8) -> list:
 
     for i in range(len(rows)):
         for j in range(i):
-            a, b = wide[i], wide[j]
-            if (fps[i] ^ fps[j]).bit_count() <= 2 or ((a == b).any() and int(np.bitwise_count(a[:16] ^ b[:16]).sum()) <= limit):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 or alike(i, j):
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -107,6 +119,71 @@ def test_keep_one_finds_similar_texts(spark):
         assert len({roots.get(d, d) for d in range(60)}) == 1 and not [d for d in roots if d >= 100]
 
 
+def edited(base: list[str], cut: int, fresh: str) -> str:
+    """base with its last `cut` words replaced: each takes one five-word shingle of the two sets' union away."""
+    return " ".join(base[: len(base) - cut] + [f"{fresh}{i}" for i in range(cut)])
+
+
+def test_only_true_similarity_links(spark):
+    # 204 words: 200 shingles; c words replaced at the end leave (200 - c) / (200 + c)
+    rows, expected = [], []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(204)]
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, edited(base, 18, f"x{g}n")), (10 * g + 2, edited(base, 24, f"y{g}n"))]
+        expected += [10 * g, 10 * g + 2]  # 0.835 goes, 0.786 stays
+    assert len(slow_shingles(rows[0][1]) & slow_shingles(rows[2][1])) * 10 < 8 * len(slow_shingles(rows[0][1]) | slow_shingles(rows[2][1]))
+    df = spark.createDataFrame([(d, t, None, 1, "c") for d, t in rows], DOCS)
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert {d for d in kept if d % 10 != 1} == set(expected)  # nothing below the threshold goes
+    assert sum(d % 10 == 1 for d in kept) <= 4  # what shares no band
+
+
+def test_wide_bits_are_of_sets():
+    line = "all rights reserved by the owner of this page "
+    assert simhash.wide_fingerprint((line * 2).encode()) == simhash.wide_fingerprint((line * 300).encode())
+    assert len(simhash.shingle_set((line * 300).encode())) == 9 and not len(simhash.shingle_set(b" \n")) and not len(simhash.shingle_set(None))
+    assert simhash.shingle_set(b"One two").tolist() == [xxhash.xxh64_intdigest(b"one two", 42)]
+
+
+def test_jaccard_at_its_bound(spark):
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 2, 3, 4, 5]), (3, [1, 2, 3, 4, 6]), (4, []), (5, [])], "node long, shingles array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 5), (1, 4)], "u long, v long")
+    assert sorted(tuple(r) for r in simhash.similar(pairs, sets).collect()) == [(1, 2), (1, 3)]
+
+
+def test_large_buckets_give_a_least_forest():
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 1 << 63, (6, 4), dtype=np.uint64)
+    lanes = np.repeat(centres, 50, 0)
+    for i in range(len(lanes)):
+        for b in rng.choice(256, rng.integers(0, 20), replace=False):
+            lanes[i, b // 64] ^= np.uint64(1 << int(b % 64))
+    nodes, limit = np.arange(1000, 1300), 24
+    u, v = simhash.nearest_links(nodes, lanes, limit)
+    bits = np.bitwise_count(lanes[:, None] ^ lanes[None]).sum(2, dtype=np.int64)
+    assert (bits[u - 1000, v - 1000] <= limit).all()
+
+    def forest(edges):
+        parent, cost = list(range(300)), 0
+        for c, i, j in sorted(edges):
+            while parent[i] != i:
+                i = parent[i]
+            while parent[j] != j:
+                j = parent[j]
+            if i != j:
+                parent[i], cost = j, cost + c
+        roots = []
+        for x in range(300):
+            while parent[x] != x:
+                x = parent[x]
+            roots.append(x)
+        return cost, {frozenset(i for i in range(300) if roots[i] == r) for r in set(roots)}
+
+    every = [(int(bits[i, j]), i, j) for i in range(300) for j in range(i) if bits[i, j] <= limit]
+    assert forest(every) == forest([(int(bits[a, b]), a, b) for a, b in zip(u - 1000, v - 1000)])
+    assert len(u) == 300 - len(forest(every)[1])
+
+
 def test_simhash_against_all_pairs(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect()]
     assert sorted((tuple(r) for r in queries.op10_simhash(spark, sf_dir).collect()), key=str) == slow_components(docs)
