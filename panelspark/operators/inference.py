@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from panelspark.functions.numeric import finite, first_reason, is_finite
+from panelspark.operators.scan import ROWS, met, with_ranges
 
 
 @F.pandas_udf(DoubleType())
@@ -57,16 +58,23 @@ def hac_mean(series: DataFrame, value: str, keys: Sequence[str], order: str, hor
     return out.withColumn("p_value", normal_p_value("t")) if p_values else out
 
 
-def adjusted_p_values(tests: DataFrame, family: str, p: str, order: str) -> DataFrame:
+def adjusted_p_values(tests: DataFrame, family: str, p: str, order: str, rows: int = ROWS) -> DataFrame:
     """Bonferroni and Benjamini-Hochberg adjusted p-values within each family (C28). Null p-values stay out and stay null.
 
-    BH: least(1, running minimum from the largest rank down of p * n / rank), ranks by (p, order).
+    BH: least(1, running minimum from the largest rank down of p * n / rank), ranks by (p, order). The p-values are cut into
+    ranges of about `rows`: ranks and minima run within a range, from its own end, and take on what the other ranges hold.
     """
-    known = tests.where(is_finite(p))
-    w = Window.partitionBy(family)
-    ranked = known.withColumns({"__n": F.count("*").over(w), "__rank": F.row_number().over(w.orderBy(p, order))})
-    scaled = F.col(p) * F.col("__n") / F.col("__rank")
-    back = w.orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)
-    done = ranked.withColumn("bonferroni", F.least(F.lit(1.0), F.col(p) * F.col("__n"))).withColumn("bh_fdr", F.least(F.lit(1.0), F.min(scaled).over(back))).drop("__n", "__rank")
+    known = with_ranges(tests.where(is_finite(p)), p, rows)
+    by, across = [family, "__range"], Window.partitionBy(family)
+    inside, earlier, later = Window.partitionBy(*by), across.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1), across.orderBy(F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = known.groupBy(*by).agg(F.count("*").alias("__size"))
+    sizes = sizes.select(*by, F.sum("__size").over(across).alias("__n"), F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__before"))
+    ranked = met(known, sizes, by[:1]).withColumn("__rank", F.col("__before") + F.row_number().over(inside.orderBy(p, order)))
+    ranked = ranked.withColumn("__scaled", F.col(p) * F.col("__n") / F.col("__rank"))
+    lows = ranked.groupBy(*by).agg(F.min("__scaled").alias("__low"))
+    lows = lows.select(*by, F.min("__low").over(later).alias("__later"))
+    own = F.min("__scaled").over(inside.orderBy(F.col("__rank").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    done = met(ranked.withColumn("__own", own), lows, by[:1])  # least passes over nulls
+    done = done.select(*tests.columns, F.least(F.lit(1.0), F.col(p) * F.col("__n")).alias("bonferroni"), F.least(F.lit(1.0), "__own", "__later").alias("bh_fdr"))
     rest = tests.where(~is_finite(p))
     return done.unionByName(rest, allowMissingColumns=True)

@@ -41,7 +41,7 @@ def with_ranges(df: DataFrame, on: str, rows: int = ROWS, name: str = "__range")
     return df.withColumn("__cell", cell).join(F.broadcast(cut), "__cell", "left").drop("__cell").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
-def _met(rows: DataFrame, ends: DataFrame, by: Sequence[str]) -> DataFrame:
+def met(rows: DataFrame, ends: DataFrame, by: Sequence[str]) -> DataFrame:
     """rows with what the ranges before theirs left; ends: one row for each key and range."""
     names = [*by, "__range"]
     named = ends.select(*[F.col(k).alias(f"__at_{i}") for i, k in enumerate(names)], *[c for c in ends.columns if c not in names])
@@ -59,7 +59,7 @@ def running(df: DataFrame, by: Sequence[str], on: str, order: Sequence[str], sum
     ends = ends.select(*by, "__range", *[f(f"__e_{n}").over(earlier).alias(f"__c_{n}") for n, f in kinds.items()])
     own = dealt.withColumns({f"__o_{n}": f(f"__v_{n}").over(inside) for n, f in kinds.items()})
     both = lambda n: F.coalesce(F.col(f"__o_{n}") + F.col(f"__c_{n}"), F.col(f"__o_{n}"), F.col(f"__c_{n}")) if n in sums else F.greatest(F.col(f"__o_{n}"), F.col(f"__c_{n}"))
-    return _met(own, ends, by).select(*df.columns, *[both(n).alias(n) for n in kinds])
+    return met(own, ends, by).select(*df.columns, *[both(n).alias(n) for n in kinds])
 
 
 def asof_backward_ranges(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, values: Sequence[str], strict: bool = False, rows: int = ROWS) -> DataFrame:
@@ -80,4 +80,4 @@ def asof_backward_ranges(left: DataFrame, right: DataFrame, by: Sequence[str], o
     own = both.withColumn("__own", F.last("__right", ignorenulls=True).over(inside)).where("__left is not null").drop("__right")
     known = chain_keys([F.col("__on").isNotNull(), *[F.col(k).isNotNull() for k in keys]])
     found = F.when(known, F.coalesce("__own", "__carry"))
-    return _met(own, ends, keys).select("__left.*", found["matched"].alias(f"{on}_matched"), *[found[v].alias(v) for v in values])
+    return met(own, ends, keys).select("__left.*", found["matched"].alias(f"{on}_matched"), *[found[v].alias(v) for v in values])

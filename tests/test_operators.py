@@ -100,6 +100,24 @@ def test_multiple_testing_with_ties(spark):
     assert got[5].bh_fdr is None and len(got) == 7
 
 
+def test_multiple_testing_by_ranges(spark):
+    rng = random.Random(7)
+    rows = [(i, f, rng.choice([None, math.nan, round(rng.random() ** 3, 2)])) for i in range(900) for f in ("f", "g")]
+    df = spark.createDataFrame(rows, "i int, family string, p double")
+    out = inference.adjusted_p_values(df, "family", "p", "i", 40)
+    got = {(r.family, r.i): (r.bonferroni, r.bh_fdr) for r in out.collect()}
+    assert len(got) == len(rows)
+    for f in ("f", "g"):
+        known, best = sorted((p, i) for i, g, p in rows if g == f and p is not None and p == p), 1.0
+        for rank in range(len(known), 0, -1):
+            p, i = known[rank - 1]
+            best = min(best, p * len(known) / rank)
+            assert got[f, i] == (min(1.0, p * len(known)), best)
+    # a frame without an end on its far side is read anew for every row
+    plan = inference.adjusted_p_values(df, "family", "p", "i")._jdf.queryExecution().executedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan and "currentrow$()" in plan
+
+
 def test_winsorize_and_zscore_reasons(spark):
     rows = [("a", 1.0, True, None), ("a", 2.0, True, None), ("a", 100.0, True, None), ("a", 3.0, True, None), ("a", NAN, True, None), ("a", None, True, None), ("a", 9.0, False, "OWN"), ("b", 1.0, True, None), ("b", 2.0, True, None), ("c", 5.0, True, None), ("c", 5.0, True, None), ("c", 5.0, True, None)]
     df = spark.createDataFrame(rows, "g string, v double, is_valid boolean, invalid_reason string")
