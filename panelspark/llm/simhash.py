@@ -238,9 +238,8 @@ def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(w[i : i + words]), 42) for i in range(n)), np.uint64, n))
 
 
-def wide_fingerprint(text: bytes | None, words: int = 5, lanes: int = 8) -> bytes:
-    """A fingerprint of lanes * 64 bits: each lane is a SimHash of the distinct shingles under another mixing of their hashes."""
-    h = shingle_set(text, words)
+def wide_bits(h: np.ndarray, lanes: int = 8) -> bytes:
+    """A fingerprint of lanes * 64 bits of a set of hashes: each lane is a SimHash under another mixing of them."""
     ones = np.zeros(lanes * BITS, np.int64)
     for a in range(0, len(h), 1 << 13):
         x = h[a : a + (1 << 13), None] * _ODD[:lanes]
@@ -251,6 +250,11 @@ def wide_fingerprint(text: bytes | None, words: int = 5, lanes: int = 8) -> byte
     return np.packbits(ones * 2 > len(h), bitorder="little").tobytes()
 
 
+def wide_fingerprint(text: bytes | None, words: int = 5, lanes: int = 8) -> bytes:
+    """`wide_bits` of a text's distinct shingles."""
+    return wide_bits(shingle_set(text, words), lanes)
+
+
 def most_differing(bits: int, similarity: float, deviations: float = 2.5) -> int:
     """Bits that may differ at a Jaccard similarity: equal sets of it have cosine 2 s / (1 + s), and a bit differs with probability angle / pi; so many standard deviations are allowed on top."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -352,6 +356,112 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataF
     return counted.where(F.try_divide(F.col("shared"), F.col("total") - F.col("shared")) >= similarity).select("u", "v")
 
 
+#: Counters of shingles; a shingle's is its hash modulo their number, a power of two.
+SLOTS = 1 << 22
+
+
+def shingle_classes(texts: DataFrame, words: int = 5) -> np.ndarray:
+    """A byte for each of SLOTS: the bits of the number of rows whose set has a shingle there. The rows' column is text (binary)."""
+    part = 1 << 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.uint32)
+        for b in batches:
+            for x in b.column(0):
+                np.add.at(n, shingle_set(x.as_py(), words) & np.uint64(SLOTS - 1), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS // part), pa.int32()), pa.array([n[a : a + part].tobytes() for a in range(0, SLOTS, part)], pa.binary())], ["part", "n"])
+
+    def total(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, at = np.zeros(part, np.uint64), None
+        for t in tables:
+            at = t.column("part")[0]
+            for x in t.column("n"):
+                n += np.frombuffer(x.as_py(), np.uint32)
+        bits = np.ceil(np.log2(n + 1.0)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([at.as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
+
+    rows = texts.select("text").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(total, "part int, bits binary").collect()  # SLOTS bytes
+    out = np.zeros(SLOTS, np.uint8)
+    for r in rows:
+        out[r["part"] * part : (r["part"] + 1) * part] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def prefix(h: np.ndarray, classes: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest hashes of a set, by (class, hash): so many that two sets of that similarity have one of them in common."""
+    n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+    return h[np.argsort(classes[h & np.uint64(len(classes) - 1)], kind="stable")[:n]] if len(h) else h
+
+
+def prefix_pairs(sets: DataFrame, similarity: float = 0.8, small: int = 16, block: int = 256) -> DataFrame:
+    """Every pair `u`, `v` of rows node, root, size, prefix of unequal root whose sets can have a Jaccard similarity of at least `similarity`; some come more than once.
+
+    Such sets have a hash of their prefixes in common. At the first in the common order what follows it in either set bounds
+    the number they share, and their sizes differ little; these two bounds discard the other rows of its bucket. A bucket is
+    sorted by size and worked through in blocks.
+    """
+    names = ["token", "size", "at", "node", "root"]
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.frombuffer(x, "<i8") for x in b.column(3).to_pylist()]
+            n = np.array([len(x) for x in found], np.int64)
+            if n.sum():
+                each = lambda k: np.repeat(b.column(k).to_numpy(), n)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(found), each(2), np.concatenate([np.arange(m, dtype=np.int32) for m in n]), each(0), each(1))], names)
+
+    def fit(i: tuple, j: tuple) -> np.ndarray:
+        least = np.ceil(similarity / (1 + similarity) * (i[1].astype(np.int64) + j[1]) - 1e-9)
+        sizes = np.minimum(i[1], j[1]) >= np.ceil(similarity * np.maximum(i[1], j[1]) - 1e-9)
+        return (i[4] != j[4]) & sizes & (np.minimum(i[1] - i[2], j[1] - j[2]) >= least)
+
+    def pair(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            """Works through whole buckets."""
+            c = tuple(np.concatenate(x) for x in zip(*parts))
+            k = c[0]
+            start = np.nonzero(np.r_[True, k[1:] != k[:-1]])[0]
+            size = np.diff(np.r_[start, len(k)])
+            for shift in range(1, small):
+                i = np.nonzero((k[:-shift] == k[shift:]) & (np.repeat(size, size)[:-shift] <= small))[0] if len(k) > shift else np.empty(0, np.int64)
+                if not len(i):
+                    break
+                i = i[fit(tuple(x[i] for x in c), tuple(x[i + shift] for x in c))]
+                yield pair(c[3][i], c[3][i + shift])
+            for a, many in zip(start[size > small].tolist(), size[size > small].tolist()):
+                rows = tuple(x[a : a + many] for x in c)
+                if (rows[4] == rows[4][0]).all():
+                    continue
+                for at in range(0, many, block):
+                    one = tuple(x[at : at + block] for x in rows)
+                    last = np.searchsorted(rows[1], one[1][-1] / similarity + 1, side="right")
+                    for to in range(at, last, 16 * block):
+                        more = tuple(x[to : min(to + 16 * block, last)] for x in rows)
+                        i, j = np.nonzero(fit(tuple(x[:, None] for x in one), tuple(x[None, :] for x in more)))
+                        later = i + at < j + to
+                        yield pair(one[3][i[later]], more[3][j[later]])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = tuple(b.column(i).to_numpy() for i in range(len(names)))
+            n = int(np.argmax(now[0] == now[0][-1]))  # rows before the batch's last bucket
+            if n or (held and held[-1][0][-1] != now[0][0]):
+                yield from out([*held, *([tuple(c[:n] for c in now)] if n else [])])
+                held = []
+            held.append(tuple(c[n:] for c in now))
+        if held:
+            yield from out(held)
+
+    rows = sets.select("node", "root", "size", "prefix").mapInArrow(tokens, "token long, size int, at int, node long, root long")
+    return rows.repartition(partitions(sets.sparkSession), "token").sortWithinPartitions("token", "size").mapInArrow(run, "u long, v long")
+
+
 def shingle_sets(texts: DataFrame, words: int = 5) -> DataFrame:
     """node and `shingles` (its set as longs) of rows node, text (binary)."""
 
@@ -367,37 +477,54 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: in
     """docs without all but one row of each near-duplicate group: the one of smallest doc_id (nulls last), then of smallest text hash.
 
     Documents are linked by `simhash_components`' rule (three words, repeats included, two bits), and where their
-    sets of `words`-word shingles have a Jaccard similarity of at least `similarity`: wide
-    fingerprints propose such pairs, the sets (of 64-bit hashes) decide. Both kinds of
+    sets of `words`-word shingles have a Jaccard similarity of at least `similarity`. First wide fingerprints
+    propose such pairs, which joins most of them cheaply; then all pairs that aren't joined yet and have a hash of their prefixes in common
+    are met, so that none is left out. The sets (of 64-bit hashes) decide. Both kinds of
     fingerprint are nodes of one graph, a document an edge between its two; nodes are 64-bit hashes.
     """
     keys = ["__id", "__null", "__key"]
     kind = "struct<last:boolean,id:" + docs.schema["doc_id"].dataType.simpleString() + ",key:bigint>"
+    classes = shingle_classes(docs.select(F.col("text").cast("binary").alias("text")), words)
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [x.as_py() for x in b.column(1)]
             fps = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([wide_fingerprint(t, words, lanes) for t in texts], pa.binary())], ["k", "fp", "wide"])
+            sets = [shingle_set(t, words) for t in texts]
+            wides, prefixes = [wide_bits(h, lanes) for h in sets], [prefix(h, classes, similarity).tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array(wides, pa.binary()), pa.array([len(h) for h in sets], pa.int32()), pa.array(prefixes, pa.binary())], ["k", "fp", "wide", "size", "prefix"])
 
     rows = docs.select(F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("id"), text_key().alias("key")).alias("k"), F.col("text").cast("binary").alias("text"))
-    table = written(rows.mapInArrow(both, f"k {kind}, fp long, wide binary"), "fingerprints")
+    table = written(rows.mapInArrow(both, f"k {kind}, fp long, wide binary, size int, prefix binary"), "fingerprints")
     narrow, wide = (lambda c: F.xxhash64(c, F.lit(3))), F.xxhash64("wide", F.lit(5))
     close = links(table.select("fp").distinct()).select(narrow("u").alias("u"), narrow("v").alias("v"))
-    pairs = wide_links(table.select(wide.alias("node"), "wide").distinct(), similarity)
-    pairs = written(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     whole = carried(docs, "doc_id").select("__row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.isnull("doc_id").alias("__null"), text_key("__row.text").alias("__key"))
 
     def keyed(firsts: DataFrame, *more: str) -> DataFrame:
         return firsts.select(F.coalesce(F.col("k.id").cast("string"), F.lit("")).alias("__id"), F.col("k.last").alias("__null"), F.col("k.key").alias("__key"), *more)
 
-    met = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    samples = keyed(table.groupBy(wide.alias("node")).agg(F.min("k").alias("k")).join(met, "node", "left_semi"), "node")
-    texts = whole.select(*keys, F.col("__row.text").cast("binary").alias("text")).join(samples, keys).dropDuplicates(["node"])
-    alike = similar(pairs, written(shingle_sets(texts, words), "shingles"), similarity)
-    roots = components(table.select(narrow("fp").alias("u"), wide.alias("v")).distinct().union(close).union(alike))
-    firsts = table.groupBy(narrow("fp").alias("node")).agg(F.min("k").alias("k"))
-    groups = firsts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "k")
+    def alike(found: DataFrame) -> DataFrame:
+        """The pairs whose sets are similar."""
+        pairs = written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+        met = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+        samples = keyed(table.groupBy(wide.alias("node")).agg(F.min("k").alias("k")).join(met, "node", "left_semi"), "node")
+        texts = whole.select(*keys, F.col("__row.text").cast("binary").alias("text")).join(samples, keys).dropDuplicates(["node"])
+        return similar(pairs, written(shingle_sets(texts, words), "shingles"), similarity)
+
+    def rooted(nodes: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+        """nodes with their root; one that has none stands for itself."""
+        named = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
+        return nodes.join(named, nodes[name] == named["__node"], "left").withColumn("root", F.coalesce("__root", name)).drop("__node", "__root")
+
+    likely = wide_links(table.select(wide.alias("node"), "wide").distinct(), similarity)
+    roots = components(table.select(narrow("fp").alias("u"), wide.alias("v")).distinct().union(close).union(alike(likely)))
+    sets = rooted(table.groupBy(wide.alias("node")).agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")), roots, "node")
+    rest = alike(prefix_pairs(sets, similarity))
+    for c in ("u", "v"):
+        rest = rooted(rest, roots, c).drop(c).withColumnRenamed("root", c)
+    joined = components(rest)
+    firsts = rooted(table.groupBy(narrow("fp").alias("node")).agg(F.min("k").alias("k")), roots, "node").select(F.col("root").alias("first"), "k")
+    groups = rooted(firsts, joined, "first")
     best = groups.groupBy("root").agg(F.min("k").alias("k"))
     kept = keyed(best)
     one = whole.join(kept, keys, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__key")))

@@ -138,6 +138,48 @@ def test_only_true_similarity_links(spark):
     assert sum(d % 10 == 1 for d in kept) <= 4  # what shares no band
 
 
+def test_keep_one_leaves_no_similar_pair_out(spark):
+    rng = random.Random(12)
+    words, rows = [f"w{i}" for i in range(5000)], []
+    for g in range(250):  # similarities from 0.79 up: many such pairs share no band of their wide fingerprints
+        base = [rng.choice(words) for _ in range(rng.randrange(20, 140))]
+        n = len(base) - 4
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, edited(base, max(1, round(n / 9 - rng.random())), f"x{g}n"))]
+    line = [f"all{i}" for i in range(40)]  # one frequent passage in texts of all kinds
+    rows += [(10000 + i, " ".join([*line, *rng.sample(words, rng.randrange(0, 14))])) for i in range(60)]
+    sets, fps = {d: slow_shingles(t) for d, t in rows}, {d: slow_fingerprint(t) for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for d in sets:
+        for e in sets:
+            if d < e and (10 * len(sets[d] & sets[e]) >= 8 * len(sets[d] | sets[e]) or (fps[d] ^ fps[e]).bit_count() <= 2):
+                parent[max(find(d), find(e))] = min(find(d), find(e))
+    df = spark.createDataFrame([(d, t, None, 1, "c") for d, t in rows], DOCS)
+    kept = sorted(r.doc_id for r in simhash.keep_one(df).collect())
+    assert kept == sorted(d for d in sets if find(d) == d) and sum(find(10 * g + 1) == 10 * g for g in range(250)) > 100
+
+
+def test_prefix_pairs_against_all_pairs(spark):
+    rng = random.Random(4)
+    texts = []
+    for g in range(12):
+        base = [rng.choice("abcdefgh") * 3 + str(rng.randrange(40)) for _ in range(rng.randrange(1, 80))]
+        texts += [" ".join(base), *(" ".join(base[: len(base) - rng.randrange(len(base))] + [f"x{i}"]) for i in range(rng.randrange(30)))]
+    found = {simhash.shingle_set(t.encode()).tobytes() for t in texts}
+    sets = [np.frombuffer(x, np.uint64) for x in sorted(found)]
+    classes = simhash.shingle_classes(spark.createDataFrame([(t.encode(),) for t in texts], "text binary"))
+    rows = [(i, i % 5, len(h), simhash.prefix(h, classes, 0.8).tobytes()) for i, h in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, root long, size int, prefix binary")
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if i % 5 != j % 5 and 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j]))}
+    for small, block in ((16, 256), (2, 3), (1, 1)):
+        assert want and want <= {tuple(r) for r in simhash.prefix_pairs(df, 0.8, small, block).collect()}
+
+
 def test_wide_bits_are_of_sets():
     line = "all rights reserved by the owner of this page "
     assert simhash.wide_fingerprint((line * 2).encode()) == simhash.wide_fingerprint((line * 300).encode())
