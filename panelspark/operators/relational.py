@@ -118,8 +118,12 @@ def interval_state(memberships: DataFrame, dates: DataFrame, key: str, in_date:
     cutoff, and if its end is open, later, or not known yet. Among several the last
     by `order` counts. dates: distinct `date`, cutoff. Memberships meet the dates of each month
     from their beginning to the last day on which their end may not be known by an equi-join on
-    the month, of which the rest is filtered; cutoffs lag behind their dates by `lag` days at most.
+    the month, of which the rest is filtered; cutoffs lag behind their dates by `lag` days at most. Memberships of a key with the
+    same four times are valid together, so only the last of them by `order` meets the dates.
     """
+    times = [F.col(c) for c in (in_date, out_date, in_known, out_known)]
+    first = F.row_number().over(Window.partitionBy(key, *times).orderBy(*order))
+    memberships = memberships.withColumn("__n", first).where("__n = 1").drop("__n")
     ended = F.col(out_date).isNotNull() & (F.col(out_date) <= F.col("date")) & F.col(out_known).isNotNull() & (F.col(out_known) <= F.col(cutoff))
     valid = (F.col(in_date) <= F.col("date")) & (F.col(in_known) <= F.col(cutoff)) & ~ended
     months = F.sequence(F.trunc(F.col(in_date), "month"), F.trunc("__last", "month"), F.expr("INTERVAL 1 MONTH"))

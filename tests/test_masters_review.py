@@ -154,3 +154,18 @@ def test_interval_state_with_lagging_cutoffs(spark, lag):
                 want[on, k] = n
     assert {(r.date, r.k): r.n for r in state(m, d).collect()} == want and len(want) > 100
     assert state(m, d.limit(0)).count() == 0 and state(m.limit(0), d).count() == 0
+
+
+def test_interval_state_of_memberships_with_the_same_times(spark):
+    rng = random.Random(9)
+    rows = [(n % 2, date(2024, 1, 1 + n % 5), date(2024, 1, 3), date(2024, 3, 9) if n % 3 else None, date(2024, 3, 20) if n % 3 == 1 else None, rng.random()) for n in range(600)]
+    m = spark.createDataFrame(rows, "k int, in_date date, in_known date, out_date date, out_known date, n double")
+    days = [date(2024, i, 15) for i in range(1, 8)]
+    d = spark.createDataFrame([(x, x) for x in days], "date date, cutoff date")
+    out = relational.interval_state(m, d, "k", "in_date", "out_date", "cutoff", "in_known", "out_known", [F.col("in_date").desc(), F.col("n")])
+    valid = lambda r, x: r[1] <= x and r[2] <= x and not (r[3] and r[4] and r[3] <= x and r[4] <= x)
+    want = {(x, k): min((-r[1].toordinal(), r[5]) for r in rows if r[0] == k and valid(r, x)) for x in days for k in (0, 1)}
+    assert {(r.date, r.k): (-r.in_date.toordinal(), r.n) for r in out.collect()} == want
+    # rows are cut down to one for each key and its times before they meet the dates
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan[plan.rindex("Generate ") :]
