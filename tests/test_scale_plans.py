@@ -93,6 +93,22 @@ def test_covariances_by_blocks_and_ranges_with_missing_cells(spark):
     assert decisions.shrunk_covariance(df.limit(0)).count() == 0
 
 
+def test_covariance_blocks_grow_where_dates_are_few(spark, monkeypatch):
+    monkeypatch.setattr(decisions, "BLOCK_SERIES", 2)
+    monkeypatch.setattr(decisions, "RANGE_DATES", 40)
+    monkeypatch.setattr(decisions, "LEAST_BLOCKS", 3)
+    monkeypatch.setattr(decisions, "STRIP_PAIRS", 7)
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 0.02, (60, 4))
+    df = spark.createDataFrame([(day(d), i, float(x[i, d])) for i in range(60) for d in range(4)], "trade_date date, instrument_id int, r double")
+    out = decisions.shrunk_covariance(df)
+    got = {(r.instrument_x, r.instrument_y): r.covariance for r in out.collect()}
+    want = np.cov(x) * np.where(np.eye(60) > 0, 1, 0.9)
+    assert len(got) == 60 * 61 // 2 and all(abs(c - want[i, j]) < 1e-12 for (i, j), c in got.items())
+    # a series is sent once for each block: 3 of 20 instruments over four dates, not 30 of two
+    assert "sequence(0, 2" in out._jdf.queryExecution().analyzed().toString()
+
+
 def test_correlations_on_common_instruments(spark):
     rng = random.Random(5)
     rows = [(day(d), i, f, float(rng.randrange(6)), True) for d in range(6) for i in range(12) for f in ("a", "b", "c") if rng.random() < 0.8]
