@@ -8,9 +8,10 @@ run, whose rows are that run's own orders and marks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,21 +90,30 @@ class Ledger:
 
     def __init__(self, cash: int, settlement: int = 1):
         self.cash, self.settlement = cash, settlement
-        self.lots: dict[int, list[list[int]]] = {}  # [session bought, quantity, cost]
+        self.lots: dict[int, deque[list[int]]] = {}  # [session bought, quantity, cost]
+        self.total: dict[int, int] = {}
 
     def held(self, instrument: int) -> int:
-        return sum(lot[1] for lot in self.lots.get(instrument, []))
+        return self.total.get(instrument, 0)
 
     def sellable(self, instrument: int, session: int) -> int:
-        return sum(lot[1] for lot in self.lots.get(instrument, []) if lot[0] + self.settlement <= session)
+        """What is held but for the lots bought last, which aren't settled yet."""
+        free = self.held(instrument)
+        for lot in reversed(self.lots.get(instrument, ())):
+            if lot[0] + self.settlement <= session:
+                break
+            free -= lot[1]
+        return free
 
     def buy(self, instrument: int, session: int, quantity: int, gross: int, fees: int) -> None:
         self.cash -= gross + fees
-        self.lots.setdefault(instrument, []).append([session, quantity, gross + fees])
+        self.lots.setdefault(instrument, deque()).append([session, quantity, gross + fees])
+        self.total[instrument] = self.held(instrument) + quantity
 
     def sell(self, instrument: int, session: int, quantity: int, gross: int, fees: int) -> int:
         """The realised profit; costs of split lots are shared half up."""
         self.cash += gross - fees
+        self.total[instrument] -= quantity
         cost, left, lots = 0, quantity, self.lots[instrument]
         while left:
             lot = lots[0]
@@ -112,54 +122,58 @@ class Ledger:
             cost, left = cost + share, left - n
             lot[1], lot[2] = lot[1] - n, lot[2] - share
             if not lot[1]:
-                lots.pop(0)
+                lots.popleft()
         return gross - fees - cost
 
 
 FILLS = "run_id long, trade_date date, instrument_id long, side string, requested long, filled long, price_ticks long, fees long, realized long, cash long, reason string"
 
 
-def _fold(cash: int, lot: int, rows: pd.DataFrame) -> Iterator[tuple]:
+def _fold(cash: int, lot: int, rows: Iterable[tuple]) -> Iterator[tuple]:
+    """rows: run, day, instrument, side, quantity, price in ticks, capacity, reason of the market."""
     ledger = Ledger(cash)
-    days = {d: i for i, d in enumerate(sorted(rows["trade_date"].unique()))}
+    ordered = sorted(rows, key=lambda r: (r[1], r[3] != "SELL", r[2], r[4]))
+    days = {d: i for i, d in enumerate(dict.fromkeys(r[1] for r in ordered))}
     used: dict[tuple[int, int], int] = {}
-    ordered = rows.assign(turn=(rows["side"] != "SELL").astype(int)).sort_values(["trade_date", "turn", "instrument_id", "quantity"])
-    for r in ordered.itertuples():
-        session, reason, n, fees, realized = days[r.trade_date], r.market_reason, 0, 0, None
+    for run_id, day, instrument, side, quantity, ticks, capacity, market_reason in ordered:
+        session, reason, n, fees, realized = days[day], market_reason, 0, 0, None
         if reason is None:
-            room = int(r.capacity) - used.get((session, r.instrument_id), 0)
-            price = int(r.price_ticks)
-            if r.side == "SELL":
-                free = ledger.sellable(r.instrument_id, session)
-                n = min(int(r.quantity), free, room)
-                reason = "SHORT_NOT_SUPPORTED" if not ledger.held(r.instrument_id) else "INSUFFICIENT_SELLABLE" if not free else "VOLUME_CAP" if room < min(int(r.quantity), free) else "FILLED"
+            room = int(capacity) - used.get((session, instrument), 0)
+            price = int(ticks)
+            if side == "SELL":
+                free = ledger.sellable(instrument, session)
+                n = min(quantity, free, room)
+                reason = "SHORT_NOT_SUPPORTED" if not ledger.held(instrument) else "INSUFFICIENT_SELLABLE" if not free else "VOLUME_CAP" if room < min(quantity, free) else "FILLED"
             else:
-                n = min(int(r.quantity), room) // lot * lot
-                reason = "ODD_LOT" if r.quantity < lot else "VOLUME_CAP" if n < r.quantity // lot * lot else "FILLED"
+                n = min(quantity, room) // lot * lot
+                reason = "ODD_LOT" if quantity < lot else "VOLUME_CAP" if n < quantity // lot * lot else "FILLED"
                 can = affordable(ledger.cash, price, n, lot)
                 n, reason = can, "INSUFFICIENT_CASH" if can < n else reason
             n = max(n, 0)
             if n:
                 gross = n * price
                 fees = commission(gross)
-                used[session, r.instrument_id] = used.get((session, r.instrument_id), 0) + n
-                if r.side == "SELL":
-                    realized = ledger.sell(r.instrument_id, session, n, gross, fees)
+                used[session, instrument] = used.get((session, instrument), 0) + n
+                if side == "SELL":
+                    realized = ledger.sell(instrument, session, n, gross, fees)
                 else:
-                    ledger.buy(r.instrument_id, session, n, gross, fees)
-        yield r.run_id, r.trade_date, r.instrument_id, r.side, int(r.quantity), n, None if pd.isna(r.price_ticks) else int(r.price_ticks), fees, realized, ledger.cash, reason
+                    ledger.buy(instrument, session, n, gross, fees)
+        yield run_id, day, instrument, side, quantity, n, ticks, fees, realized, ledger.cash, reason
 
 
 def run_backtests(prepared: DataFrame, cash: int, lot: int = 100) -> DataFrame:
     """Fills of every run, sells before buys within a session (X1, X3, L1). prepared: see `prepared_orders`; a group is one run's orders."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.astype({"market_reason": object})
-        rows["market_reason"] = rows["market_reason"].where(rows["market_reason"].notna(), None)
-        out = pd.DataFrame(list(_fold(cash, lot, rows)), columns=[c.split()[0] for c in FILLS.split(", ")])
-        return out.astype({"price_ticks": "Int64", "realized": "Int64"})
+    columns = ["run_id", "trade_date", "instrument_id", "side", "quantity", "price_ticks", "capacity", "market_reason"]
+    types = {"long": pa.int64(), "date": pa.date32(), "string": pa.string()}
+    fields = [c.split() for c in FILLS.split(", ")]
 
-    return prepared.groupBy("run_id").applyInPandas(fold, FILLS)
+    def fold(rows: pa.Table) -> pa.Table:
+        days = rows["trade_date"].cast(pa.int32())
+        done = zip(*_fold(cash, lot, zip(*[(days if c == "trade_date" else rows[c]).to_pylist() for c in columns])))
+        return pa.table({c: pa.array(x, pa.int32()).cast(pa.date32()) if t == "date" else pa.array(x, types[t]) for (c, t), x in zip(fields, done)})
+
+    return prepared.groupBy("run_id").applyInArrow(fold, FILLS)
 
 
 def marked_to_market(fills: DataFrame, marks: DataFrame, cash: int) -> DataFrame:

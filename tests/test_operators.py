@@ -318,3 +318,24 @@ def test_affordable_is_the_largest():
         n = backtest.affordable(cash, 123, 100_000, 100)
         cost = lambda q: q * 123 + backtest.commission(q * 123)
         assert cost(n) <= cash and (n + 100 > 100_000 or cost(n + 100) > cash)
+
+
+def test_ledger_looks_at_unsettled_lots_only():
+    class Lots(backtest.deque):
+        seen = 0
+
+        def __reversed__(self):
+            for x in super().__reversed__():
+                Lots.seen += 1
+                yield x
+
+        def __iter__(self):
+            raise AssertionError("all lots are walked through")
+
+    ledger = backtest.Ledger(10**12, 2)
+    ledger.lots[7] = Lots()
+    for session in range(500):
+        ledger.buy(7, session, 100, 1000, 5)
+        assert ledger.held(7) == 100 * (session + 1) and ledger.sellable(7, session) == 100 * max(0, session - 1)
+    assert Lots.seen <= 3 * 500
+    assert ledger.sell(7, 500, 150, 3000, 5) == 3000 - 5 - 1005 - 503 and ledger.held(7) == 49850 and ledger.sellable(8, 1) == 0
