@@ -51,8 +51,9 @@ def mapped(c: Column | str, values: dict, default=None) -> Column:
 
 def average_rank(value: str, *keys: str) -> Column:
     """One-based rank of value within keys, ties averaged; nulls must be filtered before."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    return (F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (ties - 1) / F.lit(2.0)).cast("double")
+    w = Window.partitionBy(*keys).orderBy(value)
+    ties = F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, Window.currentRow))  # rows of an equal value, in the rank's own shuffle and sort
+    return (F.rank().over(w) + (ties - 1) / F.lit(2.0)).cast("double")
 
 
 def bucket(q: int, keys: Sequence[str], order: Sequence[str]) -> Column:

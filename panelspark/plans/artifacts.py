@@ -52,8 +52,7 @@ def _read_back(spark: SparkSession, run: str, fills: dict[str, tuple[str | None,
 @query(_sql(_STUDY, artifacts.STUDY))
 def study_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eleven tables of a factor study, published as one run."""
-    tables = {name: QUERIES[source](spark, sf_dir) for name, (source, _) in _STUDY.items()}
-    run = artifacts.publish_run(spark, tables, artifacts.STUDY, shared_folder(spark, "studies"), "study")
+    run = artifacts.publish_run(spark, study.study_tables(spark, sf_dir), artifacts.STUDY, shared_folder(spark, "studies"), "study")
     return _read_back(spark, run, _STUDY, artifacts.STUDY)
 
 

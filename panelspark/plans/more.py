@@ -170,8 +170,12 @@ SELECT u.signal_date, count(*) AS eligible_count, count(*) FILTER (WHERE trim(in
 round(count(*) FILTER (WHERE trim(industry) <> '' AND NOT ended) / count(*), 9) AS usable_share FROM u LEFT JOIN i USING (signal_date, instrument_id) GROUP BY 1"""
 )
 def industry_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return industry_rows(factor(spark, sf_dir))
+
+
+def industry_rows(f: DataFrame) -> DataFrame:
     i = F.col("instrument_id")
-    cells = factor(spark, sf_dir).select("signal_date", "instrument_id", (i % 4 != 0).alias("eligible"))
+    cells = f.select("signal_date", "instrument_id", (i % 4 != 0).alias("eligible"))
     known = cells.where(i % 7 != 0).select(F.col("signal_date").alias("date"), "instrument_id", F.when(i % 9 == 0, " ").otherwise(F.concat(F.lit("n"), (i % 5).cast("string"))).alias("industry"), (i % 10 == 0).alias("ended"))
     return rounded(study.industry_coverage(cells, known), 9)
 

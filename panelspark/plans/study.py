@@ -10,7 +10,7 @@ from panelspark.operators import factors as fx
 from panelspark.operators import inference, study, transforms
 from panelspark.operators.labels import executable_state, forward_returns
 from panelspark.operators.windows import by, rolling_sum
-from panelspark.plans.tables import BARS, PANEL, RETURNS, bars, factor, factor_sql, labels, labels_sql, load, panel, query, returns
+from panelspark.plans.tables import BARS, PANEL, RETURNS, bars, factor, factor_of, factor_sql, kept, labels, labels_of, labels_sql, load, panel, panel_of, query, returns, returns_of
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
@@ -251,7 +251,11 @@ SELECT st.factor_id, n_dates, n_valid, round(mean, 8) AS mean, round(std, 8) AS
 FROM st LEFT JOIN up USING (factor_id) LEFT JOIN down USING (factor_id)"""
 )
 def ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(study.ic_summary(_ic(spark, sf_dir).withColumn("rank_ic", F.round("rank_ic", 9))))
+    return _summary(_ic(spark, sf_dir))
+
+
+def _summary(ic: DataFrame) -> DataFrame:
+    return rounded(study.ic_summary(ic.withColumn("rank_ic", F.round("rank_ic", 9))))
 
 
 _UNIVERSE = ", universe AS (SELECT signal_date, instrument_id, instrument_id % 4 <> 0 AS eligible FROM factor)"
@@ -262,7 +266,10 @@ _UNIVERSE = ", universe AS (SELECT signal_date, instrument_id, instrument_id % 4
 FROM universe u JOIN factor f USING (signal_date, instrument_id) WHERE u.eligible GROUP BY 1, 2"""
 )
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = factor(spark, sf_dir)
+    return _coverage(factor(spark, sf_dir))
+
+
+def _coverage(f: DataFrame) -> DataFrame:
     return rounded(study.coverage(f, f.select("signal_date", "instrument_id", (F.col("instrument_id") % 4 != 0).alias("eligible"))))
 
 
@@ -300,7 +307,11 @@ SELECT signal_date, factor_id, count(*) AS n_buckets, round(CASE WHEN max(r) > m
 UNION ALL SELECT signal_date, factor_id, count(*), NULL, NULL, NULL, NULL, 'INSUFFICIENT_VALID_QUANTILES' FROM v GROUP BY 1, 2 HAVING count(*) < 3"""
 )
 def monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(study.monotonicity(_quantiles(spark, sf_dir).withColumn("mean_return", F.round("mean_return", 9))))
+    return _monotonicity(_quantiles(spark, sf_dir))
+
+
+def _monotonicity(quantiles: DataFrame) -> DataFrame:
+    return rounded(study.monotonicity(quantiles.withColumn("mean_return", F.round("mean_return", 9))))
 
 
 _TURNOVER = f"""{_SPREAD}, dates AS (SELECT signal_date, factor_id, lag(signal_date) OVER (PARTITION BY factor_id ORDER BY signal_date) AS previous_date FROM (SELECT DISTINCT signal_date, factor_id FROM factor)),
@@ -327,8 +338,11 @@ SELECT factor_id, n_dates, cost_bps, round(gross, 8) AS gross, round(mean_turnov
 FROM cs, (SELECT unnest([0.0, 5.0, 10.0, 20.0, 50.0])::DOUBLE AS cost_bps)"""
 )
 def cost_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = factor(spark, sf_dir)
-    out = study.cost_scenarios(study.long_short(_quantiles(spark, sf_dir)), study.quantile_turnover(f))
+    return _costs(_quantiles(spark, sf_dir), study.quantile_turnover(factor(spark, sf_dir)))
+
+
+def _costs(quantiles: DataFrame, turnover: DataFrame) -> DataFrame:
+    out = study.cost_scenarios(study.long_short(quantiles), turnover)
     return out.select("factor_id", "n_dates", "cost_bps", *[F.round(c, 8).alias(c) for c in ("gross", "mean_turnover", "net")], F.round("break_even_bps", 6).alias("break_even_bps"), "break_even_invalid_reason")
 
 
@@ -351,6 +365,23 @@ def label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(study.label_quality(labels(spark, sf_dir, (1, 3))))
 
 
+def study_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of a study by name, of the queries' own steps. What several are made of is worked out once and kept: bars, panel, factors, labels, and the statistics by date."""
+    from panelspark.plans import more
+
+    b = kept(bars(spark, sf_dir).select("instrument_id", "trade_date", "open", "close"), "bars")
+    cells = kept(panel_of(returns_of(b)), "panel")
+    all_factors = kept(factor_of(cells, 6).unionByName(factor_of(cells, 3)).unionByName(factor_of(cells, 12)), "factors")
+    all_labels = kept(labels_of(cells, b, (1, 3)), "labels")
+    f, l = all_factors.where("factor_id = 'return_6m'"), all_labels.where("horizon = 1")
+    ic, quantiles, turnover = kept(study.daily_ic(f, l), "ic"), kept(study.quantile_returns(f, l), "quantiles"), kept(study.quantile_turnover(f), "turnover")
+    return {
+        "summary": _summary(ic), "coverage": _coverage(f), "label_quality": rounded(study.label_quality(all_labels)), "industry_coverage": more.industry_rows(f), "ic": rounded(ic),
+        "quantile_returns": quantiles.withColumn("mean_return", F.round("mean_return", 8)), "long_short_returns": rounded(study.long_short(quantiles)), "monotonicity": _monotonicity(quantiles), "turnover": rounded(turnover),
+        "cost_scenarios": _costs(quantiles, turnover), "correlations": rounded(study.factor_correlations(all_factors)),
+    }
+
+
 @query(f"WITH {PANEL}{labels_sql(3)} SELECT signal_date, instrument_id, horizon, label_kind, return_start, return_end, future_return, is_valid, invalid_reason FROM labels")
 def forward_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels(spark, sf_dir, (3,))

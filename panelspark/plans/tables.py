@@ -45,6 +45,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/panelspark/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read from there, for several tables that are made of it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """instrument_id, trade_date, open, high, low, close, amount, volume."""
     unit = F.col("l_extendedprice") / F.col("l_quantity")
@@ -66,8 +73,12 @@ BARS = """bars AS (
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with preclose and log_return over each instrument's own rows."""
+    return returns_of(bars(spark, sf_dir))
+
+
+def returns_of(b: DataFrame) -> DataFrame:
     w = Window.partitionBy("instrument_id").orderBy("trade_date")
-    rows = bars(spark, sf_dir).withColumn("preclose", F.lag("close").over(w))
+    rows = b.withColumn("preclose", F.lag("close").over(w))
     return rows.withColumn("log_return", F.ln("close") - F.ln("preclose"))
 
 
@@ -77,9 +88,12 @@ RETURNS = BARS + """, ret AS (
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session-complete log returns with their availability."""
+    return panel_of(returns(spark, sf_dir))
+
+
+def panel_of(r: DataFrame) -> DataFrame:
     from panelspark.operators.prices import session_grid
 
-    r = returns(spark, sf_dir)
     cells = session_grid(r.select("instrument_id").distinct(), r.select("trade_date").distinct(), r, r.where("false"))
     return cells.withColumn("available_at", F.col("trade_date").cast("timestamp_ntz") + F.expr("INTERVAL 27 DAYS"))
 
@@ -92,9 +106,13 @@ PANEL = RETURNS + """, panel AS (
 
 def factor(spark: SparkSession, sf_dir: str, months: int = 6) -> DataFrame:
     """A study's factor in long form: the return of the last months rows, rounded."""
+    return factor_of(panel(spark, sf_dir), months)
+
+
+def factor_of(cells: DataFrame, months: int) -> DataFrame:
     from panelspark.operators.factors import market_factor, period_return
 
-    rows = market_factor(f"return_{months}m", period_return(months), months + 1)(panel(spark, sf_dir))
+    rows = market_factor(f"return_{months}m", period_return(months), months + 1)(cells)
     return rows.withColumn("value", F.round("value", 9))
 
 
@@ -108,11 +126,13 @@ def factor_sql(months: int = 6, name: str = "factor") -> str:
 
 
 def labels(spark: SparkSession, sf_dir: str, horizons: tuple[int, ...] = (1,)) -> DataFrame:
+    return labels_of(panel(spark, sf_dir), bars(spark, sf_dir), horizons)
+
+
+def labels_of(cells: DataFrame, b: DataFrame, horizons: tuple[int, ...] = (1,)) -> DataFrame:
     from panelspark.operators.labels import forward_returns
 
-    b = bars(spark, sf_dir)
-    cells = panel(spark, sf_dir).select(F.col("trade_date").alias("signal_date"), "instrument_id")
-    return forward_returns(cells, b.select("trade_date"), b, horizons)
+    return forward_returns(cells.select(F.col("trade_date").alias("signal_date"), "instrument_id"), b.select("trade_date"), b, horizons)
 
 
 def labels_sql(horizon: int = 1, name: str = "labels") -> str:

@@ -11,8 +11,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark import plans
+from panelspark.functions.numeric import average_rank
 from panelspark.operators import decisions, performance, study
 from panelspark.operators import windows as win
+from panelspark.plans import tables
 
 D0 = date(2024, 1, 1)
 
@@ -128,3 +130,22 @@ def test_correlations_on_common_instruments(spark):
                     rs.append(np.corrcoef(a.rank(), b.rank())[0, 1])
             assert got[x, y][:2] == (days, n) and abs(got[x, y][2] - np.mean(ps)) < 1e-9 and abs(got[x, y][3] - np.mean(rs)) < 1e-9
     assert not any("flat" in k or "d" in k for k in got) and study.factor_correlations(df.limit(0)).count() == 0
+
+
+def test_average_ranks_share_one_shuffle(spark):
+    rng = random.Random(8)
+    rows = [(d, rng.choice([0.0, -0.0, 1.5, -2.0, float(rng.randrange(9))]), float(rng.randrange(5))) for d in range(4) for _ in range(60)]
+    df = spark.createDataFrame(rows, "d int, x double, y double")
+    out = df.withColumns({"rx": average_rank("x", "d"), "ry": average_rank("y", "d")})
+    got = sorted((r.d, r.x, r.y, r.rx, r.ry) for r in out.collect())
+    table = pd.DataFrame(rows, columns=["d", "x", "y"])
+    table["rx"], table["ry"] = table.groupby("d")["x"].rank(), table.groupby("d")["y"].rank()
+    assert got == sorted(tuple(r) for r in table.itertuples(index=False))
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_a_study_reads_its_lines_once(spark, sf_dir, monkeypatch):
+    seen, load = [], tables.load
+    monkeypatch.setattr(tables, "load", lambda s, d, name: seen.append(name) or load(s, d, name))
+    assert plans.QUERIES["study_artifacts"](spark, sf_dir).count() == 11
+    assert seen == ["lineitem"]
