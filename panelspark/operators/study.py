@@ -211,7 +211,8 @@ def industry_coverage(universe: DataFrame, industries: DataFrame) -> DataFrame:
 
 
 def signal_variants(factors: DataFrame, directions: DataFrame, neutralized: DataFrame | None = None) -> DataFrame:
-    """Factors turned so that more is better, and a neutralized variant beside them (C27). directions: factor_id, direction."""
+    """Factors turned so that more is better, and a neutralized variant beside them (C27). directions: factor_id, direction, a row a factor: it goes to the rows, which keep their places."""
+    directions = small(directions)
     turned = lambda df, name: df.join(directions, "factor_id").withColumn("value", F.col("value") * F.col("direction")).drop("direction").withColumn("signal_variant", F.lit(name))
     out = turned(factors, "direction_adjusted")
     return out if neutralized is None else out.unionByName(turned(neutralized, "neutralized"), allowMissingColumns=True)

@@ -9,7 +9,7 @@ from panelspark.operators import decisions as dec
 from panelspark.operators import performance as perf
 from panelspark.operators import quality
 from panelspark.plans.study import rounded
-from panelspark.plans.tables import BARS, PANEL, RETURNS, bars, factor, factor_sql, load, query, returns
+from panelspark.plans.tables import BARS, PANEL, RETURNS, bars, factor_sql, factors, load, query, returns
 
 _UNIVERSE = """inst AS (
   SELECT s_suppkey AS instrument_id, DATE '1995-01-01' + CAST(s_suppkey * 9 AS INTEGER) AS list_date, CASE WHEN s_suppkey % 5 = 0 THEN DATE '2000-01-01' + CAST(s_suppkey AS INTEGER) END AS delist_date,
@@ -61,7 +61,7 @@ _CASE = "CASE factor_id WHEN 'return_6m' THEN 2.0 WHEN 'return_3m' THEN -1.0 ELS
 
 
 def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factor(spark, sf_dir, 6).unionByName(factor(spark, sf_dir, 3)).unionByName(factor(spark, sf_dir, 12))
+    return factors(spark, sf_dir, 6, 3, 12)
 
 
 @query(

@@ -9,7 +9,7 @@ from panelspark import streaming
 from panelspark.operators import actions, decisions, performance, portfolio, quality, review, study
 from panelspark.plans.decisions import _candidates
 from panelspark.plans.study import rounded
-from panelspark.plans.tables import BARS, PANEL, bars, factor, factor_sql, load, panel, query, shared_folder
+from panelspark.plans.tables import BARS, PANEL, bars, factor, factor_sql, factors, load, panel, query, shared_folder
 from panelspark.sources import lake
 
 
@@ -182,9 +182,9 @@ def industry_rows(f: DataFrame) -> DataFrame:
 
 @query(f"WITH {PANEL}{factor_sql(6)}{factor_sql(3, 'factor3')}, a AS (SELECT * FROM factor UNION ALL SELECT * FROM factor3) SELECT signal_date, instrument_id, factor_id, value * CASE factor_id WHEN 'return_3m' THEN -1 ELSE 1 END AS value, 'direction_adjusted' AS signal_variant FROM a UNION ALL SELECT signal_date, instrument_id, factor_id, value / 2, 'neutralized' FROM factor")
 def signal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = factor(spark, sf_dir, 6)
+    both = factors(spark, sf_dir, 6, 3)
     directions = spark.createDataFrame([("return_6m", 1), ("return_3m", -1)], "factor_id string, direction int")
-    out = study.signal_variants(f.unionByName(factor(spark, sf_dir, 3)), directions, f.withColumn("value", F.col("value") / 2))
+    out = study.signal_variants(both, directions, both.where("factor_id = 'return_6m'").withColumn("value", F.col("value") / 2))
     return out.select("signal_date", "instrument_id", "factor_id", "value", "signal_variant")
 
 

@@ -10,7 +10,7 @@ from panelspark.operators import factors as fx
 from panelspark.operators import inference, study, transforms
 from panelspark.operators.labels import executable_state, forward_returns
 from panelspark.operators.windows import by, rolling_sum
-from panelspark.plans.tables import BARS, PANEL, RETURNS, bars, factor, factor_of, factor_sql, kept, labels, labels_of, labels_sql, load, panel, panel_of, query, returns, returns_of
+from panelspark.plans.tables import BARS, PANEL, RETURNS, bars, factor, factor_sql, factors, factors_of, kept, labels, labels_of, labels_sql, load, panel, panel_of, query, returns, returns_of
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
@@ -353,8 +353,7 @@ daily AS (SELECT signal_date, factor_x, factor_y, count(*) AS n, CASE WHEN max(x
 SELECT factor_x, factor_y, count(*) AS n_dates, CAST(sum(n) AS BIGINT) AS n_pairs, round(avg(p), 8) AS pearson, round(avg(r), 8) AS rank FROM daily WHERE n >= 3 AND p IS NOT NULL AND r IS NOT NULL GROUP BY 1, 2"""
 )
 def factor_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = factor(spark, sf_dir, 6).unionByName(factor(spark, sf_dir, 3)).unionByName(factor(spark, sf_dir, 12))
-    return rounded(study.factor_correlations(f))
+    return rounded(study.factor_correlations(factors(spark, sf_dir, 6, 3, 12)))
 
 
 @query(
@@ -371,7 +370,7 @@ def study_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
     b = kept(bars(spark, sf_dir).select("instrument_id", "trade_date", "open", "close"), "bars")
     cells = kept(panel_of(returns_of(b)), "panel")
-    all_factors = kept(factor_of(cells, 6).unionByName(factor_of(cells, 3)).unionByName(factor_of(cells, 12)), "factors")
+    all_factors = kept(factors_of(cells, 6, 3, 12), "factors")
     all_labels = kept(labels_of(cells, b, (1, 3)), "labels")
     f, l = all_factors.where("factor_id = 'return_6m'"), all_labels.where("horizon = 1")
     ic, quantiles, turnover = kept(study.daily_ic(f, l), "ic"), kept(study.quantile_returns(f, l), "quantiles"), kept(study.quantile_turnover(f), "turnover")

@@ -116,6 +116,17 @@ def factor_of(cells: DataFrame, months: int) -> DataFrame:
     return rows.withColumn("value", F.round("value", 9))
 
 
+def factors(spark: SparkSession, sf_dir: str, *months: int) -> DataFrame:
+    """Several such factors, of one pass over the panel."""
+    return factors_of(panel(spark, sf_dir), *months)
+
+
+def factors_of(cells: DataFrame, *months: int) -> DataFrame:
+    from panelspark.operators.factors import market_factors, period_return
+
+    return market_factors({f"return_{m}m": (period_return(m), m + 1) for m in months})(cells).withColumn("value", F.round("value", 9))
+
+
 def factor_sql(months: int = 6, name: str = "factor") -> str:
     return f""", {name} AS (
   SELECT trade_date AS signal_date, instrument_id, 'return_{months}m' AS factor_id, CASE WHEN n < {months + 1} OR v IS NULL THEN NULL ELSE round(v, 9) END AS value,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelspark import plans
 from panelspark.functions.numeric import average_rank
-from panelspark.operators import decisions, performance, study
+from panelspark.operators import decisions, factors, performance, study
 from panelspark.operators import windows as win
 from panelspark.plans import tables
 
@@ -149,3 +149,17 @@ def test_a_study_reads_its_lines_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(tables, "load", lambda s, d, name: seen.append(name) or load(s, d, name))
     assert plans.QUERIES["study_artifacts"](spark, sf_dir).count() == 11
     assert seen == ["lineitem"]
+
+def test_signal_variants_are_not_dealt_by_factor(spark, sf_dir):
+    plan = plans.QUERIES["signal_variants"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(factor_id" not in plan and "CartesianProduct" not in plan and plan.count("Window") == 4  # two windows, of each branch: the lag and all factors
+
+
+def test_market_factors_of_one_pass_equal_each_alone(spark):
+    rng = random.Random(11)
+    rows = [(i, day(d), None if rng.random() < 0.15 else rng.gauss(0, 0.1), None if rng.random() < 0.1 else day(d)) for i in range(9) for d in range(15 - i)]
+    panel = spark.createDataFrame(rows, "instrument_id int, trade_date date, log_return double, available_at date")
+    want = {"a": (factors.period_return(2), 3), "b": (factors.volatility(4), 5), "c": (factors.period_return(1), 2)}
+    alone = [tuple(r) for k, (v, n) in want.items() for r in factors.market_factor(k, v, n)(panel).collect()]
+    assert sorted(map(str, map(tuple, factors.market_factors(want)(panel).collect()))) == sorted(map(str, alone))
+    assert {r[-1] for r in alone} == {None, "INSUFFICIENT_HISTORY", "AVAILABILITY_UNKNOWN", "NONFINITE_VALUE"}
