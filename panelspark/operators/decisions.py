@@ -298,13 +298,20 @@ def cost_estimates(liquidity: DataFrame, model: str, commission_bps: float, mini
     fixed, linear, square_root and capacity, the largest weight that trades at
     the participation; without equity fixed and capacity are 0.
     """
+    return cost_estimates_by_model(liquidity, [model], commission_bps, minimum_cents, impact_bps, participation).drop("model")
+
+
+def cost_estimates_by_model(liquidity: DataFrame, models: Sequence[str], commission_bps: float, minimum_cents: int, impact_bps: float = 0.0, participation: float = 0.1) -> DataFrame:
+    """The cost terms of each name under each of several models, of one reading of the names (K3)."""
     if not 0 < participation <= 1 or impact_bps < 0:
         raise ValueError("participation is above 0 and at most 1, impact is not negative")
     impact = impact_bps / 10_000
     funded = F.col("equity_cents") > 0
-    return liquidity.select(
-        "signal_date", "instrument_id", F.when(funded, F.lit(float(minimum_cents)) / F.col("equity_cents")).otherwise(0.0).alias("fixed"),
-        F.lit(commission_bps / 10_000 + (impact if model == "linear_impact" else 0.0)).alias("linear"), F.lit(impact if model == "sqrt_impact" else 0.0).alias("square_root"),
+    terms = lambda m: F.struct(F.lit(m).alias("model"), F.lit(commission_bps / 10_000 + (impact if m == "linear_impact" else 0.0)).alias("linear"), F.lit(impact if m == "sqrt_impact" else 0.0).alias("square_root"))
+    rows = liquidity.select("signal_date", "instrument_id", "amount", "equity_cents", F.inline(F.array(*map(terms, models))))
+    return rows.select(
+        "model", "signal_date", "instrument_id", F.when(funded, F.lit(float(minimum_cents)) / F.col("equity_cents")).otherwise(0.0).alias("fixed"),
+        "linear", "square_root",
         F.when(funded, F.greatest(F.lit(0.0), F.col("amount") * participation / (F.col("equity_cents") / 100))).otherwise(0.0).alias("capacity"),
     )
 

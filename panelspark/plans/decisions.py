@@ -186,8 +186,7 @@ SELECT model, signal_date, instrument_id, CASE WHEN equity > 0 THEN round(500.0:
 def cost_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three pre-trade cost models; a quarter of the names belong to a book without equity."""
     rows = _candidates(spark, sf_dir).select("signal_date", "instrument_id", F.col("adv_amount").alias("amount"), (F.col("instrument_id") % 4 * 1000000).alias("equity_cents"))
-    parts = [dec.cost_estimates(rows, m, 2.5, 500, 30.0).withColumn("model", F.lit(m)) for m in ("sqrt_impact", "linear_impact", "fixed_linear")]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = dec.cost_estimates_by_model(rows, ("sqrt_impact", "linear_impact", "fixed_linear"), 2.5, 500, 30.0)
     return out.select("model", "signal_date", "instrument_id", F.round("fixed", 12).alias("fixed"), F.round("linear", 9).alias("linear"), F.round("square_root", 9).alias("square_root"), F.round("capacity", 9).alias("capacity"))
 
 

@@ -163,3 +163,12 @@ def test_market_factors_of_one_pass_equal_each_alone(spark):
     alone = [tuple(r) for k, (v, n) in want.items() for r in factors.market_factor(k, v, n)(panel).collect()]
     assert sorted(map(str, map(tuple, factors.market_factors(want)(panel).collect()))) == sorted(map(str, alone))
     assert {r[-1] for r in alone} == {None, "INSUFFICIENT_HISTORY", "AVAILABILITY_UNKNOWN", "NONFINITE_VALUE"}
+
+def test_cost_models_read_their_names_once(spark, sf_dir):
+    plan = plans.QUERIES["cost_estimates"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and "Union" not in plan
+    names = spark.createDataFrame([(day(0), 1, 200.0, 4000), (day(0), 2, -5.0, 0)], "signal_date date, instrument_id int, amount double, equity_cents long")
+    got = decisions.cost_estimates_by_model(names, ["sqrt_impact", "linear_impact", "none"], 2.5, 500, 30.0)
+    for m in ("sqrt_impact", "linear_impact", "none"):
+        assert sorted(map(tuple, got.where(F.col("model") == m).drop("model").collect())) == sorted(map(tuple, decisions.cost_estimates(names, m, 2.5, 500, 30.0).collect()))
+    assert {(r.model, r.linear, r.square_root) for r in got.collect()} == {("sqrt_impact", 0.00025, 0.003), ("linear_impact", 0.00025 + 0.003, 0.0), ("none", 0.00025, 0.0)}
