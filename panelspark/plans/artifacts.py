@@ -9,7 +9,7 @@ from panelspark.operators import performance as perf
 from panelspark.operators import relational
 from panelspark.plans import decisions, market, more, study  # noqa: F401  their queries fill the tables
 from panelspark.plans.decisions import _NAV, _nav
-from panelspark.plans.tables import QUERIES, SQL, load, query, shared_folder
+from panelspark.plans.tables import QUERIES, SQL, bars, kept, load, query, shared_folder
 from panelspark.sources import artifacts
 
 #: Of each table of a study the query that fills it and the figure that is summed.
@@ -58,17 +58,20 @@ def study_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql(_STRATEGY, artifacts.STRATEGY))
 def strategy_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifteen tables of strategy runs, published as one run."""
-    nav = _nav(spark, sf_dir)
+    """The fifteen tables of strategy runs, published as one run (S14). Net asset values, bars and numbered lines are worked out once and kept."""
+    nav = kept(_nav(spark, sf_dir), "nav")
+    b = kept(bars(spark, sf_dir).select("instrument_id", "trade_date", "close", "amount", "volume"), "bars")
     s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("int").alias("portfolio_id"))
-    q, day = F.col("l_quantity").cast("long"), F.col("l_shipdate").cast("date").alias("trade_date")
-    lines = relational.row_index(load(spark, sf_dir, "lineitem").withColumn("day", day), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], ["day"], "result_index")
+    q, day = F.col("l_quantity").cast("long"), F.col("day").alias("trade_date")
+    lines = relational.row_index(load(spark, sf_dir, "lineitem").withColumn("day", F.col("l_shipdate").cast("date")), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], ["day"], "result_index")
+    lines = kept(lines.select("l_suppkey", "day", "result_index", "l_quantity", "l_extendedprice"), "lines")
     price = (F.col("l_extendedprice") / F.col("l_quantity")).alias("reference_price")
     fills = lines.join(s, "l_suppkey").select("portfolio_id", day, "result_index", q.alias("requested_quantity"), q.alias("filled_quantity"), price, (q * 100).alias("gross_value"))
     own = {
         "fills": fills, "costs": lines.select(day, "result_index", q.alias("fees")), "nav": nav, "annual_returns": perf.period_returns(nav, "year").withColumn("period_return", F.round("period_return", 9)),
         "holdings": nav.select("portfolio_id", "trade_date", "equity", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("security")).select("portfolio_id", "trade_date", "security", F.floor(F.col("equity") / (F.col("security") + 10)).cast("long").alias("market_value")),
     }
-    tables = {name: QUERIES[source](spark, sf_dir) if source else own[name] for name, (source, _) in _STRATEGY.items()}
+    own |= decisions.strategy_tables(b, nav)
+    tables = {name: own[name] if name in own else QUERIES[source](spark, sf_dir) for name, (source, _) in _STRATEGY.items()}
     run = artifacts.publish_run(spark, tables, artifacts.STRATEGY, shared_folder(spark, "runs"), "strategy")
     return _read_back(spark, run, _STRATEGY, artifacts.STRATEGY)

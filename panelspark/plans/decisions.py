@@ -9,7 +9,7 @@ from panelspark.operators import decisions as dec
 from panelspark.operators import performance as perf
 from panelspark.operators import quality
 from panelspark.plans.study import rounded
-from panelspark.plans.tables import BARS, PANEL, RETURNS, bars, factor_sql, factors, load, query, returns
+from panelspark.plans.tables import BARS, PANEL, RETURNS, bars, factor_sql, factors, load, query, returns, returns_of
 
 _UNIVERSE = """inst AS (
   SELECT s_suppkey AS instrument_id, DATE '1995-01-01' + CAST(s_suppkey * 9 AS INTEGER) AS list_date, CASE WHEN s_suppkey % 5 = 0 THEN DATE '2000-01-01' + CAST(s_suppkey AS INTEGER) END AS delist_date,
@@ -115,8 +115,12 @@ _CANDIDATES = f"WITH {RETURNS}, cand AS (SELECT trade_date AS signal_date, instr
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates_of(returns(spark, sf_dir))
+
+
+def _candidates_of(r: DataFrame) -> DataFrame:
     i = F.col("instrument_id")
-    return returns(spark, sf_dir).select(F.col("trade_date").alias("signal_date"), "instrument_id", F.col("log_return").alias("score"), F.col("amount").alias("adv_amount"), ((i % 3) / F.lit(100.0)).alias("current_weight"), F.concat(F.lit("n"), (i % 6).cast("string")).alias("industry"), F.col("close").alias("price"), F.col("volume").cast("long").alias("quantity"))
+    return r.select(F.col("trade_date").alias("signal_date"), "instrument_id", F.col("log_return").alias("score"), F.col("amount").alias("adv_amount"), ((i % 3) / F.lit(100.0)).alias("current_weight"), F.concat(F.lit("n"), (i % 6).cast("string")).alias("industry"), F.col("close").alias("price"), F.col("volume").cast("long").alias("quantity"))
 
 
 _EQUAL = f"""{_CANDIDATES}, k AS (SELECT *, coalesce(score IS NOT NULL AND adv_amount >= 100000, false) AS fit FROM cand), c AS (SELECT *, fit AND row_number() OVER (PARTITION BY signal_date ORDER BY fit DESC, score DESC NULLS LAST, instrument_id) <= 15 AS chosen FROM k),
@@ -150,7 +154,10 @@ def project_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT signal_date, CAST(row_number() OVER (PARTITION BY signal_date ORDER BY CASE WHEN change < 0 THEN 0 ELSE 1 END, instrument_id) AS INTEGER) AS sequence, instrument_id, CASE WHEN change < 0 THEN 'SELL' ELSE 'BUY' END AS side, abs(change) AS order_quantity FROM p WHERE change <> 0"""
 )
 def rebalance_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _candidates(spark, sf_dir)
+    return _plan(_candidates(spark, sf_dir))
+
+
+def _plan(c: DataFrame) -> DataFrame:
     t = dec.equal_weight(c, 15, 0.08, 100_000.0).join(c.select("signal_date", "instrument_id", "price", "quantity"), ["signal_date", "instrument_id"])
     return dec.rebalance_plan(t.withColumn("equity", F.lit(5e7)))
 
@@ -190,6 +197,15 @@ def cost_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model", "signal_date", "instrument_id", F.round("fixed", 12).alias("fixed"), F.round("linear", 9).alias("linear"), F.round("square_root", 9).alias("square_root"), F.round("capacity", 9).alias("capacity"))
 
 
+def strategy_tables(b: DataFrame, nav: DataFrame) -> dict[str, DataFrame]:
+    """The tables of strategy runs that are made of bars and of net asset values, of the queries' own steps."""
+    daily = perf.daily_returns(nav)
+    return {
+        "signals": dec.dual_ma(b, 3, 8), "orders": _plan(_candidates_of(returns_of(b))), "performance": rounded(daily, 9), "rolling_performance": _rolling(nav),
+        "drawdown_episodes": rounded(perf.drawdown_episodes(daily), 9), "monthly_returns": rounded(perf.period_returns(nav), 9),
+    }
+
+
 # --- performance: portfolios are nations, their equity grows with what their suppliers ship ---
 
 _NAV = """nav AS (
@@ -268,7 +284,11 @@ SELECT portfolio_id, trade_date, round(e - 1, 7) AS annualized_return, round(b -
 round(sa * sqrt(252), 7) AS tracking_error, round(ma / sa * sqrt(252), 6) AS information_ratio, round(cv / vb, 6) AS beta FROM r JOIN m USING (portfolio_id, trade_date)"""
 )
 def rolling_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = perf.rolling_block(perf.daily_returns(_nav(spark, sf_dir)))
+    return _rolling(_nav(spark, sf_dir))
+
+
+def _rolling(nav: DataFrame) -> DataFrame:
+    out = perf.rolling_block(perf.daily_returns(nav))
     return out.select(*[F.round(c, 6 if c in ("sharpe_ratio", "information_ratio", "beta") else 7).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 

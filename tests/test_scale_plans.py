@@ -172,3 +172,11 @@ def test_cost_models_read_their_names_once(spark, sf_dir):
     for m in ("sqrt_impact", "linear_impact", "none"):
         assert sorted(map(tuple, got.where(F.col("model") == m).drop("model").collect())) == sorted(map(tuple, decisions.cost_estimates(names, m, 2.5, 500, 30.0).collect()))
     assert {(r.model, r.linear, r.square_root) for r in got.collect()} == {("sqrt_impact", 0.00025, 0.003), ("linear_impact", 0.00025 + 0.003, 0.0), ("none", 0.00025, 0.0)}
+
+
+def test_strategy_tables_share_bars_and_net_asset_values(spark, sf_dir, monkeypatch):
+    seen, load = [], tables.load
+    for module in (tables, plans.decisions, plans.artifacts, plans.more):
+        monkeypatch.setattr(module, "load", lambda s, d, name: seen.append(name) or load(s, d, name))
+    assert plans.QUERIES["strategy_artifacts"](spark, sf_dir).count() == 15
+    assert seen.count("lineitem") == 4  # values, bars, numbered lines, exposures
