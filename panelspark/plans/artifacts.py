@@ -44,7 +44,8 @@ def _read_back(spark: SparkSession, run: str, fills: dict[str, tuple[str | None,
     out = None
     for name, (_, figure) in fills.items():
         rows = artifacts.read_table(spark, run, name, contracts)
-        one = rows.agg(F.lit(name).alias("artifact"), F.count("*").alias("n_rows"), F.count_distinct(F.struct(*contracts[name].keys)).alias("n_keys"), F.round(F.coalesce(F.sum(figure), F.lit(0)).cast("double"), 4).alias("total"))
+        n_keys = artifacts.distinct_keys(artifacts.read_table_files(spark, run, name, contracts), contracts[name].keys)
+        one = rows.agg(F.lit(name).alias("artifact"), F.count("*").alias("n_rows"), F.lit(n_keys).alias("n_keys"), F.round(F.coalesce(F.sum(figure), F.lit(0)).cast("double"), 4).alias("total"))
         out = one if out is None else out.unionByName(one)
     return out
 

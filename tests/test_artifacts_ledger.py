@@ -159,3 +159,28 @@ def test_running_values_over_ranges(spark):
     assert dealt.select("__range").distinct().count() > 3
     got = scan.running(df, ["k"], "t", ["n"], {"s": F.col("v").cast("long")}, {"m": F.col("v")}, 100)
     assert {r.n: (r.s, r.m) for r in got.collect()} == want
+
+
+def test_key_order_against_sorted_lists(spark, tmp_path):
+    rng = random.Random(4)
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for case, files in enumerate([
+            [[(i, "a") for i in range(40)], [(i, "a") for i in range(40, 60)]], [[(1, "a"), (1, "b"), (2, None)], [(2, "a")]], [[(i, "x") for i in range(7)] + [(6, "x"), (8, "x")]],
+            [[(i, "x") for i in range(10)], [(9, "x"), (11, "y")]], [[(rng.randrange(9), rng.choice("abé")) for _ in range(50)]], [[(None, "a"), (1, "a"), (2, "a")]],
+        ]):
+            for part in files:
+                spark.createDataFrame(part, "k int, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/{case}")
+            rows = spark.read.parquet(f"{tmp_path}/{case}")
+            every = [r for part in files for r in part]
+            low = lambda r: tuple((x is not None, x) for x in r) if None not in r else tuple((x is not None, x or "" if i else x or 0) for i, x in enumerate(r))
+            found = artifacts.key_order(rows, ("k", "v")).first()
+            assert (found.n, found.null_keys) == (len(every), sum(None in r for r in every))
+            assert found.unordered == sum(low(a) > low(b) for part in files for a, b in zip(part, part[1:]))
+            assert artifacts.distinct_keys(rows, ("k", "v")) == len(set(every)) and (found.unproven > 0 or len(set(every)) == len(every))
+            bad = artifacts.violations(rows, "a", Contract(("k", "v"), "k int, v string"), len(every)).first()
+            assert bad.missing_rows == 0 and bad.repeated_keys == sum(every.count(r) > 1 for r in set(every))
+        assert artifacts.key_order(spark.read.parquet(f"{tmp_path}/0"), ("k", "v")).first().unproven == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
