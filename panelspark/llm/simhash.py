@@ -25,6 +25,7 @@ than doc_id and text are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -356,28 +357,34 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataF
     return counted.where(F.try_divide(F.col("shared"), F.col("total") - F.col("shared")) >= similarity).select("u", "v")
 
 
+#: Bits of a hash that travel where rows meet by it.
+TOKEN_BITS = 40
 #: Counters of shingles; a shingle's is its hash modulo their number, a power of two.
 SLOTS = 1 << 22
 
 
 def shingle_classes(texts: DataFrame, words: int = 5) -> np.ndarray:
-    """A byte for each of SLOTS: the bits of the number of rows whose set has a shingle there. The rows' column is text (binary)."""
-    part = 1 << 16
+    """A byte for each of SLOTS: the logarithm to base 1.07 of the number of rows whose set has a shingle there (255 of a task's at most). The rows' column is text (binary).
+
+    With the texts slots fill up by chance, by n +- sqrt(n) for each; classes as fine as that still tell a shingle of 2 sqrt(n) rows from one of a single row.
+    """
+    part = min(SLOTS, 1 << 16)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.uint32)
         for b in batches:
             for x in b.column(0):
                 np.add.at(n, shingle_set(x.as_py(), words) & np.uint64(SLOTS - 1), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS // part), pa.int32()), pa.array([n[a : a + part].tobytes() for a in range(0, SLOTS, part)], pa.binary())], ["part", "n"])
+        n = np.minimum(n, 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS // part), pa.int32()), pa.array([zlib.compress(n[a : a + part].tobytes(), 1) for a in range(0, SLOTS, part)], pa.binary())], ["part", "n"])
 
     def total(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, at = np.zeros(part, np.uint64), None
         for t in tables:
             at = t.column("part")[0]
             for x in t.column("n"):
-                n += np.frombuffer(x.as_py(), np.uint32)
-        bits = np.ceil(np.log2(n + 1.0)).astype(np.uint8)
+                n += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        bits = np.minimum(255, np.rint(np.log1p(n.astype(np.float64)) / math.log(1.07))).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([at.as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["part", "bits"])
 
     rows = texts.select("text").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(total, "part int, bits binary").collect()  # SLOTS bytes
@@ -398,17 +405,19 @@ def prefix_pairs(sets: DataFrame, similarity: float = 0.8, small: int = 16, bloc
 
     Such sets have a hash of their prefixes in common. At the first in the common order what follows it in either set bounds
     the number they share, and their sizes differ little; these two bounds discard the other rows of its bucket. A bucket is
-    sorted by size and worked through in blocks.
+    sorted by size and worked through in blocks. What travels for each hash is its low TOKEN_BITS (two hashes that agree in them only
+    make a candidate more), and the root as its difference from the node, zero for most rows.
     """
-    names = ["token", "size", "at", "node", "root"]
+    names, low = ["token", "size", "at", "node", "root"], (1 << TOKEN_BITS) - 1
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.frombuffer(x, "<i8") for x in b.column(3).to_pylist()]
             n = np.array([len(x) for x in found], np.int64)
             if n.sum():
-                each = lambda k: np.repeat(b.column(k).to_numpy(), n)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(found), each(2), np.concatenate([np.arange(m, dtype=np.int32) for m in n]), each(0), each(1))], names)
+                node, root = b.column(0).to_numpy(), b.column(1).to_numpy()
+                each = lambda x: np.repeat(x, n)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(found) & low, each(b.column(2).to_numpy()), np.concatenate([np.arange(m, dtype=np.int32) for m in n]), each(node), each(node ^ root))], names)
 
     def fit(i: tuple, j: tuple) -> np.ndarray:
         least = np.ceil(similarity / (1 + similarity) * (i[1].astype(np.int64) + j[1]) - 1e-9)
@@ -450,6 +459,7 @@ def prefix_pairs(sets: DataFrame, similarity: float = 0.8, small: int = 16, bloc
             if not b.num_rows:
                 continue
             now = tuple(b.column(i).to_numpy() for i in range(len(names)))
+            now = (*now[:4], now[3] ^ now[4])
             n = int(np.argmax(now[0] == now[0][-1]))  # rows before the batch's last bucket
             if n or (held and held[-1][0][-1] != now[0][0]):
                 yield from out([*held, *([tuple(c[:n] for c in now)] if n else [])])
@@ -462,15 +472,45 @@ def prefix_pairs(sets: DataFrame, similarity: float = 0.8, small: int = 16, bloc
     return rows.repartition(partitions(sets.sparkSession), "token").sortWithinPartitions("token", "size").mapInArrow(run, "u long, v long")
 
 
-def shingle_sets(texts: DataFrame, words: int = 5) -> DataFrame:
-    """node and `shingles` (its set as longs) of rows node, text (binary)."""
+def similar_texts(pairs: DataFrame, texts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """The pairs u, v whose texts (node, text as binary) have shingle sets of a Jaccard similarity of at least `similarity`, counted exactly.
+
+    Texts travel, which take a fraction of their sets' bytes, and the tasks make the sets; one of the two sides comes in runs of one node.
+    """
+    left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"of_{c}")) for c in ("u", "v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, of = None, shingle_set(None)
         for b in batches:
-            sets = [shingle_set(x.as_py(), words).view(np.int64) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            u, v, fit = b.column(0).to_numpy(), b.column(1).to_numpy(), np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                if v[i] != node:
+                    node, of = v[i], shingle_set(b.column(3)[i].as_py(), words)
+                other = shingle_set(b.column(2)[i].as_py(), words)
+                shared = len(np.intersect1d(of, other, assume_unique=True))
+                total = len(of) + len(other) - shared
+                fit[i] = total > 0 and shared / total >= similarity
+            yield pa.RecordBatch.from_arrays([pa.array(u[fit]), pa.array(v[fit])], ["u", "v"])
+
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", "of_u", "of_v")
+    return both.mapInArrow(run, "u long, v long")
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+#: Rows of a filter; each has 64 bits.
+FILTER_ROWS = 1 << 18
+
+
+def flagged(rows: DataFrame, key: Column, members: DataFrame) -> DataFrame:
+    """rows with `may`, which is true for all rows whose key (a hash) is among the values of members' one column, and for few others.
+
+    The filter has FILTER_ROWS * 64 bits whatever the tables' size, and goes to all tasks: what it
+    keeps back needs no shuffle. An exact step follows for the rest.
+    """
+    slot, bit = (lambda c: c.bitwiseAND(F.lit(FILTER_ROWS - 1))), (lambda c: F.shiftright(c, 48).bitwiseAND(F.lit(63)).cast("int"))
+    h = F.col(members.columns[0])
+    words = members.select(slot(h).alias("__slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(h)).alias("__bits")).groupBy("__slot").agg(F.bit_or("__bits").alias("__bits"))
+    held = rows.withColumn("__h", key).withColumn("__slot", slot(F.col("__h"))).join(F.broadcast(words), "__slot", "left")  # FILTER_ROWS at most
+    return held.withColumn("may", F.coalesce(F.getbit("__bits", bit(F.col("__h"))) == 1, F.lit(False))).drop("__h", "__slot", "__bits")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: int = 12) -> DataFrame:
@@ -488,17 +528,22 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: in
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x.as_py() for x in b.column(1)]
-            fps = np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64)
-            sets = [shingle_set(t, words) for t in texts]
-            wides, prefixes = [wide_bits(h, lanes) for h in sets], [prefix(h, classes, similarity).tobytes() for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array(wides, pa.binary()), pa.array([len(h) for h in sets], pa.int32()), pa.array(prefixes, pa.binary())], ["k", "fp", "wide", "size", "prefix"])
+            fps, wides, sizes, prefixes = np.zeros(b.num_rows, np.uint64), [], [], []
+            for i, x in enumerate(b.column(1)):  # a text at a time
+                text = x.as_py()
+                h = shingle_set(text, words)
+                fps[i] = fingerprint(text)
+                wides.append(wide_bits(h, lanes))
+                sizes.append(len(h))
+                prefixes.append((prefix(h, classes, similarity) & np.uint64((1 << TOKEN_BITS) - 1)).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(wides, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], ["k", "fp", "wide", "size", "prefix"])
 
     rows = docs.select(F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("id"), text_key().alias("key")).alias("k"), F.col("text").cast("binary").alias("text"))
-    table = written(rows.mapInArrow(both, f"k {kind}, fp long, wide binary, size int, prefix binary"), "fingerprints")
-    narrow, wide = (lambda c: F.xxhash64(c, F.lit(3))), F.xxhash64("wide", F.lit(5))
-    close = links(table.select("fp").distinct()).select(narrow("u").alias("u"), narrow("v").alias("v"))
+    table = written(rows.mapInArrow(both, f"k {kind}, fp long, wide binary, size int, prefix binary"), "fingerprints", "zstd").withColumn("node", F.xxhash64("wide", F.lit(5)))
+    nodes = written(table.groupBy("node").agg(F.min("k").alias("k"), F.count("*").alias("n")), "nodes")
+    repeated = nodes.where("n > 1").select("node")
     whole = carried(docs, "doc_id").select("__row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.isnull("doc_id").alias("__null"), text_key("__row.text").alias("__key"))
+    hashed = F.xxhash64(*keys)
 
     def keyed(firsts: DataFrame, *more: str) -> DataFrame:
         return firsts.select(F.coalesce(F.col("k.id").cast("string"), F.lit("")).alias("__id"), F.col("k.last").alias("__null"), F.col("k.key").alias("__key"), *more)
@@ -507,25 +552,38 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5, lanes: in
         """The pairs whose sets are similar."""
         pairs = written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
         met = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        samples = keyed(table.groupBy(wide.alias("node")).agg(F.min("k").alias("k")).join(met, "node", "left_semi"), "node")
-        texts = whole.select(*keys, F.col("__row.text").cast("binary").alias("text")).join(samples, keys).dropDuplicates(["node"])
-        return similar(pairs, written(shingle_sets(texts, words), "shingles"), similarity)
+        samples = written(keyed(nodes.join(met, "node", "left_semi"), "node"), "samples")
+        near = flagged(whole, hashed, samples.select(hashed)).where("may")
+        texts = near.select(*keys, F.col("__row.text").cast("binary").alias("text")).join(samples, keys).dropDuplicates(["node"]).select("node", "text")
+        return similar_texts(pairs, texts, similarity, words)
 
     def rooted(nodes: DataFrame, roots: DataFrame, name: str) -> DataFrame:
         """nodes with their root; one that has none stands for itself."""
         named = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
         return nodes.join(named, nodes[name] == named["__node"], "left").withColumn("root", F.coalesce("__root", name)).drop("__node", "__root")
 
-    likely = wide_links(table.select(wide.alias("node"), "wide").distinct(), similarity)
-    roots = components(table.select(narrow("fp").alias("u"), wide.alias("v")).distinct().union(close).union(alike(likely)))
-    sets = rooted(table.groupBy(wide.alias("node")).agg(F.first("size").alias("size"), F.first("prefix").alias("prefix")), roots, "node")
+    # texts of one narrow fingerprint, and of two that are close
+    firsts = written(table.groupBy("fp").agg(F.min("node").alias("u"), F.max("node").alias("most")), "firsts")
+    shared = firsts.where("u != most").select("fp", "u")
+    same = flagged(table, F.xxhash64("fp"), shared.select(F.xxhash64("fp"))).where("may").select("fp", F.col("node").alias("v")).distinct().join(shared, "fp").select("u", "v")
+    first = lambda c, to: firsts.select(F.col("fp").alias(c), F.col("u").alias(to))
+    close = links(firsts).join(first("u", "__u"), "u").join(first("v", "__v"), "v").select(F.col("__u").alias("u"), F.col("__v").alias("v"))
+    likely = wide_links(table.select("node", "wide").dropDuplicates(["node"]), similarity)
+    roots = components(same.union(close).union(alike(likely)))
+    # a node that is in no group yet and has one row goes on as it is
+    ahead = flagged(table.select("node", "size", "prefix"), F.col("node"), roots.select("node").union(repeated))
+    some = ahead.where("may").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    sets = ahead.where("not may").select("node", F.col("node").alias("root"), "size", "prefix").union(rooted(some, roots, "node").select("node", "root", "size", "prefix"))
     rest = alike(prefix_pairs(sets, similarity))
     for c in ("u", "v"):
         rest = rooted(rest, roots, c).drop(c).withColumnRenamed("root", c)
     joined = components(rest)
-    firsts = rooted(table.groupBy(narrow("fp").alias("node")).agg(F.min("k").alias("k")), roots, "node").select(F.col("root").alias("first"), "k")
-    groups = rooted(firsts, joined, "first")
-    best = groups.groupBy("root").agg(F.min("k").alias("k"))
-    kept = keyed(best)
-    one = whole.join(kept, keys, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__key")))
-    return one.where("__n = 1").select("__row.*")
+    groups = written(rooted(roots.withColumnRenamed("root", "first"), joined, "first").select("node", "root").union(joined.select("node", "root")), "groups")
+    # rows of groups of one row are kept and don't travel
+    many = groups.select("node").union(groups.select("root")).union(repeated)
+    best = rooted(flagged(nodes, F.col("node"), many).where("may"), groups, "node").groupBy("root").agg(F.min("k").alias("k"))
+    gone = written(keyed(flagged(table, F.col("node"), many).where("may").select("k").distinct().join(best.select("k"), "k", "left_anti")), "gone")
+    twice = flagged(table, F.col("node"), repeated).where("may").groupBy("k").count().where("count > 1")
+    docs = flagged(whole, hashed, gone.select(hashed).union(keyed(twice).select(hashed)))
+    left = docs.where("may").join(gone, keys, "left_anti").withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__key")))
+    return docs.where("not may").select("__row.*").union(left.where("__n = 1").select("__row.*"))

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from panelspark.llm import queries, simhash, tokens
 from panelspark.llm.common import scratch, table
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 DOCS = "doc_id long, text string, source string, fp int, component_id string"
@@ -318,3 +319,47 @@ def test_token_files_refuse_a_tokenizer_that_keeps_white_space(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 1, "c")], DOCS)
     with pytest.raises(ValueError, match="white space"):
         tokens.write_tokens(docs, scratch(spark, "refused"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
+def test_shared_shingles_are_told_from_rare_ones_in_full_counters(spark, monkeypatch):
+    """200 shingles to a counter, as 6 GB of texts make: a passage of 60 texts stays out of their prefixes."""
+    monkeypatch.setattr(simhash, "SLOTS", 1 << 12)
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage = words(104)
+    texts = [words(400) for _ in range(2000)] + [f"{passage} {words(300)}" for _ in range(60)]
+    classes = simhash.shingle_classes(spark.createDataFrame([(t.encode(),) for t in texts], "text binary"))
+    common = simhash.shingle_set(passage.encode())
+    met = [np.isin(simhash.prefix(simhash.shingle_set(t.encode()), classes, 0.8), common).mean() for t in texts[2000:]]
+    assert np.mean(met) < 0.02  # a quarter of the text; by the bits of counts it was 0.088
+
+
+def test_similar_texts_counts_as_similar_does(spark):
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(200)]
+    texts = {0: None, 1: b"", 2: b"One two", 3: b"one TWO"}
+    for i in range(4, 24):
+        w = base.copy()
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(200)] = f"x{rng.randrange(1000)}"
+        texts[i] = " ".join(w).encode()
+    rows = spark.createDataFrame(list(texts.items()), "node long, text binary")
+    pairs = spark.createDataFrame([(u, v) for u in texts for v in texts if u < v], "u long, v long")
+    sets = spark.createDataFrame([(i, simhash.shingle_set(t).view(np.int64).tolist()) for i, t in texts.items()], "node long, shingles array<long>")
+    got = sorted(tuple(r) for r in simhash.similar_texts(pairs, rows).collect())
+    assert (2, 3) in got and 20 < len(got) < 200 and got == sorted(tuple(r) for r in simhash.similar(pairs, sets).collect())
+
+
+def test_filters_leave_no_member_out_and_let_texts_of_groups_of_one_stay(spark):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    held = simhash.flagged(rows, F.col("h"), rows.where("h % 3 = 0").select("h"))
+    assert held.count() == 3000 and held.where("h % 3 = 0 and not may").count() == 0 and held.where("h % 3 != 0 and may").count() < 10
+    assert simhash.flagged(rows, F.col("h"), rows.limit(0)).where("may").count() == 0
+    texts = [f"{i} " + " ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[7], texts[9] + " more"])), "doc_id long, text string")
+    kept = simhash.keep_one(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+    # the rows of groups of one come straight from where they lie: only one branch of the union has an exchange
+    branches = kept._jdf.queryExecution().optimizedPlan().children()
+    plans = [branches.apply(i).toString() for i in range(branches.size())]
+    assert len(plans) == 2 and sum("Window" in p for p in plans) == 1
