@@ -177,18 +177,33 @@ def run_backtests(prepared: DataFrame, cash: int, lot: int = 100) -> DataFrame:
 
 
 def marked_to_market(fills: DataFrame, marks: DataFrame, cash: int) -> DataFrame:
-    """Equity of each run on each session: cash after its last fill, and holdings at the last known price (L3). marks: trade_date, instrument_id, close_ticks."""
-    runs = fills.select("run_id").distinct()
-    days = F.broadcast(marks.select("trade_date").distinct())
-    signed = F.when(F.col("side") == "BUY", F.col("filled")).otherwise(-F.col("filled"))
-    flow = fills.groupBy("run_id", "trade_date", "instrument_id").agg(F.sum(signed).alias("net"))
-    grid = fills.select("run_id", "instrument_id").distinct().crossJoin(days)
-    so_far = Window.partitionBy("run_id", "instrument_id").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    held = grid.join(flow, ["run_id", "trade_date", "instrument_id"], "left").join(marks, ["trade_date", "instrument_id"], "left")
-    value = F.coalesce(F.sum("net").over(so_far), F.lit(0)) * F.coalesce(F.last("close_ticks", ignorenulls=True).over(so_far), F.lit(0))
-    held = held.withColumn("value", value).groupBy("run_id", "trade_date").agg(F.sum("value").alias("market_value"))
-    gross = F.col("filled") * F.coalesce("price_ticks", F.lit(0))
-    moved = fills.groupBy("run_id", "trade_date").agg(F.sum(F.when(F.col("side") == "BUY", -gross).otherwise(gross) - F.col("fees")).alias("change"))
-    axis = Window.partitionBy("run_id").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    books = runs.crossJoin(days).join(moved, ["run_id", "trade_date"], "left").withColumn("cash", F.coalesce(F.sum("change").over(axis), F.lit(0)) + cash)
-    return books.join(held, ["run_id", "trade_date"], "left").select("run_id", "trade_date", "cash", F.coalesce("market_value", F.lit(0)).alias("market_value"), (F.col("cash") + F.coalesce("market_value", F.lit(0))).alias("equity"))
+    """Equity of each run on each session: cash after its last fill, and holdings at the last known price (L3). marks: trade_date, instrument_id, close_ticks.
+
+    Cash and value change only where a run fills or a name that it trades has a price; what travels are these
+    changes, as one row of lists for each run and name. They are summed up by run, and each
+    stretch between two of them is spread over its sessions at the end, so that the grid of runs and sessions is never shuffled.
+    """
+    sessions = marks.agg(F.array_sort(F.collect_set("trade_date")).alias("sessions"))  # a calendar
+    days = F.broadcast(sessions.select(F.posexplode("sessions").alias("at", "trade_date")).select((F.col("at") + 1).alias("at"), "trade_date"))
+    sign = F.when(F.col("side") == "BUY", F.lit(1)).otherwise(F.lit(-1))
+    on = F.col("at").isNotNull()
+    moved = -sign * F.col("filled") * F.coalesce("price_ticks", F.lit(0)) - F.col("fees")
+    no_long, no_price = F.lit(0).cast("long"), F.lit(None).cast(marks.schema["close_ticks"].dataType)
+    flows = fills.join(days, "trade_date", "left").groupBy("run_id", "instrument_id").agg(F.collect_list(F.when(on, F.struct("at", (sign * F.col("filled")).alias("net"), moved.alias("change"), no_price.alias("close")))).alias("flows"))
+    prices = marks.where("close_ticks is not null").join(days, "trade_date").groupBy("instrument_id").agg(F.collect_list(F.struct("at", no_long.alias("net"), no_long.alias("change"), F.col("close_ticks").alias("close"))).alias("prices"))
+    # every run begins with the first session
+    first = F.array(F.struct(F.lit(1).alias("at"), no_long.alias("net"), no_long.alias("change"), no_price.alias("close")))
+    none = F.array().cast(prices.schema["prices"].dataType)
+    both = flows.join(prices, "instrument_id", "left").select("run_id", "instrument_id", F.concat(first, "flows", F.coalesce("prices", none)).alias("changes"))
+    rows = both.repartition("run_id").select("run_id", "instrument_id", F.inline("changes"))
+    so_far = Window.partitionBy("run_id", "instrument_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    value = F.sum("net").over(so_far) * F.coalesce(F.last("close", ignorenulls=True).over(so_far), F.lit(0))
+    each = Window.partitionBy("run_id", "instrument_id").orderBy("at")
+    rows = rows.withColumn("value", value).withColumn("gain", F.col("value") - F.coalesce(F.lag("value").over(each), F.lit(0)))
+    # rows of one session stay in their order, so that gains of a session add up to its last value
+    by_run = rows.groupBy("run_id", "at").agg(F.sum("gain").alias("gain"), F.sum("change").alias("change"))
+    axis = Window.partitionBy("run_id").orderBy("at")
+    to_date = axis.rowsBetween(Window.unboundedPreceding, 0)
+    books = by_run.select("run_id", "at", (F.sum("change").over(to_date) + cash).alias("cash"), F.sum("gain").over(to_date).alias("market_value"), F.lead("at").over(axis).alias("until"))
+    spread = books.crossJoin(F.broadcast(sessions)).withColumn("length", F.coalesce("until", F.size("sessions") + 1) - F.col("at"))
+    return spread.select("run_id", F.explode(F.slice("sessions", F.col("at"), F.col("length"))).alias("trade_date"), "cash", "market_value", (F.col("cash") + F.col("market_value")).alias("equity"))

@@ -78,9 +78,9 @@ def _traded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of one book for each supplier."""
-    li, day = load(spark, sf_dir, "lineitem"), F.date_add(F.col("l_shipdate").cast("date"), 4000)
-    return li.groupBy(F.col("l_suppkey").alias("run_id"), day.alias("trade_date"), F.col("l_suppkey").alias("instrument_id"), F.when(F.col("l_linenumber") <= 4, "BUY").otherwise("SELL").alias("side")).agg((F.sum("l_quantity").cast("long") * 10).alias("quantity"))
+    """Orders of one book for each supplier, dealt by name and day as the market that they meet is."""
+    li = load(spark, sf_dir, "lineitem").withColumn("trade_date", F.date_add(F.col("l_shipdate").cast("date"), 4000)).repartition("l_suppkey", "trade_date")
+    return li.groupBy(F.col("l_suppkey").alias("run_id"), "trade_date", F.col("l_suppkey").alias("instrument_id"), F.when(F.col("l_linenumber") <= 4, "BUY").otherwise("SELL").alias("side")).agg((F.sum("l_quantity").cast("long") * 10).alias("quantity"))
 
 
 @query(

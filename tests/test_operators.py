@@ -339,3 +339,33 @@ def test_ledger_looks_at_unsettled_lots_only():
         assert ledger.held(7) == 100 * (session + 1) and ledger.sellable(7, session) == 100 * max(0, session - 1)
     assert Lots.seen <= 3 * 500
     assert ledger.sell(7, 500, 150, 3000, 5) == 3000 - 5 - 1005 - 503 and ledger.held(7) == 49850 and ledger.sellable(8, 1) == 0
+
+
+def test_equity_is_spread_over_sessions_after_the_last_shuffle(spark):
+    rng = random.Random(21)
+    days = [date(2024, 1, 1) + timedelta(d) for d in range(40)]
+    marks = [(d, i, rng.choice([None, rng.randrange(900, 1100)]) if rng.random() < 0.3 else rng.randrange(900, 1100)) for d in days for i in range(6) if rng.random() < 0.6]
+    sessions, fills, want = sorted({m[0] for m in marks}), [], {}
+    for run in range(4):
+        held = dict.fromkeys(range(6), 0)
+        for d in sorted(rng.sample(sessions, 12)):
+            for i in sorted(rng.sample(range(6), 3)):
+                for side in ("SELL", "BUY"):
+                    n = rng.randrange(held[i] + 1) if side == "SELL" else 100 * rng.randrange(3)
+                    held[i] += n if side == "BUY" else -n
+                    fills.append((run, d, i, side, n, rng.randrange(900, 1100) if n else None, 5 if n else 0))
+    fills.append((9, sessions[3], 2, "BUY", 0, None, 0))  # a run that fills nothing
+    for run in (0, 1, 2, 3, 9):
+        for s in sessions:
+            done = [f for f in fills if f[0] == run and f[1] <= s]
+            cash = 10_000 + sum((-1 if f[3] == "BUY" else 1) * f[4] * (f[5] or 0) - f[6] for f in done)
+            last = {i: max(((d, c) for d, j, c in marks if j == i and d <= s and c is not None), default=(s, 0))[1] for i in range(6)}
+            value = sum((f[4] if f[3] == "BUY" else -f[4]) * last[f[2]] for f in done)
+            want[run, s] = (cash, value, cash + value)
+    f = spark.createDataFrame(fills, "run_id long, trade_date date, instrument_id long, side string, filled long, price_ticks long, fees long")
+    out = backtest.marked_to_market(f, spark.createDataFrame(marks, "trade_date date, instrument_id long, close_ticks long"), 10_000)
+    got = {(r.run_id, r.trade_date): (r.cash, r.market_value, r.equity) for r in out.collect()}
+    assert out.count() == len(got) and got == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    executed = out._jdf.queryExecution().executedPlan().toString()
+    assert "explode(slice(" in plan and executed.index("explode(slice(") < executed.index("Exchange hashpartitioning")
